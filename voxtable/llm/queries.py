@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxtable.llm import exact_dedup, mixing, sharding, url_filters, warc
+from voxtable.llm import decontaminate, exact_dedup, minhash, mixing, secrets, sharding, token_files, toxicity, url_filters, warc
 
+TOKENIZER = "byte_bpe_50k.json"
 SHARDS = 8
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
 HOST_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -32,10 +34,30 @@ def op1_vector_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 
+def op2_guess_cost_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_warc_boundary_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_prefix_filtered_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.match(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("_items").cast("long").alias("n_items"), decontaminate.items_sha256().alias("items_sha256"), decontaminate.contaminated().alias("contaminated"))
+
+
+def op5_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(toxicity.training_rows(documents, table(spark, sf_dir, "labels")))
+    out = model.score(documents, "text", "score")
+    return out.select("doc_id", toxicity.is_held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
 def op7_hash_threshold_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized, plan = mixing.mix(table(spark, sf_dir, "documents"), WEIGHTS, SHARE, MOST)
     out = mixing.attach(sized, plan, "key", "n")
@@ -55,8 +77,28 @@ def op9_rarest_literal_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(*url_filters.columns(judged))
 
 
+def op10_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
+bw AS (
+  SELECT DISTINCT item, size, array_to_string(w[s:s + size - 1], ' ') AS window
+  FROM (SELECT item, w, least(13, len(w)) AS size, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS s FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT size FROM bw),
+dw AS (SELECT doc_id, size, unnest(range(1, len(w) - size + 2)) AS s, w FROM d, sizes WHERE len(w) >= size),
+hit AS (SELECT DISTINCT dw.doc_id, dw.s, dw.size, bw.item FROM dw JOIN bw ON dw.size = bw.size AND array_to_string(dw.w[dw.s:dw.s + dw.size - 1], ' ') = bw.window),
+places AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + size)) AS p FROM hit) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
 OP7_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
@@ -92,6 +134,22 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*)
 FROM n
 """
 
+OP10_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS shingle
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS common FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT u, v FROM pairs JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * common >= 75 * (x.n + y.n - common)),
+reach AS (SELECT u AS doc_id, v AS other FROM links UNION SELECT r.doc_id, l.v FROM reach r JOIN links l ON l.u = r.other),
+least AS (SELECT doc_id, min(other) AS other FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(least.other, d.doc_id)) AS component_id,
+       d.doc_id = least(d.doc_id, coalesce(least.other, d.doc_id)) AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN least USING (doc_id)
+"""
+
 OP9_SQL = r"""
 WITH p AS (
   SELECT page_id, coalesce(url, '') AS url, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -120,8 +178,8 @@ FROM m
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_vector_bin_packing, op3_warc_boundary_chain, op7_hash_threshold_mix, op8_fuse_filter_dedup, op9_rarest_literal_url_rules)}
+    return {f.__name__: f for f in (op1_vector_bin_packing, op2_guess_cost_secrets, op3_warc_boundary_chain, op4_prefix_filtered_decontamination, op5_counterfactual_toxicity, op6_token_files, op7_hash_threshold_mix, op8_fuse_filter_dedup, op9_rarest_literal_url_rules, op10_minhash_components)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_hash_threshold_mix": OP7_SQL, "op8_fuse_filter_dedup": OP8_SQL, "op9_rarest_literal_url_rules": OP9_SQL}
+    return {"op4_prefix_filtered_decontamination": OP4_SQL, "op7_hash_threshold_mix": OP7_SQL, "op8_fuse_filter_dedup": OP8_SQL, "op9_rarest_literal_url_rules": OP9_SQL, "op10_minhash_components": OP10_SQL}
