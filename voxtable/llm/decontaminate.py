@@ -18,7 +18,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -94,21 +94,22 @@ def covered(runs: list[tuple[int, int]]) -> int:
     return total
 
 
-def contaminated(n_words: str = "n_words", n_hit: str = "n_hit") -> F.Column:
-    return (F.col(n_hit) > 0) & (20 * F.col(n_hit) >= F.col(n_words))
+def contaminated() -> Column:
+    return (F.col("_n_hit") > 0) & (20 * F.col("_n_hit") >= F.col("_n_words"))
 
 
 def match(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """documents with n_words, n_hit, and _items (sorted ids of the items with occurring windows)."""
-    own = documents.schema
+    """documents with _n_words, _n_hit and _items (sorted ids of the items with occurring windows); columns of these names go."""
+    own = [f.name for f in documents.schema if f.name not in ("_runs", "_items", "_n_words", "_n_hit")]
+    documents = documents.select(*[f"`{c}`" for c in own])
     bench = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), "text").where("text is not null")
     size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = math.ceil(size / BLOCK_BYTES) or 1
-    out = documents.withColumns({"_runs": F.lit(None).cast(RUNS), "_items": F.array().cast("array<string>"), "n_words": F.lit(0).cast("long"), "n_hit": F.lit(0).cast("long")})
+    out = documents.withColumns({"_runs": F.lit(None).cast(RUNS), "_items": F.array().cast("array<string>"), "_n_words": F.lit(0).cast("long"), "_n_hit": F.lit(0).cast("long")})
     for block in range(blocks):
         rows = bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).collect()  # about BLOCK_BYTES
         out = match_block(out, documents, [r["item"] for r in rows], [words(r["text"].encode()) for r in rows])
-    return out.select(*[F.col(f"`{f.name}`") for f in own], "n_words", "n_hit", "_items")
+    return out.drop("_runs")
 
 
 def match_block(out: DataFrame, documents: DataFrame, names: list[str], items: list[list[bytes]]) -> DataFrame:
@@ -117,22 +118,22 @@ def match_block(out: DataFrame, documents: DataFrame, names: list[str], items: l
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            told: dict[str, list] = {"_runs": [], "_items": [], "n_words": [], "n_hit": []}
+            told: dict[str, list] = {"_runs": [], "_items": [], "_n_words": [], "_n_hit": []}
             for text, runs, old in zip(utf8(b["text"]), b["_runs"].to_pylist(), b["_items"].to_pylist(), strict=True):
                 found = occurrences(own := words(text), items, index)
                 merged = [(r["start"], r["end"]) for r in runs or ()] + [(s, e) for _, s, e in found]
                 told["_runs"].append([{"start": s, "end": e} for s, e in merged])
                 told["_items"].append(sorted({*old, *(names[i] for i, _, _ in found)}))
-                told["n_words"].append(len(own))
-                told["n_hit"].append(covered(merged))
+                told["_n_words"].append(len(own))
+                told["_n_hit"].append(covered(merged))
             columns = [pa.array(told[f.name], f.type) if f.name in told else c for f, c in zip(b.schema, b.columns, strict=True)]
             yield pa.RecordBatch.from_arrays(columns, b.schema.names)
 
     return out.mapInArrow(run, schema)
 
 
-def items_sha256(items: str = "_items") -> F.Column:
-    return F.sha2(F.array_join(items, ","), 256)
+def items_sha256() -> Column:
+    return F.sha2(F.array_join("_items", ",").cast("binary"), 256)
 
 
 by_value(__name__)

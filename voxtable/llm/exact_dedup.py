@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxtable.llm.common import attach, by_value, stage, utf8
@@ -94,7 +94,7 @@ class FuseFilter:
         return np.bitwise_xor.reduce(self.cells[at], axis=0) == prints
 
 
-def filter_key() -> F.Column:
+def filter_key() -> Column:
     return F.xxhash64(F.lit(7), "digest")
 
 

@@ -82,6 +82,16 @@ def mix(documents: DataFrame, weights: Sequence[int], share: float, most: float)
     return sized, stage(thresholds(sized, targets(sums, weights, share, most)), "mix-thresholds")
 
 
-def copies() -> Column:
-    """How often a document with hash, q and below goes into the mix."""
-    return F.col("q") + (F.col("hash") < F.col("below")).cast("long")
+def copies(q: str = "q", place: str = "hash", below: str = "below") -> Column:
+    """How often a document goes into the mix."""
+    return F.col(q) + (F.col(place) < F.col(below)).cast("long")
+
+
+def mixed_rows(documents: DataFrame, weights: Sequence[int], share: float, most: float) -> DataFrame:
+    """The mix itself: each row of documents as often as it is taken."""
+    _, plan = mix(documents, weights, share, most)
+    own = documents.withColumns({"_key": name(), "_hash": place()})
+    plan = plan.select(F.col("key").alias("_key"), F.col("n").alias("_n"), F.col("q").alias("_q"), F.col("below").alias("_below"))
+    taken = attach(own, plan, "_key", "_n").withColumn("_copies", copies("_q", "_hash", "_below"))
+    repeated = taken.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies").cast("int"))))
+    return repeated.select(*documents.columns)
