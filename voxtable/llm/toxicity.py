@@ -4,9 +4,9 @@ Features are which words a text has; the model is a logistic regression with an
 nothing and long texts do not add up noise. Counterfactual term: wherever a labelled sentence names a group, the name is
 swapped for each other name of its kind, and the change of the score is penalised. As the model is linear in the words, the
 change is the difference of two weights whatever the rest of the sentence, so swaps enter the fit as rows whose only
-features are -1 for the old and +1 for the new name, once with either label, in the proportion of the intercept of a first fit: their
-joint loss is least where the change is zero, and they do not pull at the intercept. Names of groups thus get equal weights,
-and a neutral mention does not read as an insult.
+features are -1 for the old and +1 for the new name, once with either label: their joint loss is log cosh of half the change, up to
+a constant. They share a word that no text has, whose weight undoes the intercept for them. Names of groups thus get equal
+weights, and a neutral mention does not read as an insult.
 
 A null or empty text scores by the intercept. Labels that are null are left out; a document with several labels counts once for
 each. Where the labels have only one class the score is their mean, and 0 where there is none.
@@ -14,7 +14,6 @@ each. Where the labels have only one class the score is their mean, and 0 where
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from itertools import permutations
 
@@ -47,6 +46,8 @@ IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
     ("old", "young", "elderly", "teenage"),
 )
 WORDS, VECTOR, RAW, PROBABILITY, GUESS = "_tox_words", "_tox_vector", "_tox_raw", "_tox_probability", "_tox_guess"
+#: The word that only swaps have.
+SWAP = "\x01"
 SENTENCE = r"[.!?\n]+"
 
 
@@ -67,18 +68,17 @@ def training_rows(documents: DataFrame, labels: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(known.where(part)), "doc_id").select("text", "label")
 
 
-def swap_rows(train: DataFrame, vocabulary: CountVectorizerModel, kinds: Sequence[Sequence[str]], intercept: float) -> list[tuple]:
+def swap_rows(train: DataFrame, vocabulary: CountVectorizerModel, kinds: Sequence[Sequence[str]]) -> list[tuple]:
     """(vector, label, weight) of the swaps of every ordered pair of names that are both features."""
     names = [t for kind in kinds for t in kind]
     sentences = train.select(F.explode(F.split(F.lower("text"), SENTENCE)).alias("s")).select(F.array_distinct(F.split("s", r"[^\p{L}]+")).alias("w"))
     named = sentences.select(F.explode(F.array_intersect("w", F.array(*map(F.lit, names)))).alias("w")).groupBy("w").count().collect()
     count, at = {r["w"]: r["count"] for r in named}, {w: i for i, w in enumerate(vocabulary.vocabulary)}
-    rows, toxic = [], 1 / (1 + math.exp(-intercept))
+    rows = []
     for kind in kinds:
         for old, new in permutations([t for t in kind if t in at], 2):
-            change = Vectors.sparse(len(at), {at[old]: -1.0, at[new]: 1.0})
-            weight = SWAP_WEIGHT * (count.get(old, 0) + SWAP_PRIOR)
-            rows += [(change, 0.0, weight * (1 - toxic)), (change, 1.0, weight * toxic)]
+            change = Vectors.sparse(len(at), {at[old]: -1.0, at[new]: 1.0, at[SWAP]: 1.0})
+            rows += [(change, label, SWAP_WEIGHT * (count.get(old, 0) + SWAP_PRIOR)) for label in (0.0, 1.0)]
     return rows
 
 
@@ -107,11 +107,11 @@ def fit(train: DataFrame, kinds: Sequence[Sequence[str]] = IDENTITY_TERMS) -> Mo
     if ends[1] == ends[2]:
         return Model(None, None, float(ends[0] or 0.0))
     tokens = train.select("label", words_of("text").alias(WORDS))
-    vocabulary = CountVectorizer(inputCol=WORDS, outputCol=VECTOR, minDF=MIN_DOCUMENTS, vocabSize=VOCABULARY, binary=True).fit(tokens)
+    found = CountVectorizer(inputCol=WORDS, outputCol=VECTOR, minDF=MIN_DOCUMENTS, vocabSize=VOCABULARY, binary=True).fit(tokens).vocabulary
+    vocabulary = CountVectorizerModel.from_vocabulary([*found, SWAP], inputCol=WORDS, outputCol=VECTOR).setBinary(True)
     vectors = vocabulary.transform(tokens).select(VECTOR, "label", F.lit(1.0).alias("weight"))
-    regression = LogisticRegression(featuresCol=VECTOR, labelCol="label", weightCol="weight", rawPredictionCol=RAW, probabilityCol=PROBABILITY, predictionCol=GUESS, standardization=False, regParam=PENALTY, elasticNetParam=1.0, maxIter=ROUNDS)
-    model = regression.fit(vectors)
-    if swaps := swap_rows(train, vocabulary, kinds, model.intercept):
+    if swaps := swap_rows(train, vocabulary, kinds):
         schema = T.StructType([T.StructField(VECTOR, VectorUDT()), T.StructField("label", T.DoubleType()), T.StructField("weight", T.DoubleType())])
-        model = regression.fit(vectors.unionByName(train.sparkSession.createDataFrame(swaps, schema)))
-    return Model(vocabulary, model)
+        vectors = vectors.unionByName(train.sparkSession.createDataFrame(swaps, schema))
+    regression = LogisticRegression(featuresCol=VECTOR, labelCol="label", weightCol="weight", rawPredictionCol=RAW, probabilityCol=PROBABILITY, predictionCol=GUESS, standardization=False, regParam=PENALTY, elasticNetParam=1.0, maxIter=ROUNDS)
+    return Model(vocabulary, regression.fit(vectors))
