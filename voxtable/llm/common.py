@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 
 #: A key is hot when it holds more than 1/HOT of all rows, so there are fewer than HOT hot keys.
 HOT = 1000
-#: Tables of at most so many rows are broadcast; their count is taken first.
-SMALL_ROWS = 20_000
 
 _local_dirs: dict[str, str] = {}
 
@@ -49,9 +47,9 @@ def attach(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFram
     """rows left join table on a non-null key that is unique in table; weight: how many of rows have the key.
 
     Keys that hold over 1/HOT of the rows (fewer than HOT of them by arithmetic) are joined by broadcast, the
-    others by a shuffle in which no key is large.
+    others by a shuffle in which no key is large. A table of no more keys than could be hot is broadcast whole.
     """
-    if table.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
+    if table.limit(HOT + 1).count() <= HOT:
         return rows.join(F.broadcast(table.drop(weight)), key, "left")
     total = table.agg(F.sum(weight)).first()[0]
     rest = [c for c in table.columns if c not in (key, weight)]

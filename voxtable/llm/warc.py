@@ -25,15 +25,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxtable.llm.common import attach, by_value, new_path, stage
+from voxtable.llm.common import attach, by_value, new_path, stage, utf8
 
 MAGIC = b"WARC/1.0\r\n"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 PROFILE = b"http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 #: Archives are closed when they have so many bytes.
 ROLL_BYTES = 16 << 20
-#: Bytes of a range in which one task looks for candidates, and of a read.
+#: Bytes of a range in which a task looks for candidates, and of a read.
 RANGE_BYTES = 4 << 20
+#: Bytes of archives for each reading task, about.
+TASK_BYTES = 32 << 20
 
 
 def record_id(page_id: int | None) -> bytes:
@@ -69,51 +71,66 @@ def header(head: bytes) -> dict[bytes, bytes] | None:
 
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
-    """Writes pages (page_id, url, html) as archives and gives their (path, bytes).
+    """Writes pages (page_id, url, html) as archives and gives their (file, bytes).
 
     Files carry the attempt's number and only those of committed attempts are listed, so a task that runs again does
     no harm.
     """
     key = F.sha2(F.coalesce("html", F.lit("")), 256)
     keyed = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), "html", key.alias("key"))
+
+    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", 3)
+        for b in batches:
+            texts = utf8(b["html"])
+            packed = pa.array([codec.compress(t, asbytes=True) for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([b["page_id"], b["url"], b["key"], packed, pa.array(map(len, texts), pa.int64())], ["page_id", "url", "key", "packed", "bytes"])
+
     first = stage(keyed.groupBy("key").agg(F.max("page_id").alias("original"), F.count("*").alias("n")), "warc-first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, at = fs.FileSystem.from_uri(folder)
         store.create_dir(at)
         task = TaskContext.get()
-        out, path, size, done, number = None, "", 0, [], 0
+        codec = pa.Codec("zstd")
+        out, file, size, done, number = None, "", 0, [], 0
         for b in batches:
             for r in b.to_pylist():
                 if out is None:
-                    path = f"{at}/{task.partitionId():06d}-{number:06d}-{task.taskAttemptId()}.warc"
-                    out, size, number = store.open_output_stream(path), 0, number + 1
+                    file = f"{task.partitionId():06d}-{number:06d}-{task.taskAttemptId()}.warc"
+                    out, size, number = store.open_output_stream(f"{at}/{file}"), 0, number + 1
                 revisit = r["original"] is not None and r["page_id"] != r["original"]
-                data = encode_record(r["page_id"], r["url"], (r["html"] or "").encode(), r["original"], revisit)
+                data = encode_record(r["page_id"], r["url"], codec.decompress(r["packed"], r["bytes"], asbytes=True), r["original"], revisit)
                 out.write(data)
                 size += len(data)
                 if size >= ROLL_BYTES:
                     out.close()
-                    done.append((path, size))
+                    done.append((file, size))
                     out = None
         if out is not None:
             out.close()
-            done.append((path, size))
-        yield pa.RecordBatch.from_pydict({"path": pa.array([p for p, _ in done], pa.string()), "bytes": pa.array([n for _, n in done], pa.int64())})
+            done.append((file, size))
+        yield pa.RecordBatch.from_pydict({"file": pa.array([p for p, _ in done], pa.string()), "bytes": pa.array([n for _, n in done], pa.int64())})
+
+    # what goes through the shuffle is compressed; the archives are not
+    small = keyed.mapInArrow(shrink, "page_id long, url string, key string, packed binary, bytes long")
+    told = attach(small, first, "key", "n").select("page_id", "url", "packed", "bytes", "original")
+    return stage(told.mapInArrow(run, "file string, bytes long"), "warc-files")
+
 
-    told = attach(keyed, first, "key", "n").select("page_id", "url", "html", "original")
-    return stage(told.mapInArrow(run, "path string, bytes long"), "warc-files")
+def tasks(files: DataFrame) -> int:
+    return -(-(files.agg(F.sum("bytes")).first()[0] or 1) // TASK_BYTES)
 
 
 def candidates(files: DataFrame, folder: str) -> DataFrame:
-    """(path, at, next) of each place that looks like a record's start, from tasks over byte ranges."""
+    """(file, at, next) of each place that looks like a record's start, from tasks over byte ranges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, _ = fs.FileSystem.from_uri(folder)
+        store, top = fs.FileSystem.from_uri(folder)
         for b in batches:
             for r in b.to_pylist():
                 found = []
-                with store.open_input_file(r["path"]) as f:
+                with store.open_input_file(f"{top}/{r['file']}") as f:
                     end = min(r["start"] + RANGE_BYTES, r["bytes"])
                     data = f.read_at(min(end + len(MAGIC) - 1, r["bytes"]) - r["start"], r["start"])
                     at = data.find(MAGIC)
@@ -129,45 +146,45 @@ def candidates(files: DataFrame, folder: str) -> DataFrame:
                         at = data.find(MAGIC, at + 1)
                         if at < 0 or r["start"] + at >= end:
                             break
-                yield pa.RecordBatch.from_pydict({"path": pa.array([r["path"]] * len(found), pa.string()), "at": pa.array([a for a, _ in found], pa.int64()), "next": pa.array([n for _, n in found], pa.int64())})
+                yield pa.RecordBatch.from_pydict({"file": pa.array([r["file"]] * len(found), pa.string()), "at": pa.array([a for a, _ in found], pa.int64()), "next": pa.array([n for _, n in found], pa.int64())})
 
     starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(RANGE_BYTES).cast("long"))
-    ranges = files.select("path", "bytes", F.explode(starts).alias("start"))
-    return ranges.repartition(F.col("path"), F.col("start")).mapInArrow(run, "path string, at long, next long")
+    ranges = files.select("file", "bytes", F.explode(starts).alias("start"))
+    return ranges.repartition(tasks(files), "file", "start").mapInArrow(run, "file string, at long, next long")
 
 
 def chained(links: DataFrame, files: DataFrame) -> DataFrame:
-    """Of candidates (path, at, next), those that the chain from the file's start reaches, by pointer jumping."""
-    ends = links.join(links.select("path", F.col("at").alias("next")).hint("merge"), ["path", "next"], "left_semi")
-    jumps = stage(ends.select("path", "at", "next"), "warc-jumps")
-    reached = links.where("at = 0").select("path", "at")
+    """Of candidates (file, at, next), those that the chain from the file's start reaches, by pointer jumping."""
+    ends = links.join(links.select("file", F.col("at").alias("next")).hint("merge"), ["file", "next"], "left_semi")
+    jumps = stage(ends.select("file", "at", "next"), "warc-jumps")
+    reached = links.where("at = 0").select("file", "at")
     while True:  # reached: the first 2^k records of each file; jumps: 2^k records on
-        further = stage(reached.hint("merge").join(jumps, ["path", "at"]).select("path", F.col("next").alias("at")), "warc-further")
+        further = stage(reached.hint("merge").join(jumps, ["file", "at"]).select("file", F.col("next").alias("at")), "warc-further")
         if further.isEmpty():
             break
         reached = reached.unionByName(further)
-        onward = jumps.select("path", F.col("at").alias("next"), F.col("next").alias("far"))
-        jumps = stage(jumps.hint("merge").join(onward, ["path", "next"]).select("path", "at", F.col("far").alias("next")), "warc-jumps")
-    records = stage(links.join(reached.hint("merge"), ["path", "at"]), "warc-records")
-    broken = files.join(records.groupBy("path").agg(F.max("next").alias("end")).hint("merge"), "path", "left").where("end is null or end <> bytes")
-    if bad := broken.select("path").first():
-        raise ValueError(f"the records of {bad['path']} do not end at its end")
+        onward = jumps.select("file", F.col("at").alias("next"), F.col("next").alias("far"))
+        jumps = stage(jumps.hint("merge").join(onward, ["file", "next"]).select("file", "at", F.col("far").alias("next")), "warc-jumps")
+    records = stage(links.join(reached.hint("merge"), ["file", "at"]), "warc-records")
+    broken = files.join(records.groupBy("file").agg(F.max("next").alias("end")).hint("merge"), "file", "left").where("end is null or end <> bytes")
+    if bad := broken.select("file").first():
+        raise ValueError(f"the records of {bad['file']} do not end at its end")
     return records
 
 
-def read_records(records: DataFrame, folder: str) -> DataFrame:
+def read_records(records: DataFrame, files: DataFrame, folder: str) -> DataFrame:
     """page_id, url, payload_bytes, payload_digest, record_type, refers_to and html (null in a revisit) of each record."""
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, html string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, _ = fs.FileSystem.from_uri(folder)
-        f, path, base, data = None, None, 0, b""
+        store, top = fs.FileSystem.from_uri(folder)
+        f, file, base, data = None, None, 0, b""
         for b in batches:
             rows = []
             for r in b.to_pylist():
-                if r["path"] != path:
-                    path, base, data = r["path"], 0, b""
-                    f = store.open_input_file(path)
+                if r["file"] != file:
+                    file, base, data = r["file"], 0, b""
+                    f = store.open_input_file(f"{top}/{file}")
                 if not base <= r["at"] or r["next"] > base + len(data):
                     base = r["at"]
                     data = f.read_at(max(RANGE_BYTES, r["next"] - r["at"]), base)
@@ -177,12 +194,12 @@ def read_records(records: DataFrame, folder: str) -> DataFrame:
                 payload = block[:-4].partition(b"\r\n\r\n")[2]
                 kind, digest = fields[b"warc-type"].decode(), fields[b"warc-payload-digest"].removeprefix(b"sha1:")
                 if kind == "response" and (base64.b32encode(hashlib.sha1(payload).digest()) != digest or len(payload) != int(fields[b"x-payload-length"])):
-                    raise ValueError(f"the payload at {r['at']} of {path} does not have its digest")
+                    raise ValueError(f"the payload at {r['at']} of {file} does not have its digest")
                 rows.append({"page_id": page_of(fields[b"warc-record-id"]), "url": fields[b"warc-target-uri"].decode(), "payload_bytes": int(fields[b"x-payload-length"]), "payload_digest": digest.decode(), "record_type": kind, "refers_to": page_of(fields[b"warc-refers-to"]) if kind == "revisit" else None, "html": payload.decode() if kind == "response" else None})
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("html", pa.string())]))
 
-    near = records.withColumn("range", F.floor(F.col("at") / RANGE_BYTES)).repartition("path", "range").sortWithinPartitions("path", "at")
-    return near.select("path", "at", "next").mapInArrow(run, schema)
+    near = records.withColumn("range", F.floor(F.col("at") / RANGE_BYTES)).repartition(tasks(files), "file", "range").sortWithinPartitions("file", "at")
+    return near.select("file", "at", "next").mapInArrow(run, schema)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
@@ -190,7 +207,7 @@ def round_trip(pages: DataFrame) -> DataFrame:
     folder = new_path(pages.sparkSession, "warc")
     files = write_archives(pages, folder)
     links = stage(candidates(files, folder), "warc-candidates")
-    return read_records(chained(links, files), folder)
+    return read_records(chained(links, files), files, folder)
 
 
 by_value(__name__)
