@@ -36,7 +36,7 @@ def media_catalog(files: DataFrame) -> DataFrame:
 
 
 def list_media(spark: SparkSession, path: str) -> DataFrame:
-    """The catalog of a folder; contents are not read."""
+    """The catalog of a folder; contents are not read. The reader leaves out empty files."""
     return media_catalog(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", F.col("modificationTime").alias("mtime")))
 
 
@@ -92,6 +92,6 @@ def pcm_blocks(files: DataFrame, block: int = BLOCK) -> DataFrame:
                             yield pa.RecordBatch.from_arrays([pa.array([path] * n, pa.string()), pa.array(range(at, at + n), pa.int64()), pa.array([p.tolist() for p in parts], pa.list_(pa.float32())), pa.array([rate] * n, pa.int32()), pa.nulls(n, pa.string())], ["path", "block_idx", "x", "sample_rate", "error"])
                             at += n
                 except (wave.Error, EOFError, ValueError) as e:
-                    yield pa.RecordBatch.from_arrays([pa.array([path], pa.string()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.float32())), pa.nulls(1, pa.int32()), pa.array([str(e)], pa.string())], ["path", "block_idx", "x", "sample_rate", "error"])
+                    yield pa.RecordBatch.from_arrays([pa.array([path], pa.string()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.float32())), pa.nulls(1, pa.int32()), pa.array([str(e) or type(e).__name__], pa.string())], ["path", "block_idx", "x", "sample_rate", "error"])
 
     return files.select("path", "content").mapInArrow(run, "path string, block_idx long, x array<float>, sample_rate int, error string")
