@@ -4,10 +4,11 @@ A document's set is its distinct SHINGLE-word shingles after lower-casing A-Z (t
 words). Documents with equal sets form a class, of which one stands for all. Its HASHES minima under multiply-add hashes fall into
 bands; two sets at the threshold share a band with probability 1 - (1 - 0.75^ROWS)^BANDS, some 0.999995.
 
-No bucket's pairs are listed. First each member of a bucket is paired with the bucket's smallest member (a star); pairs whose
-signatures agree enough are confirmed on the full sets, and components are taken. Buckets that then still hold several components are
-compared block against block inside tasks, which emit only pairs across components whose signatures agree; those are confirmed
-too, and components are taken once more. Buckets of any size are split into blocks, so there is no cap.
+No bucket's pairs are listed. First each member of a bucket is paired with its hub, the member that meets most others in all
+its buckets (a star); pairs whose signatures agree enough are confirmed on the full sets, and components are taken. Then the nodes
+that agree with one hub are compared across their components, block against block inside tasks that hold the full sets
+and emit only links that join components. Last, buckets that still hold several components are compared in the same way by
+signature, for pairs that have no hub in common; what agrees is confirmed. Groups of any size are split into blocks, so there is no cap.
 
 Null and empty texts have no set and are linked with nothing. component_id is the smallest doc_id that is reachable; null ids
 count only where there is no other. Repeated rows are in one class. Texts of any length are hashed whole, in bounded pieces.
@@ -81,6 +82,16 @@ def minima(shingles: np.ndarray) -> np.ndarray:
     return (low >> np.uint64(32)).astype(np.uint32)
 
 
+def linked(p: np.ndarray, q: np.ndarray) -> bool:
+    """Whether two sets, as sorted distinct arrays, are similar enough."""
+    if 100 * min(len(p), len(q)) < PERCENT * max(len(p), len(q)):
+        return False
+    union = np.concatenate((p, q))
+    union.sort(kind="stable")  # two sorted runs are merged
+    both = int(np.count_nonzero(union[1:] == union[:-1]))
+    return 100 * both >= PERCENT * (len(union) - both)
+
+
 def buckets(signature: np.ndarray) -> np.ndarray:
     """One key for each band, the band's number mixed in."""
     rows = signature.astype(np.uint64).reshape(BANDS, ROWS)
@@ -148,12 +159,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            linked = []
-            for x, y in zip(b["su"].to_pylist(), b["sv"].to_pylist(), strict=True):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True)) if 100 * min(len(p), len(q)) >= PERCENT * max(len(p), len(q)) else 0
-                linked.append(100 * both >= PERCENT * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([b["u"].filter(pa.array(linked, pa.bool_())), b["v"].filter(pa.array(linked, pa.bool_()))], ["u", "v"])
+            sure = pa.array([linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(b["su"].to_pylist(), b["sv"].to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b["u"].filter(sure), b["v"].filter(sure)], ["u", "v"])
 
     return beside(pairs, sets, "shingles", ("su", "sv")).mapInArrow(run, "u long, v long")
 
@@ -165,34 +172,73 @@ def beside(pairs: DataFrame, values: DataFrame, value: str, names: tuple[str, st
 
 
 def stars(members: DataFrame) -> DataFrame:
-    """Distinct pairs (u, v) of each bucket's smallest node u and another member v."""
+    """Distinct pairs (u, v) of each bucket's hub u and another member v."""
     return members.where("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
 
 
-def across(members: DataFrame, labels: DataFrame, signatures: DataFrame) -> DataFrame:
-    """Distinct pairs (u, v) in one bucket and in different components whose signatures agree."""
+def blocked(rows: DataFrame, group: str) -> DataFrame:
+    """rows (group, n, node, ...) with block, one and two: each pair of blocks of a group is a group of its own, and a row goes to each pair that its block is in."""
+    cut = rows.withColumn("_blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), "_blocks").cast("int"))
+    mate = cut.withColumn("_mate", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    return mate.withColumns({"one": F.least("block", "_mate"), "two": F.greatest("block", "_mate")}).drop("_blocks", "_mate", "n")
+
+
+def several_labels(rows: DataFrame, group: str) -> DataFrame:
+    """The rows (group, node, label) of groups that hold several labels, with the group's count n."""
+    labelled = rows.groupBy(group).agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("_n")).where("a <> b")
+    open_groups = stage(labelled.select(group, "_n", F.col("_n").alias("n")), "minhash-open")
+    return attach(rows, open_groups, group, "_n").where("n is not null")
+
+
+def within(near: DataFrame, labels: DataFrame, values: DataFrame) -> DataFrame:
+    """Links (u, v) between components among the nodes v that agree with the same hub u, and u: enough of them to join the components.
+
+    The full sets come to the task, so nothing but links leaves it.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        node, label = table["node"].to_numpy(), table["label"].to_numpy()
+        node, label = table["node"].to_numpy(), table["label"].to_numpy().copy()
         own, other = table["block"].to_numpy() == table["one"].to_numpy(), table["block"].to_numpy() == table["two"].to_numpy()
         signature = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint32).reshape(-1, HASHES)
-        us, vs = [], []
-        right = np.flatnonzero(other)
+        sets = [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
+        size = np.array(list(map(len, sets)))
+        found, right = [], np.flatnonzero(other)
         for i in np.flatnonzero(own):
-            near = right[((signature[right] == signature[i]).mean(axis=1) >= AGREE) & (label[right] != label[i])]
-            us.append(np.minimum(node[i], node[near]))
-            vs.append(np.maximum(node[i], node[near]))
-        u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs))
-        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+            fit = right[(label[right] != label[i]) & (100 * np.minimum(size[right], size[i]) >= PERCENT * np.maximum(size[right], size[i]))]
+            for j in fit[(signature[fit] == signature[i]).mean(axis=1) >= AGREE]:
+                if label[j] != label[i] and linked(sets[i], sets[j]):
+                    found.append((min(node[i], node[j]), max(node[i], node[j])))
+                    label[label == label[j]] = label[i]
+        return pa.table({"u": pa.array([int(u) for u, _ in found], pa.int64()), "v": pa.array([int(v) for _, v in found], pa.int64())})
 
+    rows = near.select(F.col("u").alias("hub"), F.col("v").alias("node")).unionByName(near.select(F.col("u").alias("hub"), F.col("u").alias("node"))).distinct()
+    told = stage(rows.join(labels.hint("merge"), "node", "left").select("hub", "node", F.coalesce("label", "node").alias("label")), "minhash-told")
+    meet = blocked(several_labels(told, "hub"), "hub").hint("merge").join(values, "node")
+    return meet.groupBy("hub", "one", "two").applyInArrow(run, "u long, v long").distinct()
+
+
+def across(members: DataFrame, near: DataFrame, labels: DataFrame, signatures: DataFrame) -> DataFrame:
+    """Distinct pairs (u, v) in one bucket, in different components and without a common hub, whose signatures agree."""
+
+    def run(table: pa.Table) -> pa.Table:
+        node, label = table["node"].to_numpy(), table["label"].to_numpy()
+        own, other = table["block"].to_numpy() == table["one"].to_numpy(), table["block"].to_numpy() == table["two"].to_numpy()
+        hubs = [frozenset(x) for x in table["hubs"].to_pylist()]
+        main = np.array([min(h) for h in hubs])
+        signature = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint32).reshape(-1, HASHES)
+        found, right = [], np.flatnonzero(other)
+        for i in np.flatnonzero(own):
+            fit = right[(label[right] != label[i]) & (main[right] != main[i])]
+            for j in fit[(signature[fit] == signature[i]).mean(axis=1) >= AGREE]:
+                if not hubs[i] & hubs[j]:
+                    found.append((min(node[i], node[j]), max(node[i], node[j])))
+        return pa.table({"u": pa.array([int(u) for u, _ in found], pa.int64()), "v": pa.array([int(v) for _, v in found], pa.int64())})
+
+    hubs = near.select(F.col("v").alias("node"), F.col("u").alias("hub")).unionByName(near.select(F.col("u").alias("node"), F.col("u").alias("hub")))
+    hubs = hubs.groupBy("node").agg(F.collect_set("hub").alias("hubs"))  # one for each band at most, and itself
     told = members.join(labels.hint("merge"), "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-    told = stage(told, "minhash-told")
-    open_buckets = told.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("n")).where("a <> b")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = attach(told, stage(open_buckets.select("bucket", "n", F.col("n").alias("size")), "minhash-open"), "bucket", "n").where("size is not null")
-    rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    meet = rows.withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"one": F.least("block", "mate"), "two": F.greatest("block", "mate")})
-    meet = meet.select("bucket", "node", "label", "block", "one", "two").hint("merge").join(signatures, "node")
+    own = signatures.join(hubs.hint("merge"), "node", "left").select("node", "signature", F.coalesce("hubs", F.array("node")).alias("hubs"))
+    meet = blocked(several_labels(stage(told, "minhash-told"), "bucket"), "bucket").hint("merge").join(own, "node")
     return meet.groupBy("bucket", "one", "two").applyInArrow(run, "u long, v long").distinct()
 
 
@@ -206,18 +252,23 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     one = stage(one, "minhash-signatures")
 
     banded = one.select("node", F.explode("buckets").alias("bucket"))
-    shared = stage(banded.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1"), "minhash-shared")
-    members = stage(attach(banded, shared, "bucket", "n").where("hub is not null"), "minhash-members")
+    shared = stage(banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").withColumn("size", F.col("n")), "minhash-shared")
+    members = stage(attach(banded, shared, "bucket", "n").where("size is not null"), "minhash-members")
+    # the text that others were copied from meets more of them than any copy does, so it makes the best hub
+    met = stage(members.groupBy("node").agg(F.sum("size").alias("met")), "minhash-met")
+    hubs = members.join(met.hint("merge"), "node").groupBy("bucket").agg(F.max(F.struct("met", "node"))["node"].alias("hub"), F.count("*").alias("n"))
+    members = stage(attach(members.select("bucket", "node"), stage(hubs, "minhash-hubs"), "bucket", "n"), "minhash-members")
     several = stage(members.select("node").distinct(), "minhash-several")
     signatures = stage(one.select("node", "signature").join(several.hint("merge"), "node", "left_semi"), "minhash-members-signatures")
     sets = stage(full_sets(classes.select("node", "doc_id", "key").join(several.hint("merge"), "node", "left_semi"), documents), "minhash-sets")
 
-    links = stage(confirmed(stage(agreeing(stars(members), signatures), "minhash-pairs"), sets), "minhash-links")
+    near = stage(agreeing(stars(members), signatures), "minhash-near")
+    links = stage(confirmed(near, sets), "minhash-links")
+    links = links.unionByName(stage(within(near, components(links), signatures.join(sets.hint("merge"), "node")), "minhash-within"))
     labels = components(links)
-    more = stage(across(members, labels, signatures), "minhash-across")
+    more = stage(confirmed(stage(across(members, near, labels, signatures), "minhash-across"), sets), "minhash-more")
     if not more.isEmpty():
-        links = links.unionByName(stage(confirmed(more, sets), "minhash-links"))
-        labels = components(links)
+        labels = components(links.unionByName(more))
 
     named = labels.unionByName(labels.select(F.col("label").alias("node"), "label").distinct())
     named = stage(named.join(classes.select("node", "least").hint("merge"), "node"), "minhash-named")
