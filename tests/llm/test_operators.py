@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxtable.llm import decontaminate, exact_dedup, minhash, mixing, secrets, sharding, token_files, toxicity, url_filters, warc
+from voxtable.llm import common, decontaminate, exact_dedup, minhash, mixing, secrets, sharding, token_files, toxicity, url_filters, warc
 from voxtable.llm.components import components
 
 DOCUMENTS = "doc_id long, text string, source string, size string, key string"
@@ -317,6 +317,13 @@ def test_url_filters(spark):
         assert (out[i].host, out[i].path, out[i].rule, out[i].verdict) == (host, path, best and best[0] + best[1], verdict), u
 
 
+def test_empty_tables(spark, nothing):
+    assert secrets.scan(nothing).count() == 0
+    pages = spark.createDataFrame([], PAGES)
+    assert url_filters.judge(pages, (), (("abcd", "block"),)).count() == 0
+    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
 def test_literals():
     assert url_filters.literals(r"cheap-?pills") == {"chea", "heap", "pill", "ills"}
     assert url_filters.literals(r"(casino|poker)") == set()
@@ -357,7 +364,20 @@ def test_minhash_of_nothing(nothing):
     assert minhash.near_duplicates(nothing).count() == 0
 
 
-def test_components(spark):
+def test_attach_splits_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT", 4)
+    keys = ["hot"] * 60 + [f"k{i % 30}" for i in range(90)] + ["unknown"]
+    rows = spark.createDataFrame(list(enumerate(keys)), "i long, key string")
+    names = sorted(set(keys) - {"unknown"})
+    table = spark.createDataFrame([(k, keys.count(k), k.upper(), len(k)) for k in names], "key string, n long, name string, size long")
+    out = common.attach(rows, table, "key", "n")
+    assert out.columns == ["key", "i", "name", "size"]
+    assert sorted((r.i, r.key, r.name) for r in out.collect()) == [(i, k, None if k == "unknown" else k.upper()) for i, k in enumerate(keys)]
+
+
+@pytest.mark.parametrize("hot", [1000, 4])
+def test_components(spark, monkeypatch, hot):
+    monkeypatch.setattr(common, "HOT", hot)
     r = random.Random(9)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 460)]
     got = {x.node: x.label for x in components(spark.createDataFrame(edges, "u long, v long")).collect()}

@@ -24,7 +24,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     if at := spark.conf.get("spark.checkpoint.dir", None):
         return at.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
         return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
     key = spark.sparkContext.applicationId
     if key not in _local_dirs:

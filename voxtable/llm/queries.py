@@ -83,6 +83,17 @@ def op10_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+OP3_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS original FROM p)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(8), lambda i: array_to_string(list_transform(range(4), lambda k:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (CAST('0x' || substr(h, CAST(5 * i + 1 AS INT), 5) AS INT) >> CAST(15 - 5 * k AS INT)) % 32 + 1, 1)), '')), '') AS payload_digest,
+  CASE WHEN original IS NULL OR page_id = original THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN original IS NOT NULL AND page_id IS DISTINCT FROM original THEN original END AS refers_to
+FROM m
+"""
+
 OP4_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
@@ -182,4 +193,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_prefix_filtered_decontamination": OP4_SQL, "op7_hash_threshold_mix": OP7_SQL, "op8_fuse_filter_dedup": OP8_SQL, "op9_rarest_literal_url_rules": OP9_SQL, "op10_minhash_components": OP10_SQL}
+    return {"op3_warc_boundary_chain": OP3_SQL, "op4_prefix_filtered_decontamination": OP4_SQL, "op7_hash_threshold_mix": OP7_SQL, "op8_fuse_filter_dedup": OP8_SQL, "op9_rarest_literal_url_rules": OP9_SQL, "op10_minhash_components": OP10_SQL}
