@@ -13,8 +13,12 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+import types
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +31,14 @@ from voxtable.llm.common import by_value, new_path, stage
 
 END_ID = 0
 #: Pieces whose ids a task remembers; the older half goes when it is full.
-CACHE = 1_000_000
+CACHE = 600_000
+#: Documents that are encoded at once.
+SLICE = 500
 #: Documents that a reading task gives at once.
 BATCH = 5_000
 NULL_ID = -(1 << 63)
 FILES = "part int, path string, width int, docs long, ids long"
+ODD_MARK = re.compile(r"[\W_][,.]\s")
 ODD_SPACE = re.compile(r"\s\s|\A\s|\s\Z")
 LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
@@ -49,6 +56,7 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
@@ -59,53 +67,36 @@ class Encoder:
         if "\0" in text or ODD_SPACE.search(text):
             first, *rest = LONE_SPACE.split(text)
             return [first, *(" " + r for r in rest)]
-        return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
+        cut = text.replace("\n", "\0\n\0").replace(" ", "\0 ")
+        if not ODD_MARK.search(text):  # a mark between a letter or digit and a space is a token
+            cut = cut.replace(",\0", "\0,\0").replace(".\0", "\0.\0")
+        return cut.split("\0")
 
-    def learn(self, missing: list[str]) -> None:
-        """Adds the pieces to the cache. A word with one mark behind it is the word and the mark."""
+    def learn(self, missing: set[str]) -> None:
         if len(self.new) + len(missing) > CACHE // 2:
             self.old, self.new = self.new, {}
-        want = []
-        for piece in missing:
-            if (ids := self.old.get(piece)) is not None:
-                self.new[piece] = ids
-            else:
-                want.append(piece)
-        for piece, e in zip(want, self.library.encode_batch_fast(want, add_special_tokens=False), strict=True):
-            self.new[piece] = np.array(e.ids, self.dtype).tobytes()
+        known = missing & self.old.keys()
+        self.new.update((p, self.old[p]) for p in known)
+        unknown = list(missing - known)
+        for piece, e in zip(unknown, self.library.encode_batch_fast(unknown, add_special_tokens=False), strict=True):
+            self.new[piece] = array(self.code, e.ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, without the end id, as bytes."""
         cut = [self.pieces(t) for t in texts]
-        out: list[bytes | None] = []
-        get, held = self.new.get, []
-        missing: set[str] = set()
-        marked: dict[str, tuple[str, str]] = {}
-        for pieces in cut:
-            ids = list(map(get, pieces))
-            held.append(ids)
-            if None in ids:
-                for piece, known in zip(pieces, ids, strict=True):
-                    if known is None and piece not in marked:
-                        stem = piece[:-1]
-                        if piece[-1:] in ".,!?;:" and stem.lstrip(" ").isalpha():
-                            marked[piece] = (stem, piece[-1])
-                            for p in (stem, piece[-1]):
-                                if p not in self.new:
-                                    missing.add(p)
-                        else:
-                            missing.add(piece)
-        before = self.new
-        self.learn(list(missing))
-        for pieces, ids in zip(cut, held, strict=True):
-            if None in ids:
-                for k, known in enumerate(ids):
-                    if known is None:
-                        piece = pieces[k]
-                        parts = marked.get(piece) or (piece,)
-                        ids[k] = b"".join([self.new[p] if p in self.new else before[p] for p in parts])
-            out.append(b"".join(ids))
-        return out
+        missing = set(filterfalse(self.new.__contains__, chain.from_iterable(cut)))
+        if len(self.new) + len(missing) > CACHE // 2:
+            missing = set().union(*cut)
+        self.learn(missing)
+        return [b"".join(map(self.new.__getitem__, pieces)) for pieces in cut]
+
+
+def kept_encoder(path: str) -> Encoder:
+    """One encoder for each Python worker, which serves many tasks; what it has learnt stays."""
+    kept = sys.modules.setdefault("_voxtable_kept", types.ModuleType("_voxtable_kept")).__dict__
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
 
 
 def write_files(documents: DataFrame, tokenizer: str, folder: str) -> DataFrame:
@@ -116,10 +107,10 @@ def write_files(documents: DataFrame, tokenizer: str, folder: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
-        store, at = fs.FileSystem.from_uri(folder)
-        store.create_dir(at)
-        path = f"{at}/{task.partitionId():06d}-{task.taskAttemptId()}"
-        encoder = Encoder(tokenizer)
+        store, top = fs.FileSystem.from_uri(folder)
+        store.create_dir(top)
+        path = f"{top}/{task.partitionId():06d}-{task.taskAttemptId()}"
+        encoder = kept_encoder(tokenizer)
         end = np.array([END_ID], encoder.dtype).tobytes()
         docs = ids = 0
         outs = {}
@@ -127,12 +118,14 @@ def write_files(documents: DataFrame, tokenizer: str, folder: str) -> DataFrame:
             if not outs:
                 outs = {x: store.open_output_stream(f"{path}.{x}.bin") for x in ("ids", "offsets", "doc_ids")}
                 outs["offsets"].write(np.zeros(1, "<i8").tobytes())
-            data = [x + end for x in encoder.encode([t or "" for t in b["text"].to_pylist()])]
-            stops = ids + np.cumsum([len(x) for x in data], dtype=np.int64) // encoder.dtype.itemsize
-            outs["ids"].write(b"".join(data))
-            outs["offsets"].write(stops.astype("<i8").tobytes())
-            outs["doc_ids"].write(b["doc_id"].fill_null(NULL_ID).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
-            docs, ids = docs + len(data), int(stops[-1]) if len(stops) else ids
+            for at in range(0, b.num_rows, SLICE):
+                part = b.slice(at, SLICE)
+                data = encoder.encode([t or "" for t in part["text"].to_pylist()])
+                stops = ids + np.cumsum([len(x) // encoder.dtype.itemsize + 1 for x in data], dtype=np.int64)
+                outs["ids"].write(end.join(data) + end)
+                outs["offsets"].write(stops.astype("<i8").tobytes())
+                outs["doc_ids"].write(part["doc_id"].fill_null(NULL_ID).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
+                docs, ids = docs + len(data), int(stops[-1])
         for out in outs.values():
             out.close()
         found = [docs] if docs else []
@@ -163,7 +156,7 @@ def read_files(files: DataFrame, folder: str) -> DataFrame:
                         crc = [zlib.crc32(ids[x:y].astype("<u4")) for x, y in zip(offsets[:-1] - offsets[0], offsets[1:] - offsets[0], strict=True)]
                         yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc_ids, pa.int64(), mask=doc_ids == NULL_ID), "start": pa.array(offsets[:-1] + r["base"], pa.int64()), "n_tokens": pa.array(np.diff(offsets), pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
 
-    return based.repartition("path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return based.repartition(max(1, files.count()), "path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(documents: DataFrame, tokenizer: str) -> DataFrame:
