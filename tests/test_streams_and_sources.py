@@ -8,8 +8,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxtable.operators import signal
+from voxtable.operators import document, signal
 from voxtable.plans.standin import table
+from voxtable.sources import files as json_files
 from voxtable.sources import media
 from voxtable.streaming import jobs
 
@@ -111,3 +112,16 @@ def test_onset_peaks_keep_their_distance(spark):
     out = signal.onset_peaks(spark.createDataFrame(rows, "recording_id long, frame_idx long, strength double")).first()
     assert out.peaks == [5, 30]
     assert signal.speaking_rate(spark.createDataFrame([(1, [5, 30], 40)], "recording_id long, peaks array<long>, n_frames long")).first().speaking_rate == 2.0
+
+
+def test_json_in_and_out(spark, tmp_path, sf_dir):
+    (tmp_path / "segments.json").write_text('{"recording_id": 1, "seg_idx": 0, "start": 1.5, "end_time": 2.0, "text": "é", "words": [{"word": "é", "start_time": 1.5}]}\n{"recording_id": 1, "seg_idx": 1, "start": null, "start_time": 2.5}\n')
+    rows = json_files.read_segments(spark, str(tmp_path / "segments.json")).orderBy("seg_idx").collect()
+    assert [(r.start_s, r.end_s) for r in rows] == [(1.5, 2.0), (2.5, 0.0)] and rows[0].words[0].start_time == 1.5
+    (tmp_path / "log.json").write_text('{"run_id": 1, "stage": "a", "event": "stage_duration", "duration_seconds": 2.0}\nnot json\n{"event": "started"}\n{"run_id": 1, "stage": "b", "event": "stage_duration", "duration_seconds": 3.0}\n')
+    log = json_files.read_log(spark, str(tmp_path / "log.json"))
+    assert log.count() == 2 and jobs.stage_bottleneck(log).first().bottleneck_stage == "b"
+    docs = document.analysis_document(*[table(spark, sf_dir, t) for t in ("f_seg", "f_words", "f_rec")])
+    json_files.write_documents(docs, str(tmp_path / "out"))
+    back = spark.read.json(str(tmp_path / "out"))
+    assert back.count() == docs.count() and "word_segments" in back.columns
