@@ -38,11 +38,18 @@ SLICE = 500
 BATCH = 5_000
 NULL_ID = -(1 << 63)
 FILES = "part int, path string, width int, docs long, ids long"
-ODD_MARK = re.compile(r"[\W_][,.]\s")
-ODD_SPACE = re.compile(r"\s\s|\A\s|\s\Z")
+#: A comma or full stop before white space and behind something that is no letter or digit.
+ODD_MARK = re.compile(r"[,.](?=\s)(?<=[\W_][,.])")
+#: White space that is neither a space nor a line end.
+ODD_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
+def evenly_spaced(text: str) -> bool:
+    """Whether all white space is single spaces and line ends between other characters."""
+    return len(text.split()) == text.count(" ") + text.count("\n") + 1 and not any(map(text.__contains__, ODD_SPACES))
+
+
 class Encoder:
     """Encodes with the tokenizers library, which sees each distinct piece of text once.
 
@@ -64,7 +71,7 @@ class Encoder:
     def pieces(self, text: str) -> list[str]:
         if any(s in text for s in self.special):
             return [text]
-        if "\0" in text or ODD_SPACE.search(text):
+        if "\0" in text or not evenly_spaced(text):
             first, *rest = LONE_SPACE.split(text)
             return [first, *(" " + r for r in rest)]
         cut = text.replace("\n", "\0\n\0").replace(" ", "\0 ")
