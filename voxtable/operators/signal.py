@@ -41,9 +41,10 @@ def block_energy(blocks: DataFrame) -> DataFrame:
 
 
 def frame_rms(blocks: DataFrame) -> DataFrame:
-    """RMS of the centred, zero-padded frames: one more than blocks; frame i covers blocks i-2 to i+1."""
-    energy = block_energy(blocks).select("recording_id", F.col("block_idx").alias("frame_idx"), "energy")
-    spine = energy.groupBy("recording_id").agg((F.max("frame_idx") + 1).alias("frame_idx")).withColumn("energy", F.lit(0.0))
+    """RMS of the centred, zero-padded frames: one more than full blocks; frame i covers blocks i-2 to i+1."""
+    energy = block_energy(blocks).select("recording_id", F.col("block_idx").alias("frame_idx"), "energy", "n")
+    last = energy.groupBy("recording_id").agg((F.max("frame_idx") + 1).alias("frame_idx"), F.max_by("n", "frame_idx").alias("n"))
+    energy, spine = energy.drop("n"), last.where(F.col("n") >= HOP).drop("n").withColumn("energy", F.lit(0.0))
     total = F.sum("energy").over(by_frame().rowsBetween(-(FRAME_HOPS // 2), FRAME_HOPS // 2 - 1))
     return energy.unionByName(spine).select("recording_id", "frame_idx", F.sqrt(total / FRAME).alias("rms"))
 
@@ -78,8 +79,8 @@ def volume_peaks(frames: DataFrame) -> DataFrame:
     return told.groupBy("recording_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("frame_idx", "rms"))), lambda x: rounded(x["rms"], 3)).alias("volume_peaks"))
 
 
-def interval_rms(segments: DataFrame, blocks: DataFrame, floor: float = 1e-8, missing: float = -30.0) -> DataFrame:
-    """RMS and dB of each segment's samples [int(start * RATE), int(end * RATE)), cut to those that exist; missing dB where none do.
+def touched(segments: DataFrame, blocks: DataFrame) -> DataFrame:
+    """The blocks that hold samples [int(start * RATE), int(end * RATE)) of each segment, cut to those that exist: x is a block's part of them, from sample at of the segment on.
 
     A segment is spread over the blocks it touches, which join by number; only first and last blocks are cut.
     """
@@ -89,7 +90,26 @@ def interval_rms(segments: DataFrame, blocks: DataFrame, floor: float = 1e-8, mi
     met = span.join(samples(blocks), ["recording_id", "block_idx"])
     begin = F.greatest(F.col("a") - F.col("block_idx") * HOP, F.lit(0)).cast("int")
     end = F.least(F.col("b") - F.col("block_idx") * HOP, F.lit(HOP)).cast("int")
-    part = met.select("recording_id", "seg_idx", (square_sum(F.slice("x_raw", begin + 1, end - begin)) * F.col("gain") * F.col("gain")).alias("e"), (end - begin).alias("n"))
+    return met.select("recording_id", "seg_idx", (F.col("block_idx") * HOP + begin - F.col("a")).alias("at"), F.slice("x_raw", begin + 1, end - begin).alias("x"), (end - begin).alias("n"), "gain")
+
+
+def slices(segments: DataFrame, blocks: DataFrame) -> DataFrame:
+    """The samples of each segment cut into blocks that are counted from its own start, the last one as short as it is.
+
+    recording_id is the struct (recording_id, seg_idx), so a segment takes the place of a recording in what works on blocks.
+    """
+    first, room = F.floor(F.col("at") / HOP), (HOP - F.col("at") % HOP).cast("int")
+    x = F.transform("x", lambda v: v * F.col("gain"))
+    part = lambda block, at, x: F.struct(block.alias("block_idx"), at.alias("at"), x.alias("x"))
+    parts = F.array(part(first, F.col("at"), F.slice(x, F.lit(1), room)), part(first + 1, F.col("at") + room, F.slice(x, room + 1, F.lit(HOP))))
+    told = touched(segments, blocks).select(F.struct("recording_id", "seg_idx").alias("recording_id"), F.explode(parts).alias("p")).where("size(p.x) > 0")
+    whole = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("p.at", "p.x"))), lambda p: p["x"]))
+    return told.groupBy("recording_id", F.col("p.block_idx").alias("block_idx")).agg(whole.alias("x_raw")).withColumn("gain", F.lit(1.0))
+
+
+def interval_rms(segments: DataFrame, blocks: DataFrame, floor: float = 1e-8, missing: float = -30.0) -> DataFrame:
+    """RMS and dB of each segment's samples; missing dB where none exist."""
+    part = touched(segments, blocks).select("recording_id", "seg_idx", (square_sum("x") * F.col("gain") * F.col("gain")).alias("e"), "n")
     rms = part.groupBy("recording_id", "seg_idx").agg(F.sqrt(F.sum("e") / F.sum("n")).alias("rms"), F.sum("n").alias("n_samples"))
     out = segments.select("recording_id", "seg_idx").join(rms, ["recording_id", "seg_idx"], "left")
     return out.select("recording_id", "seg_idx", F.coalesce("n_samples", F.lit(0)).cast("long").alias("n_samples"), "rms", F.when(F.col("rms").isNull(), F.lit(missing)).otherwise(decibel(F.col("rms"), floor)).alias("volume_db"))
@@ -121,7 +141,7 @@ def spectra(blocks: DataFrame) -> DataFrame:
             strongest = [float(f[m.argmax()]) for m, f in told]
             yield pa.RecordBatch.from_arrays([b["recording_id"], b["block_idx"], pa.array([m.tolist() for m, _ in told], pa.list_(pa.float64())), pa.array(centroid, pa.float64()), pa.array(strongest, pa.float64())], ["recording_id", "block_idx", "magnitude", "centroid", "strongest"])
 
-    return blocks.select("recording_id", "block_idx", F.col("x_raw").cast("array<double>"), F.col("gain").cast("double")).mapInArrow(run, "recording_id long, block_idx long, magnitude array<double>, centroid double, strongest double")
+    return blocks.select("recording_id", "block_idx", F.col("x_raw").cast("array<double>"), F.col("gain").cast("double")).mapInArrow(run, f"recording_id {blocks.schema['recording_id'].dataType.simpleString()}, block_idx long, magnitude array<double>, centroid double, strongest double")
 
 
 def spectral_centroid(blocks: DataFrame) -> DataFrame:
@@ -150,9 +170,9 @@ def onset_peaks(envelope: DataFrame, wait: int = 10, delta: float = 0.3) -> Data
     return found.select("recording_id", spaced.alias("peaks"), "n_frames")
 
 
-def speaking_rate(peaks: DataFrame) -> DataFrame:
-    """Peaks a second, between 2 and 8; 4 without length."""
-    seconds = F.col("n_frames") * HOP / F.lit(float(RATE))
+def speaking_rate(peaks: DataFrame, n_samples: Column | None = None) -> DataFrame:
+    """Peaks a second, between 2 and 8; 4 without length. The frames are whole blocks where n_samples is not given."""
+    seconds = (F.col("n_frames") * HOP if n_samples is None else n_samples) / F.lit(float(RATE))
     rate = F.when(seconds > 0, F.greatest(F.lit(2.0), F.least(F.lit(8.0), F.size("peaks") / seconds))).otherwise(4.0)
     return peaks.select("recording_id", F.size("peaks").cast("long").alias("n_peaks"), rate.alias("speaking_rate"))
 
@@ -168,22 +188,35 @@ FAILED = {"rms_energy": 0.03, "rms_db": -25.0, "pitch_mean": 150.0, "pitch_varia
 MISSING = {"volume_db": -20.0, "pitch_hz": 150.0, "spectral_centroid": 1500.0, "zero_crossing_rate": 0.1, "pitch_mean": 150.0, "pitch_std": 20.0}
 
 
-def segment_features(blocks: DataFrame) -> DataFrame:
-    """All features of each recording's samples. Where a peak exceeds 1 or there are no samples, all are those of FAILED and failed is true."""
-    frames = frame_rms(blocks)
-    level = recording_rms(blocks).select("recording_id", decibel(F.col("rms"), 1e-10).alias("rms_db"))
+def segment_features(blocks: DataFrame, segments: DataFrame | None = None) -> DataFrame:
+    """All features of each segment's samples, one row for each segment; without segments, of each whole recording.
+
+    Where a peak exceeds 1 or there are no samples, all are those of FAILED and failed is true; other segments of the recording are not touched by it.
+    """
+    given = blocks if segments is None else slices(segments, blocks)
+    full = given.withColumn("x_raw", F.concat("x_raw", F.array_repeat(F.lit(0.0), HOP - F.size("x_raw"))))
+    frames = frame_rms(given)
+    level = recording_rms(given).select("recording_id", decibel(F.col("rms"), 1e-10).alias("rms_db"), "n_samples")
+    peaks = onset_peaks(onset_envelope(full)).join(level.select("recording_id", "n_samples"), "recording_id")
     told = level
-    for part in (peak_amplitude(blocks), silence_ratio(frames), spectral_centroid(blocks), median_pitch(blocks).select("recording_id", F.col("pitch_hz").alias("pitch_mean")), speaking_rate(onset_peaks(onset_envelope(blocks))).select("recording_id", "speaking_rate"), volume_peaks(frames)):
+    for part in (peak_amplitude(given), silence_ratio(frames), spectral_centroid(full), median_pitch(full).select("recording_id", F.col("pitch_hz").alias("pitch_mean")), speaking_rate(peaks, F.col("n_samples")).select("recording_id", "speaking_rate"), volume_peaks(frames)):
         told = told.join(part, "recording_id", "left")
+    if segments is not None:
+        told = segments.select(F.struct("recording_id", "seg_idx").alias("recording_id")).join(told, "recording_id", "left")
     energy, _ = derived(F.col("rms_db"), F.lit(100.0))
     told = told.withColumns({"rms_energy": energy, "pitch_variance": F.lit(100.0), "zcr": F.lit(0.05), "volume_category": volume_category(F.col("rms_db")), "failed": F.coalesce(F.col("amplitude_max") > 1, F.lit(True))})
     numbers = [F.when(F.col("failed"), F.lit(v)).otherwise(F.col(k) if isinstance(v, str) else rounded(k, 3)).alias(k) for k, v in FAILED.items()]
-    return told.select("recording_id", *numbers, F.array(*map(F.lit, (12.0, -8.0, 4.0))).alias("mfcc"), F.when(F.col("failed"), F.array_repeat(F.lit(0.03), 5)).otherwise(F.col("volume_peaks")).alias("volume_peaks"), "failed")
+    keys = ["recording_id"] if segments is None else ["recording_id.recording_id", "recording_id.seg_idx"]
+    return told.select(*keys, *numbers, F.array(*map(F.lit, (12.0, -8.0, 4.0))).alias("mfcc"), F.when(F.col("failed"), F.array_repeat(F.lit(0.03), 5)).otherwise(F.col("volume_peaks")).alias("volume_peaks"), "failed")
+
+
+def keys_of(features: DataFrame) -> list[str]:
+    return [k for k in ("recording_id", "seg_idx") if k in features.columns]
 
 
 def batch_features(segments: DataFrame, features: DataFrame) -> DataFrame:
-    """The features of each segment's recording, one row for each segment in whatever state; those of FAILED where there are none."""
-    told = segments.select("recording_id", "seg_idx").join(features, "recording_id", "left")
+    """The features of each segment, one row for each in whatever state; those of FAILED where there are none."""
+    told = segments.select("recording_id", "seg_idx").join(features, keys_of(features), "left")
     return told.select("recording_id", "seg_idx", *[F.coalesce(F.col(k), F.lit(v)).alias(k) for k, v in FAILED.items()], F.coalesce("failed", F.lit(True)).alias("failed"))
 
 
@@ -191,10 +224,10 @@ def api_shape(features: DataFrame) -> DataFrame:
     """Features under the names of the interface; 13 zeros where there are no coefficients."""
     _, std = derived(F.col("rms_db"), F.col("pitch_variance"))
     mfcc = F.when(F.size("mfcc") > 0, F.col("mfcc")).otherwise(F.array_repeat(F.lit(0.0), 13))
-    return features.select("recording_id", F.col("rms_db").alias("volume_db"), F.col("pitch_mean").alias("pitch_hz"), "spectral_centroid", F.col("zcr").alias("zero_crossing_rate"), "pitch_mean", std.alias("pitch_std"), mfcc.alias("mfcc_mean"))
+    return features.select(*keys_of(features), F.col("rms_db").alias("volume_db"), F.col("pitch_mean").alias("pitch_hz"), "spectral_centroid", F.col("zcr").alias("zero_crossing_rate"), "pitch_mean", std.alias("pitch_std"), mfcc.alias("mfcc_mean"))
 
 
 def attach_features(segments: DataFrame, features: DataFrame) -> DataFrame:
-    """segments with the features (recording_id, ...) of their recording, or MISSING."""
-    told = segments.join(features, "recording_id", "left")
-    return told.select(*[segments[c] for c in segments.columns], *[F.coalesce(F.col(k), F.lit(v)).alias(k) for k, v in MISSING.items()])
+    """segments with the features of their own, or of their recording where features has no seg_idx; or MISSING."""
+    known = features.select(*keys_of(features), *[F.col(k).alias("_" + k) for k in MISSING])
+    return segments.join(known, keys_of(features), "left").select(*segments.columns, *[F.coalesce(F.col("_" + k), F.lit(v)).alias(k) for k, v in MISSING.items()])

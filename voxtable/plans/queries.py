@@ -306,18 +306,18 @@ def speaking_rate(block):
 
 
 @query()
-def segment_features(block):
-    return signal.segment_features(block)
+def segment_features(seg, block):
+    return signal.segment_features(block, seg)
 
 
 @query()
 def batch_features(seg, block):
-    return signal.batch_features(seg, signal.segment_features(block))
+    return signal.batch_features(seg, signal.segment_features(block, seg))
 
 
 @query()
-def acoustic_api_shape(block):
-    return signal.api_shape(signal.segment_features(block))
+def acoustic_api_shape(seg, block):
+    return signal.api_shape(signal.segment_features(block, seg))
 
 
 @query(f"""WITH {LEVEL} SELECT s.recording_id, s.seg_idx, {r('coalesce(db, -20.0)', 3)} AS volume_db, CAST(150 AS DOUBLE) AS pitch_hz, CAST(1500 AS DOUBLE) AS spectral_centroid, CAST(0.1 AS DOUBLE) AS zero_crossing_rate, CAST(150 AS DOUBLE) AS pitch_mean, CAST(20 AS DOUBLE) AS pitch_std
@@ -329,7 +329,7 @@ def acoustic_defaults(seg, block):
 
 @query()
 def attach_features(seg, block):
-    return signal.attach_features(seg, signal.api_shape(signal.segment_features(block)))
+    return signal.attach_features(seg, signal.api_shape(signal.segment_features(block, seg)))
 
 
 # --- quality
