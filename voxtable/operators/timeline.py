@@ -1,6 +1,6 @@
 """Segment timelines: duplicates, gaps, merging, gap filling, word timings, chunks.
 
-Segments are rows (recording_id, seg_idx, start_s, end_s, speaker, text). Rows of one recording are few, so windows run
+Segments are rows (recording_id, seg_idx, start_s, end_s, speaker, text), perhaps with words, an array of structs, and more. Rows of one recording are few, so windows run
 by recording. Strict thresholds, ties and "first wins" follow seg_idx.
 """
 
@@ -8,8 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voxtable.functions.numbers import rounded, stripped
+from voxtable.operators.signal import interval_rms
 
 #: Pauses of over so many seconds are gaps; shorter ones join segments.
 PAUSE = 0.5
@@ -52,14 +54,54 @@ def detect_gaps(segments: DataFrame, recordings: DataFrame) -> DataFrame:
 
 
 def merge_segments(segments: DataFrame) -> DataFrame:
-    """Joins rows, in order of seg_idx, of one speaker (null equals null) with a pause under PAUSE. The last row's end wins."""
+    """Joins rows, in order of seg_idx, of one speaker (null equals null) with a pause under PAUSE. The last row's end wins.
+
+    Words are strung together; other columns are the first row's.
+    """
     joins = F.col("speaker").eqNullSafe(F.lag("speaker").over(by_index())) & (F.col("start_s") - F.lag("end_s").over(by_index()) < PAUSE)
     rows = segments.withColumn("_join", (F.row_number().over(by_index()) > 1) & F.coalesce(joins, F.lit(False)))
     rows = rows.withColumn("island", F.sum(F.when(F.col("_join"), 0).otherwise(1)).over(by_index()))
     texts = F.transform(F.array_sort(F.collect_list(F.struct("seg_idx", "text"))), lambda x: stripped(x["text"]))
     merged = F.array_join(F.filter(texts, lambda t: t != ""), " ")
-    out = rows.groupBy("recording_id", "island").agg(F.min("seg_idx").alias("seg_idx"), F.min_by("start_s", "seg_idx").alias("start_s"), F.max_by("end_s", "seg_idx").alias("end_s"), F.min_by("speaker", "seg_idx").alias("speaker"), F.count("*").alias("n_merged"), F.first("text").alias("_one"), merged.alias("_many"))
-    return out.select("recording_id", "seg_idx", "start_s", "end_s", "speaker", F.when(F.col("n_merged") == 1, F.col("_one")).otherwise(F.col("_many")).alias("text"), "n_merged")
+    more = [c for c in segments.columns if c not in ("recording_id", "seg_idx", "start_s", "end_s", "speaker", "text", "n_merged")]
+    strung = F.array_sort(F.collect_list(F.when(F.col("words").isNotNull(), F.struct("seg_idx", "words")))) if "words" in more else None
+    kept = [F.when(F.size(strung) > 0, F.flatten(F.transform(strung, lambda x: x["words"]))).alias(c) if c == "words" else F.min_by(c, "seg_idx").alias(c) for c in more]
+    out = rows.groupBy("recording_id", "island").agg(F.min("seg_idx").alias("seg_idx"), F.min_by("start_s", "seg_idx").alias("start_s"), F.max_by("end_s", "seg_idx").alias("end_s"), F.min_by("speaker", "seg_idx").alias("speaker"), F.count("*").alias("n_merged"), F.first("text").alias("_one"), merged.alias("_many"), *kept)
+    return out.select("recording_id", "seg_idx", "start_s", "end_s", "speaker", F.when(F.col("n_merged") == 1, F.col("_one")).otherwise(F.col("_many")).alias("text"), "n_merged", *more)
+
+
+#: What silence_word gives.
+SILENT = T.StructType().add("word", "string").add("start_time", "double").add("end_time", "double").add("duration", "double").add("acoustic_features", T.StructType().add("volume_db", "double").add("pitch_hz", "double").add("spectral_centroid", "double"))
+
+
+def widened(a: T.DataType, b: T.DataType) -> T.DataType:
+    """a with the fields that only b has, at every level of structs."""
+    if not (isinstance(a, T.StructType) and isinstance(b, T.StructType)):
+        return a
+    both = [T.StructField(f.name, widened(f.dataType, b[f.name].dataType) if f.name in b.names else f.dataType) for f in a]
+    return T.StructType(both + [T.StructField(f.name, f.dataType) for f in b if f.name not in a.names])
+
+
+def fitted(x: Column, have: T.DataType, want: T.DataType) -> Column:
+    """x in a widened type, null in fields that it does not have."""
+    if not (isinstance(have, T.StructType) and isinstance(want, T.StructType)):
+        return x.cast(want)
+    return F.when(x.isNotNull(), F.struct(*[(fitted(x[f.name], have[f.name].dataType, f.dataType) if f.name in have.names else F.lit(None).cast(f.dataType)).alias(f.name) for f in want]))
+
+
+def words_in_order(parts: list[tuple[Column, T.DataType]]) -> Column:
+    """Arrays of words (column, type of a word) as one array by start_time, or start, or 0; equal ones as they come."""
+    kind = parts[0][1]
+    for _, k in parts[1:]:
+        kind = widened(kind, k)
+
+    def alike(words: Column, have: T.DataType) -> Column:
+        return F.coalesce(F.transform(words, lambda w: fitted(w, have, kind)), F.array().cast(T.ArrayType(kind)))
+
+    every = F.concat(*[alike(c, k) for c, k in parts])
+    begins = [n for n in ("start_time", "start") if n in kind.names]
+    places = F.array_sort(F.transform(every, lambda w, i: F.struct(F.coalesce(*[w[n].cast("double") for n in begins], F.lit(0.0)).alias("at"), i.alias("i"))))
+    return F.transform(places, lambda p: F.get(every, p["i"]))
 
 
 def silence_word(start: str, end: str, volume_db: Column | None = None) -> Column:
@@ -68,8 +110,18 @@ def silence_word(start: str, end: str, volume_db: Column | None = None) -> Colum
     return F.struct(F.lit(" ").alias("word"), rounded(start, 2).alias("start_time"), rounded(end, 2).alias("end_time"), rounded(F.col(end) - F.col(start), 2).alias("duration"), F.struct(volume.alias("volume_db"), F.lit(0.0).alias("pitch_hz"), F.lit(0.0).alias("spectral_centroid")).alias("acoustic_features"))
 
 
-def fill_gaps(segments: DataFrame, recordings: DataFrame) -> DataFrame:
-    """Extends one neighbour over each gap, marks its text and gives it a silent word.
+def gap_volumes(takes: DataFrame, blocks: DataFrame) -> DataFrame:
+    """takes with _before_db and _after_db, the dB of the samples of the gaps that a segment takes, null where there are none."""
+    sides = [takes.where(f"_{side}").select("recording_id", F.struct("seg_idx", F.lit(side).alias("side")).alias("seg_idx"), F.col(f"{side}_start").alias("start_s"), F.col(f"{side}_end").alias("end_s")) for side in ("before", "after")]
+    heard = interval_rms(sides[0].unionByName(sides[1]), blocks).where("rms is not null")
+    volumes = heard.groupBy("recording_id", F.col("seg_idx.seg_idx").alias("seg_idx")).agg(*[F.max(F.when(F.col("seg_idx.side") == side, F.col("volume_db"))).alias(f"_{side}_db") for side in ("before", "after")])
+    return takes.join(volumes, ["recording_id", "seg_idx"], "left")
+
+
+def fill_gaps(segments: DataFrame, recordings: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
+    """Extends one neighbour over each gap, marks its text and gives it a silent word with the volume of the gap's samples in blocks.
+
+    Where segments have words, the silent ones are put among them by start. Other columns stay.
 
     A gap between two goes to the earlier one where the gap's middle is no farther from it, by the double arithmetic of
     this very expression.
@@ -83,14 +135,20 @@ def fill_gaps(segments: DataFrame, recordings: DataFrame) -> DataFrame:
         "_before": F.col("before_start").isNotNull() & (F.col("is_first") | ~to_earlier("before_start", "before_end")),
         "_after": F.col("after_start").isNotNull() & (F.col("is_last") | to_earlier("after_start", "after_end")),
     })
-    silent = F.filter(F.array(F.when(F.col("_before"), silence_word("before_start", "before_end")), F.when(F.col("_after"), silence_word("after_start", "after_end"))), lambda w: w.isNotNull())
+    if blocks is not None:
+        takes = gap_volumes(takes, blocks)
+    before, after = [F.filter(F.array(F.when(F.col(f"_{side}"), silence_word(f"{side}_start", f"{side}_end", None if blocks is None else F.col(f"_{side}_db")))), lambda w: w.isNotNull()) for side in ("before", "after")]
+    more = {c: F.col(c) for c in segments.columns if c not in ("recording_id", "seg_idx", "start_s", "end_s", "speaker", "text")}
+    if "words" in more:
+        more["words"] = words_in_order([(before, SILENT), (F.col("words"), segments.schema["words"].dataType.elementType), (after, SILENT)])
     return takes.select(
         "recording_id", "seg_idx",
         F.when(F.col("_before"), F.col("before_start")).otherwise(F.col("start_s")).alias("start_s"),
         F.when(F.col("_after"), F.col("after_end")).otherwise(F.col("end_s")).alias("end_s"),
         "speaker",
         F.concat(F.when(F.col("_before"), "[SILENCE] ").otherwise(""), F.coalesce("text", F.lit("")), F.when(F.col("_after"), " [SILENCE]").otherwise("")).alias("text"),
-        silent.alias("silence_words"),
+        F.concat(before, after).alias("silence_words"),
+        *[c.alias(n) for n, c in more.items()],
     )
 
 
@@ -101,14 +159,19 @@ def segment_preview(segments: DataFrame, count: int = 3) -> DataFrame:
     return told.where((F.col("from_start") <= count) | (F.col("from_end") <= count)).select("recording_id", "seg_idx", "start_s", "end_s", (F.col("from_start") <= count).alias("is_first"), (F.col("from_end") <= count).alias("is_last"))
 
 
-def fallback_words(segments: DataFrame, volume_db: float = -25.0) -> DataFrame:
-    """Evenly timed words of each segment with text and a positive length."""
+def fallback_words(segments: DataFrame, volume_db: float = -25.0, blocks: DataFrame | None = None) -> DataFrame:
+    """Evenly timed words of each segment with text and a positive length; of volume_db, or with blocks as loud as each word's samples, -30 without any."""
     words = F.split(stripped("text"), r"(?U)\s+")
     told = segments.where((stripped("text") != "") & (F.col("end_s") > F.col("start_s"))).select("recording_id", "seg_idx", "start_s", "end_s", words.alias("words"))
     each = (F.col("end_s") - F.col("start_s")) / F.size("words")
     out = told.select("recording_id", "seg_idx", "start_s", each.alias("each"), F.posexplode("words").alias("word_idx", "word"))
     begin = F.col("start_s") + F.col("word_idx") * F.col("each")
-    return out.select("recording_id", "seg_idx", F.col("word_idx").cast("long").alias("word_idx"), "word", rounded(begin, 2).alias("start_time"), rounded(begin + F.col("each"), 2).alias("end_time"), rounded(begin + F.col("each") - begin, 2).alias("duration"), F.lit(volume_db).alias("volume_db"), F.lit(150.0).alias("pitch_hz"), F.lit(1500.0).alias("spectral_centroid"))
+    volume = F.lit(volume_db)
+    if blocks is not None:
+        heard = interval_rms(out.select("recording_id", F.struct("seg_idx", "word_idx").alias("seg_idx"), begin.alias("start_s"), (begin + F.col("each")).alias("end_s")), blocks).where("rms is not null")
+        heard = heard.select("recording_id", "seg_idx.seg_idx", "seg_idx.word_idx", rounded("volume_db", 1).alias("_db"))
+        out, volume = out.join(heard, ["recording_id", "seg_idx", "word_idx"], "left"), F.coalesce("_db", F.lit(-30.0))
+    return out.select("recording_id", "seg_idx", F.col("word_idx").cast("long").alias("word_idx"), "word", rounded(begin, 2).alias("start_time"), rounded(begin + F.col("each"), 2).alias("end_time"), rounded(begin + F.col("each") - begin, 2).alias("duration"), volume.alias("volume_db"), F.lit(150.0).alias("pitch_hz"), F.lit(1500.0).alias("spectral_centroid"))
 
 
 def word_segments(words: DataFrame, confidence: float = 0.95) -> DataFrame:

@@ -91,10 +91,18 @@ def merge_segments(seg):
     return timeline.merge_segments(seg)
 
 
-@query(f"""WITH {GAPS}, c AS (
+TAKES = """c AS (
   SELECT *, prev_end IS NULL AS is_first, next_start IS NULL AS is_last, start_s - coalesce(prev_end, 0.0) > 0.5 AS gb, coalesce(next_start, duration_s) - end_s > 0.5 AS ga,
     (prev_end + start_s) / 2 - prev_end <= start_s - (prev_end + start_s) / 2 AS b_earlier, (end_s + next_start) / 2 - end_s <= next_start - (end_s + next_start) / 2 AS a_earlier FROM nb),
-t AS (SELECT *, gb AND (is_first OR NOT b_earlier) AS tb, coalesce(ga, false) AND (is_last OR a_earlier) AS ta FROM c)
+t AS (SELECT *, gb AND (is_first OR NOT b_earlier) AS tb, coalesce(ga, false) AND (is_last OR a_earlier) AS ta FROM c)"""
+#: dB of the samples of each row of g (recording_id, seg_idx, pos, x, y), from x to y seconds.
+HEARD = """n AS (SELECT recording_id, CAST(sum(len(x_raw)) AS BIGINT) AS size FROM f_block GROUP BY 1),
+sm AS (SELECT recording_id, block_idx * 64 + i - 1 AS p, CAST(x_raw[i] AS DOUBLE) * gain AS v FROM (SELECT *, unnest(range(1, 65)) AS i FROM f_block)),
+sp AS (SELECT g.*, greatest(0, CAST(floor(x * 256) AS BIGINT)) AS a, least(size, CAST(floor(y * 256) AS BIGINT)) AS b FROM g JOIN n USING (recording_id)),
+heard AS (SELECT sp.recording_id, seg_idx, pos, 20.0 * log10(sqrt(sum(v * v) / count(*)) + 1e-8) AS db FROM sp JOIN sm ON sp.recording_id = sm.recording_id AND p >= a AND p < b GROUP BY 1, 2, 3)"""
+
+
+@query(f"""WITH {GAPS}, {TAKES}
 SELECT recording_id, seg_idx, CASE WHEN tb THEN coalesce(prev_end, 0.0) ELSE start_s END AS start_s, CASE WHEN ta THEN coalesce(next_start, duration_s) ELSE end_s END AS end_s, speaker,
   CASE WHEN tb THEN '[SILENCE] ' ELSE '' END || text || CASE WHEN ta THEN ' [SILENCE]' ELSE '' END AS text, CAST(tb AS INT) + CAST(ta AS INT) AS n_silence,
   CASE WHEN tb THEN {r('start_s - coalesce(prev_end, 0.0)', 2)} ELSE 0 END + CASE WHEN ta THEN {r('coalesce(next_start, duration_s) - end_s', 2)} ELSE 0 END AS silence_s FROM t""")
@@ -103,6 +111,32 @@ def fill_gaps(seg, rec):
     return timeline.fill_gaps(seg, rec).select("recording_id", "seg_idx", "start_s", "end_s", "speaker", "text", F.size("silence_words").alias("n_silence"), total.alias("silence_s"))
 
 
+def with_words(seg, words):
+    """Segments with an array of their words that have both times, null where there are none."""
+    own = words.where("word_start is not null and word_end is not null").groupBy("recording_id", "seg_idx").agg(F.array_sort(F.collect_list(F.struct(F.col("word_start").alias("start_time"), F.col("word_end").alias("end_time"), "word"))).alias("words"))
+    return seg.join(own, ["recording_id", "seg_idx"], "left")
+
+
+@query(f"""WITH {GAPS}, {TAKES}, g AS (SELECT recording_id, seg_idx, 0 AS pos, coalesce(prev_end, 0.0) AS x, start_s AS y FROM t WHERE tb
+  UNION ALL SELECT recording_id, seg_idx, 2, end_s, coalesce(next_start, duration_s) FROM t WHERE ta), {HEARD},
+w AS (SELECT recording_id, seg_idx, pos, ' ' AS word, {r('x', 2)} AS start_time, {r('y', 2)} AS end_time, {r('coalesce(db, -60.0)', 1)} AS volume_db FROM g LEFT JOIN heard USING (recording_id, seg_idx, pos)
+  UNION ALL SELECT recording_id, seg_idx, 1, word, word_start, word_end, NULL FROM f_words WHERE word_start IS NOT NULL AND word_end IS NOT NULL)
+SELECT recording_id, seg_idx, row_number() OVER (PARTITION BY recording_id, seg_idx ORDER BY start_time, pos) - 1 AS place, word, start_time, end_time, volume_db FROM w""")
+def filled_words(seg, words, rec, block):
+    """The words of fill_gaps, silent ones with the volume of their gap among the others."""
+    told = timeline.fill_gaps(with_words(seg, words), rec, block).select("recording_id", "seg_idx", F.posexplode("words").alias("place", "w"))
+    return told.select("recording_id", "seg_idx", F.col("place").cast("long").alias("place"), "w.word", "w.start_time", "w.end_time", "w.acoustic_features.volume_db")
+
+
+@query(f"""WITH {JOIN_MERGE.format(t='f_seg')}, w AS (SELECT recording_id, island, seg_idx, word, word_start, word_end FROM isl JOIN (SELECT recording_id, seg_idx, word, word_start, word_end FROM f_words WHERE word_start IS NOT NULL AND word_end IS NOT NULL) USING (recording_id, seg_idx))
+SELECT recording_id, first_idx AS seg_idx, row_number() OVER (PARTITION BY recording_id, island ORDER BY seg_idx) - 1 AS place, word, word_start AS start_time, word_end AS end_time
+FROM w JOIN (SELECT recording_id, island, min(seg_idx) AS first_idx FROM isl GROUP BY 1, 2) USING (recording_id, island)""")
+def merged_words(seg, words):
+    """The words of merge_segments."""
+    told = timeline.merge_segments(with_words(seg, words)).select("recording_id", "seg_idx", F.posexplode("words").alias("place", "w"))
+    return told.select("recording_id", "seg_idx", F.col("place").cast("long").alias("place"), "w.word", "w.start_time", "w.end_time")
+
+
 @query("""WITH n AS (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY seg_idx) AS a, row_number() OVER (PARTITION BY recording_id ORDER BY seg_idx DESC) AS b FROM f_seg)
 SELECT recording_id, seg_idx, start_s, end_s, a <= 3 AS is_first, b <= 3 AS is_last FROM n WHERE a <= 3 OR b <= 3""")
 def segment_preview(seg):
@@ -117,6 +151,15 @@ def fallback_words(seg):
     return timeline.fallback_words(seg)
 
 
+@query(f"""WITH w AS (SELECT recording_id, seg_idx, start_s, regexp_split_to_array(trim(text), '\\s+') AS words, end_s - start_s AS dur FROM f_seg WHERE trim(text) <> '' AND end_s > start_s),
+e AS (SELECT recording_id, seg_idx, start_s, dur / len(words) AS each, words, unnest(range(len(words))) AS pos FROM w),
+g AS (SELECT recording_id, seg_idx, pos, words[pos + 1] AS word, start_s + pos * each AS x, start_s + pos * each + each AS y FROM e), {HEARD}
+SELECT recording_id, seg_idx, pos AS word_idx, word, {r('coalesce(db, -30.0)', 1)} AS volume_db FROM g LEFT JOIN heard USING (recording_id, seg_idx, pos)""")
+def measured_fallback_words(seg, block):
+    """The words of fallback_words, each with the volume of its own samples."""
+    return timeline.fallback_words(seg, blocks=block).select("recording_id", "seg_idx", "word_idx", "word", "volume_db")
+
+
 @query("SELECT recording_id, seg_idx, word, word_start AS start_time, word_end AS end_time, coalesce(speaker, 'SPEAKER_00') AS speaker_id, CAST(0.95 AS DOUBLE) AS confidence FROM f_words WHERE word_start IS NOT NULL AND word_end IS NOT NULL")
 def word_segments(words):
     return timeline.word_segments(words)
