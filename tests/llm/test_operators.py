@@ -131,6 +131,15 @@ def test_warc(spark, monkeypatch):
     assert warc.round_trip(spark.createDataFrame([], PAGES)).count() == 0
 
 
+@pytest.mark.parametrize("length", ["9" * 20, "9" * 5000, "0" * 30 + "7" * 15, "123456"])
+def test_warc_rejects_lengths_beyond_the_file(spark, length):
+    html = f"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: {length}\r\n\r\nx"
+    out = {r.page_id: r.html for r in warc.round_trip(spark.createDataFrame([(1, "u", html), (2, "u", "y")], PAGES)).collect()}
+    assert out == {1: html, 2: "y"}
+    folder = warc.new_path(spark, "warc-test")
+    assert warc.candidates(warc.write_archives(spark.createDataFrame([(1, "u", html)], PAGES), folder), folder).count() == 1
+
+
 def test_warc_rejects_magic_in_payloads(spark):
     inner = warc.encode_record(7, "http://x/", b"inner", None, False).decode()
     folder = warc.new_path(spark, "warc-test")

@@ -60,14 +60,15 @@ def encode_record(page_id: int | None, url: str | None, payload: bytes, original
 
 
 def header(head: bytes) -> dict[bytes, bytes] | None:
-    """The named fields in lower case, or None if these are no record's."""
+    """The named fields in lower case, or None if these are no record's. No length has over 18 digits."""
     fields = {}
     for line in head.split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
         if not colon:
             return None
         fields[name.strip().lower()] = value.strip()
-    return fields if fields.get(b"content-length", b"").isdigit() and b"warc-type" in fields else None
+    length = fields.get(b"content-length", b"")
+    return fields if length.isdigit() and len(length.lstrip(b"0")) <= 18 and b"warc-type" in fields else None
 
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
@@ -123,7 +124,7 @@ def tasks(files: DataFrame) -> int:
 
 
 def candidates(files: DataFrame, folder: str) -> DataFrame:
-    """(file, at, next) of each place that looks like a record's start, from tasks over byte ranges."""
+    """(file, at, next) of each place that looks like a record's start, from tasks over byte ranges. One that would end beyond its file is none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, top = fs.FileSystem.from_uri(folder)
@@ -142,7 +143,9 @@ def candidates(files: DataFrame, folder: str) -> DataFrame:
                             head = data[at : stop] if (stop := data.find(b"\r\n\r\n", at)) >= 0 else None
                             more *= 2
                         if r["start"] + at < end and head is not None and (fields := header(head)):
-                            found.append((r["start"] + at, r["start"] + stop + 4 + int(fields[b"content-length"]) + 4))
+                            following = r["start"] + stop + 4 + int(fields[b"content-length"].lstrip(b"0") or 0) + 4
+                            if following <= r["bytes"]:
+                                found.append((r["start"] + at, following))
                         at = data.find(MAGIC, at + 1)
                         if at < 0 or r["start"] + at >= end:
                             break
