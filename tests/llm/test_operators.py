@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxtable.llm import common, decontaminate, exact_dedup, minhash, mixing, secrets, sharding, token_files, toxicity, url_filters, warc
+from voxtable.llm import common, decontaminate, exact_dedup, minhash, mixing, queries, secrets, sharding, token_files, toxicity, url_filters, warc
 from voxtable.llm.components import components
 
 DOCUMENTS = "doc_id long, text string, source string, size string, key string"
@@ -333,6 +333,17 @@ def test_empty_tables(spark, nothing):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_rules_with_alternatives_are_indexed():
+    by_gram, always = url_filters.index(queries.PATTERN_RULES, collections.Counter())
+    assert always == [] and {0: 2, 3: 3}.items() <= collections.Counter(i for rules in by_gram.values() for i in rules).items()
+    assert {".gov", ".edu"} <= set(by_gram)
+    assert url_filters.index(((r"(casino|x)", "block"), (r"a?b", "block"), (r"(aaaa|bbbb)?", "block")), collections.Counter())[1] == [0, 1, 2]
+    for pattern, urls in ((r"x(ab|cd)(ef|gh)", ("XABGH", "xcdef")), (r"(/login|$)", ("",)), (r"(?:one|two)\b/(a|b|cde)z", ("one/az", "TWO/CDEZ"))):
+        by_gram, always = url_filters.index(((pattern, "block"),), collections.Counter())
+        for url in urls:
+            assert re.search(pattern, url, re.I | re.A) and (always or url_filters.grams(url.lower()) & by_gram.keys())
+
+
 def test_literals():
     assert url_filters.literals(r"cheap-?pills") == {"chea", "heap", "pill", "ills"}
     assert url_filters.literals(r"(casino|poker)") == set()

@@ -2,8 +2,8 @@
 
 Host rules name a host (it and all its subdomains) and the start of a path; the longest that fits decides. Where none
 fits, pattern rules (regular expressions) decide. A pattern rule is kept under the rarest of the fixed-length literals
-that every match of it must contain, by their counts over all urls; the literals of a url fetch candidate rules, and only those
-run. Rules without a literal run on every url.
+that every match of it must contain, by their counts over all urls; one without such a literal is kept under the rarest of each
+of its alternatives. The literals of a url fetch candidate rules, and only those run. Rules with an alternative without a literal run on every url.
 
 A null url, or one without "://", has an empty host and path and is judged as an empty text. Repeated rows are judged alike.
 Rules are read in blocks of bounded size, so a list of any length works.
@@ -25,6 +25,8 @@ from voxtable.llm.common import by_value
 
 #: Length of the literals in the index.
 GRAM = 4
+#: Alternatives that a rule may have in the index, those of several groups multiplied.
+MOST_CHOICES = 64
 #: Rules that travel to a task at once.
 BLOCK_RULES = 50_000
 SCHEMA = "page_id long, url string, host string, path string, rule string, action string, pattern string, verdict string"
@@ -40,23 +42,40 @@ def parts(url: bytes) -> tuple[str, str]:
     return host.lower().decode("utf-8", "replace"), (slash + path).decode("utf-8", "replace")
 
 
-def literals(pattern: str) -> set[str]:
-    """All GRAM-letter runs of lower-cased ASCII that each match of the pattern must contain."""
-    runs: list[str] = [""]
+def choices(pattern: str, most: int = MOST_CHOICES) -> list[set[str]]:
+    """Sets of GRAM-letter runs of lower-cased ASCII: each match of the pattern contains all of one set. Alternations beyond most sets count as unknown."""
 
-    def walk(items: Sequence) -> None:
+    def walk(items: Sequence, found: list[list[str]]) -> list[list[str]]:
         for kind, value in items:
             if kind is op.LITERAL and value < 128:
-                runs[-1] += chr(value).lower()
+                for runs in found:
+                    runs[-1] += chr(value).lower()
             elif kind is op.SUBPATTERN and not value[1] & re.VERBOSE:
-                walk(value[3])
+                found = walk(value[3], found)
+            elif kind is op.BRANCH and len(found) * len(value[1]) <= most:
+                found = [runs for option in value[1] for runs in walk(option, [list(runs) for runs in found])]
             elif kind is op.AT and value in (op.AT_BOUNDARY, op.AT_NON_BOUNDARY):
                 continue
             else:
-                runs.append("")
+                for runs in found:
+                    runs.append("")
+        return found
+
+    told = walk(parser.parse(pattern, re.ASCII), [[""]])
+    return [{run[i : i + GRAM] for run in runs for i in range(len(run) - GRAM + 1)} for runs in told]
+
+
+def literals(pattern: str) -> set[str]:
+    """All GRAM-letter runs of lower-cased ASCII that each match of the pattern must contain."""
+    return choices(pattern, 1)[0]
+
 
-    walk(parser.parse(pattern, re.ASCII))
-    return {run[i : i + GRAM] for run in runs for i in range(len(run) - GRAM + 1)}
+def indexed(pattern: str) -> list[set[str]]:
+    """Sets of literals of which each match contains one set at least; none where nothing is known."""
+    if found := literals(pattern):
+        return [found]
+    told = choices(pattern)
+    return told if all(told) else []
 
 
 def grams(url: str) -> set[str]:
@@ -78,12 +97,13 @@ def gram_counts(pages: DataFrame, wanted: set[str]) -> Counter:
 
 
 def index(rules: Sequence[tuple[str, str]], counts: Counter) -> tuple[dict[str, list[int]], list[int]]:
-    """Rules' numbers by their rarest literal (the first of equals), and those without one."""
+    """Rules' numbers by the rarest literal (the first of equals) of each of their choices, and those without any."""
     by_gram: dict[str, list[int]] = {}
     always = []
     for i, (pattern, _) in enumerate(rules):
-        if found := literals(pattern):
-            by_gram.setdefault(min(found, key=lambda g: (counts[g], g)), []).append(i)
+        if told := indexed(pattern):
+            for gram in {min(found, key=lambda g: (counts[g], g)) for found in told}:
+                by_gram.setdefault(gram, []).append(i)
         else:
             always.append(i)
     return by_gram, always
@@ -97,7 +117,7 @@ def judge(pages: DataFrame, hosts: Sequence[tuple[str, str, str]], patterns: Seq
         out = by_host(out, hosts[at : at + BLOCK_RULES])
     for at in range(0, len(patterns), BLOCK_RULES):
         block = patterns[at : at + BLOCK_RULES]
-        out = by_pattern(out, block, gram_counts(pages, set().union(*map(literals, dict(block)))))
+        out = by_pattern(out, block, gram_counts(pages, set().union(*(found for pattern in dict(block) for found in indexed(pattern)))))
     return out.drop("action")
 
 
