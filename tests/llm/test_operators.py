@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -244,11 +245,30 @@ def test_encoder_is_the_library():
     library = Tokenizer.from_file(path := public_tokenizers.path("byte_bpe_50k.json"))
     encoder = token_files.Encoder(path)
     r = random.Random(7)
-    odd = [" ", "  ", "\n", "\n\n", "\t", " ", " ", ".", ",", "'s", "don't", "word", "Wörter", "123", "x1,", "!?,", "́", "é.", "<|endoftext|>", "\0", "日本", "٣", "²", "🙂", "'", "\x1c", "\x85", "_", "_,", "end."]
+    odd = [" ", "  ", "\n", "\n\n", "\t", " ", " ", ".", ",", "'s", "don't", "word", "Wörter", "123", "x1,", "!?,", "́", "é.", "<|endoftext|>", "\0", "日本", "٣", "²", "🙂", "'", "\x1c", "\x85", "_", "_,", "end.", "\1", "\x0b", "\u200b"]
     given = ["".join(r.choice(odd) for _ in range(r.randint(0, 25))) for _ in range(3000)] + ["plain words, one by one.\nNext line, end."]
     for at in range(0, len(given), 100):
         part = given[at : at + 100]
-        assert [np.frombuffer(x, "<u2").tolist() for x in encoder.encode(part)] == [e.ids for e in library.encode_batch(part, add_special_tokens=False)]
+        ids, stops = encoder.encode(pa.array(part))
+        assert [x.tolist() for x in np.split(ids, stops[:-1])] == [[*e.ids, 0] for e in library.encode_batch(part, add_special_tokens=False)]
+
+
+def test_other_tokenizers_see_whole_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(path := public_tokenizers.path("word_bpe_49k.json"))
+    given = ["Two  words", "", " a\nb ", "\1"]
+    ids, stops = token_files.Encoder(path).encode(pa.array(given))
+    assert [x.tolist() for x in np.split(ids, stops[:-1])] == [[*library.encode(t, add_special_tokens=False).ids, 0] for t in given]
+
+
+def test_token_files_write_every_id(spark):
+    import public_tokenizers
+
+    rows = [(-(1 << 63), "a"), (None, "b c"), (0, None), (None, "b c"), ((1 << 63) - 1, "d")]
+    out = token_files.round_trip(spark.createDataFrame(rows, "doc_id long, text string"), public_tokenizers.path("byte_bpe_50k.json")).collect()
+    assert [x.doc_id for x in sorted(out, key=lambda x: x.start)] == [None, None, -(1 << 63), 0, (1 << 63) - 1]
 
 
 def test_mixing(spark, documents, rows, nothing):

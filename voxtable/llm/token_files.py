@@ -2,8 +2,9 @@
 
 Format, for each file number: ids.bin has the ids of all its documents one after another, little-endian unsigned, 16 bits
 wide where the vocabulary allows it and 32 bits otherwise; offsets.bin has one more 64-bit offset than documents, counted in ids
-from the file's start; doc_ids.bin has the 64-bit ids (the smallest 64-bit number stands for null). Documents ascend by doc_id
-within and across files. Where a file starts in the whole sequence is the prefix sum of the files before it.
+from the file's start; doc_ids.bin has the 64-bit ids, 0 for null. Documents ascend by doc_id within and across files, those
+without an id first; how many these are is told with each file's name, so every 64-bit id can be written. Where a file starts
+in the whole sequence is the prefix sum of the files before it: a window over the list of files, one row for each.
 
 Null and empty texts have the end id only. Repeated documents are written each time; rows that tie by doc_id are in order of
 their text's hash. An empty table gives no files and no rows. Texts of any length are encoded whole.
@@ -11,6 +12,7 @@ their text's hash. An empty table gives no files and no rows. Texts of any lengt
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import sys
@@ -18,10 +20,10 @@ import types
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -30,31 +32,41 @@ from pyspark.sql import functions as F
 from voxtable.llm.common import by_value, new_path, stage
 
 END_ID = 0
-#: Pieces whose ids a task remembers; the older half goes when it is full.
-CACHE = 600_000
-#: Documents that are encoded at once.
-SLICE = 500
+#: Bytes that the pieces a Python worker remembers may take, about; the older half goes when they are more.
+CACHE_BYTES = 64 << 20
+#: What an entry takes besides its characters and ids, about.
+ENTRY_BYTES = 200
+#: Bytes of text that are encoded at once, about; a longer text goes alone.
+SLICE_BYTES = 6 << 20
 #: Documents that a reading task gives at once.
 BATCH = 5_000
-NULL_ID = -(1 << 63)
-FILES = "part int, path string, width int, docs long, ids long"
+FILES = "part int, path string, width int, docs long, ids long, nulls long"
+#: White space that is not single or lies at an end, or is neither space nor line end, and the characters that mark cuts and ends.
+ODD = r"^\s|\s\s|\s$|[\t\v\f\r\x00\x01\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{180e}\x{feff}]"
 #: A comma or full stop before white space and behind something that is no letter or digit.
-ODD_MARK = re.compile(r"[,.](?=\s)(?<=[\W_][,.])")
-#: White space that is neither a space nor a line end.
-ODD_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+ODD_MARK = r"(^|[^\pL\pN])[,.](\s|$)"
 LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
+#: One token of the pre-tokenizer for certain: letters of Latin scripts, or digits, perhaps behind a space.
+SIMPLE = re.compile(r" ?(?:[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+|[0-9]+)")
 
 
-def evenly_spaced(text: str) -> bool:
-    """Whether all white space is single spaces and line ends between other characters."""
-    return len(text.split()) == text.count(" ") + text.count("\n") + 1 and not any(map(text.__contains__, ODD_SPACES))
+def byte_letters() -> dict[int, int]:
+    """How a byte-level vocabulary writes bytes: printable ones as they are, the others as the letters from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: b for b in shown} | {b: 0x100 + i for i, b in enumerate(hidden)}
+
+
+LETTERS = byte_letters()
 
 
 class Encoder:
-    """Encodes with the tokenizers library, which sees each distinct piece of text once.
+    """Encodes with the tokenizers library, which sees each distinct piece of text once in a while.
 
     A byte-level pre-tokenizer always starts a token at a single space between two other characters, and around a single line
-    end, so a text may be cut there and the pieces' ids joined. Where the cut is not certain the text is encoded whole.
+    end, so a text may be cut there and the pieces' ids joined. Arrow cuts the texts of a slice, finds the distinct pieces
+    and lays their ids out; Python only looks up each distinct one. Texts in which a cut is not certain are encoded whole,
+    and so are all texts where the tokenizer is not a plain byte-level one.
     """
 
     def __init__(self, path: str) -> None:
@@ -64,42 +76,95 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
-        self.new: dict[str, bytes] = {}
+        self.new = self.given()
         self.old: dict[str, bytes] = {}
+        self.bytes = 0
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-
-    def pieces(self, text: str) -> list[str]:
-        if any(s in text for s in self.special):
-            return [text]
-        if "\0" in text or not evenly_spaced(text):
-            first, *rest = LONE_SPACE.split(text)
-            return [first, *(" " + r for r in rest)]
-        cut = text.replace("\n", "\0\n\0").replace(" ", "\0 ")
-        if not ODD_MARK.search(text):  # a mark between a letter or digit and a space is a token
-            cut = cut.replace(",\0", "\0,\0").replace(".\0", "\0.\0")
-        return cut.split("\0")
-
-    def learn(self, missing: set[str]) -> None:
-        if len(self.new) + len(missing) > CACHE // 2:
-            self.old, self.new = self.new, {}
-        known = missing & self.old.keys()
-        self.new.update((p, self.old[p]) for p in known)
-        unknown = list(missing - known)
-        for piece, e in zip(unknown, self.library.encode_batch_fast(unknown, add_special_tokens=False), strict=True):
-            self.new[piece] = array(self.code, e.ids).tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, without the end id, as bytes."""
-        cut = [self.pieces(t) for t in texts]
-        missing = set(filterfalse(self.new.__contains__, chain.from_iterable(cut)))
-        if len(self.new) + len(missing) > CACHE // 2:
-            missing = set().union(*cut)
-        self.learn(missing)
-        return [b"".join(map(self.new.__getitem__, pieces)) for pieces in cut]
+        told = json.loads(self.library.to_str())
+        first = told["pre_tokenizer"] or {}
+        self.by_piece = told["normalizer"] is None and told["model"]["type"] == "BPE" and first == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": first.get("trim_offsets"), "use_regex": True}
+        self.by_model = self.by_piece and not told["model"].get("dropout")
+
+    def learn(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each of distinct pieces, as bytes."""
+        data = list(map(self.new.get, pieces))
+        missing = [i for i, x in enumerate(data) if x is None]
+        whole, took = [], 0
+        for i in missing:
+            p = pieces[i]
+            if (x := self.old.get(p)) is None:
+                if not (self.by_model and SIMPLE.fullmatch(p)):
+                    whole.append(i)
+                    continue
+                spelt = p.replace(" ", "\u0120") if p.isascii() else p.encode().decode("latin-1").translate(LETTERS)
+                x = array(self.code, [t.id for t in self.library.model.tokenize(spelt)]).tobytes()
+            data[i] = self.new[p] = x
+            took += len(p) + len(x)
+        for i, e in zip(whole, self.library.encode_batch_fast([pieces[i] for i in whole], add_special_tokens=False), strict=True):
+            data[i] = self.new[pieces[i]] = array(self.code, e.ids).tobytes()
+            took += len(pieces[i]) + len(data[i])
+        self.bytes += took + ENTRY_BYTES * len(missing)
+        if self.bytes > CACHE_BYTES // 2:
+            self.old, self.new, self.bytes = self.new, self.given(), 0
+        return data
+
+    def given(self) -> dict[str, bytes]:
+        """What is known from the start: no text, and the sign for the end id."""
+        return {"": b"", "\1": array(self.code, [END_ID]).tobytes()}
+
+    def laid_out(self, cut: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, of which \0 ends each piece and \1 stands for the end id, and where each text's ids stop."""
+        parts = pc.split_pattern(cut, "\0")
+        told = parts.flatten().dictionary_encode()
+        data = self.learn(told.dictionary.to_pylist())
+        offsets = np.concatenate(([0], np.cumsum(np.fromiter(map(len, data), np.int64, len(data))))) // self.dtype.itemsize
+        offsets = offsets.astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(data), self.dtype)))
+        count = np.concatenate(([0], np.cumsum(np.diff(offsets)[told.indices.to_numpy()], dtype=np.int64)))
+        return lists.take(told.indices).flatten().to_numpy(), count[parts.offsets.to_numpy()[1:] - parts.offsets[0].as_py()]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, the end id behind each, and where each text's ids stop."""
+        odd = pc.match_substring_regex(texts, ODD)
+        for s in self.special:
+            odd = pc.or_(odd, pc.match_substring(texts, s))
+        whole = np.ones(len(texts), bool) if not self.by_piece else odd.to_numpy(zero_copy_only=False)
+        cut = pc.replace_substring(pc.replace_substring(texts, "\n", "\0\n\0"), " ", "\0 ")
+        cut = pc.binary_join_element_wise(cut, "\0\1", "")
+        marked = pc.replace_substring(pc.replace_substring(cut, ",\0", "\0,\0"), ".\0", "\0.\0")  # a mark between a letter or digit and a space is a token
+        cut = pc.if_else(pc.match_substring_regex(texts, ODD_MARK), cut, marked)
+        if not whole.any():
+            return self.laid_out(cut)
+        told: list[np.ndarray] = [np.zeros(0, self.dtype)] * len(texts)
+        ids, stops = self.laid_out(cut.filter(pa.array(~whole)))
+        for i, at, stop in zip(np.flatnonzero(~whole), [0, *stops[:-1]], stops, strict=True):
+            told[i] = ids[at:stop]
+        end = array(self.code, [END_ID]).tobytes()
+        for i in np.flatnonzero(whole):
+            text = texts[int(i)].as_py()
+            if self.by_piece and not any(s in text for s in (*self.special, "\1")):
+                first, *rest = LONE_SPACE.split(text)
+                pieces = [first, *(" " + r for r in rest)]
+                distinct = list(dict.fromkeys(pieces))
+                known = dict(zip(distinct, self.learn(distinct), strict=True))
+                told[i] = np.frombuffer(b"".join(map(known.__getitem__, pieces)) + end, self.dtype)
+            else:
+                told[i] = np.array([*self.library.encode(text, add_special_tokens=False).ids, END_ID], self.dtype)
+        return np.concatenate(told), np.cumsum(list(map(len, told)), dtype=np.int64)
+
+
+def slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about SLICE_BYTES of text."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(b["text"]), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < b.num_rows:
+        stop = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE_BYTES, "right")))
+        yield b.slice(at, stop - at)
+        at = stop
 
 
 def kept_encoder(path: str) -> Encoder:
-    """One encoder for each Python worker, which serves many tasks; what it has learnt stays."""
+    """One encoder for each Python worker, which serves many tasks; what it has learnt stays, within CACHE_BYTES."""
     kept = sys.modules.setdefault("_voxtable_kept", types.ModuleType("_voxtable_kept")).__dict__
     if path not in kept:
         kept[path] = Encoder(path)
@@ -118,27 +183,30 @@ def write_files(documents: DataFrame, tokenizer: str, folder: str) -> DataFrame:
         store.create_dir(top)
         path = f"{top}/{task.partitionId():06d}-{task.taskAttemptId()}"
         encoder = kept_encoder(tokenizer)
-        end = np.array([END_ID], encoder.dtype).tobytes()
-        docs = ids = 0
+        docs = ids = nulls = 0
         outs = {}
         for b in batches:
             if not outs:
                 outs = {x: store.open_output_stream(f"{path}.{x}.bin") for x in ("ids", "offsets", "doc_ids")}
                 outs["offsets"].write(np.zeros(1, "<i8").tobytes())
-            for at in range(0, b.num_rows, SLICE):
-                part = b.slice(at, SLICE)
-                data = encoder.encode([t or "" for t in part["text"].to_pylist()])
-                stops = ids + np.cumsum([len(x) // encoder.dtype.itemsize + 1 for x in data], dtype=np.int64)
-                outs["ids"].write(end.join(data) + end)
-                outs["offsets"].write(stops.astype("<i8").tobytes())
-                outs["doc_ids"].write(part["doc_id"].fill_null(NULL_ID).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
-                docs, ids = docs + len(data), int(stops[-1])
+            for part in slices(b):
+                data, stops = encoder.encode(pc.fill_null(part["text"], ""))
+                outs["ids"].write(data.astype(encoder.dtype, copy=False).tobytes())
+                outs["offsets"].write((ids + stops).astype("<i8").tobytes())
+                outs["doc_ids"].write(part["doc_id"].fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
+                docs, ids, nulls = docs + part.num_rows, ids + int(stops[-1]), nulls + part["doc_id"].null_count
         for out in outs.values():
             out.close()
+        pa.default_memory_pool().release_unused()
         found = [docs] if docs else []
-        yield pa.RecordBatch.from_pydict({"part": pa.array([task.partitionId()] * len(found), pa.int32()), "path": pa.array([path] * len(found), pa.string()), "width": pa.array([encoder.dtype.itemsize] * len(found), pa.int32()), "docs": pa.array(found, pa.int64()), "ids": pa.array([ids] * len(found), pa.int64())})
-
-    ordered = documents.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("tie")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+        one = lambda x, kind: pa.array([x] * len(found), kind)
+        yield pa.RecordBatch.from_pydict({
+            "part": one(task.partitionId(), pa.int32()), "path": one(path, pa.string()), "width": one(encoder.dtype.itemsize, pa.int32()),
+            "docs": pa.array(found, pa.int64()), "ids": one(ids, pa.int64()), "nulls": one(nulls, pa.int64()),
+        })
+
+    ordered = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("tie"))
+    ordered = ordered.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     return stage(ordered.select("doc_id", "text").mapInArrow(run, FILES), "token-files")
 
 
@@ -154,14 +222,19 @@ def read_files(files: DataFrame, folder: str) -> DataFrame:
         for b in batches:
             for r in b.to_pylist():
                 dtype = np.dtype("<u2" if r["width"] == 2 else "<u4")
-                with store.open_input_file(f"{r['path']}.offsets.bin") as f, store.open_input_file(f"{r['path']}.doc_ids.bin") as g, store.open_input_file(f"{r['path']}.ids.bin") as h:
+                opened = [store.open_input_file(f"{r['path']}.{x}.bin") for x in ("offsets", "doc_ids", "ids")]
+                with opened[0] as f, opened[1] as g, opened[2] as h:
                     for at in range(0, r["docs"], BATCH):
                         n = min(BATCH, r["docs"] - at)
                         offsets = np.frombuffer(f.read_at((n + 1) * 8, at * 8), "<i8")
                         doc_ids = np.frombuffer(g.read_at(n * 8, at * 8), "<i8")
                         ids = np.frombuffer(h.read_at(int(offsets[-1] - offsets[0]) * r["width"], int(offsets[0]) * r["width"]), dtype)
                         crc = [zlib.crc32(ids[x:y].astype("<u4")) for x, y in zip(offsets[:-1] - offsets[0], offsets[1:] - offsets[0], strict=True)]
-                        yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc_ids, pa.int64(), mask=doc_ids == NULL_ID), "start": pa.array(offsets[:-1] + r["base"], pa.int64()), "n_tokens": pa.array(np.diff(offsets), pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
+                        known = np.arange(at, at + n) >= r["nulls"]  # rows without an id come first
+                        yield pa.RecordBatch.from_pydict({
+                            "doc_id": pa.array(doc_ids, pa.int64(), mask=~known), "start": pa.array(offsets[:-1] + r["base"], pa.int64()),
+                            "n_tokens": pa.array(np.diff(offsets), pa.int64()), "ids_crc32": pa.array(crc, pa.int64()),
+                        })
 
     return based.repartition(max(1, files.count()), "path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
