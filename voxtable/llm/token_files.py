@@ -136,9 +136,10 @@ class Encoder:
         if not whole.any():
             return self.laid_out(cut)
         told: list[np.ndarray] = [np.zeros(0, self.dtype)] * len(texts)
-        ids, stops = self.laid_out(cut.filter(pa.array(~whole)))
-        for i, at, stop in zip(np.flatnonzero(~whole), [0, *stops[:-1]], stops, strict=True):
-            told[i] = ids[at:stop]
+        if not whole.all():
+            ids, stops = self.laid_out(cut.filter(pa.array(~whole)))
+            for i, x in zip(np.flatnonzero(~whole), np.split(ids, stops[:-1]), strict=True):
+                told[i] = x
         end = array(self.code, [END_ID]).tobytes()
         for i in np.flatnonzero(whole):
             text = texts[int(i)].as_py()
