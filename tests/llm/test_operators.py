@@ -271,6 +271,32 @@ def test_token_files_write_every_id(spark):
     assert [x.doc_id for x in sorted(out, key=lambda x: x.start)] == [None, None, -(1 << 63), 0, (1 << 63) - 1]
 
 
+def test_mixing_of_rows_that_share_an_id(spark):
+    """Ids that repeat or are missing do not keep a source from its target."""
+    rows = [(None, f"w{i} " * (1 + i % 7), "a", "k", 1) for i in range(400)] + [(7, "same words here", "b", "k", 1)] * 300 + [(i, "one two three four", None, "k", 1) for i in range(200)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, source string, key string, by_id int")
+    taken = collections.Counter(r.source for r in mixing.mixed_rows(documents, (3, 1, 2), 0.9, 2.0).collect() for _ in r.text.split())
+    _, plan = mixing.mix(documents, (3, 1, 2), 0.9, 2.0)
+    for r in plan.collect():
+        assert abs(taken[None if r.key == "1" else r.key[1:]] - r.target) <= 7
+    assert mixing.mixed_rows(documents, (3, 1, 2), 0.9, 2.0).columns == documents.columns
+
+
+@pytest.mark.parametrize("n", [3, 40])
+def test_targets_are_dealt_again(spark, n):
+    r = random.Random(n)
+    sizes = {f"0{i:03d}": r.choice((0, 5, 50, 5000)) for i in range(n)}
+    sums = spark.createDataFrame([(k, v, 1) for k, v in sizes.items()], "key string, source_size long, n long").repartition(3)
+    weight = {k: (3, 1, 2)[i % 3] for i, k in enumerate(sorted(sizes))}
+    target, open_, rest = {}, set(sizes), 1.5 * sum(sizes.values())
+    while over := {s for s in open_ if rest * weight[s] / sum(weight[x] for x in open_) > 2 * sizes[s]}:
+        target |= {s: 2.0 * sizes[s] for s in over}
+        rest -= sum(target[s] for s in over)
+        open_ -= over
+    target |= {s: rest * weight[s] / sum(weight[x] for x in open_) for s in open_}
+    assert {x.key: x.target for x in mixing.targets(sums, (3, 1, 2), 1.5, 2.0).collect()} == pytest.approx(target)
+
+
 def test_mixing(spark, documents, rows, nothing):
     sized, plan = mixing.mix(documents, (3, 1, 2), 1.5, 2.0)
     out = mixing.attach(sized, plan, "key", "n").withColumn("taken", F.col("size") * mixing.copies()).collect()

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: A key is hot when it holds more than 1/HOT of all rows, so there are fewer than HOT hot keys.
 HOT = 1000
+#: Bits of the map that possible() screens with. What it broadcasts is at most so many bits, 16 MB.
+SLOTS = 1 << 27
 
 _local_dirs: dict[str, str] = {}
 
@@ -47,19 +49,34 @@ def attach(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFram
     """rows left join table on a non-null key that is unique in table; weight: how many of rows have the key.
 
     Keys that hold over 1/HOT of the rows (fewer than HOT of them by arithmetic) are joined by broadcast, the
-    others by a shuffle in which no key is large. A table of no more keys than could be hot is broadcast whole.
+    others by a shuffle in which no key is large; there, rows of hot keys go by their number instead of their key. A table of
+    no more keys than could be hot is broadcast whole. rows are computed once.
     """
     if table.limit(HOT + 1).count() <= HOT:
         return rows.join(F.broadcast(table.drop(weight)), key, "left")
     total = table.agg(F.sum(weight)).first()[0]
     rest = [c for c in table.columns if c not in (key, weight)]
+    kept = [c for c in rows.columns if c != key]
     hot = table.where(F.col(weight) > total / HOT).select(key, F.struct(*rest).alias("_hot"))
-    cold = table.where(F.col(weight) <= total / HOT).drop(weight)
+    cold = table.where(F.col(weight) <= total / HOT).select(F.struct(F.col(key).alias("key"), F.lit(-1).cast("long").alias("row")).alias("_at"), F.struct(*rest).alias("_cold"))
     marked = rows.join(F.broadcast(hot), key, "left")
-    kept = [c for c in rows.columns if c != key]
-    near = marked.where("_hot is not null").select(key, *kept, *[F.col(f"_hot.{c}").alias(c) for c in rest])
-    far = marked.where("_hot is null").drop("_hot").join(cold.hint("merge"), key, "left")
-    return near.unionByName(far.select(key, *kept, *rest))
+    at = F.struct(F.col(key).alias("key"), F.when(F.col("_hot").isNull(), F.lit(-1).cast("long")).otherwise(F.monotonically_increasing_id()).alias("row"))
+    told = marked.withColumn("_at", at).join(cold.hint("merge"), "_at", "left").withColumn("_found", F.coalesce("_hot", "_cold"))
+    return told.select(key, *kept, *[F.col(f"_found.{c}").alias(c) for c in rest])
+
+
+def possible(rows: DataFrame, keys: DataFrame, hashed: str) -> DataFrame:
+    """rows with _may, whether their hashed (a long) may be among those of keys; where it is false it is not.
+
+    The keys become a map of SLOTS bits, so what is broadcast has a bound at any size. A map that fills up lets
+    more through, and never holds back a key. It serves to keep rows out of a shuffle that follows.
+    """
+    slot = F.pmod(F.col(hashed), F.lit(SLOTS)) + 1
+    maps = keys.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("_map"))
+    told = rows.withColumn("_bucket", F.bitmap_bucket_number(slot)).join(F.broadcast(maps), "_bucket", "left")
+    at = F.bitmap_bit_position(slot).cast("int")
+    byte = F.conv(F.hex(F.substring("_map", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return told.withColumn("_may", F.coalesce(F.getbit(byte, at % 8) == 1, F.lit(False))).drop("_bucket", "_map")
 
 
 def utf8(column: pa.Array) -> list[bytes]:

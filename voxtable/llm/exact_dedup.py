@@ -1,8 +1,9 @@
 """Exact deduplication of a new batch against an immutable snapshot.
 
-A snapshot's digests lie in buckets, each with a static binary-fuse filter that is built once. A batch is first
-grouped by its own digests (its own duplicates never reach the filters); each distinct digest is screened by the
-filter of its bucket; positives join the snapshot's digests exactly, and their texts are compared byte by byte.
+save_snapshot() writes a snapshot's digests in buckets, each with a static binary-fuse filter that is built once and never
+changed; any number of later batches are screened by it. A batch is first grouped by its own digests (its own duplicates
+never reach the filters); each distinct digest is screened by the filter of its bucket; positives join the snapshot's
+digests exactly, and their texts are compared byte by byte. Of the texts only those that may be compared are shuffled.
 
 Texts are equal when identical after lower-casing A-Z; null counts as empty. Of equal texts the row with the largest
 doc_id stays; null ids are the smallest. Among repeated rows that tie, exactly one stays.
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxtable.llm.common import attach, by_value, stage, utf8
+from voxtable.llm.common import attach, by_value, new_path, possible, stage, utf8
 
 #: Distinct digests in a bucket, about: a filter of such a bucket has some 150 KB.
 BUCKET_KEYS = 100_000
@@ -131,33 +132,58 @@ def same_bytes(pairs: DataFrame, documents: DataFrame) -> DataFrame:
             same = [x.lower() == y.lower() for x, y in zip(utf8(b["old_text"]), utf8(b["new_text"]), strict=True)]
             yield pa.RecordBatch.from_arrays([b["digest"].filter(pa.array(same, pa.bool_()))], ["digest"])
 
-    wanted = pairs.select("digest", F.lit("old_text").alias("side"), "old.doc_id", "old.text_hash").unionByName(pairs.select("digest", F.lit("new_text").alias("side"), "new.doc_id", "new.text_hash"))
-    texts = documents.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
-    found = wanted.hint("merge").join(texts, wanted["doc_id"].eqNullSafe(texts["doc_id"]) & (wanted["text_hash"] == texts["text_hash"])).select("digest", "side", "text")
+    sides = [pairs.select("digest", F.lit(f"{side}_text").alias("side"), F.col(f"{side}.doc_id").alias("id"), F.col(f"{side}.text_hash").alias("text_hash")) for side in ("old", "new")]
+    wanted = stage(sides[0].unionByName(sides[1]), "dedup-wanted")
+    texts = documents.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("hash"), "text")
+    near = possible(texts, wanted.select(F.col("text_hash").alias("hash")), "hash").where("_may")
+    found = near.join(wanted.hint("merge"), (near["hash"] == wanted["text_hash"]) & near["doc_id"].eqNullSafe(wanted["id"])).select("digest", "side", "text")
     one = found.groupBy("digest").pivot("side", ["old_text", "new_text"]).agg(F.first("text"))
     return one.mapInArrow(compare, "digest binary")
 
 
-def exact_dedup(snapshot: DataFrame, batch: DataFrame) -> DataFrame:
-    """doc_id, keep_id, group_size, kept and text_sha256 for each row of both tables (doc_id, text)."""
-    rows = digest_rows(snapshot).withColumn("part", F.lit(0)).unionByName(digest_rows(batch).withColumn("part", F.lit(1)))
-    rows = stage(rows.withColumn("row", F.monotonically_increasing_id()), "dedup-rows")
+def grouped(documents: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """Writes and gives the rows of documents with their digests, and for each digest its count n and top, the row that would stay."""
+    spark = documents.sparkSession
+    digest_rows(documents).withColumn("row", F.monotonically_increasing_id()).write.parquet(f"{path}/rows")
+    rows = spark.read.parquet(f"{path}/rows")
     top = F.max(F.struct(F.col("doc_id"), F.col("row"), F.col("text_hash"))).alias("top")
-    groups = stage(rows.groupBy("part", "digest").agg(top, F.count("*").alias("n")), "dedup-groups")
-    old, new = groups.where("part = 0").drop("part"), groups.where("part = 1").drop("part")
-    most = max((r["count"] for r in groups.groupBy("part").count().collect()), default=0)
-    buckets = math.ceil(most / BUCKET_KEYS) or 1
-    filters = stage(build_filters(old, buckets), "dedup-filters")
-    maybe = screen(new, filters, buckets)
+    rows.groupBy("digest").agg(top, F.count("*").alias("n")).write.parquet(f"{path}/groups")
+    return rows, spark.read.parquet(f"{path}/groups")
+
+
+def save_snapshot(documents: DataFrame, path: str) -> None:
+    """Writes rows, groups and filters of a snapshot (doc_id, text) below path, once and for all."""
+    _, groups = grouped(documents, path)
+    buckets = math.ceil(groups.count() / BUCKET_KEYS) or 1
+    build_filters(groups, buckets).withColumn("buckets", F.lit(buckets)).write.parquet(f"{path}/filters")
+
+
+def against_snapshot(path: str, snapshot: DataFrame, batch: DataFrame) -> DataFrame:
+    """doc_id, keep_id, group_size, kept and text_sha256 for each row of a saved snapshot and of a batch (doc_id, text)."""
+    spark = batch.sparkSession
+    old_rows, old, filters = (spark.read.parquet(f"{path}/{x}") for x in ("rows", "groups", "filters"))
+    new_rows, new = grouped(batch, new_path(spark, "dedup-batch"))
+    first = filters.first()
+    maybe = screen(new, filters.drop("buckets"), first["buckets"] if first else 1)
     pairs = maybe.join(new.select("digest", F.col("top").alias("new")).hint("merge"), "digest").join(old.select("digest", F.col("top").alias("old")).hint("merge"), "digest")
     sure = same_bytes(stage(pairs, "dedup-pairs"), snapshot.select("doc_id", "text").unionByName(batch.select("doc_id", "text")))
+    groups = old.withColumn("part", F.lit(0)).unionByName(new.withColumn("part", F.lit(1)))
     met = stage(groups.join(sure.withColumn("met", F.lit(True)).hint("merge"), "digest", "left"), "dedup-met")
     both = met.withColumn("set", F.when(F.col("met"), 0).otherwise(F.col("part")))
-    whole = both.groupBy("digest", "set").agg(F.max("top").alias("keep"), F.sum("n").alias("group_size"))
+    last = F.max(F.struct("top.doc_id", "part", "top.row")).alias("keep")
+    whole = both.groupBy("digest", "set").agg(last, F.sum("n").alias("group_size"))
     table = both.select("digest", "set", "part", "n").join(whole.hint("merge"), ["digest", "set"])
     table = stage(table.select(F.struct("digest", "part").alias("key"), "n", "keep", "group_size"), "dedup-table")
+    rows = old_rows.withColumn("part", F.lit(0)).unionByName(new_rows.withColumn("part", F.lit(1)))
     out = attach(rows.select(F.struct("digest", "part").alias("key"), "doc_id", "row"), table, "key", "n")
-    return out.select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("keep.row")).alias("kept"), F.lower(F.hex("key.digest")).alias("text_sha256"))
+    kept = (F.col("row") == F.col("keep.row")) & (F.col("key.part") == F.col("keep.part"))
+    return out.select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", kept.alias("kept"), F.lower(F.hex("key.digest")).alias("text_sha256"))
+
+
+def exact_dedup(snapshot: DataFrame, batch: DataFrame) -> DataFrame:
+    """As against_snapshot, of a snapshot that is saved first."""
+    save_snapshot(snapshot, path := new_path(snapshot.sparkSession, "dedup-snapshot"))
+    return against_snapshot(path, snapshot, batch)
 
 
 by_value(__name__)

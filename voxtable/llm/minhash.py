@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxtable.llm.common import attach, by_value, stage, utf8
+from voxtable.llm.common import attach, by_value, possible, stage, utf8
 from voxtable.llm.components import components
 
 SHINGLE = 5
@@ -37,8 +37,9 @@ AGREE = 0.55
 #: Members of a block, of which two meet in a task.
 BLOCK = 512
 #: Words whose hashes a task remembers, and shingles that are hashed at once.
-WORDS, PIECE = 500_000, 2_048
-MULTIPLIERS = np.random.RandomState(20).randint(0, 1 << 63, (2, HASHES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)  # noqa: NPY002
+WORDS, PIECE = 200_000, 1_024
+#: The multiplier (odd) and the summand of each hash, 32 bits each.
+MULTIPLIERS = np.random.RandomState(20).randint(0, 1 << 31, (2, HASHES), dtype=np.uint32) * np.uint32(2) + np.uint32(1)  # noqa: NPY002
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -73,13 +74,18 @@ class Shingler:
         return np.unique(mixed(total))
 
 
-def minima(shingles: np.ndarray) -> np.ndarray:
-    """The smallest value of each hash, its high 32 bits."""
-    low = np.full(HASHES, np.uint64(0xFFFFFFFFFFFFFFFF))
+def minima(shingles: np.ndarray, room: np.ndarray | None = None) -> np.ndarray:
+    """The smallest value of each multiply-add hash modulo 2^32 of the shingles' high 32 bits. room: an array to work in, (HASHES, PIECE)."""
+    room = np.empty((HASHES, PIECE), np.uint32) if room is None else room
+    x = (shingles >> np.uint64(32)).astype(np.uint32)
+    low = np.full(HASHES, np.uint32(0xFFFFFFFF))
     a, b = MULTIPLIERS[0][:, None], MULTIPLIERS[1][:, None]
-    for at in range(0, len(shingles), PIECE):
-        np.minimum(low, (a * shingles[None, at : at + PIECE] + b).min(axis=1), out=low)
-    return (low >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(x), PIECE):
+        part = x[None, at : at + PIECE]
+        values = np.multiply(a, part, out=room[:, : part.shape[1]])
+        values += b
+        np.minimum(low, values.min(axis=1), out=low)
+    return low
 
 
 def linked(p: np.ndarray, q: np.ndarray) -> bool:
@@ -103,14 +109,14 @@ def buckets(signature: np.ndarray) -> np.ndarray:
 
 def keyed(documents: DataFrame) -> DataFrame:
     """doc_id, text and a key that finds the row again."""
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("key"), "text")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("key"), "text")
 
 
 def sketch(documents: DataFrame) -> DataFrame:
     """doc_id, key, n_shingles, set_key, signature and buckets of each row; the last three are null without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler()
+        shingler, room = Shingler(), np.empty((HASHES, PIECE), np.uint32)
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
@@ -119,7 +125,7 @@ def sketch(documents: DataFrame) -> DataFrame:
                     own = shingler.shingles(text)
                     counts.append(len(own))
                     keys.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
-                    signature = minima(own) if len(own) else None
+                    signature = minima(own, room) if len(own) else None
                     signatures.append(None if signature is None else signature.tobytes())
                     bands.append(None if signature is None else buckets(signature))
                 yield pa.RecordBatch.from_arrays([part["doc_id"], part["key"], pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(signatures, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "key", "n_shingles", "set_key", "signature", "buckets"])
@@ -128,7 +134,7 @@ def sketch(documents: DataFrame) -> DataFrame:
 
 
 def full_sets(nodes: DataFrame, documents: DataFrame) -> DataFrame:
-    """(node, shingles) of nodes (node, doc_id, key), from the documents' texts."""
+    """(node, shingles) of nodes (node, doc_id, key), from the documents' texts. Of these only such as may be wanted are shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
@@ -137,7 +143,7 @@ def full_sets(nodes: DataFrame, documents: DataFrame) -> DataFrame:
                 part = b.slice(at, 500)
                 yield pa.RecordBatch.from_arrays([part["node"], pa.array([shingler.shingles(t).tobytes() for t in utf8(part["text"])], pa.binary())], ["node", "shingles"])
 
-    texts = keyed(documents).select("key", F.col("doc_id").alias("id"), "text")
+    texts = possible(keyed(documents).select("key", F.col("doc_id").alias("id"), "text"), nodes, "key").where("_may")
     found = texts.join(nodes.hint("merge"), "key").where(F.col("id").eqNullSafe(F.col("doc_id"))).dropDuplicates(["key", "node"])
     return found.select("node", "text").mapInArrow(run, "node long, shingles binary")
 
@@ -242,12 +248,17 @@ def across(members: DataFrame, near: DataFrame, labels: DataFrame, signatures: D
     return meet.groupBy("bucket", "one", "two").applyInArrow(run, "u long, v long").distinct()
 
 
-def near_duplicates(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for each row of documents (doc_id, text)."""
+def judged(documents: DataFrame) -> DataFrame:
+    """doc_id, key, n_shingles, label and best of each row of documents (doc_id, text).
+
+    label names the component and best is the (without id, doc_id, key) of its first row, by doc_id, then key; both are null without words.
+    """
     rows = stage(sketch(documents).withColumn("row", F.monotonically_increasing_id()), "minhash-rows")
     some = rows.where("set_key is not null")
     first = F.min(F.struct("row", "doc_id", "key")).alias("first")
-    classes = stage(some.groupBy("set_key").agg(first, F.min("doc_id").alias("least"), F.count("*").alias("n")).select("set_key", F.col("first.row").alias("node"), "first.doc_id", "first.key", "least", "n"), "minhash-classes")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "key")).alias("best")
+    classes = some.groupBy("set_key").agg(first, best, F.count("*").alias("n"))
+    classes = stage(classes.select("set_key", F.col("first.row").alias("node"), "first.doc_id", "first.key", "best", "n"), "minhash-classes")
     one = some.select(F.col("row").alias("node"), "signature", "buckets").join(classes.select("node").hint("merge"), "node", "left_semi")
     one = stage(one, "minhash-signatures")
 
@@ -271,13 +282,36 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         labels = components(links.unionByName(more))
 
     named = labels.unionByName(labels.select(F.col("label").alias("node"), "label").distinct())
-    named = stage(named.join(classes.select("node", "least").hint("merge"), "node"), "minhash-named")
-    lowest = stage(named.groupBy("label").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "minhash-lowest")
-    told = attach(named.select("node", "label"), lowest, "label", "n").select("node", "component_id")
-    final = classes.join(told.hint("merge"), "node", "left").select("set_key", "n", F.when(F.col("component_id").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
-    out = attach(some.select("doc_id", "n_shingles", "set_key"), stage(final, "minhash-final"), "set_key", "n").select("doc_id", "n_shingles", "component_id")
-    alone = rows.where("set_key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return out.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    named = stage(named.join(classes.select("node", "best").hint("merge"), "node"), "minhash-named")
+    lowest = stage(named.groupBy("label").agg(F.min("best").alias("lowest"), F.count("*").alias("n")), "minhash-lowest")
+    told = attach(named.select("node", "label"), lowest, "label", "n").select("node", "label", "lowest")
+    final = classes.join(told.hint("merge"), "node", "left")
+    final = final.select("set_key", "n", F.coalesce("label", "node").alias("label"), F.coalesce("lowest", "best").alias("best"))
+    out = attach(some.select("doc_id", "key", "n_shingles", "set_key"), stage(final, "minhash-final"), "set_key", "n").drop("set_key")
+    return out.unionByName(rows.where("set_key is null").select("doc_id", "key", "n_shingles"), allowMissingColumns=True)
+
+
+def near_duplicates(documents: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for each row of documents (doc_id, text)."""
+    out = judged(documents).withColumn("component_id", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id")))
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def one_of_each(documents: DataFrame) -> DataFrame:
+    """The documents without near-duplicates: the first row of each component (by doc_id, null last, then text) stays, once, with all its columns.
+
+    Rows are told apart by id and text, so rows that share an id but not a text are judged each for itself; of wholly repeated ones any stays.
+    Rows without words all stay. Only rows that may have to go are shuffled.
+    """
+    told = judged(documents).where("label is not null").withColumn("stays", (F.col("key") == F.col("best.key")) & F.col("doc_id").eqNullSafe(F.col("best.doc_id")))
+    touched = stage(told.groupBy("key", F.col("doc_id").alias("id")).agg(F.max("stays").alias("stays"), F.count("*").alias("n")).where("not stays or n > 1"), "minhash-touched")
+    rows = documents.select(F.struct("*").alias("row"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("key"), F.col("doc_id").cast("long").alias("own"))
+    marked = possible(rows, touched.select("key"), "key")
+    near = marked.where("_may").join(touched.withColumnRenamed("key", "_key").hint("merge"), (F.col("key") == F.col("_key")) & F.col("own").eqNullSafe(F.col("id")), "left")
+    out = marked.where("not _may").select("row.*").unionByName(near.where("stays is null").select("row.*"))
+    if touched.where("stays").isEmpty():
+        return out
+    return out.unionByName(near.where("stays").dropDuplicates(["key", "own"]).select("row.*"))
 
 
 by_value(__name__)
