@@ -69,15 +69,36 @@ def test_sharding(documents, rows, nothing):
 def test_packing_balances_all_dimensions():
     r = np.random.RandomState(3)
     demands = r.gamma(1.0, size=(4000, 3))
-    where = sharding.pack(demands, 8)
+    where = sharding.pack(demands, np.tile(demands.sum(axis=0) / 8, (8, 1)))
     loads = np.array([demands[where == s].sum(axis=0) for s in range(8)])
     assert (loads.max(axis=0) / loads.mean(axis=0) < 1.01).all()
 
 
-def test_large_groups_are_split(spark):
-    same = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 3000, F.lit("same text")).otherwise(F.concat(F.lit("t"), "id")).alias("text"))
-    sizes = sharding.shard(same, 8).groupBy("shard").agg(F.sum("size").alias("s")).collect()
-    assert max(r.s for r in sizes) < 1.1 * min(r.s for r in sizes)
+def test_packing_takes_the_highest_dot_product():
+    """Against a plain loop over the units in order of size."""
+    r = np.random.RandomState(5)
+    demands, room = r.gamma(1.0, size=(60, 3)), np.tile([9.0, 8.0, 7.0], (4, 1))
+    left, want = room / room[0], {}
+    for i in sorted(range(60), key=lambda i: -max(demands[i] / room[0])):
+        need = demands[i] / room[0]
+        want[i] = max(range(4), key=lambda s: (sum(left[s] * need * [8, 1, 1]), -s))
+        left[want[i]] = left[want[i]] - need
+    assert sharding.pack(demands, room).tolist() == [want[i] for i in range(60)]
+
+
+@pytest.mark.parametrize(("part", "pieces"), [(0.11, 1), (0.3, 8)])
+def test_groups_are_whole_where_they_fit(spark, part, pieces):
+    """One id and text on a part of all rows: split over shards only if it exceeds one, and by row."""
+    same = spark.range(4000).select(F.when(F.col("id") < 4000 * part, F.lit(None)).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") < 4000 * part, F.lit("same text")).otherwise(F.concat(F.lit("other "), "id")).alias("text"))
+    out = sharding.shard(same, 8)
+    sizes = out.groupBy("shard").agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect()
+    assert len(sizes) == 8 and max(r.s for r in sizes) < 1.03 * min(r.s for r in sizes) and max(r.n for r in sizes) < 1.1 * min(r.n for r in sizes)
+    assert 1 <= out.where("doc_id is null").select("shard").distinct().count() <= pieces
+
+
+def test_equal_texts_share_a_shard(spark, documents):
+    out = sharding.shard(documents.select("doc_id", "text"), 3)
+    assert out.groupBy("text_crc32").agg(F.countDistinct("shard").alias("n")).where("n > 1").count() <= 2  # those that fit nowhere
 
 
 def brute_spans(text):
