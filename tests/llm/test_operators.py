@@ -92,7 +92,7 @@ def test_groups_are_whole_where_they_fit(spark, part, pieces):
     same = spark.range(20_000).select(F.when(F.col("id") < 20_000 * part, F.lit(None)).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") < 20_000 * part, F.lit("same text")).otherwise(F.concat(F.lit("other "), "id")).alias("text"))
     out = sharding.shard(same, 8)
     sizes = out.groupBy("shard").agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect()
-    assert len(sizes) == 8 and max(r.s for r in sizes) < 1.05 * min(r.s for r in sizes) and max(r.n for r in sizes) < 1.1 * min(r.n for r in sizes)
+    assert len(sizes) == 8 and max(r.s for r in sizes) < 1.05 * min(r.s for r in sizes) and max(r.n for r in sizes) < 1.15 * min(r.n for r in sizes)
     assert 1 <= out.where("doc_id is null").select("shard").distinct().count() <= pieces
 
 
