@@ -184,9 +184,10 @@ def brute_contamination(text, items):
     return len(words), len(hit), sorted(ids)
 
 
-@pytest.mark.parametrize("block", [1 << 20, 40])
-def test_decontamination(spark, monkeypatch, block):
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+@pytest.mark.parametrize("slots", [common.SLOTS, 1 << 3])
+def test_decontamination(spark, monkeypatch, slots):
+    """A bit map that is full lets everything through and changes no result."""
+    monkeypatch.setattr(common, "SLOTS", max(slots, 1 << 15))
     r = random.Random(5)
     items = [(i, " ".join(r.choice("ab cd é the of".split()) + str(r.randint(0, 3)) for _ in range(r.choice((0, 1, 5, 13, 20, 40))))) for i in range(12)] + [(10, "the same the same the same the same the same the same the same"), (50, None), (None, "no id at all")]
     docs = []
@@ -196,12 +197,16 @@ def test_decontamination(spark, monkeypatch, block):
         a = r.randint(0, len(chosen))
         docs.append((i, parts[0] + "; " + "-".join(chosen[a - 14 if a > 14 else 0 : a + 14]).upper() + "\n" + parts[1]))
     docs += [(100, None), (101, ""), (102, "the same " * 3000), (103, "no id at all"), (103, "no id at all")]
-    out = decontaminate.match(spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, n_words int"), spark.createDataFrame(items, "item_id long, text string"))
-    got = sorted((x.doc_id, x._n_words, x._n_hit, sorted(x._items)) for x in out.collect())
+    docs.append((None, items[3][1]))
+    out = decontaminate.match(spark.createDataFrame([(i, t, 1, "k") for i, t in docs], "doc_id long, text string, n_words int, key string"), spark.createDataFrame(items, "item_id long, text string"))
+    order = lambda x: (x[0] is None, x[0] or 0, *x[1:])
+    got = sorted(((x.row.doc_id, x.n_words, x.n_hit, list(x["items"])) for x in out.collect()), key=order)
     named = [("null" if i is None else str(i), t) for i, t in items]
-    assert got == sorted((i, *brute_contamination(t, named)) for i, t in docs)
-    assert any(x[2] for x in got) and "n_words" in out.columns
-    assert decontaminate.match(out.limit(0).select("doc_id", "text"), spark.createDataFrame([], "item_id long, text string")).count() == 0
+    assert got == sorted(((i, *brute_contamination(t, named)) for i, t in docs), key=order)
+    assert any(x[2] for x in got) and out.select("row.*").columns == ["doc_id", "text", "n_words", "key"]
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert decontaminate.match(out.limit(0).select("row.doc_id", "row.text"), none).count() == 0
+    assert [x.n_hit for x in decontaminate.match(out.limit(1).select("row.doc_id", "row.text"), none).collect()] == [0]
 
 
 def toxic_rows(n=600):

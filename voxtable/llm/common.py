@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import sys
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -79,6 +81,63 @@ def possible(rows: DataFrame, keys: DataFrame, hashed: str) -> DataFrame:
     return told.withColumn("_may", F.coalesce(F.getbit(byte, at % 8) == 1, F.lit(False))).drop("_bucket", "_map")
 
 
+def bit_map(keys: DataFrame, hashed: str) -> np.ndarray:
+    """The distinct longs of keys as a map for in_map(), 16 bits for each of them and SLOTS bits at most: it may be sent to tasks."""
+    slots = 1 << 16
+    n = keys.count()
+    while slots < min(SLOTS, 16 * n):
+        slots *= 2
+    slot = F.pmod(F.col(hashed), F.lit(slots)) + 1
+    chunks = keys.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("map"))
+    out = np.zeros(slots // 8, np.uint8)
+    for r in chunks.toLocalIterator():
+        out[(r["at"] - 1) * 4096 : r["at"] * 4096] = np.frombuffer(r["map"], np.uint8)[: slots // 8]
+    return out
+
+
+def in_map(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of the 64-bit hashes may be in the map."""
+    slot = hashes & np.uint64(8 * len(bits) - 1)
+    return (bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
+
+
+STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class WordHashes:
+    """64-bit hashes of words, of which some are remembered, and of runs of words."""
+
+    def __init__(self, most: int = 200_000) -> None:
+        self.known: dict[bytes, int] = {}
+        self.most = most
+
+    def word(self, w: bytes) -> int:
+        if len(self.known) >= self.most:
+            self.known.clear()
+        self.known[w] = h = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
+        return h
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        get, learn = self.known.get, self.word
+        return np.array([get(w) or learn(w) for w in words], np.uint64)
+
+    @staticmethod
+    def runs(hashes: np.ndarray, size: int) -> np.ndarray:
+        """The hash of each run of size words."""
+        n = max(0, len(hashes) - size + 1)
+        total = np.full(n, np.uint64(size))
+        for k in range(size):
+            total = mixed(total * STEP + hashes[k : k + n]) if k else total * STEP + hashes[:n]
+        return mixed(total)
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The bytes of a string column, null as empty."""
     return [v or b"" for v in column.cast(pa.binary()).to_pylist()]

@@ -1,139 +1,216 @@
 """Benchmark decontamination by a prefix-filtered set join with exact verification.
 
-Every run of WINDOW consecutive item words is a set of which a document has to contain all; an item with fewer words is one
-such set. The words are ordered by rarity, counted over all documents. For containment of the whole set a prefix of one
-word is enough: a document that has the window has its rarest word. So each window is indexed by its rarest word and the
-place of that word in it; a document's words fetch windows, the length and positional bounds drop those that would
-stick out of the document, and the rest are verified word by word along the item.
+Every run of WINDOW consecutive item words is a set of shingles (SHINGLE words each) of which a document has to contain all; an item
+with fewer words is one such set. Shingles are ordered by rarity, counted over all documents. For containment of the whole set a
+prefix of one shingle is enough: a document that has the window has its rarest shingle. So windows are a table keyed by their
+rarest shingle, with its place; the places of these shingles in documents join that table; length and positional bounds
+drop windows that would stick out of the document; and the rest are compared word by word with the words around the place.
+
+Which shingles a pass over the documents reports is decided by a bit map of bounded size, so the benchmark may be of any
+size and never passes through the driver or one task. Documents are not shuffled, but for those that may have a window.
 
 Texts are lower-cased in A-Z only. Null and empty texts have no words; a document without words is clean. Repeated
-documents are judged alike, repeated items count once by their id, and a null item_id is named "null". The benchmark
-travels to the tasks in blocks of bounded size, so it may be of any size; documents are never shuffled.
+documents are judged alike, repeated items count once by their id, and a null item_id is named "null". Columns of any name stay as they are.
 """
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from voxtable.llm.common import by_value, utf8
+from voxtable.llm.common import WordHashes, bit_map, by_value, in_map, possible, stage, utf8
 
-WINDOW = 13
-#: Bytes of benchmark text in a block, about.
-BLOCK_BYTES = 8 << 20
+WINDOW, SHINGLE = 13, 3
+#: Counts that a task holds before it gives them on.
+MOST_COUNTS = 200_000
+#: Rows that a task gives on at once.
+BATCH = 5_000
 #: A-Z become a-z; every other character below 0x80 that is no letter or digit becomes a space.
 CHARACTERS = bytes(ord(c.lower()) if (c := chr(i)).isalnum() and i < 128 else i if i >= 128 else 32 for i in range(256))
-RUNS = "array<struct<start:long,end:long>>"
+#: The words of a text as a pattern, in either case.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words(text: bytes) -> list[bytes]:
     return text.translate(CHARACTERS).split()
 
 
-def vocabulary_counts(documents: DataFrame, vocabulary: set[bytes]) -> Counter:
-    """How often each word of the vocabulary occurs in all documents."""
+def item_shingles(items: DataFrame) -> DataFrame:
+    """(item, n, place, shingle) of items (item, text): n words, and each shingle; items of fewer than SHINGLE words are one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter = Counter()
+        hashes = WordHashes()
+        for b in batches:
+            for item, text in zip(b["item"], utf8(b["text"]), strict=True):
+                h = hashes.of(words(text))
+                told = hashes.runs(h, min(SHINGLE, len(h))) if len(h) else h
+                n = len(told)
+                yield pa.RecordBatch.from_pydict({"item": pa.array([item.as_py()] * n, pa.string()), "n": pa.array(np.full(n, len(h)), pa.int64()), "place": pa.array(np.arange(n), pa.int64()), "shingle": pa.array(told.view(np.int64), pa.int64())})
+
+    return items.mapInArrow(run, "item string, n long, place long, shingle long")
+
+
+def counted(documents: DataFrame, shingles: DataFrame, sizes: list[int]) -> DataFrame:
+    """(shingle, held): how often each of the shingles occurs in all documents; those that do not are left out."""
+    bits = documents.sparkSession.sparkContext.broadcast(bit_map(shingles, "shingle"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, total = WordHashes(), Counter()
+
+        def out() -> pa.RecordBatch:
+            keys = np.fromiter(total.keys(), np.uint64, len(total)).view(np.int64)
+            return pa.RecordBatch.from_pydict({"shingle": pa.array(keys), "held": pa.array(list(total.values()), pa.int64())})
+
         for b in batches:
             for text in utf8(b["text"]):
-                total.update(filter(vocabulary.__contains__, words(text)))
-        yield pa.RecordBatch.from_pydict({"word": pa.array(list(total), pa.binary()), "n": pa.array(list(total.values()), pa.int64())})
-
-    counts = documents.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return Counter({bytes(r["word"]): r["n"] for r in counts.collect()})  # at most the vocabulary of one block
-
-
-def build_index(items: list[list[bytes]], counts: Counter) -> dict[bytes, list[tuple[int, int, int, int]]]:
-    """word -> (item, place of the word, first and last start of the windows in which it is the rarest word)."""
-    spots: dict[tuple[int, int], list[int]] = {}
-    for i, item in enumerate(items):
-        size = min(WINDOW, len(item))
-        for start in range(len(item) - size + 1) if item else ():
-            place = min(range(start, start + size), key=lambda q: (counts[item[q]], item[q], q))
-            spots.setdefault((i, place), []).append(start)
-    index: dict[bytes, list[tuple[int, int, int, int]]] = {}
-    for (i, place), starts in spots.items():
-        index.setdefault(items[i][place], []).append((i, place, starts[0], starts[-1]))
-    return index
-
-
-def occurrences(text: list[bytes], items: list[list[bytes]], index: dict[bytes, list[tuple[int, int, int, int]]]) -> list[tuple[int, int, int]]:
-    """(item, start, end) of the runs of document words that equal a run of item words of a window's length or more."""
-    n, found = len(text), []
-    seen: dict[tuple[int, int], int] = {}  # by item and offset: how far it is verified
-    for p in [p for p, w in enumerate(text) if w in index]:
-        for i, q, first, last in index[text[p]]:
-            item = items[i]
-            size = min(WINDOW, len(item))
-            if p < q - last or p - q + first + size > n or seen.get((i, p - q), -1) > p:
-                continue
-            a = p
-            while a > 0 and a - p + q > 0 and text[a - 1] == item[a - 1 - p + q]:
-                a -= 1
-            b = p + 1
-            while b < n and b - p + q < len(item) and text[b] == item[b - p + q]:
-                b += 1
-            seen[i, p - q] = b
-            if b - a >= size:
-                found.append((i, a, b))
-    return found
-
-
-def covered(runs: list[tuple[int, int]]) -> int:
-    total = end = 0
-    for a, b in sorted(runs):
-        total += max(0, b - max(a, end))
-        end = max(end, b)
-    return total
+                h = hashes.of(words(text))
+                for size in sizes:
+                    runs = hashes.runs(h, size)
+                    total.update(runs[in_map(bits.value, runs)].tolist())
+                if len(total) > MOST_COUNTS:
+                    yield out()
+                    total.clear()
+        yield out()
 
+    counts = documents.select("text").mapInArrow(run, "shingle long, held long").groupBy("shingle").agg(F.sum("held").alias("held"))
+    return counts.hint("merge").join(shingles, "shingle")
 
-def contaminated() -> Column:
-    return (F.col("_n_hit") > 0) & (20 * F.col("_n_hit") >= F.col("_n_words"))
 
+def rarest(shingles: DataFrame, counts: DataFrame) -> DataFrame:
+    """(shingle, item, place, first, last, size): windows of size words by their rarest shingle; first and last of the starts of an item's windows that have the same one.
 
-def match(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """documents with _n_words, _n_hit and _items (sorted ids of the items with occurring windows); columns of these names go."""
-    own = [f.name for f in documents.schema if f.name not in ("_runs", "_items", "_n_words", "_n_hit")]
-    documents = documents.select(*[f"`{c}`" for c in own])
-    bench = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), "text").where("text is not null")
-    size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = math.ceil(size / BLOCK_BYTES) or 1
-    out = documents.withColumns({"_runs": F.lit(None).cast(RUNS), "_items": F.array().cast("array<string>"), "_n_words": F.lit(0).cast("long"), "_n_hit": F.lit(0).cast("long")})
-    for block in range(blocks):
-        rows = bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).collect()  # about BLOCK_BYTES
-        out = match_block(out, documents, [r["item"] for r in rows], [words(r["text"].encode()) for r in rows])
-    return out.drop("_runs")
-
-
-def match_block(out: DataFrame, documents: DataFrame, names: list[str], items: list[list[bytes]]) -> DataFrame:
-    index = build_index(items, vocabulary_counts(documents, set().union(*items)))
-    schema = T.StructType([*out.schema.fields])
+    Windows whose rarest shingle no document has are left out.
+    """
+    told = shingles.hint("merge").join(counts, "shingle", "left").withColumn("held", F.coalesce("held", F.lit(0)))
+    size = F.least(F.col("n"), F.lit(WINDOW))
+    ahead = Window.partitionBy("item").orderBy("place").rowsBetween(0, WINDOW - SHINGLE)
+    least = told.withColumn("least", F.min(F.struct("held", "shingle", "place")).over(ahead)).withColumn("size", size)
+    windows = least.where(F.col("place") <= F.col("n") - F.col("size")).where("least.held > 0")
+    at = windows.groupBy("item", "size", F.col("least.shingle").alias("shingle"), F.col("least.place").alias("key_place"))
+    return at.agg(F.min("place").alias("first"), F.max("place").alias("last")).withColumnRenamed("key_place", "place")
+
+
+def keyed(documents: DataFrame) -> list[Column]:
+    """What tells rows apart, for rows that differ: a hash, and the id."""
+    return [F.xxhash64(F.col("doc_id").cast("string"), "text").alias("key"), F.col("doc_id").cast("string").alias("own")]
+
+
+def places(documents: DataFrame, keys: DataFrame, sizes: list[int]) -> DataFrame:
+    """(key, own, shingle, at, low, around) of each place in documents that may have one of keys: word number at, and the words from low on that its windows can have."""
+    bits = documents.sparkSession.sparkContext.broadcast(bit_map(keys, "shingle"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for b in batches:
-            told: dict[str, list] = {"_runs": [], "_items": [], "_n_words": [], "_n_hit": []}
-            for text, runs, old in zip(utf8(b["text"]), b["_runs"].to_pylist(), b["_items"].to_pylist(), strict=True):
-                found = occurrences(own := words(text), items, index)
-                merged = [(r["start"], r["end"]) for r in runs or ()] + [(s, e) for _, s, e in found]
-                told["_runs"].append([{"start": s, "end": e} for s, e in merged])
-                told["_items"].append(sorted({*old, *(names[i] for i, _, _ in found)}))
-                told["_n_words"].append(len(own))
-                told["_n_hit"].append(covered(merged))
-            columns = [pa.array(told[f.name], f.type) if f.name in told else c for f, c in zip(b.schema, b.columns, strict=True)]
-            yield pa.RecordBatch.from_arrays(columns, b.schema.names)
+            rows: list[tuple] = []
+            for i, text in enumerate(utf8(b["text"])):
+                own = words(text)
+                h = hashes.of(own)
+                for size in sizes:
+                    runs = hashes.runs(h, size)
+                    for at in np.flatnonzero(in_map(bits.value, runs)).tolist():
+                        low = max(0, at + size - WINDOW)
+                        rows.append((i, int(runs[at].view(np.int64)), at, low, b" ".join(own[low : at + WINDOW])))
+                if len(rows) >= BATCH:
+                    yield given(b, rows)
+                    rows = []
+            yield given(b, rows)
+
+    def given(b: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
+        i = pa.array([r[0] for r in rows], pa.int64())
+        told = [pa.array([r[k] for r in rows], kind) for k, kind in ((1, pa.int64()), (2, pa.int64()), (3, pa.int64()), (4, pa.binary()))]
+        return pa.RecordBatch.from_arrays([b["key"].take(i), b["own"].take(i), *told], ["key", "own", "shingle", "at", "low", "around"])
+
+    return documents.select(*keyed(documents), "text").mapInArrow(run, "key long, own string, shingle long, at long, low long, around binary")
+
+
+def runs_of(around: list[bytes], low: int, at: int, item: list[bytes], first: int, last: int, place: int, size: int) -> list[tuple[int, int]]:
+    """From and to of the document words that are hit by the windows from first to last, of which item has the words from first on."""
+    out: list[tuple[int, int]] = []
+    for start in range(first, last + 1):
+        a = at - place + start - low  # where the window would begin in around
+        if a < 0 or a + size > len(around) or around[a : a + size] != item[start - first : start - first + size]:
+            continue
+        if out and out[-1][1] >= a + low:
+            out[-1] = (out[-1][0], a + low + size)
+        else:
+            out.append((a + low, a + low + size))
+    return out
+
+
+def verified(candidates: DataFrame) -> DataFrame:
+    """(key, own, item, start, end) of the document words that occurring windows hit."""
 
-    return out.mapInArrow(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found: list[tuple] = []
+            columns = [b[c].to_pylist() for c in ("around", "low", "at", "words", "first", "last", "place", "size")]
+            for i, (around, low, at, item, *rest) in enumerate(zip(*columns, strict=True)):
+                found += [(i, x, y) for x, y in runs_of(around.split(), low, at, item.split(), *rest)]
+            i = pa.array([f[0] for f in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([b["key"].take(i), b["own"].take(i), b["item"].take(i), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int64())], ["key", "own", "item", "start", "end"])
+
+    return candidates.mapInArrow(run, "key long, own string, item string, start long, end long")
+
+
+def item_words(items: DataFrame) -> DataFrame:
+    """(item, words): the words of items (item, text), space between."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b["item"], pa.array([b" ".join(words(t)).decode() for t in utf8(b["text"])], pa.string())], ["item", "words"])
+
+    return items.mapInArrow(run, "item string, words string")
+
+
+def hits(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(key, own, n_hit, items) of each document with an occurring window; items are sorted ids."""
+    bench = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("id"), F.md5(F.col("text").cast("binary")).alias("item"), "text").where("text is not null")
+    texts = stage(bench.groupBy("item").agg(F.first("text").alias("text")), "bench-texts")
+    owners = stage(bench.select("item", "id").distinct(), "bench-owners")
+    shingles = stage(item_shingles(texts), "bench-shingles")
+    distinct = stage(shingles.select("shingle").distinct(), "bench-distinct")
+    sizes = sorted({min(r["n"], SHINGLE) for r in shingles.select(F.least("n", F.lit(SHINGLE)).alias("n")).distinct().collect()})
+    counts = stage(counted(documents, distinct, sizes), "bench-counts")
+    spans = rarest(shingles, counts)
+    own = F.slice(F.split("words", " "), (F.col("first") + 1).cast("int"), (F.col("last") - F.col("first") + F.col("size")).cast("int"))
+    keys = spans.join(item_words(texts).hint("merge"), "item").withColumn("words", F.array_join(own, " ").cast("binary"))
+    keys = stage(keys, "bench-keys")
+    found = stage(places(documents, keys.select("shingle").distinct(), sizes), "bench-places")
+    candidates = found.distinct().join(keys.hint("merge"), "shingle")
+    runs = stage(verified(candidates).distinct(), "bench-runs")
+    where = runs.select("key", "own", F.explode(F.sequence("start", F.col("end") - 1)).alias("at")).distinct()
+    n_hit = where.groupBy("key", "own").agg(F.count("*").alias("n_hit"))
+    named = runs.select("key", "own", "item").distinct().hint("merge").join(owners, "item").select("key", "own", "id").distinct()
+    items = named.groupBy("key", "own").agg(F.array_sort(F.collect_list("id")).alias("items"))
+    both = [x.withColumn("at", F.struct("key", F.coalesce("own", F.lit("")).alias("own"), F.col("own").isNull().alias("lost"))).drop("key", "own") for x in (n_hit, items)]
+    return stage(both[0].hint("merge").join(both[1], "at").select("at", F.col("at.key").alias("key"), "n_hit", "items"), "bench-hits")
+
+
+def contaminated() -> Column:
+    return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
+
+
+def match(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """row (a struct of all columns of documents), n_words, n_hit and items (sorted ids of the items with occurring windows) of each row of documents (doc_id, text)."""
+    found = hits(documents, benchmark)
+    key, own = keyed(documents)
+    rows = documents.select(F.struct("*").alias("row"), key, own, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
+    marked = possible(rows, found.select("key"), "key")
+    none = [F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items")]
+    far = marked.where("not _may").select("row", "n_words", *none)
+    at = F.struct("key", F.coalesce("own", F.lit("")).alias("own"), F.col("own").isNull().alias("lost"))
+    near = marked.where("_may").withColumn("at", at).select("row", "n_words", "at").join(found.drop("key").hint("merge"), "at", "left")
+    return far.unionByName(near.select("row", "n_words", F.coalesce("n_hit", none[0]).alias("n_hit"), F.coalesce("items", none[1]).alias("items")))
 
 
 def items_sha256() -> Column:
-    return F.sha2(F.array_join("_items", ",").cast("binary"), 256)
+    return F.sha2(F.array_join("items", ",").cast("binary"), 256)
 
 
 by_value(__name__)

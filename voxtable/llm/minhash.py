@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxtable.llm.common import attach, by_value, possible, stage, utf8
+from voxtable.llm.common import STEP, WordHashes, attach, by_value, mixed, possible, stage, utf8
 from voxtable.llm.components import components
 
 SHINGLE = 5
@@ -36,42 +36,18 @@ HASHES = ROWS * BANDS
 AGREE = 0.55
 #: Members of a block, of which two meet in a task.
 BLOCK = 512
-#: Words whose hashes a task remembers, and shingles that are hashed at once.
-WORDS, PIECE = 200_000, 1_024
+#: Shingles that are hashed at once.
+PIECE = 1_024
 #: The multiplier (odd) and the summand of each hash, 32 bits each.
 MULTIPLIERS = np.random.RandomState(20).randint(0, 1 << 31, (2, HASHES), dtype=np.uint32) * np.uint32(2) + np.uint32(1)  # noqa: NPY002
-STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-class Shingler:
+class Shingler(WordHashes):
     """Texts to sorted distinct 64-bit shingle hashes."""
 
-    def __init__(self) -> None:
-        self.known: dict[bytes, int] = {}
-
-    def word(self, w: bytes) -> int:
-        if len(self.known) >= WORDS:
-            self.known.clear()
-        self.known[w] = h = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
-        return h
-
     def shingles(self, text: bytes) -> np.ndarray:
-        words = text.lower().split()
-        if not words:
-            return np.zeros(0, np.uint64)
-        get, learn = self.known.get, self.word
-        h = np.array([get(w) or learn(w) for w in words], np.uint64)
-        size = min(SHINGLE, len(h))
-        total = np.full(len(h) - size + 1, np.uint64(size))
-        for k in range(size):
-            total = mixed(total * STEP + h[k : k + len(total)]) if k else total * STEP + h[: len(total)]
-        return np.unique(mixed(total))
+        h = self.of(text.lower().split())
+        return np.unique(self.runs(h, min(SHINGLE, len(h)))) if len(h) else h
 
 
 def minima(shingles: np.ndarray, room: np.ndarray | None = None) -> np.ndarray:

@@ -44,7 +44,8 @@ def op3_warc_boundary_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_prefix_filtered_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.match(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_hit").alias("n_hit"), F.size("_items").cast("long").alias("n_items"), decontaminate.items_sha256().alias("items_sha256"), decontaminate.contaminated().alias("contaminated"))
+    told = [F.size("items").cast("long").alias("n_items"), decontaminate.items_sha256().alias("items_sha256"), decontaminate.contaminated().alias("contaminated")]
+    return found.select("row.doc_id", "n_words", "n_hit", *told)
 
 
 def op5_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
