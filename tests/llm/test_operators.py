@@ -128,6 +128,52 @@ def test_guess_cost():
         assert cost(value) <= len(value) * secrets.alphabet(value) + 1e-9
 
 
+def every_cost(value, ranks, each, known):
+    """The cheapest of all segmentations, tried one by one."""
+    if value not in known:
+        low, n = value.lower(), len(value)
+        options = [n * each]
+        options += [c for j, c in secrets.parts_from(value, low, 0, ranks, 20) if j == n]
+        options += [every_cost(value[:p], ranks, each, known) + np.log10(n // p) for p in range(1, n // 2 + 1) if n % p == 0 and low == low[:p] * (n // p)]
+        options += [every_cost(value[:k], ranks, each, known) + secrets.PART + every_cost(value[k:], ranks, each, known) for k in range(1, n)]
+        known[value] = min(options)
+    return known[value]
+
+
+def test_guess_cost_is_the_minimum():
+    r = random.Random(11)
+    ranks = {"ab": 3, "pass": 1, "cat": 7}
+    for _ in range(250):
+        value = "".join(r.choice(("a", "b", "ab", "pass", "cat", "qwe", "1", "2", "19", "P", "@", "x", "x")) for _ in range(r.randint(1, 6)))[:9]
+        assert secrets.guess_cost(value, ranks) == pytest.approx(every_cost(value, ranks, secrets.alphabet(value), {})), value
+        assert (secrets.guess_cost(value, ranks, 4.0) >= 4.0) == (secrets.guess_cost(value, ranks) >= 4.0), value
+
+
+def test_longer_repeats_do_not_look_safer():
+    cost = secrets.guess_cost
+    assert cost("abq" * 10) < cost("abq" * 4) + 1 and cost("k7m2p" * 2) < cost("k7m2p") + 0.5
+    assert cost("passwordrtyui") < cost("password") + 4.5
+    for value in ("ab" * 3000 + "X9$k", "x" * 4000, "Zq8$" + "7" * 3000, "".join(random.Random(1).choice("abcdefXYZ0189+/") for _ in range(50_000))):
+        assert secrets.guess_cost(value, None, secrets.THRESHOLD) >= 0
+
+
+def test_words_of_the_corpus_are_cheap(spark):
+    rows = [(i, "correct horse battery staple and more", None, "k") for i in range(20)] + [(99, "password: correcthorsebattery", 1, "k"), (100, "password: xqzjvkwpqzjx", 1, "k"), (100, "password: xqzjvkwpqzjx", 1, "k"), (None, None, 1, "k")]
+    out = [(r.doc_id, r.n_guess) for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, n_hex int, spans string")).collect() if r.doc_id is None or r.doc_id > 50]
+    assert sorted(out, key=str) == [(100, 1), (100, 1), (99, 0), (None, 0)]
+
+
+def test_base_spans_are_those_of_sql(spark, sf_dir):
+    from tests.compare import connect
+
+    sql = r"""SELECT doc_id,
+      len(list_filter(regexp_extract_all(coalesce(text, ''), '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 8)) AS n_assign,
+      len(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]{12,}')) AS n_access, len(regexp_extract_all(coalesce(text, ''), '[0-9a-f]{32,}')) AS n_hex FROM documents"""
+    want = sorted(connect(sf_dir).execute(sql).fetchall())
+    assert want
+    assert sorted((r.doc_id, r.n_assign, r.n_access, r.n_hex) for r in queries.op2_guess_cost_secrets(spark, sf_dir).collect()) == want
+
+
 PAGES = "page_id long, url string, html string"
 
 
@@ -135,7 +181,7 @@ def test_warc(spark, monkeypatch):
     r = random.Random(4)
     inner = warc.encode_record(7, "http://x/", b"inner", None, False).decode()
     bodies = ["<p>one</p>", None, "", "é" * 3000, inner * 3, "WARC/1.0\r\nContent-Length: 5\r\n\r\nabcde\r\n\r\n", "WARC/1.0\r\n", *("".join(r.choice("abc\r\n") for _ in range(r.randint(0, 400))) for _ in range(40))]
-    given = [(i, f"http://h/{i} é", r.choice(bodies)) for i in range(300)] + [(300, None, "<p>one</p>"), (None, "u", "alone"), (None, "u", "<p>one</p>")]
+    given = [(i, f"http://h/{i} é", r.choice(bodies)) for i in range(300)] + [(300, None, "<p>one</p>"), (None, "u", "alone"), (None, "u", "<p>one</p>"), (300, "tie", "<p>one</p>"), (301, "m", "WARC/1.0\r\n" * 500)]
     monkeypatch.setattr(warc, "ROLL_BYTES", 20_000)
     monkeypatch.setattr(warc, "RANGE_BYTES", 700)
     out = warc.round_trip(spark.createDataFrame(given, PAGES).repartition(3)).collect()
@@ -239,10 +285,38 @@ def test_toxicity(spark):
     swapped = model.score(spark.createDataFrame([("muslim w1",), ("jewish w1",)], "text string"), "text", "s").collect()
     plain = toxicity.fit(toxicity.training_rows(documents, labels), kinds=())
     biased = plain.score(spark.createDataFrame([("muslim w1",), ("jewish w1",)], "text string"), "text", "s").collect()
+    neutral = documents.where(F.col("doc_id") % 3 == 0).join(labels.where("toxic = 0"), "doc_id").select("text").limit(60)
+    assert toxicity.mention_rate(model, neutral) <= toxicity.mention_rate(plain, neutral)
     change = lambda x: abs(np.log(x[0].s / (1 - x[0].s)) - np.log(x[1].s / (1 - x[1].s)))
     assert change(swapped) < 0.5 * change(biased)
 
 
+def test_toxicity_of_odd_rows(spark, monkeypatch):
+    """Very long, repeated and empty texts, names that clash, and a sample that stays bounded where ids repeat."""
+    monkeypatch.setattr(toxicity, "SAMPLE_ROWS", 100)
+    texts = [(1, f"fine words w{i} here") for i in range(400)] + [(2, f"idiot scum w{i}") for i in range(50)] + [(4, "long " * 50_000), (4, "long " * 50_000), (None, "lost"), (7, "")]
+    documents = spark.createDataFrame([(*r, 1, 2.0, 3) for r in texts], "doc_id long, text string, row int, score double, vector int")
+    train = toxicity.training_rows(documents, spark.createDataFrame([(1, 0), (1, 0), (2, 1), (2, None), (None, 1)], "doc_id long, toxic int"))
+    assert 0 < train.count() < 250 and train.agg(F.max("weight")).first()[0] == 2.0
+    out = toxicity.fit(train).score(documents, "text", "score")
+    assert sorted(out.columns) == sorted(documents.columns) and out.count() == len(texts)
+    assert out.where("score is null or score < 0 or score > 1").count() == 0
+
+
+def test_fit_is_a_logistic_regression(spark):
+    """Without names, against a plain proximal-gradient fit of the same loss."""
+    rows = [("a b", 0.0), ("a c", 0.0), ("b c", 1.0), ("c", 1.0), ("a", 0.0), ("b", 1.0), ("a b c", 1.0)] * 5
+    model = toxicity.fit(spark.createDataFrame([(*r, 1.0) for r in rows], "text string, label double, weight double"), kinds=())
+    x = np.array([[w in t.split() for w in "abc"] for t, _ in rows], float)
+    y, w, b = np.array([v for _, v in rows]), np.zeros(3), 0.0
+    for _ in range(200_000):
+        p = 1 / (1 + np.exp(-(x @ w + b))) - y
+        w, b = w - 0.5 * x.T @ p / len(y), b - 0.5 * p.mean()
+        w = np.sign(w) * np.maximum(np.abs(w) - 0.5 * toxicity.PENALTY, 0)
+    told = [r.s for r in model.score(spark.createDataFrame([(t,) for t, _ in rows[:7]], "text string"), "text", "s").collect()]
+    assert np.abs(np.array(told) - 1 / (1 + np.exp(-(x @ w + b)[:7]))).max() < 0.05
+
+
 def test_toxicity_without_labels(spark, nothing):
     none = toxicity.fit(toxicity.training_rows(nothing, spark.createDataFrame([], "doc_id long, toxic int")))
     assert none.score(nothing, "text", "s").count() == 0

@@ -39,7 +39,7 @@ def op2_guess_cost_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc_boundary_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.round_trip(table(spark, sf_dir, "pages"), html=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op4_prefix_filtered_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

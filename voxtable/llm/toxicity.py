@@ -1,8 +1,9 @@
 """A toxicity classifier that is regularised by counterfactuals, from Spark ML parts.
 
 Features are which words a text has; the model is a logistic regression with an L1 penalty, so that words without evidence weigh
-nothing and long texts do not add up noise. Counterfactual term: wherever a labelled sentence names a group, the name is
-swapped for each other name of its kind, and the change of the score is penalised. As the model is linear in the words, the
+nothing and long texts do not add up noise. Counterfactual term: names of groups are put into labelled texts, one into each, chosen by the
+text's hash, so that every name is met with either label whatever the corpus says of it; and wherever a labelled sentence names a
+group, by itself or so, the name is swapped for each other name of its kind, and the change of the score is penalised. As the model is linear in the words, the
 change is the difference of two weights whatever the rest of the sentence, so swaps enter the fit as rows whose only
 features are -1 for the old and +1 for the new name, once with either label: their joint loss is log cosh of half the change, up to
 a constant. They share a word that no text has, whose weight undoes the intercept for them. Names of groups thus get equal
@@ -34,8 +35,10 @@ MIN_DOCUMENTS, VOCABULARY = 3, 1 << 16
 PENALTY, ROUNDS = 2e-5, 60
 #: Weight of a swap against that of a document, and of each pair of names without any sentence.
 SWAP_WEIGHT, SWAP_PRIOR = 1.0, 1.0
+#: Weight of a text with a name put in against that of the text itself.
+NAMED_WEIGHT = 0.5
 THRESHOLD = 0.5
-#: Names of groups, by kind; names are swapped within a kind.
+#: Names of groups in English, German, French and Spanish, by kind; names are swapped within a kind.
 IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
     ("christian", "muslim", "jewish", "hindu", "buddhist", "atheist", "catholic", "protestant", "sikh"),
     ("black", "white", "asian", "latino", "hispanic", "african", "european", "arab", "indigenous"),
@@ -44,11 +47,18 @@ IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
     ("american", "chinese", "indian", "mexican", "german", "french", "spanish", "russian", "turkish"),
     ("blind", "deaf", "disabled", "paralyzed", "autistic"),
     ("old", "young", "elderly", "teenage"),
+    ("christ", "muslim", "jude", "hindu", "buddhist", "atheist"),
+    ("amerikaner", "chinese", "inder", "türke", "russe", "franzose", "deutscher"),
+    ("schwul", "lesbisch", "hetero"),
+    ("chrétien", "musulman", "juif", "hindou", "bouddhiste", "athée"),
+    ("américain", "chinois", "indien", "turc", "russe", "français", "allemand"),
+    ("cristiano", "musulmán", "judío", "hindú", "budista", "ateo"),
+    ("americano", "chino", "indio", "turco", "ruso", "francés", "alemán"),
+    ("homme", "femme"), ("hombre", "mujer"), ("mann", "frau"),
 )
-WORDS, VECTOR, RAW, PROBABILITY, GUESS = "_tox_words", "_tox_vector", "_tox_raw", "_tox_probability", "_tox_guess"
+WORDS, VECTOR, RAW, PROBABILITY, GUESS, ROW, TEXT = "words", "vector", "raw", "probability", "guess", "row", "text"
 #: The word that only swaps have.
 SWAP = "\x01"
-SENTENCE = r"[.!?\n]+"
 
 
 def words_of(text: str) -> Column:
@@ -60,23 +70,37 @@ def is_held_out(doc_id: str = "doc_id") -> Column:
 
 
 def training_rows(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """text and label of the sample. Its ids are broadcast, by the bound; texts stay where they are."""
+    """text, label and weight of the sample: some SAMPLE_ROWS rows, whatever repeats in either table. Its ids are broadcast, by the bound; texts stay where they are."""
     known = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("double").alias("label")).where("label is not null and doc_id is not null")
-    known = known.where(~is_held_out())
-    n = known.count()
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < F.lit(int((1 << 40) * min(1.0, SAMPLE_ROWS / max(n, 1))))
-    return documents.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(known.where(part)), "doc_id").select("text", "label")
-
-
-def swap_rows(train: DataFrame, vocabulary: CountVectorizerModel, kinds: Sequence[Sequence[str]]) -> list[tuple]:
-    """(vector, label, weight) of the swaps of every ordered pair of names that are both features."""
+    known = known.where(~is_held_out()).groupBy("doc_id", "label").agg(F.count("*").cast("double").alias("weight"))
+    known = stage(known, "tox-labels")
+    part = lambda n, *by: F.pmod(F.xxhash64(*by), F.lit(1 << 40)) < F.lit(int((1 << 40) * min(1.0, SAMPLE_ROWS / max(n, 1))))
+    chosen = known.where(part(known.count(), "doc_id"))
+    found = documents.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id")
+    n = found.count()
+    if n > 1.2 * SAMPLE_ROWS:  # ids repeat in documents
+        found = found.where(part(n, "text", F.monotonically_increasing_id()))
+    return found.select("text", "label", "weight")
+
+
+def with_names(tokens: DataFrame, kinds: Sequence[Sequence[str]]) -> DataFrame:
+    """tokens (label, weight, words), and each again with one of the names among its words."""
+    names = list(dict.fromkeys(t for kind in kinds for t in kind))
+    if not names:
+        return tokens
+    name = F.element_at(F.array(*map(F.lit, names)), (F.pmod(F.xxhash64(WORDS, F.lit("name")), F.lit(len(names))) + 1).cast("int"))
+    put = tokens.withColumns({WORDS: F.array_append(WORDS, name), "weight": F.col("weight") * NAMED_WEIGHT})
+    return tokens.unionByName(put)
+
+
+def swap_rows(named: DataFrame, vocabulary: CountVectorizerModel, kinds: Sequence[Sequence[str]]) -> list[tuple]:
+    """(vector, label, weight) of the swaps of every ordered pair of names of a kind. named (label, weight, words): a swap weighs as much as the rows with its old name."""
     names = [t for kind in kinds for t in kind]
-    sentences = train.select(F.explode(F.split(F.lower("text"), SENTENCE)).alias("s")).select(F.array_distinct(F.split("s", r"[^\p{L}]+")).alias("w"))
-    named = sentences.select(F.explode(F.array_intersect("w", F.array(*map(F.lit, names)))).alias("w")).groupBy("w").count().collect()
-    count, at = {r["w"]: r["count"] for r in named}, {w: i for i, w in enumerate(vocabulary.vocabulary)}
+    met = named.select("weight", F.explode(F.array_intersect(WORDS, F.array(*map(F.lit, names)))).alias("w")).groupBy("w").agg(F.sum("weight").alias("n")).collect() if names else []
+    count, at = {r["w"]: r["n"] for r in met}, {w: i for i, w in enumerate(vocabulary.vocabulary)}
     rows = []
     for kind in kinds:
-        for old, new in permutations([t for t in kind if t in at], 2):
+        for old, new in permutations(kind, 2):
             change = Vectors.sparse(len(at), {at[old]: -1.0, at[new]: 1.0, at[SWAP]: 1.0})
             rows += [(change, label, SWAP_WEIGHT * (count.get(old, 0) + SWAP_PRIOR)) for label in (0.0, 1.0)]
     return rows
@@ -90,28 +114,43 @@ class Model:
 
     def score(self, documents: DataFrame, text: str, score: str) -> DataFrame:
         """documents with a column score between 0 and 1."""
+        kept = [F.col(f"{ROW}.`{c}`") for c in documents.columns if c != score]
+        rows = documents.select(F.struct("*").alias(ROW), F.col(text).alias(TEXT))
         if self.vocabulary is None:
-            return documents.withColumn(score, F.lit(self.constant))
-        counted = self.vocabulary.transform(documents.withColumn(WORDS, words_of(text))).drop(WORDS)
-        told = self.regression.transform(counted)
-        return told.withColumn(score, vector_to_array(PROBABILITY)[1]).drop(VECTOR, RAW, PROBABILITY, GUESS)
+            return rows.select(*kept, F.lit(self.constant).alias(score))
+        counted = self.vocabulary.transform(rows.withColumn(WORDS, words_of(TEXT))).drop(WORDS)
+        return self.regression.transform(counted).select(*kept, vector_to_array(PROBABILITY)[1].alias(score))
 
     def weights(self) -> dict[str, float]:
         return {w: x for w, x in zip(self.vocabulary.vocabulary, self.regression.coefficients.toArray(), strict=True) if x}
 
 
 def fit(train: DataFrame, kinds: Sequence[Sequence[str]] = IDENTITY_TERMS) -> Model:
-    """A model from rows (text, label)."""
+    """A model from rows (text, label, weight)."""
     train = stage(train, "tox-train")
     ends = train.agg(F.avg("label"), F.min("label"), F.max("label")).first()
     if ends[1] == ends[2]:
         return Model(None, None, float(ends[0] or 0.0))
-    tokens = train.select("label", words_of("text").alias(WORDS))
+    tokens = stage(train.select("label", "weight", F.array_distinct(words_of("text")).alias(WORDS)), "tox-tokens")
     found = CountVectorizer(inputCol=WORDS, outputCol=VECTOR, minDF=MIN_DOCUMENTS, vocabSize=VOCABULARY, binary=True).fit(tokens).vocabulary
-    vocabulary = CountVectorizerModel.from_vocabulary([*found, SWAP], inputCol=WORDS, outputCol=VECTOR).setBinary(True)
-    vectors = vocabulary.transform(tokens).select(VECTOR, "label", F.lit(1.0).alias("weight"))
-    if swaps := swap_rows(train, vocabulary, kinds):
+    names = [t for kind in kinds for t in kind]
+    vocabulary = CountVectorizerModel.from_vocabulary([*dict.fromkeys([*found, *names]), SWAP], inputCol=WORDS, outputCol=VECTOR).setBinary(True)
+    named = with_names(tokens, kinds)
+    vectors = vocabulary.transform(named).select(VECTOR, "label", "weight")
+    if swaps := swap_rows(named, vocabulary, kinds):
         schema = T.StructType([T.StructField(VECTOR, VectorUDT()), T.StructField("label", T.DoubleType()), T.StructField("weight", T.DoubleType())])
         vectors = vectors.unionByName(train.sparkSession.createDataFrame(swaps, schema))
-    regression = LogisticRegression(featuresCol=VECTOR, labelCol="label", weightCol="weight", rawPredictionCol=RAW, probabilityCol=PROBABILITY, predictionCol=GUESS, standardization=False, regParam=PENALTY, elasticNetParam=1.0, maxIter=ROUNDS)
+    regression = LogisticRegression(
+        featuresCol=VECTOR, labelCol="label", weightCol="weight", rawPredictionCol=RAW, probabilityCol=PROBABILITY, predictionCol=GUESS,
+        standardization=False, regParam=PENALTY, elasticNetParam=1.0, maxIter=ROUNDS,
+    )
     return Model(vocabulary, regression.fit(vectors))
+
+
+def mention_rate(model: Model, documents: DataFrame, kinds: Sequence[Sequence[str]] = IDENTITY_TERMS) -> float:
+    """Part of the clean documents (text) that a name of a group put into them makes toxic, over all names: false positives on neutral mentions."""
+    clean = model.score(documents.select("text"), "text", "before").where(F.col("before") < THRESHOLD)
+    names = F.array(*[F.lit(t) for kind in kinds for t in kind])
+    named = clean.select("text", F.explode(names).alias("name")).select(F.concat_ws(" ", "text", "name").alias("text"))
+    told = model.score(named, "text", "after")
+    return told.agg(F.avg((F.col("after") >= THRESHOLD).cast("double"))).first()[0] or 0.0

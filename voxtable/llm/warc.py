@@ -38,21 +38,22 @@ RANGE_BYTES = 4 << 20
 TASK_BYTES = 32 << 20
 
 
-def record_id(page_id: int | None) -> bytes:
-    return b"<urn:page:%s>" % (b"none" if page_id is None else b"%d" % page_id)
+def record_id(page_id: int | None, copy: str = "") -> bytes:
+    """The id of the response of a page, or with copy of another record of it."""
+    return b"<urn:page:%s%s>" % (b"none" if page_id is None else b"%d" % page_id, f":{copy}".encode() if copy else b"")
 
 
 def page_of(value: bytes) -> int | None:
-    number = value[len(b"<urn:page:") : -1]
+    number = value[len(b"<urn:page:") : -1].partition(b":")[0]
     return None if number == b"none" else int(number)
 
 
-def encode_record(page_id: int | None, url: str | None, payload: bytes, original: int | None, revisit: bool) -> bytes:
-    """One record, its two closing line ends included."""
+def encode_record(page_id: int | None, url: str | None, payload: bytes, original: int | None, revisit: bool, copy: str = "") -> bytes:
+    """One record, its two closing line ends included. copy tells it apart from other records of the page."""
     digest = base64.b32encode(hashlib.sha1(payload).digest())
     target = re.sub(rb"[\x00-\x20\x7f]", lambda m: b"%%%02X" % m[0][0], (url or "").encode())
     block = HTTP + b"Content-Length: %d\r\n\r\n" % len(payload) + (b"" if revisit else payload)
-    lines = [b"WARC-Type: " + (b"revisit" if revisit else b"response"), b"WARC-Record-ID: " + record_id(page_id), b"WARC-Date: 1970-01-01T00:00:00Z", b"WARC-Target-URI: " + target, b"WARC-Payload-Digest: sha1:" + digest, b"X-Payload-Length: %d" % len(payload)]
+    lines = [b"WARC-Type: " + (b"revisit" if revisit else b"response"), b"WARC-Record-ID: " + record_id(page_id, copy if revisit or page_id is None else ""), b"WARC-Date: 1970-01-01T00:00:00Z", b"WARC-Target-URI: " + target, b"WARC-Payload-Digest: sha1:" + digest, b"X-Payload-Length: %d" % len(payload)]
     if revisit:
         lines += [b"WARC-Refers-To: " + record_id(original), b"WARC-Profile: " + PROFILE]
     lines += [b"Content-Type: application/http; msgtype=response", b"Content-Length: %d" % len(block)]
@@ -61,16 +62,24 @@ def encode_record(page_id: int | None, url: str | None, payload: bytes, original
 
 def header(head: bytes) -> dict[bytes, bytes] | None:
     """The named fields in lower case, or None if these are no record's. No length has over 18 digits."""
-    fields = {}
-    for line in head.split(b"\r\n")[1:]:
-        name, colon, value = line.partition(b":")
+    fields, at = {}, head.find(b"\r\n")
+    while at >= 0:  # line by line, as false ones end soon
+        stop = head.find(b"\r\n", at + 2)
+        name, colon, value = head[at + 2 : stop if stop >= 0 else len(head)].partition(b":")
         if not colon:
             return None
         fields[name.strip().lower()] = value.strip()
+        at = stop
     length = fields.get(b"content-length", b"")
     return fields if length.isdigit() and len(length.lstrip(b"0")) <= 18 and b"warc-type" in fields else None
 
 
+def header_end(data: bytes, at: int, stop: int) -> int:
+    """Where to stop reading a header that begins at at and should end at stop: before the next magic line, which no header has in it."""
+    following = data.find(b"\r\n" + MAGIC, at + len(MAGIC) - 2, stop)
+    return stop if following < 0 else following + len(MAGIC)
+
+
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """Writes pages (page_id, url, html) as archives and gives their (file, bytes).
 
@@ -94,14 +103,16 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
         store.create_dir(at)
         task = TaskContext.get()
         codec = pa.Codec("zstd")
-        out, file, size, done, number = None, "", 0, [], 0
+        out, file, size, done, number, count = None, "", 0, [], 0, 0
         for b in batches:
             for r in b.to_pylist():
                 if out is None:
                     file = f"{task.partitionId():06d}-{number:06d}-{task.taskAttemptId()}.warc"
                     out, size, number = store.open_output_stream(f"{at}/{file}"), 0, number + 1
                 revisit = r["original"] is not None and r["page_id"] != r["original"]
-                data = encode_record(r["page_id"], r["url"], codec.decompress(r["packed"], r["bytes"], asbytes=True), r["original"], revisit)
+                payload = codec.decompress(r["packed"], r["bytes"], asbytes=True)
+                data = encode_record(r["page_id"], r["url"], payload, r["original"], revisit, f"{task.partitionId()}-{count}")
+                count += 1
                 out.write(data)
                 size += len(data)
                 if size >= ROLL_BYTES:
@@ -134,15 +145,18 @@ def candidates(files: DataFrame, folder: str) -> DataFrame:
                 with store.open_input_file(f"{top}/{r['file']}") as f:
                     end = min(r["start"] + RANGE_BYTES, r["bytes"])
                     data = f.read_at(min(end + len(MAGIC) - 1, r["bytes"]) - r["start"], r["start"])
-                    at = data.find(MAGIC)
+                    at, stop = data.find(MAGIC), -1
                     while at >= 0:
-                        head = data[at : stop] if (stop := data.find(b"\r\n\r\n", at)) >= 0 else None
+                        if stop < at:  # an empty line serves all magic lines before it
+                            stop = data.find(b"\r\n\r\n", at)
+                        head = memoryview(data)[at:stop] if stop >= 0 else None
                         more = RANGE_BYTES
                         while head is None and r["start"] + len(data) < r["bytes"]:  # the header goes on beyond the range
                             data += f.read_at(min(more, r["bytes"] - r["start"] - len(data)), r["start"] + len(data))
-                            head = data[at : stop] if (stop := data.find(b"\r\n\r\n", at)) >= 0 else None
+                            stop = data.find(b"\r\n\r\n", max(at, len(data) - more - 4))
+                            head = memoryview(data)[at:stop] if stop >= 0 else None
                             more *= 2
-                        if r["start"] + at < end and head is not None and (fields := header(head)):
+                        if r["start"] + at < end and head is not None and (fields := header(bytes(head[: header_end(data, at, stop) - at]))):
                             following = r["start"] + stop + 4 + int(fields[b"content-length"].lstrip(b"0") or 0) + 4
                             if following <= r["bytes"]:
                                 found.append((r["start"] + at, following))
@@ -175,13 +189,14 @@ def chained(links: DataFrame, files: DataFrame) -> DataFrame:
     return records
 
 
-def read_records(records: DataFrame, files: DataFrame, folder: str) -> DataFrame:
-    """page_id, url, payload_bytes, payload_digest, record_type, refers_to and html (null in a revisit) of each record."""
+def read_records(records: DataFrame, files: DataFrame, folder: str, html: bool = True) -> DataFrame:
+    """page_id, url, payload_bytes, payload_digest, record_type, refers_to and html (null in a revisit, and in all where it is not wanted) of each record."""
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, html string"
+    kinds = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("html", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, top = fs.FileSystem.from_uri(folder)
-        f, file, base, data = None, None, 0, b""
+        f, file, base, data, held = None, None, 0, b"", 0
         for b in batches:
             rows = []
             for r in b.to_pylist():
@@ -196,21 +211,28 @@ def read_records(records: DataFrame, files: DataFrame, folder: str) -> DataFrame
                 fields = header(head)
                 payload = block[:-4].partition(b"\r\n\r\n")[2]
                 kind, digest = fields[b"warc-type"].decode(), fields[b"warc-payload-digest"].removeprefix(b"sha1:")
-                if kind == "response" and (base64.b32encode(hashlib.sha1(payload).digest()) != digest or len(payload) != int(fields[b"x-payload-length"])):
+                size = int(fields[b"x-payload-length"])
+                if kind == "response" and (base64.b32encode(hashlib.sha1(payload).digest()) != digest or len(payload) != size):
                     raise ValueError(f"the payload at {r['at']} of {file} does not have its digest")
-                rows.append({"page_id": page_of(fields[b"warc-record-id"]), "url": fields[b"warc-target-uri"].decode(), "payload_bytes": int(fields[b"x-payload-length"]), "payload_digest": digest.decode(), "record_type": kind, "refers_to": page_of(fields[b"warc-refers-to"]) if kind == "revisit" else None, "html": payload.decode() if kind == "response" else None})
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("html", pa.string())]))
+                text = payload.decode() if html and kind == "response" else None
+                refers = page_of(fields[b"warc-refers-to"]) if kind == "revisit" else None
+                rows.append({"page_id": page_of(fields[b"warc-record-id"]), "url": fields[b"warc-target-uri"].decode(), "payload_bytes": size, "payload_digest": digest.decode(), "record_type": kind, "refers_to": refers, "html": text})
+                held += len(record) if html else 0
+                if held >= RANGE_BYTES:  # what waits in a task has a bound in bytes, not in records
+                    yield pa.RecordBatch.from_pylist(rows, schema=kinds)
+                    rows, held = [], 0
+            yield pa.RecordBatch.from_pylist(rows, schema=kinds)
 
     near = records.withColumn("range", F.floor(F.col("at") / RANGE_BYTES)).repartition(tasks(files), "file", "range").sortWithinPartitions("file", "at")
     return near.select("file", "at", "next").mapInArrow(run, schema)
 
 
-def round_trip(pages: DataFrame) -> DataFrame:
+def round_trip(pages: DataFrame, html: bool = True) -> DataFrame:
     """Writes archives of pages (page_id, url, html) to the shared folder and reads every record back."""
     folder = new_path(pages.sparkSession, "warc")
     files = write_archives(pages, folder)
     links = stage(candidates(files, folder), "warc-candidates")
-    return read_records(chained(links, files), files, folder)
+    return read_records(chained(links, files), files, folder, html)
 
 
 by_value(__name__)
