@@ -1,7 +1,8 @@
 """A corpus pipeline over documents: toxic ones go, near-duplicates go, contaminated ones go, sources are mixed, and the rest becomes token files.
 
 Each stage works on all that the one before it kept, and its result is written as Parquet and read again. All but the
-last return the columns of documents. Rows that repeat a doc_id are judged alike. Empty tables pass through every stage.
+last return the columns of documents, under whatever names. Rows are judged each for itself, by id and text: rows that share an
+id but not a text, or have none, are not taken for one another, and of wholly repeated rows with words one stays. Empty tables pass through every stage.
 """
 
 from __future__ import annotations
@@ -17,19 +18,19 @@ from voxtable.llm.common import new_path
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that score below the threshold. Learns from labels outside the held-out fold, as op5 does."""
     model = toxicity.fit(toxicity.training_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    return model.score(docs, "text", "_tox_score").where(F.col("_tox_score") < toxicity.THRESHOLD).select(*docs.columns)
+    scored = model.score(docs.select(F.struct("*").alias("doc"), "text"), "text", "score")
+    return scored.where(F.col("score") < toxicity.THRESHOLD).select("doc.*")
 
 
 def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of near-duplicates, and every row without a doc_id."""
-    gone = minhash.near_duplicates(docs).where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_gone"))
-    return docs.hint("merge").join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    """Keeps one row of each group of near-duplicates, the one with the smallest doc_id, and every row without words."""
+    return minhash.one_of_each(docs)
 
 
 def decontamination_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that the benchmark does not contaminate."""
     found = decontaminate.match(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where(~decontaminate.contaminated()).select(*docs.columns)
+    return found.where(~decontaminate.contaminated()).select("row.*")
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +51,7 @@ STAGES = [
     ("token_files", token_output),
 ]
 
-#: No SQL trains a classifier or a tokenizer; the tests hold run() against brute-force versions of the stages.
+#: No SQL trains a classifier or applies a tokenizer; a test holds the rows of run() against brute-force versions of the stages.
 ORACLE_SQL = None
 
 
