@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 import sys
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -138,6 +141,27 @@ class WordHashes:
         return mixed(total)
 
 
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow, which gives memory back to the system when a task ends: the Python worker lives on and waits for the next."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return task
+
+
+def texts(b: pa.RecordBatch, column: str = "text", rows: int = 500) -> Iterator[bytes]:
+    """The bytes of a string column, null as empty, of which only some rows are Python objects at a time."""
+    for at in range(0, b.num_rows, rows):
+        yield from utf8(b[column].slice(at, rows))
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The bytes of a string column, null as empty."""
     return [v or b"" for v in column.cast(pa.binary()).to_pylist()]

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxtable.llm.common import WordHashes, bit_map, by_value, in_map, possible, stage, utf8
+from voxtable.llm.common import WordHashes, bit_map, by_value, in_map, possible, stage, texts, trimmed, utf8
 
 WINDOW, SHINGLE = 13, 3
 #: Counts that a task holds before it gives them on.
@@ -52,7 +52,7 @@ def item_shingles(items: DataFrame) -> DataFrame:
                 n = len(told)
                 yield pa.RecordBatch.from_pydict({"item": pa.array([item.as_py()] * n, pa.string()), "n": pa.array(np.full(n, len(h)), pa.int64()), "place": pa.array(np.arange(n), pa.int64()), "shingle": pa.array(told.view(np.int64), pa.int64())})
 
-    return items.mapInArrow(run, "item string, n long, place long, shingle long")
+    return items.mapInArrow(trimmed(run), "item string, n long, place long, shingle long")
 
 
 def counted(documents: DataFrame, shingles: DataFrame, sizes: list[int]) -> DataFrame:
@@ -67,7 +67,7 @@ def counted(documents: DataFrame, shingles: DataFrame, sizes: list[int]) -> Data
             return pa.RecordBatch.from_pydict({"shingle": pa.array(keys), "held": pa.array(list(total.values()), pa.int64())})
 
         for b in batches:
-            for text in utf8(b["text"]):
+            for text in texts(b):
                 h = hashes.of(words(text))
                 for size in sizes:
                     runs = hashes.runs(h, size)
@@ -77,8 +77,10 @@ def counted(documents: DataFrame, shingles: DataFrame, sizes: list[int]) -> Data
                     total.clear()
         yield out()
 
-    counts = documents.select("text").mapInArrow(run, "shingle long, held long").groupBy("shingle").agg(F.sum("held").alias("held"))
-    return counts.hint("merge").join(shingles, "shingle")
+    counts = documents.select("text").mapInArrow(trimmed(run), "shingle long, held long").groupBy("shingle").agg(F.sum("held").alias("held"))
+    out = stage(counts.hint("merge").join(shingles, "shingle"), "bench-counts")
+    bits.destroy()
+    return out
 
 
 def rarest(shingles: DataFrame, counts: DataFrame) -> DataFrame:
@@ -108,7 +110,7 @@ def places(documents: DataFrame, keys: DataFrame, sizes: list[int]) -> DataFrame
         hashes = WordHashes()
         for b in batches:
             rows: list[tuple] = []
-            for i, text in enumerate(utf8(b["text"])):
+            for i, text in enumerate(texts(b)):
                 own = words(text)
                 h = hashes.of(own)
                 for size in sizes:
@@ -126,7 +128,10 @@ def places(documents: DataFrame, keys: DataFrame, sizes: list[int]) -> DataFrame
         told = [pa.array([r[k] for r in rows], kind) for k, kind in ((1, pa.int64()), (2, pa.int64()), (3, pa.int64()), (4, pa.binary()))]
         return pa.RecordBatch.from_arrays([b["key"].take(i), b["own"].take(i), *told], ["key", "own", "shingle", "at", "low", "around"])
 
-    return documents.select(*keyed(documents), "text").mapInArrow(run, "key long, own string, shingle long, at long, low long, around binary")
+    out = documents.select(*keyed(documents), "text").mapInArrow(trimmed(run), "key long, own string, shingle long, at long, low long, around binary")
+    out = stage(out, "bench-places")
+    bits.destroy()
+    return out
 
 
 def runs_of(around: list[bytes], low: int, at: int, item: list[bytes], first: int, last: int, place: int, size: int) -> list[tuple[int, int]]:
@@ -155,7 +160,7 @@ def verified(candidates: DataFrame) -> DataFrame:
             i = pa.array([f[0] for f in found], pa.int64())
             yield pa.RecordBatch.from_arrays([b["key"].take(i), b["own"].take(i), b["item"].take(i), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int64())], ["key", "own", "item", "start", "end"])
 
-    return candidates.mapInArrow(run, "key long, own string, item string, start long, end long")
+    return candidates.mapInArrow(trimmed(run), "key long, own string, item string, start long, end long")
 
 
 def item_words(items: DataFrame) -> DataFrame:
@@ -165,30 +170,30 @@ def item_words(items: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b["item"], pa.array([b" ".join(words(t)).decode() for t in utf8(b["text"])], pa.string())], ["item", "words"])
 
-    return items.mapInArrow(run, "item string, words string")
+    return items.mapInArrow(trimmed(run), "item string, words string")
 
 
 def hits(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(key, own, n_hit, items) of each document with an occurring window; items are sorted ids."""
     bench = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("id"), F.md5(F.col("text").cast("binary")).alias("item"), "text").where("text is not null")
-    texts = stage(bench.groupBy("item").agg(F.first("text").alias("text")), "bench-texts")
+    items = stage(bench.groupBy("item").agg(F.first("text").alias("text")), "bench-texts")
     owners = stage(bench.select("item", "id").distinct(), "bench-owners")
-    shingles = stage(item_shingles(texts), "bench-shingles")
+    shingles = stage(item_shingles(items), "bench-shingles")
     distinct = stage(shingles.select("shingle").distinct(), "bench-distinct")
     sizes = sorted({min(r["n"], SHINGLE) for r in shingles.select(F.least("n", F.lit(SHINGLE)).alias("n")).distinct().collect()})
-    counts = stage(counted(documents, distinct, sizes), "bench-counts")
+    counts = counted(documents, distinct, sizes)
     spans = rarest(shingles, counts)
     own = F.slice(F.split("words", " "), (F.col("first") + 1).cast("int"), (F.col("last") - F.col("first") + F.col("size")).cast("int"))
-    keys = spans.join(item_words(texts).hint("merge"), "item").withColumn("words", F.array_join(own, " ").cast("binary"))
+    keys = spans.join(item_words(items).hint("merge"), "item").withColumn("words", F.array_join(own, " ").cast("binary"))
     keys = stage(keys, "bench-keys")
-    found = stage(places(documents, keys.select("shingle").distinct(), sizes), "bench-places")
+    found = places(documents, keys.select("shingle").distinct(), sizes)
     candidates = found.distinct().join(keys.hint("merge"), "shingle")
     runs = stage(verified(candidates).distinct(), "bench-runs")
     where = runs.select("key", "own", F.explode(F.sequence("start", F.col("end") - 1)).alias("at")).distinct()
     n_hit = where.groupBy("key", "own").agg(F.count("*").alias("n_hit"))
     named = runs.select("key", "own", "item").distinct().hint("merge").join(owners, "item").select("key", "own", "id").distinct()
-    items = named.groupBy("key", "own").agg(F.array_sort(F.collect_list("id")).alias("items"))
-    both = [x.withColumn("at", F.struct("key", F.coalesce("own", F.lit("")).alias("own"), F.col("own").isNull().alias("lost"))).drop("key", "own") for x in (n_hit, items)]
+    ids = named.groupBy("key", "own").agg(F.array_sort(F.collect_list("id")).alias("items"))
+    both = [x.withColumn("at", F.struct("key", F.coalesce("own", F.lit("")).alias("own"), F.col("own").isNull().alias("lost"))).drop("key", "own") for x in (n_hit, ids)]
     return stage(both[0].hint("merge").join(both[1], "at").select("at", F.col("at.key").alias("key"), "n_hit", "items"), "bench-hits")
 
 

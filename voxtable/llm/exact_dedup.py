@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxtable.llm.common import attach, by_value, new_path, possible, stage, utf8
+from voxtable.llm.common import attach, by_value, new_path, possible, stage, texts, trimmed, utf8
 
 #: Distinct digests in a bucket, about: a filter of such a bucket has some 150 KB.
 BUCKET_KEYS = 100_000
@@ -32,10 +32,11 @@ def digest_rows(documents: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t.lower() for t in utf8(b["text"])]  # of bytes: A-Z only
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["text_hash"], pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary()), pa.array(map(len, texts), pa.int64())], ["doc_id", "text_hash", "digest", "n_bytes"])
+            told = [(hashlib.sha256(t.lower()).digest(), len(t)) for t in texts(b)]  # bytes: lower() is of A-Z only
+            digests, sizes = pa.array([d for d, _ in told], pa.binary()), pa.array([n for _, n in told], pa.int64())
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["text_hash"], digests, sizes], ["doc_id", "text_hash", "digest", "n_bytes"])
 
-    return documents.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, ROW)
+    return documents.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(trimmed(run), ROW)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -138,7 +139,7 @@ def same_bytes(pairs: DataFrame, documents: DataFrame) -> DataFrame:
     near = possible(texts, wanted.select(F.col("text_hash").alias("hash")), "hash").where("_may")
     found = near.join(wanted.hint("merge"), (near["hash"] == wanted["text_hash"]) & near["doc_id"].eqNullSafe(wanted["id"])).select("digest", "side", "text")
     one = found.groupBy("digest").pivot("side", ["old_text", "new_text"]).agg(F.first("text"))
-    return one.mapInArrow(compare, "digest binary")
+    return one.mapInArrow(trimmed(compare), "digest binary")
 
 
 def grouped(documents: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:

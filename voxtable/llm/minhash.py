@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxtable.llm.common import STEP, WordHashes, attach, by_value, mixed, possible, stage, utf8
+from voxtable.llm.common import STEP, WordHashes, attach, by_value, mixed, possible, stage, trimmed, utf8
 from voxtable.llm.components import components
 
 SHINGLE = 5
@@ -106,7 +106,7 @@ def sketch(documents: DataFrame) -> DataFrame:
                     bands.append(None if signature is None else buckets(signature))
                 yield pa.RecordBatch.from_arrays([part["doc_id"], part["key"], pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(signatures, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "key", "n_shingles", "set_key", "signature", "buckets"])
 
-    return keyed(documents).mapInArrow(run, "doc_id long, key long, n_shingles long, set_key binary, signature binary, buckets array<long>")
+    return keyed(documents).mapInArrow(trimmed(run), "doc_id long, key long, n_shingles long, set_key binary, signature binary, buckets array<long>")
 
 
 def full_sets(nodes: DataFrame, documents: DataFrame) -> DataFrame:
@@ -121,7 +121,7 @@ def full_sets(nodes: DataFrame, documents: DataFrame) -> DataFrame:
 
     texts = possible(keyed(documents).select("key", F.col("doc_id").alias("id"), "text"), nodes, "key").where("_may")
     found = texts.join(nodes.hint("merge"), "key").where(F.col("id").eqNullSafe(F.col("doc_id"))).dropDuplicates(["key", "node"])
-    return found.select("node", "text").mapInArrow(run, "node long, shingles binary")
+    return found.select("node", "text").mapInArrow(trimmed(run), "node long, shingles binary")
 
 
 def agreeing(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
@@ -133,7 +133,7 @@ def agreeing(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
             near = pa.array((x == y).mean(axis=1) >= AGREE)
             yield pa.RecordBatch.from_arrays([b["u"].filter(near), b["v"].filter(near)], ["u", "v"])
 
-    return beside(pairs, signatures, "signature", ("su", "sv")).mapInArrow(run, "u long, v long")
+    return beside(pairs, signatures, "signature", ("su", "sv")).mapInArrow(trimmed(run), "u long, v long")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -144,7 +144,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             sure = pa.array([linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(b["su"].to_pylist(), b["sv"].to_pylist(), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([b["u"].filter(sure), b["v"].filter(sure)], ["u", "v"])
 
-    return beside(pairs, sets, "shingles", ("su", "sv")).mapInArrow(run, "u long, v long")
+    return beside(pairs, sets, "shingles", ("su", "sv")).mapInArrow(trimmed(run), "u long, v long")
 
 
 def beside(pairs: DataFrame, values: DataFrame, value: str, names: tuple[str, str]) -> DataFrame:

@@ -15,8 +15,6 @@ from __future__ import annotations
 import json
 import os
 import re
-import sys
-import types
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -29,15 +27,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxtable.llm.common import by_value, new_path, stage
+from voxtable.llm.common import by_value, new_path, stage, trimmed
 
 END_ID = 0
-#: Bytes that the pieces a Python worker remembers may take, about; the older half goes when they are more.
+#: Bytes that the pieces a task remembers may take, about; the older half goes when they are more.
 CACHE_BYTES = 64 << 20
 #: What an entry takes besides its characters and ids, about.
 ENTRY_BYTES = 200
 #: Bytes of text that are encoded at once, about; a longer text goes alone.
 SLICE_BYTES = 6 << 20
+#: Bytes of text that a task encodes, about.
+TASK_BYTES = 32 << 20
+#: Tasks that a small input goes to, of a megabyte at least.
+LEAST_TASKS = 24
 #: Documents that a reading task gives at once.
 BATCH = 5_000
 FILES = "part int, path string, width int, docs long, ids long, nulls long"
@@ -164,14 +166,6 @@ def slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         at = stop
 
 
-def kept_encoder(path: str) -> Encoder:
-    """One encoder for each Python worker, which serves many tasks; what it has learnt stays, within CACHE_BYTES."""
-    kept = sys.modules.setdefault("_voxtable_kept", types.ModuleType("_voxtable_kept")).__dict__
-    if path not in kept:
-        kept[path] = Encoder(path)
-    return kept[path]
-
-
 def write_files(documents: DataFrame, tokenizer: str, folder: str) -> DataFrame:
     """Writes documents (doc_id, text) and gives (part, path, width, docs, ids) of each file.
 
@@ -183,7 +177,7 @@ def write_files(documents: DataFrame, tokenizer: str, folder: str) -> DataFrame:
         store, top = fs.FileSystem.from_uri(folder)
         store.create_dir(top)
         path = f"{top}/{task.partitionId():06d}-{task.taskAttemptId()}"
-        encoder = kept_encoder(tokenizer)
+        encoder = Encoder(tokenizer)
         docs = ids = nulls = 0
         outs = {}
         for b in batches:
@@ -198,7 +192,6 @@ def write_files(documents: DataFrame, tokenizer: str, folder: str) -> DataFrame:
                 docs, ids, nulls = docs + part.num_rows, ids + int(stops[-1]), nulls + part["doc_id"].null_count
         for out in outs.values():
             out.close()
-        pa.default_memory_pool().release_unused()
         found = [docs] if docs else []
         one = lambda x, kind: pa.array([x] * len(found), kind)
         yield pa.RecordBatch.from_pydict({
@@ -207,8 +200,9 @@ def write_files(documents: DataFrame, tokenizer: str, folder: str) -> DataFrame:
         })
 
     ordered = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("tie"))
-    ordered = ordered.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    return stage(ordered.select("doc_id", "text").mapInArrow(run, FILES), "token-files")
+    size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ordered = ordered.repartitionByRange(max(size // TASK_BYTES, min(LEAST_TASKS, size >> 20), 1), "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    return stage(ordered.select("doc_id", "text").mapInArrow(trimmed(run), FILES), "token-files")
 
 
 def read_files(files: DataFrame, folder: str) -> DataFrame:
@@ -237,7 +231,7 @@ def read_files(files: DataFrame, folder: str) -> DataFrame:
                             "n_tokens": pa.array(np.diff(offsets), pa.int64()), "ids_crc32": pa.array(crc, pa.int64()),
                         })
 
-    return based.repartition(max(1, files.count()), "path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return based.repartition(max(1, files.count()), "path").mapInArrow(trimmed(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(documents: DataFrame, tokenizer: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxtable.llm.common import by_value
+from voxtable.llm.common import by_value, trimmed
 
 #: Length of the literals in the index.
 GRAM = 4
@@ -92,7 +92,7 @@ def gram_counts(pages: DataFrame, wanted: set[str]) -> Counter:
                 total.update(grams((url or "").lower()) & wanted)
         yield pa.RecordBatch.from_pydict({"gram": pa.array(list(total), pa.string()), "n": pa.array(list(total.values()), pa.int64())})
 
-    counts = pages.select("url").mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    counts = pages.select("url").mapInArrow(trimmed(run), "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     return Counter({r["gram"]: r["n"] for r in counts.collect()})  # at most the wanted ones
 
 
@@ -141,7 +141,7 @@ def by_host(judged: DataFrame, hosts: Sequence[tuple[str, str, str]]) -> DataFra
                             r |= {"rule": suffix + path, "action": action, "verdict": action}
             yield pa.RecordBatch.from_pylist(rows, schema=b.schema)
 
-    return judged.mapInArrow(run, SCHEMA)
+    return judged.mapInArrow(trimmed(run), SCHEMA)
 
 
 def by_pattern(judged: DataFrame, rules: Sequence[tuple[str, str]], counts: Counter) -> DataFrame:
@@ -163,7 +163,7 @@ def by_pattern(judged: DataFrame, rules: Sequence[tuple[str, str]], counts: Coun
                         break
             yield pa.RecordBatch.from_pylist(rows, schema=b.schema)
 
-    return judged.mapInArrow(run, SCHEMA)
+    return judged.mapInArrow(trimmed(run), SCHEMA)
 
 
 def columns(judged: DataFrame) -> list[Column]:

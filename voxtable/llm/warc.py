@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxtable.llm.common import attach, by_value, new_path, stage, utf8
+from voxtable.llm.common import attach, by_value, new_path, stage, trimmed, utf8
 
 MAGIC = b"WARC/1.0\r\n"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
@@ -125,9 +125,9 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
         yield pa.RecordBatch.from_pydict({"file": pa.array([p for p, _ in done], pa.string()), "bytes": pa.array([n for _, n in done], pa.int64())})
 
     # what goes through the shuffle is compressed; the archives are not
-    small = keyed.mapInArrow(shrink, "page_id long, url string, key string, packed binary, bytes long")
+    small = keyed.mapInArrow(trimmed(shrink), "page_id long, url string, key string, packed binary, bytes long")
     told = attach(small, first, "key", "n").select("page_id", "url", "packed", "bytes", "original")
-    return stage(told.mapInArrow(run, "file string, bytes long"), "warc-files")
+    return stage(told.mapInArrow(trimmed(run), "file string, bytes long"), "warc-files")
 
 
 def tasks(files: DataFrame) -> int:
@@ -167,7 +167,7 @@ def candidates(files: DataFrame, folder: str) -> DataFrame:
 
     starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(RANGE_BYTES).cast("long"))
     ranges = files.select("file", "bytes", F.explode(starts).alias("start"))
-    return ranges.repartition(tasks(files), "file", "start").mapInArrow(run, "file string, at long, next long")
+    return ranges.repartition(tasks(files), "file", "start").mapInArrow(trimmed(run), "file string, at long, next long")
 
 
 def chained(links: DataFrame, files: DataFrame) -> DataFrame:
@@ -224,7 +224,7 @@ def read_records(records: DataFrame, files: DataFrame, folder: str, html: bool =
             yield pa.RecordBatch.from_pylist(rows, schema=kinds)
 
     near = records.withColumn("range", F.floor(F.col("at") / RANGE_BYTES)).repartition(tasks(files), "file", "range").sortWithinPartitions("file", "at")
-    return near.select("file", "at", "next").mapInArrow(run, schema)
+    return near.select("file", "at", "next").mapInArrow(trimmed(run), schema)
 
 
 def round_trip(pages: DataFrame, html: bool = True) -> DataFrame:
