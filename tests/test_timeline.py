@@ -149,3 +149,5 @@ def test_normalize_timestamps_in_depth(spark):
 def test_quarantine_leaves_out_rules_of_missing_columns(spark):
     out = quality.constraint_quarantine(spark.createDataFrame([(2.0, 1.0), (-1.0, 1.0)], "start_s double, end_s double")).collect()
     assert [(r.reasons, r.valid) for r in out] == [(["end_not_after_start"], False), (["start_negative"], False)]
+    named = quality.constraint_quarantine(spark.createDataFrame([(2.0, None)], "start_s double, speaker string")).collect()
+    assert named[0].reasons == ["no_speaker"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,10 +31,15 @@ RULES = {
 }
 
 
+def names_in(rule: str) -> set[str]:
+    """The columns that a rule reads."""
+    return {w.lower() for w in re.findall(r"[A-Za-z_]\w*", rule)} - {"and", "or", "not", "is", "null", "in", "between", "true", "false"}
+
+
 def constraint_quarantine(rows: DataFrame, rules: dict[str, str] | None = None) -> DataFrame:
-    """rows with reasons, the names of the broken rules in the order of the rules, and valid. Rules over missing columns are left out."""
+    """rows with reasons, the names of the broken rules in the order of the rules, and valid. Rules that read a missing column are left out."""
     rules = RULES if rules is None else rules
-    known = {k: v for k, v in rules.items() if any(c in v for c in rows.columns)}
+    known = {k: v for k, v in rules.items() if names_in(v) <= {c.lower() for c in rows.columns}}
     broken = F.filter(F.array(*[F.when(F.expr(v), F.lit(k)) for k, v in known.items()]), lambda x: x.isNotNull())
     return rows.withColumn("reasons", broken).withColumn("valid", F.size("reasons") == 0)
 

@@ -85,9 +85,9 @@ def touched(segments: DataFrame, blocks: DataFrame) -> DataFrame:
     A segment is spread over the blocks it touches, which join by number; only first and last blocks are cut.
     """
     size = blocks.groupBy("recording_id").agg((F.sum(F.size("x_raw"))).alias("_size"))
-    span = segments.join(size, "recording_id").select("recording_id", "seg_idx", F.greatest(F.lit(0), F.floor(F.col("start_s") * RATE)).alias("a"), F.least("_size", F.floor(F.col("end_s") * RATE)).alias("b")).where("b > a")
+    span = segments.join(size.hint("merge"), "recording_id").select("recording_id", "seg_idx", F.greatest(F.lit(0), F.floor(F.col("start_s") * RATE)).alias("a"), F.least("_size", F.floor(F.col("end_s") * RATE)).alias("b")).where("b > a")
     span = span.withColumn("block_idx", F.explode(F.sequence(F.floor(F.col("a") / HOP), F.floor((F.col("b") - 1) / HOP))))
-    met = span.join(samples(blocks), ["recording_id", "block_idx"])
+    met = span.hint("merge").join(samples(blocks), ["recording_id", "block_idx"])
     begin = F.greatest(F.col("a") - F.col("block_idx") * HOP, F.lit(0)).cast("int")
     end = F.least(F.col("b") - F.col("block_idx") * HOP, F.lit(HOP)).cast("int")
     return met.select("recording_id", "seg_idx", (F.col("block_idx") * HOP + begin - F.col("a")).alias("at"), F.slice("x_raw", begin + 1, end - begin).alias("x"), (end - begin).alias("n"), "gain")
@@ -111,7 +111,7 @@ def interval_rms(segments: DataFrame, blocks: DataFrame, floor: float = 1e-8, mi
     """RMS and dB of each segment's samples; missing dB where none exist."""
     part = touched(segments, blocks).select("recording_id", "seg_idx", (square_sum("x") * F.col("gain") * F.col("gain")).alias("e"), "n")
     rms = part.groupBy("recording_id", "seg_idx").agg(F.sqrt(F.sum("e") / F.sum("n")).alias("rms"), F.sum("n").alias("n_samples"))
-    out = segments.select("recording_id", "seg_idx").join(rms, ["recording_id", "seg_idx"], "left")
+    out = segments.select("recording_id", "seg_idx").join(rms.hint("merge"), ["recording_id", "seg_idx"], "left")
     return out.select("recording_id", "seg_idx", F.coalesce("n_samples", F.lit(0)).cast("long").alias("n_samples"), "rms", F.when(F.col("rms").isNull(), F.lit(missing)).otherwise(decibel(F.col("rms"), floor)).alias("volume_db"))
 
 
@@ -197,12 +197,12 @@ def segment_features(blocks: DataFrame, segments: DataFrame | None = None) -> Da
     full = given.withColumn("x_raw", F.concat("x_raw", F.array_repeat(F.lit(0.0), HOP - F.size("x_raw"))))
     frames = frame_rms(given)
     level = recording_rms(given).select("recording_id", decibel(F.col("rms"), 1e-10).alias("rms_db"), "n_samples")
-    peaks = onset_peaks(onset_envelope(full)).join(level.select("recording_id", "n_samples"), "recording_id")
+    peaks = onset_peaks(onset_envelope(full)).hint("merge").join(level.select("recording_id", "n_samples"), "recording_id")
     told = level
     for part in (peak_amplitude(given), silence_ratio(frames), spectral_centroid(full), median_pitch(full).select("recording_id", F.col("pitch_hz").alias("pitch_mean")), speaking_rate(peaks, F.col("n_samples")).select("recording_id", "speaking_rate"), volume_peaks(frames)):
-        told = told.join(part, "recording_id", "left")
+        told = told.join(part.hint("merge"), "recording_id", "left")
     if segments is not None:
-        told = segments.select(F.struct("recording_id", "seg_idx").alias("recording_id")).join(told, "recording_id", "left")
+        told = segments.select(F.struct("recording_id", "seg_idx").alias("recording_id")).join(told.hint("merge"), "recording_id", "left")
     energy, _ = derived(F.col("rms_db"), F.lit(100.0))
     told = told.withColumns({"rms_energy": energy, "pitch_variance": F.lit(100.0), "zcr": F.lit(0.05), "volume_category": volume_category(F.col("rms_db")), "failed": F.coalesce(F.col("amplitude_max") > 1, F.lit(True))})
     numbers = [F.when(F.col("failed"), F.lit(v)).otherwise(F.col(k) if isinstance(v, str) else rounded(k, 3)).alias(k) for k, v in FAILED.items()]
@@ -216,7 +216,7 @@ def keys_of(features: DataFrame) -> list[str]:
 
 def batch_features(segments: DataFrame, features: DataFrame) -> DataFrame:
     """The features of each segment, one row for each in whatever state; those of FAILED where there are none."""
-    told = segments.select("recording_id", "seg_idx").join(features, keys_of(features), "left")
+    told = segments.select("recording_id", "seg_idx").join(features.hint("merge"), keys_of(features), "left")
     return told.select("recording_id", "seg_idx", *[F.coalesce(F.col(k), F.lit(v)).alias(k) for k, v in FAILED.items()], F.coalesce("failed", F.lit(True)).alias("failed"))
 
 
@@ -230,4 +230,4 @@ def api_shape(features: DataFrame) -> DataFrame:
 def attach_features(segments: DataFrame, features: DataFrame) -> DataFrame:
     """segments with the features of their own, or of their recording where features has no seg_idx; or MISSING."""
     known = features.select(*keys_of(features), *[F.col(k).alias("_" + k) for k in MISSING])
-    return segments.join(known, keys_of(features), "left").select(*segments.columns, *[F.coalesce(F.col("_" + k), F.lit(v)).alias(k) for k, v in MISSING.items()])
+    return segments.join(known.hint("merge"), keys_of(features), "left").select(*segments.columns, *[F.coalesce(F.col("_" + k), F.lit(v)).alias(k) for k, v in MISSING.items()])

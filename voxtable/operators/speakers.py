@@ -26,7 +26,7 @@ def interval_overlap(segments: DataFrame, turns: DataFrame, seconds: float = BUC
     """
     left = buckets(segments.select("recording_id", "seg_idx", "start_s", "end_s"), seconds)
     right = buckets(turns.select("recording_id", "turn_idx", "start_s", "end_s", "speaker"), seconds).select("recording_id", "_bucket", "turn_idx", F.col("start_s").alias("turn_start"), F.col("end_s").alias("turn_end"), F.col("speaker").alias("turn_speaker"))
-    met = left.join(right, ["recording_id", "_bucket"]).where((F.col("turn_end") > F.col("start_s")) & (F.col("turn_start") < F.col("end_s")))
+    met = left.join(right.hint("merge"), ["recording_id", "_bucket"]).where((F.col("turn_end") > F.col("start_s")) & (F.col("turn_start") < F.col("end_s")))
     begin, length = F.greatest("start_s", "turn_start"), F.col("end_s") - F.col("start_s")
     overlap = F.least("end_s", "turn_end") - begin
     once = met.where(F.col("_bucket") == F.floor(begin / seconds))
@@ -49,8 +49,9 @@ def nearest_turn(segments: DataFrame, turns: DataFrame) -> DataFrame:
     b = F.struct(middle.alias("mid"), (-F.col("start_s")).alias("back"), (-F.col("turn_idx")).alias("back_idx"), "start_s", "turn_idx", "speaker")
     points = segments.select("recording_id", "seg_idx", middle.alias("mid"), F.lit(None).cast("struct<mid:double,start:double,turn_idx:long,speaker:string>").alias("t"), F.lit(None).cast("struct<mid:double,back:double,back_idx:long,start_s:double,turn_idx:long,speaker:string>").alias("b"))
     points = points.unionByName(turns.select("recording_id", F.lit(None).cast("long").alias("seg_idx"), middle.alias("mid"), t.alias("t"), b.alias("b")))
-    order = Window.partitionBy("recording_id").orderBy("mid")
-    told = points.withColumns({"_b": F.max("b").over(order.rangeBetween(Window.unboundedPreceding, 0)), "_f": F.min("t").over(order.rangeBetween(0, Window.unboundedFollowing))}).where("seg_idx is not null")
+    # both frames grow from their start, the second along the reverse order, so each row is looked at once
+    up, down = (Window.partitionBy("recording_id").orderBy(o).rangeBetween(Window.unboundedPreceding, 0) for o in (F.asc("mid"), F.desc("mid")))
+    told = points.withColumns({"_b": F.max("b").over(up), "_f": F.min("t").over(down)}).where("seg_idx is not null")
     back = F.when(F.col("_b").isNotNull(), F.struct(F.abs(F.col("mid") - F.col("_b.mid")).alias("dist"), F.col("_b.start_s").alias("start"), F.col("_b.turn_idx").alias("turn_idx"), F.col("_b.speaker").alias("speaker")))
     ahead = F.when(F.col("_f").isNotNull(), F.struct(F.abs(F.col("mid") - F.col("_f.mid")).alias("dist"), F.col("_f.start").alias("start"), F.col("_f.turn_idx").alias("turn_idx"), F.col("_f.speaker").alias("speaker")))
     best = F.least(back, ahead)
@@ -61,7 +62,7 @@ def assign_speakers(segments: DataFrame, turns: DataFrame) -> DataFrame:
     """segments with assigned_speaker and speaker_confidence: the best turn above a tenth of the segment, else the nearest (0.3 with some overlap, 0.2 without)."""
     best = best_overlap(interval_overlap(segments, turns)).select("recording_id", "seg_idx", "turn_speaker", "ratio", "confidence")
     near = nearest_turn(segments, turns).select("recording_id", "seg_idx", "nearest_speaker")
-    told = segments.join(best, ["recording_id", "seg_idx"], "left").join(near, ["recording_id", "seg_idx"], "left")
+    told = segments.join(best.hint("merge"), ["recording_id", "seg_idx"], "left").join(near.hint("merge"), ["recording_id", "seg_idx"], "left")
     good = F.col("ratio") > 0.1
     who = F.when(good, F.col("turn_speaker")).otherwise(F.col("nearest_speaker"))
     sure = F.when(good, F.col("confidence")).when(F.col("ratio").isNotNull(), 0.3).otherwise(0.2)
@@ -73,7 +74,7 @@ def assign_word_speakers(segments: DataFrame, turns: DataFrame) -> DataFrame:
     total = interval_overlap(segments, turns).groupBy("recording_id", "seg_idx", "turn_speaker").agg(F.sum("overlap_s").alias("overlap_s"))
     order = Window.partitionBy("recording_id", "seg_idx").orderBy(F.desc("overlap_s"), "turn_speaker")
     top = total.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
-    return segments.select("recording_id", "seg_idx").join(top, ["recording_id", "seg_idx"], "left").select("recording_id", "seg_idx", F.col("turn_speaker").alias("speaker"), "overlap_s")
+    return segments.select("recording_id", "seg_idx").join(top.hint("merge"), ["recording_id", "seg_idx"], "left").select("recording_id", "seg_idx", F.col("turn_speaker").alias("speaker"), "overlap_s")
 
 
 def speaker_stats(segments: DataFrame, speaker: str = "speaker") -> DataFrame:

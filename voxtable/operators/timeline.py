@@ -115,7 +115,7 @@ def gap_volumes(takes: DataFrame, blocks: DataFrame) -> DataFrame:
     sides = [takes.where(f"_{side}").select("recording_id", F.struct("seg_idx", F.lit(side).alias("side")).alias("seg_idx"), F.col(f"{side}_start").alias("start_s"), F.col(f"{side}_end").alias("end_s")) for side in ("before", "after")]
     heard = interval_rms(sides[0].unionByName(sides[1]), blocks).where("rms is not null")
     volumes = heard.groupBy("recording_id", F.col("seg_idx.seg_idx").alias("seg_idx")).agg(*[F.max(F.when(F.col("seg_idx.side") == side, F.col("volume_db"))).alias(f"_{side}_db") for side in ("before", "after")])
-    return takes.join(volumes, ["recording_id", "seg_idx"], "left")
+    return takes.join(volumes.hint("merge"), ["recording_id", "seg_idx"], "left")
 
 
 def fill_gaps(segments: DataFrame, recordings: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
@@ -170,7 +170,7 @@ def fallback_words(segments: DataFrame, volume_db: float = -25.0, blocks: DataFr
     if blocks is not None:
         heard = interval_rms(out.select("recording_id", F.struct("seg_idx", "word_idx").alias("seg_idx"), begin.alias("start_s"), (begin + F.col("each")).alias("end_s")), blocks).where("rms is not null")
         heard = heard.select("recording_id", "seg_idx.seg_idx", "seg_idx.word_idx", rounded("volume_db", 1).alias("_db"))
-        out, volume = out.join(heard, ["recording_id", "seg_idx", "word_idx"], "left"), F.coalesce("_db", F.lit(-30.0))
+        out, volume = out.hint("merge").join(heard, ["recording_id", "seg_idx", "word_idx"], "left"), F.coalesce("_db", F.lit(-30.0))
     return out.select("recording_id", "seg_idx", F.col("word_idx").cast("long").alias("word_idx"), "word", rounded(begin, 2).alias("start_time"), rounded(begin + F.col("each"), 2).alias("end_time"), rounded(begin + F.col("each") - begin, 2).alias("duration"), volume.alias("volume_db"), F.lit(150.0).alias("pitch_hz"), F.lit(1500.0).alias("spectral_centroid"))
 
 

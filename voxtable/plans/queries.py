@@ -228,6 +228,16 @@ def assign_word_speakers(seg, turn):
     return speakers.assign_word_speakers(seg, turn)
 
 
+@query(f"""WITH w AS (SELECT recording_id, seg_idx, word_start AS start_s, word_end AS end_s, word FROM f_words WHERE word_start IS NOT NULL AND word_end IS NOT NULL),
+{OVERLAP.replace("f_seg s", "w s")}, t AS (SELECT recording_id, seg_idx, turn_speaker, sum(overlap_s) AS overlap_s FROM ov GROUP BY ALL),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY recording_id, seg_idx ORDER BY overlap_s DESC, turn_speaker) AS n FROM t) WHERE n = 1)
+SELECT s.recording_id, s.seg_idx, b.turn_speaker AS speaker, b.overlap_s FROM w s LEFT JOIN b USING (recording_id, seg_idx)""")
+def word_speakers(words, turn):
+    """The speaker of each word by its own times."""
+    own = words.where("word_start is not null and word_end is not null").select("recording_id", "seg_idx", F.col("word_start").alias("start_s"), F.col("word_end").alias("end_s"))
+    return speakers.assign_word_speakers(own, turn)
+
+
 @query("SELECT recording_id, coalesce(speaker, 'SPEAKER_00') AS speaker, sum(end_s - start_s) AS total_duration, count(*) AS segment_count FROM f_seg GROUP BY 1, 2")
 def speaker_stats(seg):
     return speakers.speaker_stats(seg)
@@ -572,6 +582,7 @@ def transfer_progress(transfer):
     return jobs.transfer_progress(transfer)
 
 
-@query("SELECT recording_id % 4 AS machine, sum(duration_s) AS duration_s, sum(processing_s) AS processing_s, sum(duration_s) / nullif(sum(processing_s), 0) AS realtime_factor FROM f_run GROUP BY 1")
+@query("""WITH m AS (SELECT recording_id % 4 AS machine, duration_s, processing_s FROM f_run)
+SELECT machine, sum(duration_s) AS duration_s, sum(processing_s) AS processing_s, sum(duration_s) / nullif(sum(processing_s), 0) AS realtime_factor FROM m GROUP BY ROLLUP (machine)""")
 def realtime_factor(run):
-    return jobs.realtime_factor(run)
+    return jobs.realtime_factor(run.withColumn("machine", F.pmod("recording_id", F.lit(4))), "machine")

@@ -52,7 +52,8 @@ SELECT recording_id, max(end_s) + (recording_id % 4) * CAST(0.25 AS DOUBLE) AS d
        CAST(16000 AS INT) AS sample_rate
 FROM f_seg GROUP BY recording_id
 UNION ALL
-SELECT CAST(1000000 + doc_id AS BIGINT), CAST(0.0 AS DOUBLE), CAST(16000 AS INT) FROM documents WHERE doc_id < 5
+SELECT CAST(1000000 + doc_id AS BIGINT), CAST(0.0 AS DOUBLE), CAST(16000 AS INT) FROM documents
+WHERE NOT EXISTS (SELECT 1 FROM conversations c WHERE c.conv_id = doc_id)
 """
 
 F_WORDS = """

@@ -15,11 +15,23 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
     return document.ingest_segments(spark.read.schema(document.SEGMENT).json(path))
 
 
+def log_lines(spark: SparkSession, path: str) -> DataFrame:
+    """line, the fields of LOG, and reason: why a line is no stage event, null where it is one."""
+    lines = spark.read.text(path).select(F.col("value").alias("line"), F.from_json("value", f"{LOG}, broken string", {"columnNameOfCorruptRecord": "broken"}).alias("e"))
+    why = F.when(F.col("e").isNull() | F.col("e.broken").isNotNull(), "not JSON").when(F.col("e.stage").isNull(), "no stage")
+    return lines.where(F.trim("line") != "").select("line", "e.*", why.alias("reason")).drop("broken")
+
+
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """Stage events from a log of JSON lines; lines that are not JSON, and events without a stage, are left out."""
-    return spark.read.schema(LOG).option("mode", "DROPMALFORMED").json(path).where(F.col("stage").isNotNull())
+    """Stage events from a log of JSON lines; rejected_log() has the other lines."""
+    return log_lines(spark, path).where("reason is null").drop("line", "reason")
+
+
+def rejected_log(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of a log that are no stage events, with the reason."""
+    return log_lines(spark, path).where("reason is not null").select("line", "reason")
 
 
 def write_documents(documents: DataFrame, path: str, pretty: bool = False) -> None:
-    """One JSON document for each recording, a text file for each partition; non-ASCII stays as it is."""
+    """One JSON document for each recording, a text file for each partition; non-ASCII stays as it is. Pretty ones take several lines: read them with multiLine, one file for each."""
     document.document_json(documents, pretty).select("json").write.text(path)

@@ -6,8 +6,12 @@ than the watermark is dropped, and a job may repeat an ending once its state has
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 ENDINGS = ("completed", "failed")
 LATE = "10 minutes"
@@ -22,8 +26,8 @@ def latest_status(events: DataFrame) -> DataFrame:
 
 
 def stream_latest_status(events: DataFrame, late: str = LATE) -> DataFrame:
-    """As latest_status, for output mode update: the state of each job is its last event."""
-    return events.withWatermark("ts", late).groupBy("job_id").agg(F.max(F.struct("ts", "event_id", "status", "progress", "error_message")).alias("e")).select("job_id", "e.event_id", "e.status", "e.progress")
+    """As latest_status, for output mode update: the state of each job is its last event, its first time and its count."""
+    return latest_status(events.withWatermark("ts", late))
 
 
 def terminal_dedup(events: DataFrame) -> DataFrame:
@@ -37,10 +41,26 @@ def terminal_dedup(events: DataFrame) -> DataFrame:
 
 
 def stream_terminal_dedup(events: DataFrame, late: str = LATE) -> DataFrame:
-    """Acknowledged endings once for each job and status, with everything else as it is. Append mode."""
+    """As terminal_dedup, in append mode: endings of a job and status up to the first that is acknowledged, with everything else as it is.
+
+    What is on record for a job is kept until the watermark has passed its last ending.
+    """
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        done = state.exists and state.get[0]
+        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+        before = rows["acked"].fillna(False).astype(bool).cummax().shift(fill_value=False)
+        yield rows[~before & (not done)]
+        state.update((bool(done or rows["acked"].fillna(False).any()),))
+        state.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
+
     marked = events.withWatermark("ts", late)
-    ended = marked.where(F.col("status").isin(*ENDINGS) & F.col("acked")).dropDuplicatesWithinWatermark(["job_id", "status"])
-    return ended.unionByName(marked.where(~F.col("status").isin(*ENDINGS)))
+    ends = marked.where(F.col("status").isin(*ENDINGS)).groupBy("job_id", "status")
+    kept = ends.applyInPandasWithState(run, events.schema, "done boolean", "append", GroupStateTimeout.EventTimeTimeout)
+    return kept.unionByName(marked.where(~F.col("status").isin(*ENDINGS)))
 
 
 def progress_regressions(events: DataFrame) -> DataFrame:
@@ -84,6 +104,6 @@ def transfer_progress(chunks: DataFrame) -> DataFrame:
     return told.select("job_id", "chunk_idx", "downloaded", (5 + F.floor(F.try_divide(F.col("downloaded"), F.col("total")) * 5)).cast("long").alias("progress"))
 
 
-def realtime_factor(runs: DataFrame) -> DataFrame:
-    """Seconds of media for each second of work, for each kind of machine (by recording) and in all."""
-    return runs.groupBy(F.pmod("recording_id", F.lit(4)).alias("machine")).agg(F.sum("duration_s").alias("duration_s"), F.sum("processing_s").alias("processing_s"), F.try_divide(F.sum("duration_s"), F.sum("processing_s")).alias("realtime_factor"))
+def realtime_factor(runs: DataFrame, by: str) -> DataFrame:
+    """Seconds of media for each second of work, for each value of a column and in all (null)."""
+    return runs.rollup(by).agg(F.sum("duration_s").alias("duration_s"), F.sum("processing_s").alias("processing_s"), F.try_divide(F.sum("duration_s"), F.sum("processing_s")).alias("realtime_factor"))
