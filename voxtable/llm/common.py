@@ -21,6 +21,10 @@ HOT = 1000
 #: Bits of the map that possible() screens with. What it broadcasts is at most so many bits, 16 MB.
 SLOTS = 1 << 27
 
+#: Bytes that Spark sends to a Python worker at once, about: rows may be long, so a bound by their number alone is none.
+BATCH_BYTES = 6 << 20
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 _local_dirs: dict[str, str] = {}
 
 
@@ -40,6 +44,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one. From the first on, the session's batches for Python are bounded in bytes too."""
+    spark.conf.set(ARROW_BYTES, str(BATCH_BYTES))
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
