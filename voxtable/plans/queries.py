@@ -555,6 +555,14 @@ def minute_error_rate(progress):
     return jobs.minute_error_rate(progress.withColumn("ts", F.col("ts").cast("timestamp"))).withColumn("minute", F.col("minute").cast("timestamp_ntz"))
 
 
+@query("""SELECT date_trunc('minute', ts) AS minute, avg(CAST(progress % 4 AS DOUBLE) / 4) AS gpu, avg(CAST(event_id % 32 AS DOUBLE) / 32) AS memory,
+  avg(CAST(progress % 4 AS DOUBLE) / 4) < 0.3 AS gpu_idle, avg(CAST(event_id % 32 AS DOUBLE) / 32) > 0.9 AS memory_full FROM f_progress GROUP BY 1""")
+def minute_resources(progress):
+    """Uses in quarters and in parts of 32, so that sums are exact."""
+    ts, gpu, memory = F.col("ts").cast("timestamp").alias("ts"), (F.col("progress") % 4 / 4).alias("gpu"), (F.col("event_id") % 32 / 32).alias("memory")
+    return jobs.minute_resources(progress.select(ts, gpu, memory)).withColumn("minute", F.col("minute").cast("timestamp_ntz"))
+
+
 @query("""WITH w AS (SELECT recording_id, speaker, CAST(start_s * 1000 AS BIGINT) AS a, CAST((end_s - start_s) * 1000 AS BIGINT) + 500 AS len FROM f_seg WHERE speaker IS NOT NULL),
 e AS (SELECT *, max(a + len) OVER (PARTITION BY recording_id, speaker ORDER BY a, len ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM w),
 g AS (SELECT *, sum(CASE WHEN before IS NULL OR a > before THEN 1 ELSE 0 END) OVER (PARTITION BY recording_id, speaker ORDER BY a, len) AS s FROM e)

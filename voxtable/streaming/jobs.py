@@ -76,6 +76,12 @@ def minute_error_rate(events: DataFrame, limit: float = 0.05, seconds: int = 60)
     return told.select(F.col("w.start").alias("minute"), "n_events", "error_rate", (F.col("error_rate") > limit).alias("alarm"))
 
 
+def minute_resources(metrics: DataFrame, low_gpu: float = 0.3, high_memory: float = 0.9, seconds: int = 60) -> DataFrame:
+    """Mean use of GPU and memory (parts of 1) in each minute of metrics (ts, gpu, memory), and whether they are too low and too high. Streams too."""
+    told = metrics.groupBy(F.window("ts", f"{seconds} seconds").alias("w")).agg(F.avg("gpu").alias("gpu"), F.avg("memory").alias("memory"))
+    return told.select(F.col("w.start").alias("minute"), "gpu", "memory", (F.col("gpu") < low_gpu).alias("gpu_idle"), (F.col("memory") > high_memory).alias("memory_full"))
+
+
 def session_utterances(words: DataFrame, pause_ms: int = 500) -> DataFrame:
     """Words (recording_id, speaker, ts, duration_ms) grouped while the next starts within pause_ms of the end. Streams too."""
     gap = F.concat((F.col("duration_ms") + pause_ms).cast("string"), F.lit(" milliseconds"))
