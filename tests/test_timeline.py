@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxtable.operators import document, quality, speakers, timeline
+from voxtable.plans.queries import SMALL
 
 SEGMENT = "recording_id long, seg_idx long, start_s double, end_s double, speaker string, text string"
 TURN = "recording_id long, turn_idx long, start_s double, end_s double, speaker string"
@@ -70,7 +71,7 @@ def test_fill_gaps_measures_gaps_and_keeps_words(spark):
     given = [(1, 0, 1.0, 2.0, "A", "a", [("late", 1.5, (-3.0,)), ("early", 1.25, None)], "x"), (1, 1, 4.0, 5.0, "B", "b", None, "y"), (1, 2, 5.0, 6.0, "B", "c", [("own", 5.0, None)], "z")]
     rows = spark.createDataFrame(given, f"{SEGMENT}, words {word}, note string")
     blocks = spark.createDataFrame([(1, i, [0.1 if i < 4 else 0.01] * 64, 1.0) for i in range(16)], BLOCK)  # 4 s
-    out = {r.seg_idx: r for r in timeline.fill_gaps(rows, spark.createDataFrame([(1, 9.0, 1)], RECORDING), blocks).collect()}
+    out = {r.seg_idx: r for r in timeline.fill_gaps(rows, spark.createDataFrame([(1, 9.0, 1)], RECORDING), blocks, SMALL).collect()}
     assert [(w.word, w.start_time, w.start, w.acoustic_features and w.acoustic_features.volume_db) for w in out[0].words] == [(" ", 0.0, None, -20.0), ("early", None, 1.25, None), ("late", None, 1.5, -3.0), (" ", 2.0, None, -40.0)]
     assert out[1].words == [] and [w.word for w in out[2].words] == ["own", " "]
     assert out[2].silence_words[0].acoustic_features.volume_db == -60.0  # no samples there
@@ -85,7 +86,7 @@ def test_merge_keeps_words_and_the_first_rows_fields(spark):
 
 def test_fallback_words_are_measured(spark):
     blocks = spark.createDataFrame([(1, i, [0.1 if i < 4 else 0.01] * 64, 1.0) for i in range(8)], BLOCK)
-    out = timeline.fallback_words(segments(spark, [(1, 0, 0.0, 3.0, None, "one two three")]), blocks=blocks).orderBy("word_idx").collect()
+    out = timeline.fallback_words(segments(spark, [(1, 0, 0.0, 3.0, None, "one two three")]), blocks=blocks, framing=SMALL).orderBy("word_idx").collect()
     assert [r.volume_db for r in out] == [-20.0, -40.0, -30.0]
 
 

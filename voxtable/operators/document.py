@@ -58,11 +58,22 @@ def full_transcript(segments: DataFrame) -> DataFrame:
     return segments.groupBy("recording_id").agg(F.array_join(texts, " ").alias("text"), F.count("*").alias("n_segments"))
 
 
-def recording_metadata(recordings: DataFrame, segments: DataFrame, runs: DataFrame) -> DataFrame:
-    """Duration, segments, speakers, and timing of each recording."""
+def recording_metadata(recordings: DataFrame, segments: DataFrame, runs: DataFrame, languages: DataFrame | None = None) -> DataFrame:
+    """Duration, segments, speakers, and timing of each recording.
+
+    With languages (recording_id, requested, detected) also the language asked for, the one found or else that, and the mode.
+    """
     told = segments.groupBy("recording_id").agg(F.count("*").alias("total_segments"), F.countDistinct(F.coalesce("speaker", F.lit(UNKNOWN))).alias("unique_speakers"))
     timed = runs.select("recording_id", "processing_s")
-    return recordings.join(told, "recording_id", "left").join(timed, "recording_id", "left").select("recording_id", "duration_s", "sample_rate", F.coalesce("total_segments", F.lit(0)).alias("total_segments"), F.coalesce("unique_speakers", F.lit(0)).alias("unique_speakers"), "processing_s")
+    out = recordings.join(told, "recording_id", "left").join(timed, "recording_id", "left").select(
+        "recording_id", "duration_s", "sample_rate",
+        F.coalesce("total_segments", F.lit(0)).alias("total_segments"), F.coalesce("unique_speakers", F.lit(0)).alias("unique_speakers"), "processing_s",
+    )
+    if languages is None:
+        return out
+    mode = F.when(F.col("requested") != "auto", "targeted").otherwise("auto-detect")
+    asked = languages.select("recording_id", F.col("requested").alias("language_requested"), F.coalesce("detected", "requested").alias("language_detected"), mode.alias("processing_mode"))
+    return out.join(asked, "recording_id", "left")
 
 
 def analysis_document(segments: DataFrame, words: DataFrame, recordings: DataFrame) -> DataFrame:

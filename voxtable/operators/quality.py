@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voxtable.functions.numbers import rounded
 
@@ -63,3 +64,29 @@ def rounding_contract(segments: DataFrame) -> DataFrame:
     """Times and confidence to one place, missing ones 0, and the duration of the rounded times."""
     start, end = rounded(F.coalesce("start_s", F.lit(0.0)), 1), rounded(F.coalesce("end_s", F.lit(0.0)), 1)
     return segments.select("recording_id", "seg_idx", start.alias("start_time"), end.alias("end_time"), rounded(F.coalesce("confidence", F.lit(0.0)), 1).alias("confidence"), rounded(end - start, 1).alias("duration"))
+
+
+#: Features of a segment that are numbers.
+FEATURES = ("rms_energy", "rms_db", "pitch_mean", "pitch_variance", "speaking_rate", "amplitude_max", "silence_ratio", "spectral_centroid", "zcr")
+
+
+def to_places(rows: DataFrame, names: tuple[str, ...], places: int) -> DataFrame:
+    """rows with the named columns rounded, missing values 0."""
+    return rows.withColumns({n: rounded(F.coalesce(n, F.lit(0.0)), places) for n in names})
+
+
+def feature_contract(features: DataFrame) -> DataFrame:
+    """FEATURES and peaks to three places and the first three coefficients to one; zeros, no peaks and three zeros where they are missing."""
+    mfcc = F.coalesce(F.transform(F.slice("mfcc", 1, 3), lambda v: rounded(v, 1)), F.array_repeat(F.lit(0.0), 3))
+    peaks = F.coalesce(F.transform("volume_peaks", lambda v: rounded(v, 3)), F.array().cast(T.ArrayType(T.DoubleType())))
+    return to_places(features, FEATURES, 3).withColumns({"mfcc": mfcc, "volume_peaks": peaks})
+
+
+def performance_contract(rows: DataFrame) -> DataFrame:
+    """Use of the GPU and frames a second to two places."""
+    return to_places(rows, ("gpu_utilization", "avg_processing_fps"), 2)
+
+
+def metadata_contract(rows: DataFrame) -> DataFrame:
+    """Duration and processing time to one place."""
+    return to_places(rows, ("duration_s", "processing_s"), 1)

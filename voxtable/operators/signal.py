@@ -7,6 +7,7 @@ one hop. Long recordings stay cut into blocks: sums go block by block, frames ar
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -15,9 +16,23 @@ from pyspark.sql import functions as F
 
 from voxtable.functions.numbers import decibel, rounded
 
-#: Samples of a block, samples a second, and blocks of a frame.
-HOP, RATE, FRAME_HOPS = 64, 256, 4
-FRAME = HOP * FRAME_HOPS
+
+@dataclass(frozen=True)
+class Framing:
+    """Samples of a block (one hop), samples a second, blocks of a frame, and blocks that a transform takes (1: each block for itself)."""
+
+    hop: int = 512
+    rate: int = 16_000
+    frame_hops: int = 4
+    spectrum_hops: int = 4
+
+    @property
+    def frame(self) -> int:
+        return self.hop * self.frame_hops
+
+
+#: Frames of 2,048 samples every 512, at 16 kHz.
+SPEECH = Framing()
 #: Pitches outside are not voices; without any the pitch is DEFAULT_PITCH.
 PITCH_LOW, PITCH_HIGH, DEFAULT_PITCH = 80.0, 400.0, 150.0
 
@@ -40,13 +55,13 @@ def block_energy(blocks: DataFrame) -> DataFrame:
     return told.select("recording_id", "block_idx", (square_sum("x_raw") * F.col("gain") * F.col("gain")).alias("energy"), (F.array_max(F.transform("x_raw", F.abs)) * F.col("gain")).alias("peak"), F.size("x_raw").cast("long").alias("n"))
 
 
-def frame_rms(blocks: DataFrame) -> DataFrame:
-    """RMS of the centred, zero-padded frames: one more than full blocks; frame i covers blocks i-2 to i+1."""
+def frame_rms(blocks: DataFrame, framing: Framing = SPEECH) -> DataFrame:
+    """RMS of the centred, zero-padded frames: one more than full blocks; with four blocks to a frame, frame i covers blocks i-2 to i+1."""
     energy = block_energy(blocks).select("recording_id", F.col("block_idx").alias("frame_idx"), "energy", "n")
     last = energy.groupBy("recording_id").agg((F.max("frame_idx") + 1).alias("frame_idx"), F.max_by("n", "frame_idx").alias("n"))
-    energy, spine = energy.drop("n"), last.where(F.col("n") >= HOP).drop("n").withColumn("energy", F.lit(0.0))
-    total = F.sum("energy").over(by_frame().rowsBetween(-(FRAME_HOPS // 2), FRAME_HOPS // 2 - 1))
-    return energy.unionByName(spine).select("recording_id", "frame_idx", F.sqrt(total / FRAME).alias("rms"))
+    energy, spine = energy.drop("n"), last.where(F.col("n") >= framing.hop).drop("n").withColumn("energy", F.lit(0.0))
+    total = F.sum("energy").over(by_frame().rowsBetween(-(framing.frame_hops // 2), framing.frame_hops - framing.frame_hops // 2 - 1))
+    return energy.unionByName(spine).select("recording_id", "frame_idx", F.sqrt(total / framing.frame).alias("rms"))
 
 
 def energy_variation(frames: DataFrame) -> DataFrame:
@@ -79,37 +94,39 @@ def volume_peaks(frames: DataFrame) -> DataFrame:
     return told.groupBy("recording_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("frame_idx", "rms"))), lambda x: rounded(x["rms"], 3)).alias("volume_peaks"))
 
 
-def touched(segments: DataFrame, blocks: DataFrame) -> DataFrame:
-    """The blocks that hold samples [int(start * RATE), int(end * RATE)) of each segment, cut to those that exist: x is a block's part of them, from sample at of the segment on.
+def touched(segments: DataFrame, blocks: DataFrame, framing: Framing = SPEECH) -> DataFrame:
+    """The blocks that hold samples [int(start * rate), int(end * rate)) of each segment, cut to those that exist: x is a block's part of them, from sample at of the segment on.
 
     A segment is spread over the blocks it touches, which join by number; only first and last blocks are cut.
     """
+    hop, rate = framing.hop, framing.rate
     size = blocks.groupBy("recording_id").agg((F.sum(F.size("x_raw"))).alias("_size"))
-    span = segments.join(size.hint("merge"), "recording_id").select("recording_id", "seg_idx", F.greatest(F.lit(0), F.floor(F.col("start_s") * RATE)).alias("a"), F.least("_size", F.floor(F.col("end_s") * RATE)).alias("b")).where("b > a")
-    span = span.withColumn("block_idx", F.explode(F.sequence(F.floor(F.col("a") / HOP), F.floor((F.col("b") - 1) / HOP))))
+    span = segments.join(size.hint("merge"), "recording_id").select("recording_id", "seg_idx", F.greatest(F.lit(0), F.floor(F.col("start_s") * rate)).alias("a"), F.least("_size", F.floor(F.col("end_s") * rate)).alias("b")).where("b > a")
+    span = span.withColumn("block_idx", F.explode(F.sequence(F.floor(F.col("a") / hop), F.floor((F.col("b") - 1) / hop))))
     met = span.hint("merge").join(samples(blocks), ["recording_id", "block_idx"])
-    begin = F.greatest(F.col("a") - F.col("block_idx") * HOP, F.lit(0)).cast("int")
-    end = F.least(F.col("b") - F.col("block_idx") * HOP, F.lit(HOP)).cast("int")
-    return met.select("recording_id", "seg_idx", (F.col("block_idx") * HOP + begin - F.col("a")).alias("at"), F.slice("x_raw", begin + 1, end - begin).alias("x"), (end - begin).alias("n"), "gain")
+    begin = F.greatest(F.col("a") - F.col("block_idx") * hop, F.lit(0)).cast("int")
+    end = F.least(F.col("b") - F.col("block_idx") * hop, F.lit(hop)).cast("int")
+    return met.select("recording_id", "seg_idx", (F.col("block_idx") * hop + begin - F.col("a")).alias("at"), F.slice("x_raw", begin + 1, end - begin).alias("x"), (end - begin).alias("n"), "gain")
 
 
-def slices(segments: DataFrame, blocks: DataFrame) -> DataFrame:
+def slices(segments: DataFrame, blocks: DataFrame, framing: Framing = SPEECH) -> DataFrame:
     """The samples of each segment cut into blocks that are counted from its own start, the last one as short as it is.
 
     recording_id is the struct (recording_id, seg_idx), so a segment takes the place of a recording in what works on blocks.
     """
-    first, room = F.floor(F.col("at") / HOP), (HOP - F.col("at") % HOP).cast("int")
+    hop = framing.hop
+    first, room = F.floor(F.col("at") / hop), (hop - F.col("at") % hop).cast("int")
     x = F.transform("x", lambda v: v * F.col("gain"))
     part = lambda block, at, x: F.struct(block.alias("block_idx"), at.alias("at"), x.alias("x"))
-    parts = F.array(part(first, F.col("at"), F.slice(x, F.lit(1), room)), part(first + 1, F.col("at") + room, F.slice(x, room + 1, F.lit(HOP))))
-    told = touched(segments, blocks).select(F.struct("recording_id", "seg_idx").alias("recording_id"), F.explode(parts).alias("p")).where("size(p.x) > 0")
+    parts = F.array(part(first, F.col("at"), F.slice(x, F.lit(1), room)), part(first + 1, F.col("at") + room, F.slice(x, room + 1, F.lit(hop))))
+    told = touched(segments, blocks, framing).select(F.struct("recording_id", "seg_idx").alias("recording_id"), F.explode(parts).alias("p")).where("size(p.x) > 0")
     whole = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("p.at", "p.x"))), lambda p: p["x"]))
     return told.groupBy("recording_id", F.col("p.block_idx").alias("block_idx")).agg(whole.alias("x_raw")).withColumn("gain", F.lit(1.0))
 
 
-def interval_rms(segments: DataFrame, blocks: DataFrame, floor: float = 1e-8, missing: float = -30.0) -> DataFrame:
+def interval_rms(segments: DataFrame, blocks: DataFrame, floor: float = 1e-8, missing: float = -30.0, framing: Framing = SPEECH) -> DataFrame:
     """RMS and dB of each segment's samples; missing dB where none exist."""
-    part = touched(segments, blocks).select("recording_id", "seg_idx", (square_sum("x") * F.col("gain") * F.col("gain")).alias("e"), "n")
+    part = touched(segments, blocks, framing).select("recording_id", "seg_idx", (square_sum("x") * F.col("gain") * F.col("gain")).alias("e"), "n")
     rms = part.groupBy("recording_id", "seg_idx").agg(F.sqrt(F.sum("e") / F.sum("n")).alias("rms"), F.sum("n").alias("n_samples"))
     out = segments.select("recording_id", "seg_idx").join(rms.hint("merge"), ["recording_id", "seg_idx"], "left")
     return out.select("recording_id", "seg_idx", F.coalesce("n_samples", F.lit(0)).cast("long").alias("n_samples"), "rms", F.when(F.col("rms").isNull(), F.lit(missing)).otherwise(decibel(F.col("rms"), floor)).alias("volume_db"))
@@ -122,40 +139,72 @@ def normalize_audio(blocks: DataFrame) -> DataFrame:
     return told.withColumn("_s", scale).select("recording_id", "block_idx", F.transform("x_raw", lambda v: v * F.col("_s")).alias("x"))
 
 
-def trim_silence(frames: DataFrame, below_db: float = 10.0) -> DataFrame:
+def trim_silence(frames: DataFrame, below_db: float = 10.0, framing: Framing = SPEECH) -> DataFrame:
     """First and last frame that is at most below_db under the loudest, and the samples between."""
     loudest = frames.groupBy("recording_id").agg(F.max("rms").alias("top"))
     loud = frames.join(loudest, "recording_id").where(decibel(F.col("rms"), 1e-10) > decibel(F.col("top"), 1e-10) - below_db)
     ends = loud.groupBy("recording_id").agg(F.min("frame_idx").alias("first_frame"), F.max("frame_idx").alias("last_frame"))
-    return ends.select("recording_id", "first_frame", "last_frame", (F.col("first_frame") * HOP).alias("start_sample"), ((F.col("last_frame") + 1) * HOP).alias("end_sample"))
+    return ends.select("recording_id", "first_frame", "last_frame", (F.col("first_frame") * framing.hop).alias("start_sample"), ((F.col("last_frame") + 1) * framing.hop).alias("end_sample"))
+
+
+def framed(blocks: DataFrame, framing: Framing) -> DataFrame:
+    """(recording_id, block_idx, x): what each transform takes, centred and zero-padded as frames are; blocks count from 0."""
+    scaled = F.transform("x_raw", lambda v: v.cast("double") * F.coalesce("gain", F.lit(0.0)))
+    rows = blocks.select("recording_id", "block_idx", scaled.alias("x"))
+    if framing.spectrum_hops == 1:
+        return rows
+    half = framing.spectrum_hops // 2
+    last = rows.groupBy("recording_id").agg(F.max(F.struct("block_idx", F.size("x").alias("n"))).alias("last"))
+    spine = last.where(F.col("last.n") >= framing.hop).select("recording_id", (F.col("last.block_idx") + 1).alias("block_idx"), F.array().cast("array<double>").alias("x"))
+    near = Window.partitionBy("recording_id").orderBy("block_idx").rowsBetween(-half, framing.spectrum_hops - half - 1)
+    told = rows.unionByName(spine).select("recording_id", "block_idx", F.flatten(F.collect_list("x").over(near)).alias("x"))
+    missing = (F.greatest(half - F.col("block_idx"), F.lit(0)) * framing.hop).cast("int")
+    told = told.withColumn("x", F.concat(F.array_repeat(F.lit(0.0), missing), "x"))
+    return told.withColumn("x", F.concat("x", F.array_repeat(F.lit(0.0), framing.hop * framing.spectrum_hops - F.size("x"))))
 
 
-def spectra(blocks: DataFrame) -> DataFrame:
-    """Magnitudes of the Hann-windowed transform of each block, with centroid and strongest frequency."""
+def spectra(blocks: DataFrame, framing: Framing = SPEECH) -> DataFrame:
+    """Magnitudes of the Hann-windowed transform of each frame, with centroid and strongest frequency."""
+    rate = framing.rate
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [np.array(x or (), float) * (g or 0.0) for x, g in zip(b["x_raw"].to_pylist(), b["gain"].to_pylist(), strict=True)]
-            told = [(np.abs(np.fft.rfft(x * (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(len(x)) / len(x))))), np.fft.rfftfreq(len(x), 1 / RATE)) if len(x) else (np.zeros(1), np.zeros(1)) for x in rows]
+            rows = [np.zeros(0) if v.values is None else v.values.to_numpy(zero_copy_only=False) for v in b["x"]]
+            hann = {n: 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n) for n in {len(x) for x in rows} if n}
+            told = [(np.abs(np.fft.rfft(x * hann[len(x)])), np.fft.rfftfreq(len(x), 1 / rate)) if len(x) else (np.zeros(1), np.zeros(1)) for x in rows]
             centroid = [float((m * f).sum() / m.sum()) if m.sum() > 0 else 0.0 for m, f in told]
             strongest = [float(f[m.argmax()]) for m, f in told]
-            yield pa.RecordBatch.from_arrays([b["recording_id"], b["block_idx"], pa.array([m.tolist() for m, _ in told], pa.list_(pa.float64())), pa.array(centroid, pa.float64()), pa.array(strongest, pa.float64())], ["recording_id", "block_idx", "magnitude", "centroid", "strongest"])
+            magnitude = pa.array([m for m, _ in told], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([b["recording_id"], b["block_idx"], magnitude, pa.array(centroid, pa.float64()), pa.array(strongest, pa.float64())], ["recording_id", "block_idx", "magnitude", "centroid", "strongest"])
+
+    key = blocks.schema["recording_id"].dataType.simpleString()
+    return framed(blocks, framing).mapInArrow(run, f"recording_id {key}, block_idx long, magnitude array<double>, centroid double, strongest double")
+
+
+def spectral_centroid(blocks: DataFrame, framing: Framing = SPEECH) -> DataFrame:
+    return spectra(blocks, framing).groupBy("recording_id").agg(F.avg("centroid").alias("spectral_centroid"))
+
+
+def voiced() -> Column:
+    """The strongest frequency of a frame if it may be a voice's."""
+    return F.when((F.col("strongest") > PITCH_LOW) & (F.col("strongest") < PITCH_HIGH), F.col("strongest"))
+
 
-    return blocks.select("recording_id", "block_idx", F.col("x_raw").cast("array<double>"), F.col("gain").cast("double")).mapInArrow(run, f"recording_id {blocks.schema['recording_id'].dataType.simpleString()}, block_idx long, magnitude array<double>, centroid double, strongest double")
+def pitch() -> Column:
+    return F.coalesce(F.median(voiced()), F.lit(DEFAULT_PITCH))
 
 
-def spectral_centroid(blocks: DataFrame) -> DataFrame:
-    return spectra(blocks).groupBy("recording_id").agg(F.avg("centroid").alias("spectral_centroid"))
+def median_pitch(blocks: DataFrame, framing: Framing = SPEECH) -> DataFrame:
+    return spectra(blocks, framing).groupBy("recording_id").agg(pitch().alias("pitch_hz"), F.count(voiced()).alias("n_voiced"))
 
 
-def median_pitch(blocks: DataFrame) -> DataFrame:
-    voiced = F.when((F.col("strongest") > PITCH_LOW) & (F.col("strongest") < PITCH_HIGH), F.col("strongest"))
-    return spectra(blocks).groupBy("recording_id").agg(F.coalesce(F.median(voiced), F.lit(DEFAULT_PITCH)).alias("pitch_hz"), F.count(voiced).alias("n_voiced"))
+def onset_envelope(blocks: DataFrame, framing: Framing = SPEECH) -> DataFrame:
+    """Mean rise of the log spectrum against the frame before."""
+    return rises(spectra(blocks, framing))
 
 
-def onset_envelope(blocks: DataFrame) -> DataFrame:
-    """Mean rise of the log spectrum against the block before."""
-    power = spectra(blocks).select("recording_id", F.col("block_idx").alias("frame_idx"), F.transform("magnitude", lambda m: F.log10(m * m + 1e-10)).alias("power"))
+def rises(spectrum: DataFrame) -> DataFrame:
+    power = spectrum.select("recording_id", F.col("block_idx").alias("frame_idx"), F.transform("magnitude", lambda m: F.log10(m * m + 1e-10)).alias("power"))
     told = power.withColumn("before", F.lag("power").over(by_frame()))
     rise = F.aggregate(F.zip_with("power", "before", lambda a, b: F.greatest(a - b, F.lit(0.0))), F.lit(0.0), lambda s, v: s + v) / F.size("power")
     return told.select("recording_id", "frame_idx", F.coalesce(rise, F.lit(0.0)).alias("strength"))
@@ -170,9 +219,9 @@ def onset_peaks(envelope: DataFrame, wait: int = 10, delta: float = 0.3) -> Data
     return found.select("recording_id", spaced.alias("peaks"), "n_frames")
 
 
-def speaking_rate(peaks: DataFrame, n_samples: Column | None = None) -> DataFrame:
+def speaking_rate(peaks: DataFrame, n_samples: Column | None = None, framing: Framing = SPEECH) -> DataFrame:
     """Peaks a second, between 2 and 8; 4 without length. The frames are whole blocks where n_samples is not given."""
-    seconds = (F.col("n_frames") * HOP if n_samples is None else n_samples) / F.lit(float(RATE))
+    seconds = (F.col("n_frames") * framing.hop if n_samples is None else n_samples) / F.lit(float(framing.rate))
     rate = F.when(seconds > 0, F.greatest(F.lit(2.0), F.least(F.lit(8.0), F.size("peaks") / seconds))).otherwise(4.0)
     return peaks.select("recording_id", F.size("peaks").cast("long").alias("n_peaks"), rate.alias("speaking_rate"))
 
@@ -188,18 +237,20 @@ FAILED = {"rms_energy": 0.03, "rms_db": -25.0, "pitch_mean": 150.0, "pitch_varia
 MISSING = {"volume_db": -20.0, "pitch_hz": 150.0, "spectral_centroid": 1500.0, "zero_crossing_rate": 0.1, "pitch_mean": 150.0, "pitch_std": 20.0}
 
 
-def segment_features(blocks: DataFrame, segments: DataFrame | None = None) -> DataFrame:
+def segment_features(blocks: DataFrame, segments: DataFrame | None = None, framing: Framing = SPEECH) -> DataFrame:
     """All features of each segment's samples, one row for each segment; without segments, of each whole recording.
 
     Where a peak exceeds 1 or there are no samples, all are those of FAILED and failed is true; other segments of the recording are not touched by it.
     """
-    given = blocks if segments is None else slices(segments, blocks)
-    full = given.withColumn("x_raw", F.concat("x_raw", F.array_repeat(F.lit(0.0), HOP - F.size("x_raw"))))
-    frames = frame_rms(given)
+    given = blocks if segments is None else slices(segments, blocks, framing)
+    full = given.withColumn("x_raw", F.concat("x_raw", F.array_repeat(F.lit(0.0), framing.hop - F.size("x_raw"))))
+    frames, spectrum = frame_rms(given, framing), spectra(full, framing)
     level = recording_rms(given).select("recording_id", decibel(F.col("rms"), 1e-10).alias("rms_db"), "n_samples")
-    peaks = onset_peaks(onset_envelope(full)).hint("merge").join(level.select("recording_id", "n_samples"), "recording_id")
+    peaks = onset_peaks(rises(spectrum)).hint("merge").join(level.select("recording_id", "n_samples"), "recording_id")
+    tones = spectrum.groupBy("recording_id").agg(F.avg("centroid").alias("spectral_centroid"), pitch().alias("pitch_mean"))
+    rate = speaking_rate(peaks, F.col("n_samples"), framing).select("recording_id", "speaking_rate")
     told = level
-    for part in (peak_amplitude(given), silence_ratio(frames), spectral_centroid(full), median_pitch(full).select("recording_id", F.col("pitch_hz").alias("pitch_mean")), speaking_rate(peaks, F.col("n_samples")).select("recording_id", "speaking_rate"), volume_peaks(frames)):
+    for part in (peak_amplitude(given), silence_ratio(frames), tones, rate, volume_peaks(frames)):
         told = told.join(part.hint("merge"), "recording_id", "left")
     if segments is not None:
         told = segments.select(F.struct("recording_id", "seg_idx").alias("recording_id")).join(told.hint("merge"), "recording_id", "left")

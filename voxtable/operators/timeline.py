@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxtable.functions.numbers import rounded, stripped
-from voxtable.operators.signal import interval_rms
+from voxtable.operators.signal import SPEECH, Framing, interval_rms
 
 #: Pauses of over so many seconds are gaps; shorter ones join segments.
 PAUSE = 0.5
@@ -110,15 +110,15 @@ def silence_word(start: str, end: str, volume_db: Column | None = None) -> Colum
     return F.struct(F.lit(" ").alias("word"), rounded(start, 2).alias("start_time"), rounded(end, 2).alias("end_time"), rounded(F.col(end) - F.col(start), 2).alias("duration"), F.struct(volume.alias("volume_db"), F.lit(0.0).alias("pitch_hz"), F.lit(0.0).alias("spectral_centroid")).alias("acoustic_features"))
 
 
-def gap_volumes(takes: DataFrame, blocks: DataFrame) -> DataFrame:
+def gap_volumes(takes: DataFrame, blocks: DataFrame, framing: Framing) -> DataFrame:
     """takes with _before_db and _after_db, the dB of the samples of the gaps that a segment takes, null where there are none."""
     sides = [takes.where(f"_{side}").select("recording_id", F.struct("seg_idx", F.lit(side).alias("side")).alias("seg_idx"), F.col(f"{side}_start").alias("start_s"), F.col(f"{side}_end").alias("end_s")) for side in ("before", "after")]
-    heard = interval_rms(sides[0].unionByName(sides[1]), blocks).where("rms is not null")
+    heard = interval_rms(sides[0].unionByName(sides[1]), blocks, framing=framing).where("rms is not null")
     volumes = heard.groupBy("recording_id", F.col("seg_idx.seg_idx").alias("seg_idx")).agg(*[F.max(F.when(F.col("seg_idx.side") == side, F.col("volume_db"))).alias(f"_{side}_db") for side in ("before", "after")])
     return takes.join(volumes.hint("merge"), ["recording_id", "seg_idx"], "left")
 
 
-def fill_gaps(segments: DataFrame, recordings: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
+def fill_gaps(segments: DataFrame, recordings: DataFrame, blocks: DataFrame | None = None, framing: Framing = SPEECH) -> DataFrame:
     """Extends one neighbour over each gap, marks its text and gives it a silent word with the volume of the gap's samples in blocks.
 
     Where segments have words, the silent ones are put among them by start. Other columns stay.
@@ -136,7 +136,7 @@ def fill_gaps(segments: DataFrame, recordings: DataFrame, blocks: DataFrame | No
         "_after": F.col("after_start").isNotNull() & (F.col("is_last") | to_earlier("after_start", "after_end")),
     })
     if blocks is not None:
-        takes = gap_volumes(takes, blocks)
+        takes = gap_volumes(takes, blocks, framing)
     before, after = [F.filter(F.array(F.when(F.col(f"_{side}"), silence_word(f"{side}_start", f"{side}_end", None if blocks is None else F.col(f"_{side}_db")))), lambda w: w.isNotNull()) for side in ("before", "after")]
     more = {c: F.col(c) for c in segments.columns if c not in ("recording_id", "seg_idx", "start_s", "end_s", "speaker", "text")}
     if "words" in more:
@@ -159,7 +159,7 @@ def segment_preview(segments: DataFrame, count: int = 3) -> DataFrame:
     return told.where((F.col("from_start") <= count) | (F.col("from_end") <= count)).select("recording_id", "seg_idx", "start_s", "end_s", (F.col("from_start") <= count).alias("is_first"), (F.col("from_end") <= count).alias("is_last"))
 
 
-def fallback_words(segments: DataFrame, volume_db: float = -25.0, blocks: DataFrame | None = None) -> DataFrame:
+def fallback_words(segments: DataFrame, volume_db: float = -25.0, blocks: DataFrame | None = None, framing: Framing = SPEECH) -> DataFrame:
     """Evenly timed words of each segment with text and a positive length; of volume_db, or with blocks as loud as each word's samples, -30 without any."""
     words = F.split(stripped("text"), r"(?U)\s+")
     told = segments.where((stripped("text") != "") & (F.col("end_s") > F.col("start_s"))).select("recording_id", "seg_idx", "start_s", "end_s", words.alias("words"))
@@ -168,7 +168,7 @@ def fallback_words(segments: DataFrame, volume_db: float = -25.0, blocks: DataFr
     begin = F.col("start_s") + F.col("word_idx") * F.col("each")
     volume = F.lit(volume_db)
     if blocks is not None:
-        heard = interval_rms(out.select("recording_id", F.struct("seg_idx", "word_idx").alias("seg_idx"), begin.alias("start_s"), (begin + F.col("each")).alias("end_s")), blocks).where("rms is not null")
+        heard = interval_rms(out.select("recording_id", F.struct("seg_idx", "word_idx").alias("seg_idx"), begin.alias("start_s"), (begin + F.col("each")).alias("end_s")), blocks, framing=framing).where("rms is not null")
         heard = heard.select("recording_id", "seg_idx.seg_idx", "seg_idx.word_idx", rounded("volume_db", 1).alias("_db"))
         out, volume = out.hint("merge").join(heard, ["recording_id", "seg_idx", "word_idx"], "left"), F.coalesce("_db", F.lit(-30.0))
     return out.select("recording_id", "seg_idx", F.col("word_idx").cast("long").alias("word_idx"), "word", rounded(begin, 2).alias("start_time"), rounded(begin + F.col("each"), 2).alias("end_time"), rounded(begin + F.col("each") - begin, 2).alias("duration"), volume.alias("volume_db"), F.lit(150.0).alias("pitch_hz"), F.lit(1500.0).alias("spectral_centroid"))

@@ -13,6 +13,9 @@ from voxtable.plans.standin import table, with_tables
 from voxtable.sources import media
 from voxtable.streaming import jobs
 
+#: The stand-in blocks: 64 samples at 256 Hz, each transformed for itself.
+SMALL = signal.Framing(hop=64, rate=256, spectrum_hops=1)
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -124,7 +127,7 @@ w AS (SELECT recording_id, seg_idx, pos, ' ' AS word, {r('x', 2)} AS start_time,
 SELECT recording_id, seg_idx, row_number() OVER (PARTITION BY recording_id, seg_idx ORDER BY start_time, pos) - 1 AS place, word, start_time, end_time, volume_db FROM w""")
 def filled_words(seg, words, rec, block):
     """The words of fill_gaps, silent ones with the volume of their gap among the others."""
-    told = timeline.fill_gaps(with_words(seg, words), rec, block).select("recording_id", "seg_idx", F.posexplode("words").alias("place", "w"))
+    told = timeline.fill_gaps(with_words(seg, words), rec, block, SMALL).select("recording_id", "seg_idx", F.posexplode("words").alias("place", "w"))
     return told.select("recording_id", "seg_idx", F.col("place").cast("long").alias("place"), "w.word", "w.start_time", "w.end_time", "w.acoustic_features.volume_db")
 
 
@@ -157,7 +160,7 @@ g AS (SELECT recording_id, seg_idx, pos, words[pos + 1] AS word, start_s + pos *
 SELECT recording_id, seg_idx, pos AS word_idx, word, {r('coalesce(db, -30.0)', 1)} AS volume_db FROM g LEFT JOIN heard USING (recording_id, seg_idx, pos)""")
 def measured_fallback_words(seg, block):
     """The words of fallback_words, each with the volume of its own samples."""
-    return timeline.fallback_words(seg, blocks=block).select("recording_id", "seg_idx", "word_idx", "word", "volume_db")
+    return timeline.fallback_words(seg, blocks=block, framing=SMALL).select("recording_id", "seg_idx", "word_idx", "word", "volume_db")
 
 
 @query("SELECT recording_id, seg_idx, word, word_start AS start_time, word_end AS end_time, coalesce(speaker, 'SPEAKER_00') AS speaker_id, CAST(0.95 AS DOUBLE) AS confidence FROM f_words WHERE word_start IS NOT NULL AND word_end IS NOT NULL")
@@ -279,17 +282,17 @@ def talk_time(seg, turn, rec):
 
 @query(f"WITH {FRAMES} SELECT recording_id, frame_idx, {r('rms', 6)} AS rms FROM frames")
 def frame_rms(block):
-    return signal.frame_rms(block).withColumn("rms", rounded("rms", 6))
+    return signal.frame_rms(block, SMALL).withColumn("rms", rounded("rms", 6))
 
 
 @query(f"WITH {FRAMES} SELECT recording_id, {r('stddev_pop(rms) / (avg(rms) + 1e-10)', 6)} AS energy_variation FROM frames GROUP BY recording_id")
 def energy_variation(block):
-    return signal.energy_variation(signal.frame_rms(block)).withColumn("energy_variation", rounded("energy_variation", 6))
+    return signal.energy_variation(signal.frame_rms(block, SMALL)).withColumn("energy_variation", rounded("energy_variation", 6))
 
 
 @query(f"WITH {FRAMES}, l AS (SELECT recording_id, quantile_cont(rms, 0.2) AS lim FROM frames GROUP BY 1) SELECT recording_id, avg(CASE WHEN rms < lim THEN 1.0::DOUBLE ELSE 0.0 END) AS silence_ratio FROM frames JOIN l USING (recording_id) GROUP BY recording_id")
 def silence_ratio(block):
-    return signal.silence_ratio(signal.frame_rms(block))
+    return signal.silence_ratio(signal.frame_rms(block, SMALL))
 
 
 @query("SELECT recording_id, max(list_max(list_transform(x_raw, lambda v: abs(CAST(v AS DOUBLE)))) * gain) AS amplitude_max FROM f_block GROUP BY recording_id")
@@ -313,7 +316,7 @@ def derived_acoustics(block):
 p AS (SELECT recording_id, frame_idx, rms FROM n WHERE frame_idx % step = 0 AND frame_idx // step < 10)
 SELECT recording_id, row_number() OVER (PARTITION BY recording_id ORDER BY frame_idx) - 1 AS place, {r('rms', 3)} AS peak FROM p""")
 def volume_peaks(block):
-    told = signal.volume_peaks(signal.frame_rms(block)).select("recording_id", F.posexplode("volume_peaks").alias("place", "peak"))
+    told = signal.volume_peaks(signal.frame_rms(block, SMALL)).select("recording_id", F.posexplode("volume_peaks").alias("place", "peak"))
     return told.withColumn("place", F.col("place").cast("long"))
 
 
@@ -323,7 +326,7 @@ sm AS (SELECT recording_id, block_idx * 64 + i - 1 AS p, CAST(x_raw[i] AS DOUBLE
 e AS (SELECT sp.recording_id, sp.seg_idx, sqrt(sum(x * x) / count(*)) AS rms, count(*) AS n FROM sp JOIN sm ON sp.recording_id = sm.recording_id AND p >= a AND p < b GROUP BY 1, 2)
 SELECT s.recording_id, s.seg_idx, coalesce(n, 0) AS n_samples, {r('rms', 6)} AS rms, {r('CASE WHEN rms IS NULL THEN -30.0 ELSE 20.0 * log10(rms + 1e-8) END', 3)} AS volume_db FROM f_seg s LEFT JOIN e USING (recording_id, seg_idx)""")
 def interval_rms(seg, block):
-    return signal.interval_rms(seg, block).withColumns({"rms": rounded("rms", 6), "volume_db": rounded("volume_db", 3)})
+    return signal.interval_rms(seg, block, framing=SMALL).withColumns({"rms": rounded("rms", 6), "volume_db": rounded("volume_db", 3)})
 
 
 @query(f"""WITH p AS (SELECT recording_id, max(list_max(list_transform(x_raw, lambda v: abs(CAST(v AS DOUBLE)))) * gain) AS top FROM f_block GROUP BY 1)
@@ -335,42 +338,42 @@ def normalize_audio(block):
 @query(f"""WITH {FRAMES}, t AS (SELECT *, max(rms) OVER (PARTITION BY recording_id) AS top FROM frames)
 SELECT recording_id, min(frame_idx) AS first_frame, max(frame_idx) AS last_frame, min(frame_idx) * 64 AS start_sample, (max(frame_idx) + 1) * 64 AS end_sample FROM t WHERE 20.0 * log10(rms + 1e-10) > 20.0 * log10(top + 1e-10) - 10 GROUP BY recording_id""")
 def trim_silence(block):
-    return signal.trim_silence(signal.frame_rms(block))
+    return signal.trim_silence(signal.frame_rms(block, SMALL), framing=SMALL)
 
 
 @query(f"WITH {SPECTRA} SELECT recording_id, {r('avg(centroid)', 4)} AS spectral_centroid FROM bl GROUP BY recording_id")
 def spectral_centroid(block):
-    return signal.spectral_centroid(block).withColumn("spectral_centroid", rounded("spectral_centroid", 4))
+    return signal.spectral_centroid(block, SMALL).withColumn("spectral_centroid", rounded("spectral_centroid", 4))
 
 
 @query(f"WITH {SPECTRA} SELECT recording_id, coalesce(median(CASE WHEN strongest > 80 AND strongest < 400 THEN strongest END), 150.0) AS pitch_hz, count(CASE WHEN strongest > 80 AND strongest < 400 THEN 1 END) AS n_voiced FROM bl GROUP BY recording_id")
 def median_pitch(block):
-    return signal.median_pitch(block)
+    return signal.median_pitch(block, SMALL)
 
 
 @query()
 def onset_peaks(block):
-    return signal.onset_peaks(signal.onset_envelope(block)).select("recording_id", "n_frames", F.array_join(F.transform("peaks", lambda p: p.cast("string")), ",").alias("peaks"))
+    return signal.onset_peaks(signal.onset_envelope(block, SMALL)).select("recording_id", "n_frames", F.array_join(F.transform("peaks", lambda p: p.cast("string")), ",").alias("peaks"))
 
 
 @query()
 def speaking_rate(block):
-    return signal.speaking_rate(signal.onset_peaks(signal.onset_envelope(block)))
+    return signal.speaking_rate(signal.onset_peaks(signal.onset_envelope(block, SMALL)), framing=SMALL)
 
 
 @query()
 def segment_features(seg, block):
-    return signal.segment_features(block, seg)
+    return signal.segment_features(block, seg, SMALL)
 
 
 @query()
 def batch_features(seg, block):
-    return signal.batch_features(seg, signal.segment_features(block, seg))
+    return signal.batch_features(seg, signal.segment_features(block, seg, SMALL))
 
 
 @query()
 def acoustic_api_shape(seg, block):
-    return signal.api_shape(signal.segment_features(block, seg))
+    return signal.api_shape(signal.segment_features(block, seg, SMALL))
 
 
 @query(f"""WITH {LEVEL} SELECT s.recording_id, s.seg_idx, {r('coalesce(db, -20.0)', 3)} AS volume_db, CAST(150 AS DOUBLE) AS pitch_hz, CAST(1500 AS DOUBLE) AS spectral_centroid, CAST(0.1 AS DOUBLE) AS zero_crossing_rate, CAST(150 AS DOUBLE) AS pitch_mean, CAST(20 AS DOUBLE) AS pitch_std
@@ -382,7 +385,7 @@ def acoustic_defaults(seg, block):
 
 @query()
 def attach_features(seg, block):
-    return signal.attach_features(seg, signal.api_shape(signal.segment_features(block, seg)))
+    return signal.attach_features(seg, signal.api_shape(signal.segment_features(block, seg, SMALL)))
 
 
 # --- quality
@@ -427,6 +430,33 @@ def rounding_contract(seg, label):
     return quality.rounding_contract(seg.join(label.select("recording_id", "seg_idx", "confidence"), ["recording_id", "seg_idx"]))
 
 
+def numbers(names: tuple[str, ...], value: str, places: int) -> str:
+    """SQL columns under names: value, in which {i} is the number of the column, to so many places and 0 where it is null."""
+    return ", ".join(f"{r(f'coalesce({value.format(i=i)}, CAST(0 AS DOUBLE))', places)} AS {n}" for i, n in enumerate(names))
+
+
+@query(f"""WITH e AS (SELECT *, unnest(range(CASE WHEN vec_id % 4 = 0 THEN 1 ELSE len(x_raw) END)) AS place FROM f_block)
+SELECT vec_id, {numbers(quality.FEATURES, "CASE WHEN (vec_id + {i}) % 5 <> 0 THEN CAST(x_raw[{i} + 1] AS DOUBLE) * gain END", 3)},
+  {numbers(("mfcc_1", "mfcc_2", "mfcc_3"), "CASE WHEN vec_id % 3 <> 0 THEN CAST(x_raw[{i} + 1] AS DOUBLE) END", 1)},
+  CASE WHEN vec_id % 4 <> 0 THEN place END AS place, CASE WHEN vec_id % 4 <> 0 THEN {r("CAST(x_raw[place + 1] AS DOUBLE)", 3)} END AS peak FROM e""")
+def feature_contract(block):
+    """Features read off the samples of blocks, of which each is missing at times."""
+    x, n = F.transform("x_raw", lambda v: v.cast("double")), F.col("vec_id")
+    given = [F.when((n + i) % 5 != 0, F.get(x, F.lit(i)) * F.col("gain")).alias(k) for i, k in enumerate(quality.FEATURES)]
+    told = quality.feature_contract(block.select("vec_id", *given, F.when(n % 3 != 0, x).alias("mfcc"), F.when(n % 4 != 0, x).alias("volume_peaks")))
+    mfcc = [F.get("mfcc", F.lit(i)).alias(f"mfcc_{i + 1}") for i in range(3)]
+    out = told.select("vec_id", *quality.FEATURES, *mfcc, F.posexplode_outer("volume_peaks").alias("place", "peak"))
+    return out.withColumn("place", F.col("place").cast("long"))
+
+
+@query(f"""SELECT event_id, {numbers(("gpu_utilization",), "CASE WHEN event_id % 5 <> 0 THEN CAST(progress AS DOUBLE) / 101 END", 2)},
+  {numbers(("avg_processing_fps",), "CASE WHEN event_id % 7 <> 0 THEN CAST(event_id AS DOUBLE) / 13 END", 2)} FROM f_progress""")
+def performance_contract(progress):
+    n = F.col("event_id")
+    rows = progress.select("event_id", F.when(n % 5 != 0, F.col("progress").cast("double") / 101).alias("gpu_utilization"), F.when(n % 7 != 0, n.cast("double") / 13).alias("avg_processing_fps"))
+    return quality.performance_contract(rows)
+
+
 # --- documents
 
 
@@ -467,6 +497,14 @@ def recording_metadata(rec, seg, run):
     return document.recording_metadata(rec, seg, run)
 
 
+@query(f"""SELECT r.recording_id, {r("coalesce(r.duration_s, 0.0)", 1)} AS duration_s, sample_rate, coalesce(n, 0) AS total_segments, coalesce(u, 0) AS unique_speakers, {r("coalesce(processing_s, 0.0)", 1)} AS processing_s,
+  requested AS language_requested, coalesce(detected, requested) AS language_detected, CASE WHEN requested <> 'auto' THEN 'targeted' ELSE 'auto-detect' END AS processing_mode
+FROM f_rec r LEFT JOIN (SELECT recording_id, count(*) AS n, count(DISTINCT coalesce(speaker, 'SPEAKER_00')) AS u FROM f_seg GROUP BY 1) USING (recording_id) LEFT JOIN f_run USING (recording_id) LEFT JOIN f_spoken USING (recording_id)""")
+def result_metadata(rec, seg, run, spoken):
+    """recording_metadata with languages, under the rounding contract."""
+    return quality.metadata_contract(document.recording_metadata(rec, seg, run, spoken))
+
+
 @query("""WITH w AS (SELECT recording_id, count(*) AS n FROM f_words WHERE word_start IS NOT NULL AND word_end IS NOT NULL GROUP BY 1)
 SELECT s.recording_id, any_value(duration_s) AS duration, count(*) AS n_segments, coalesce(any_value(n), 0) AS n_words, count(DISTINCT coalesce(speaker, 'SPEAKER_00')) AS n_speakers, string_agg(coalesce(text, ''), ' ' ORDER BY seg_idx) AS text, sum(end_s - start_s) AS talk_s
 FROM f_seg s LEFT JOIN f_rec USING (recording_id) LEFT JOIN w USING (recording_id) GROUP BY s.recording_id""")

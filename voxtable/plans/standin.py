@@ -121,6 +121,12 @@ F_RUN = """
 SELECT recording_id, duration_s, CAST(0.25 AS DOUBLE) * (1 + recording_id % 8) AS processing_s FROM f_rec
 """
 
+F_SPOKEN = """
+SELECT recording_id, CASE recording_id % 4 WHEN 0 THEN 'auto' WHEN 1 THEN 'en' WHEN 2 THEN 'ko' ELSE 'auto' END AS requested,
+       CASE WHEN recording_id % 3 = 0 THEN NULL WHEN recording_id % 4 = 3 THEN 'ja' ELSE 'en' END AS detected
+FROM f_rec
+"""
+
 F_LABEL = """
 SELECT recording_id, seg_idx, coalesce(speaker, 'SPEAKER_00') AS speaker,
        CASE (recording_id * 5 + seg_idx) % 3 WHEN 0 THEN 'happy' WHEN 1 THEN 'neutral' ELSE 'sad' END AS emotion,
@@ -128,7 +134,7 @@ SELECT recording_id, seg_idx, coalesce(speaker, 'SPEAKER_00') AS speaker,
 FROM f_seg
 """
 
-SQL = {"f_seg": F_SEG, "f_turn": F_TURN, "f_segdup": F_SEGDUP, "f_rec": F_REC, "f_words": F_WORDS, "f_block": F_BLOCK, "f_progress": F_PROGRESS, "f_stage": F_STAGE, "f_transfer": F_TRANSFER, "f_uri": F_URI, "f_lang": F_LANG, "f_media": F_MEDIA, "f_run": F_RUN, "f_label": F_LABEL}
+SQL = {"f_seg": F_SEG, "f_turn": F_TURN, "f_segdup": F_SEGDUP, "f_rec": F_REC, "f_words": F_WORDS, "f_block": F_BLOCK, "f_progress": F_PROGRESS, "f_stage": F_STAGE, "f_transfer": F_TRANSFER, "f_uri": F_URI, "f_lang": F_LANG, "f_media": F_MEDIA, "f_run": F_RUN, "f_spoken": F_SPOKEN, "f_label": F_LABEL}
 
 
 def needs(sql: str) -> list[str]:
