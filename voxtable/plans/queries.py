@@ -124,7 +124,7 @@ def with_words(seg, words):
   UNION ALL SELECT recording_id, seg_idx, 2, end_s, coalesce(next_start, duration_s) FROM t WHERE ta), {HEARD},
 w AS (SELECT recording_id, seg_idx, pos, ' ' AS word, {r('x', 2)} AS start_time, {r('y', 2)} AS end_time, {r('coalesce(db, -60.0)', 1)} AS volume_db FROM g LEFT JOIN heard USING (recording_id, seg_idx, pos)
   UNION ALL SELECT recording_id, seg_idx, 1, word, word_start, word_end, NULL FROM f_words WHERE word_start IS NOT NULL AND word_end IS NOT NULL)
-SELECT recording_id, seg_idx, row_number() OVER (PARTITION BY recording_id, seg_idx ORDER BY start_time, pos) - 1 AS place, word, start_time, end_time, volume_db FROM w""")
+SELECT recording_id, seg_idx, row_number() OVER (PARTITION BY recording_id, seg_idx ORDER BY start_time, pos, end_time, word) - 1 AS place, word, start_time, end_time, volume_db FROM w""")
 def filled_words(seg, words, rec, block):
     """The words of fill_gaps, silent ones with the volume of their gap among the others."""
     told = timeline.fill_gaps(with_words(seg, words), rec, block, SMALL).select("recording_id", "seg_idx", F.posexplode("words").alias("place", "w"))
@@ -132,7 +132,7 @@ def filled_words(seg, words, rec, block):
 
 
 @query(f"""WITH {JOIN_MERGE.format(t='f_seg')}, w AS (SELECT recording_id, island, seg_idx, word, word_start, word_end FROM isl JOIN (SELECT recording_id, seg_idx, word, word_start, word_end FROM f_words WHERE word_start IS NOT NULL AND word_end IS NOT NULL) USING (recording_id, seg_idx))
-SELECT recording_id, first_idx AS seg_idx, row_number() OVER (PARTITION BY recording_id, island ORDER BY seg_idx) - 1 AS place, word, word_start AS start_time, word_end AS end_time
+SELECT recording_id, first_idx AS seg_idx, row_number() OVER (PARTITION BY recording_id, island ORDER BY seg_idx, word_start, word_end, word) - 1 AS place, word, word_start AS start_time, word_end AS end_time
 FROM w JOIN (SELECT recording_id, island, min(seg_idx) AS first_idx FROM isl GROUP BY 1, 2) USING (recording_id, island)""")
 def merged_words(seg, words):
     """The words of merge_segments."""
@@ -231,14 +231,18 @@ def assign_word_speakers(seg, turn):
     return speakers.assign_word_speakers(seg, turn)
 
 
-@query(f"""WITH w AS (SELECT recording_id, seg_idx, word_start AS start_s, word_end AS end_s, word FROM f_words WHERE word_start IS NOT NULL AND word_end IS NOT NULL),
+@query(f"""WITH w AS (
+  SELECT recording_id, struct_pack(seg_idx := seg_idx, word_idx := word_idx) AS seg_idx, word_start AS start_s, word_end AS end_s
+  FROM f_words WHERE word_start IS NOT NULL AND word_end IS NOT NULL),
 {OVERLAP.replace("f_seg s", "w s")}, t AS (SELECT recording_id, seg_idx, turn_speaker, sum(overlap_s) AS overlap_s FROM ov GROUP BY ALL),
 b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY recording_id, seg_idx ORDER BY overlap_s DESC, turn_speaker) AS n FROM t) WHERE n = 1)
-SELECT s.recording_id, s.seg_idx, b.turn_speaker AS speaker, b.overlap_s FROM w s LEFT JOIN b USING (recording_id, seg_idx)""")
+SELECT s.recording_id, s.seg_idx.seg_idx AS seg_idx, s.seg_idx.word_idx AS word_idx, b.turn_speaker AS speaker, b.overlap_s
+FROM w s LEFT JOIN b ON s.recording_id = b.recording_id AND s.seg_idx = b.seg_idx""")
 def word_speakers(words, turn):
     """The speaker of each word by its own times."""
-    own = words.where("word_start is not null and word_end is not null").select("recording_id", "seg_idx", F.col("word_start").alias("start_s"), F.col("word_end").alias("end_s"))
-    return speakers.assign_word_speakers(own, turn)
+    own = words.where("word_start is not null and word_end is not null")
+    own = own.select("recording_id", F.struct("seg_idx", "word_idx").alias("seg_idx"), F.col("word_start").alias("start_s"), F.col("word_end").alias("end_s"))
+    return speakers.assign_word_speakers(own, turn).select("recording_id", "seg_idx.seg_idx", "seg_idx.word_idx", "speaker", "overlap_s")
 
 
 @query("SELECT recording_id, coalesce(speaker, 'SPEAKER_00') AS speaker, sum(end_s - start_s) AS total_duration, count(*) AS segment_count FROM f_seg GROUP BY 1, 2")
@@ -505,16 +509,24 @@ def result_metadata(rec, seg, run, spoken):
     return quality.metadata_contract(document.recording_metadata(rec, seg, run, spoken))
 
 
-@query("""WITH w AS (SELECT recording_id, count(*) AS n FROM f_words WHERE word_start IS NOT NULL AND word_end IS NOT NULL GROUP BY 1)
-SELECT s.recording_id, any_value(duration_s) AS duration, count(*) AS n_segments, coalesce(any_value(n), 0) AS n_words, count(DISTINCT coalesce(speaker, 'SPEAKER_00')) AS n_speakers, string_agg(coalesce(text, ''), ' ' ORDER BY seg_idx) AS text, sum(end_s - start_s) AS talk_s
+@query("""WITH w AS (
+  SELECT recording_id, count(*) AS n, string_agg(word, ' ' ORDER BY seg_idx, word_start, word_end, word) AS spoken, sum(word_end - word_start) AS spoken_s
+  FROM f_words WHERE word_start IS NOT NULL AND word_end IS NOT NULL GROUP BY 1)
+SELECT s.recording_id, any_value(duration_s) AS duration, count(*) AS n_segments, coalesce(any_value(n), 0) AS n_words, coalesce(any_value(spoken), '') AS spoken, coalesce(any_value(spoken_s), 0.0) AS spoken_s,
+  count(DISTINCT coalesce(speaker, 'SPEAKER_00')) AS n_speakers, string_agg(coalesce(speaker, 'SPEAKER_00'), ' ' ORDER BY seg_idx) AS voices,
+  string_agg(coalesce(text, ''), ' ' ORDER BY seg_idx) AS text, sum(end_s - start_s) AS talk_s
 FROM f_seg s LEFT JOIN f_rec USING (recording_id) LEFT JOIN w USING (recording_id) GROUP BY s.recording_id""")
 def analysis_document(seg, words, rec):
-    """The nested documents, written as JSON and read back, then flattened for comparison."""
+    """The nested documents, written as JSON and read back, then flattened for comparison: words and speakers in their order, and seconds of both."""
     built = document.analysis_document(seg, words, rec)
     kinds = built.drop("recording_id").schema
     read = document.document_json(built).select("recording_id", F.from_json("json", kinds).alias("d")).select("recording_id", "d.*")
     talk = F.aggregate(F.map_values("speakers"), F.lit(0.0), lambda a, s: a + s["total_duration"])
-    return read.select("recording_id", "duration", F.size("segments").cast("long").alias("n_segments"), F.size("word_segments").cast("long").alias("n_words"), F.size("speakers").cast("long").alias("n_speakers"), "text", talk.alias("talk_s"))
+    spoken = F.array_join(F.transform("word_segments", lambda w: w["word"]), " ")
+    spoken_s = F.aggregate("word_segments", F.lit(0.0), lambda a, w: a + w["end_time"] - w["start_time"])
+    sizes = [F.size(c).cast("long").alias(n) for c, n in (("segments", "n_segments"), ("word_segments", "n_words"), ("speakers", "n_speakers"))]
+    voices = F.array_join(F.transform("segments", lambda s: s["speaker"]["speaker_id"]), " ")
+    return read.select("recording_id", "duration", *sizes, spoken.alias("spoken"), spoken_s.alias("spoken_s"), voices.alias("voices"), "text", talk.alias("talk_s"))
 
 
 # --- sources

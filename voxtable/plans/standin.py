@@ -1,6 +1,6 @@
 """Stand-in tables: the SQL that derives speech-timeline rows from the given tables, the same text for Spark and for DuckDB.
 
-Times are multiples of 1/16 s (1/1024 s in f_segdup), so sums and differences are exact.
+Times are multiples of 1/16 s (1/1024 s in f_segdup and of words), so sums and differences are exact.
 """
 
 from __future__ import annotations
@@ -56,12 +56,24 @@ SELECT CAST(1000000 + doc_id AS BIGINT), CAST(0.0 AS DOUBLE), CAST(16000 AS INT)
 WHERE NOT EXISTS (SELECT 1 FROM conversations c WHERE c.conv_id = doc_id)
 """
 
-F_WORDS = """
-SELECT recording_id, seg_idx, start_s, end_s, speaker, text,
-       CASE WHEN (recording_id + seg_idx) % 3 = 0 THEN NULL ELSE start_s END AS word_start,
-       CASE WHEN (recording_id + seg_idx) % 7 = 0 THEN NULL ELSE start_s + CAST(0.5 AS DOUBLE) END AS word_end,
-       CASE WHEN seg_idx % 4 = 3 THEN ' ' ELSE substring(text, 1, 5) END AS word
-FROM f_seg
+#: Each word of the array words with its place, for DuckDB and for Spark: the one thing in which the two texts differ.
+EACH_WORD = "unnest(range(len(words))) AS word_idx, unnest(words) AS word"
+EACH_WORD_SPARK = "posexplode(words) AS (word_idx, word)"
+F_WORDS = f"""
+WITH w0 AS (
+  SELECT recording_id, seg_idx, start_s, end_s, speaker, coalesce(text, '') AS text, split(coalesce(text, ''), ' ') AS words FROM f_seg),
+w1 AS (SELECT recording_id, seg_idx, start_s, end_s, speaker, text, {EACH_WORD} FROM w0),
+w2 AS (
+  SELECT recording_id, seg_idx, start_s, end_s, speaker, text, CAST(word_idx AS BIGINT) AS word_idx, word,
+         (end_s - start_s) * CAST(1024 AS DOUBLE) AS ticks, CAST(length(text) - length(replace(text, ' ', '')) + 1 AS DOUBLE) AS n_words
+  FROM w1)
+SELECT recording_id, seg_idx, start_s, end_s, speaker, text, word_idx,
+       CASE WHEN (recording_id + seg_idx + word_idx) % 3 = 0 THEN NULL
+            ELSE start_s + CAST(floor(word_idx * ticks / n_words) AS DOUBLE) / CAST(1024 AS DOUBLE) END AS word_start,
+       CASE WHEN (recording_id + seg_idx + word_idx) % 7 = 0 THEN NULL
+            ELSE start_s + CAST(floor((word_idx + 1) * ticks / n_words) AS DOUBLE) / CAST(1024 AS DOUBLE) END AS word_end,
+       CASE WHEN seg_idx % 4 = 3 THEN ' ' ELSE word END AS word
+FROM w2
 """
 
 F_BLOCK = """
@@ -159,7 +171,7 @@ def with_tables(sql: str) -> str:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A stand-in table as a DataFrame over the Parquet tables in sf_dir."""
-    sql = with_tables(f"SELECT * FROM {name}")
+    sql = with_tables(f"SELECT * FROM {name}").replace(EACH_WORD, EACH_WORD_SPARK)
     used = [b for b in BASE if re.search(rf"\bFROM {b}\b", sql)]
     for b in used:
         sql = re.sub(rf"\bFROM {b}\b", f"FROM {{{b}}}", sql)
