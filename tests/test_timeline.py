@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from voxtable.operators import document, quality, speakers, timeline
 from voxtable.plans.queries import SMALL
+from voxtable.plans.standin import table
 
 SEGMENT = "recording_id long, seg_idx long, start_s double, end_s double, speaker string, text string"
 TURN = "recording_id long, turn_idx long, start_s double, end_s double, speaker string"
@@ -152,3 +153,11 @@ def test_quarantine_leaves_out_rules_of_missing_columns(spark):
     assert [(r.reasons, r.valid) for r in out] == [(["end_not_after_start"], False), (["start_negative"], False)]
     named = quality.constraint_quarantine(spark.createDataFrame([(2.0, None)], "start_s double, speaker string")).collect()
     assert named[0].reasons == ["no_speaker"]
+
+
+def test_stand_in_words_are_those_of_whole_texts(spark, sf_dir):
+    words = table(spark, sf_dir, "f_words")
+    told = F.transform(F.array_sort(F.collect_list(F.struct("word_idx", "word"))), lambda x: x["word"])
+    again = words.where("seg_idx % 4 <> 3").groupBy("recording_id", "seg_idx", "text").agg(F.array_join(told, " ").alias("again"))
+    assert again.where("again = text").count() == table(spark, sf_dir, "f_seg").where("seg_idx % 4 <> 3").count()
+    assert words.where("word_start < start_s or word_end > end_s or word_end <= word_start").isEmpty()
