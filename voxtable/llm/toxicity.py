@@ -33,6 +33,8 @@ SAMPLE_ROWS = 20_000
 #: Words that occur in fewer of them are no features; of the others, the most frequent.
 MIN_DOCUMENTS, VOCABULARY = 3, 1 << 16
 PENALTY, ROUNDS = 2e-5, 60
+#: Tasks of a round of the fit. The sample is bounded; so few partial sums go straight to the driver, without a stage that adds them up first.
+FIT_TASKS = 4
 #: Weight of a swap against that of a document, and of each pair of names without any sentence.
 SWAP_WEIGHT, SWAP_PRIOR = 1.0, 1.0
 #: Weight of a text with a name put in against that of the text itself.
@@ -144,7 +146,7 @@ def fit(train: DataFrame, kinds: Sequence[Sequence[str]] = IDENTITY_TERMS) -> Mo
         featuresCol=VECTOR, labelCol="label", weightCol="weight", rawPredictionCol=RAW, probabilityCol=PROBABILITY, predictionCol=GUESS,
         standardization=False, regParam=PENALTY, elasticNetParam=1.0, maxIter=ROUNDS,
     )
-    return Model(vocabulary, regression.fit(vectors))
+    return Model(vocabulary, regression.fit(vectors.coalesce(FIT_TASKS)))
 
 
 def mention_rate(model: Model, documents: DataFrame, kinds: Sequence[Sequence[str]] = IDENTITY_TERMS) -> float:
