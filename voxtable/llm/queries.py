@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxtable.llm import decontaminate, exact_dedup, minhash, mixing, secrets, sharding, token_files, toxicity, url_filters, warc
+from voxtable.llm import decontaminate, exact_dedup, lexical_packing, minhash, mixing, periodic_runs, secrets, sharding, token_files, toxicity, url_filters, vector_codes, warc
 
 TOKENIZER = "byte_bpe_50k.json"
+PACKED_TOKENIZER = "word_bpe_49k.json"
 SHARDS = 8
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
 HOST_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -82,6 +83,21 @@ def op10_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = lexical_packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(PACKED_TOKENIZER))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op12_difference_cover_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(periodic_runs.find_runs(table(spark, sf_dir, "documents"), order=periodic_runs.made_periodic))
+
+
+def op13_anchor_tree_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trained = vector_codes.train(table(spark, sf_dir, "embeddings"))
+    out = vector_codes.with_label_error(vector_codes.encode(trained))
+    return out.select("vec_id", "code", "error", "label_error", F.lit(trained.sha256()).alias("codebooks_sha256"))
+
+
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP3_SQL = """
@@ -189,9 +205,40 @@ FROM m
 """
 
 
+def assigned(rounds: int) -> str:
+    """The nearest entries of codebook c<rounds>, and the codebook of the next round."""
+    k = rounds
+    return f"""
+a{k} AS (
+  SELECT row_no, part, arg_min(entry, [far, entry]) AS entry, min(far) AS far
+  FROM (SELECT p.row_no, p.part, entry, CAST(list_sum(list_transform(list_zip(p.x, c.x), lambda v: (v[1] - v[2]) * (v[1] - v[2]))) AS BIGINT) AS far
+        FROM p JOIN c{k} c ON c.part = p.part) GROUP BY 1, 2),
+m{k} AS (
+  SELECT part, entry, list(mean ORDER BY place) AS x
+  FROM (SELECT a.part, a.entry, place, CAST(floor(sum(p.x[place]) / count(*)::DOUBLE) AS BIGINT) AS mean
+        FROM a{k} a JOIN p USING (row_no, part), unnest(range(1, (SELECT width // 16 FROM size) + 1)) AS u(place) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+c{k + 1} AS (SELECT part, entry, coalesce(m.x, c.x) AS x FROM c{k} c LEFT JOIN m{k} m USING (part, entry))"""
+
+
+OP13_SQL = f"""
+WITH k AS (
+  SELECT vec_id, label, list_transform(embedding, lambda v: CAST(floor(CAST(v AS DOUBLE) * 256) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+size AS (SELECT CAST(ceil(max(len(x)) / 16.0) * 16 AS BIGINT) AS width FROM k),
+n AS (SELECT *, row_number() OVER (ORDER BY vec_id NULLS LAST, x) - 1 AS row_no FROM k),
+p AS (SELECT row_no, part, list_transform(x, lambda v: v)[part * (SELECT width // 16 FROM size) + 1 : (part + 1) * (SELECT width // 16 FROM size)] AS x FROM n, unnest(range(16)) AS u(part)),
+c0 AS (SELECT part, row_no AS entry, x FROM p WHERE row_no < 64),
+{assigned(0)}, {assigned(1)}, {assigned(2)},
+coded AS (SELECT row_no, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(far) AS BIGINT) AS error FROM a2 GROUP BY 1),
+books AS (SELECT sha256(string_agg(CAST(x[place] AS VARCHAR), ',' ORDER BY part, entry, place)) AS h FROM c2, unnest(range(1, (SELECT width // 16 FROM size) + 1)) AS u(place))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT h FROM books) AS codebooks_sha256
+FROM n JOIN coded USING (row_no)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_vector_bin_packing, op2_guess_cost_secrets, op3_warc_boundary_chain, op4_prefix_filtered_decontamination, op5_counterfactual_toxicity, op6_token_files, op7_hash_threshold_mix, op8_fuse_filter_dedup, op9_rarest_literal_url_rules, op10_minhash_components)}
+    return {f.__name__: f for f in (op1_vector_bin_packing, op2_guess_cost_secrets, op3_warc_boundary_chain, op4_prefix_filtered_decontamination, op5_counterfactual_toxicity, op6_token_files, op7_hash_threshold_mix, op8_fuse_filter_dedup, op9_rarest_literal_url_rules, op10_minhash_components, op11_lexical_packing, op12_difference_cover_runs, op13_anchor_tree_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc_boundary_chain": OP3_SQL, "op4_prefix_filtered_decontamination": OP4_SQL, "op7_hash_threshold_mix": OP7_SQL, "op8_fuse_filter_dedup": OP8_SQL, "op9_rarest_literal_url_rules": OP9_SQL, "op10_minhash_components": OP10_SQL}
+    return {"op3_warc_boundary_chain": OP3_SQL, "op4_prefix_filtered_decontamination": OP4_SQL, "op7_hash_threshold_mix": OP7_SQL, "op8_fuse_filter_dedup": OP8_SQL, "op9_rarest_literal_url_rules": OP9_SQL, "op10_minhash_components": OP10_SQL, "op13_anchor_tree_codes": OP13_SQL}
