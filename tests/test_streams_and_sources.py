@@ -98,80 +98,10 @@ def test_frames_and_tone(spark):
     want = [np.sqrt((padded[i * 64 : i * 64 + 256] ** 2).mean()) for i in range(9)]
     got = [r.rms for r in signal.frame_rms(blocks, SMALL).where("recording_id = 1").orderBy("frame_idx").collect()]
     assert got == pytest.approx(want, abs=1e-6)
-    assert {r.recording_id: r.pitch_hz for r in signal.median_pitch(blocks, SMALL).collect()} == {1: 100.0, 2: 150.0, 3: 150.0}
-    features = {r.recording_id: r for r in signal.segment_features(blocks, framing=SMALL).collect()}
-    assert features[3].failed and features[3].volume_category == "medium" and not features[1].failed
     normal = {(r.recording_id, r.block_idx): max(map(abs, r.x)) for r in signal.normalize_audio(blocks).collect()}
     assert normal[2, 0] == 0 and normal[3, 0] == pytest.approx(1)
 
 
-@pytest.mark.parametrize("framing", [signal.SPEECH, signal.Framing(hop=16, rate=1000, frame_hops=2, spectrum_hops=2)])
-@pytest.mark.parametrize("length", [1, 3.5, 6])
-def test_transforms_of_several_blocks(spark, framing, length):
-    hop, size = framing.hop, framing.hop * framing.spectrum_hops
-    x = np.random.default_rng(7).uniform(-0.9, 0.9, int(hop * length))
-    blocks = spark.createDataFrame([(1, i, x[i * hop : i * hop + hop].tolist(), 1.0) for i in range(-(-len(x) // hop))], "recording_id long, block_idx long, x_raw array<double>, gain double")
-    padded = np.concatenate((np.zeros(size // 2), x, np.zeros(size)))
-    cut = [padded[k * hop : k * hop + size] for k in range(1 + len(x) // hop)]
-    magnitude = [np.abs(np.fft.rfft(c * (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / size)))) for c in cut]
-    hertz = np.fft.rfftfreq(size, 1 / framing.rate)
-    out = signal.spectra(blocks, framing).orderBy("block_idx").collect()
-    assert [r.strongest for r in out] == pytest.approx([hertz[m.argmax()] for m in magnitude])
-    assert [r.centroid for r in out] == pytest.approx([(m * hertz).sum() / m.sum() for m in magnitude])
-    assert out[-1].magnitude == pytest.approx(magnitude[-1].tolist())
-
-
-def test_speech_framing_finds_a_voice(spark):
-    t = np.arange(16_000) / 16_000
-    x = 0.5 * np.sin(2 * np.pi * 203 * t)
-    blocks = spark.createDataFrame([(1, i, x[i * 512 : i * 512 + 512].tolist(), 1.0) for i in range(32)], "recording_id long, block_idx long, x_raw array<double>, gain double")
-    segments = spark.createDataFrame([(1, 0, 0.1, 0.6), (1, 1, 0.9, 2.0)], "recording_id long, seg_idx long, start_s double, end_s double")
-    out = {r.seg_idx: r for r in signal.segment_features(blocks, segments).collect()}
-    assert [out[i].pitch_mean for i in (0, 1)] == pytest.approx([203.125] * 2) and not out[0].failed
-    assert len(out[0].volume_peaks) == 10 and out[0].rms_db == pytest.approx(20 * np.log10(0.5 / np.sqrt(2)), abs=0.05)
-
-
-def test_features_are_of_each_segment_alone(spark):
-    r = np.random.default_rng(5)
-    x = r.uniform(-0.9, 0.9, 64 * 12 + 17)
-    x[:300] *= 0.05
-    x[700] = 3.0
-    gain = [2.0 ** -(i % 3) for i in range(13)]
-    blocks = spark.createDataFrame([(1, i, (x[i * 64 : i * 64 + 64] / gain[i]).tolist(), gain[i]) for i in range(13)], "recording_id long, block_idx long, x_raw array<double>, gain double")
-    spans = [(0, 0.0, 1.0), (1, 1.1, 2.5), (2, 2.6, 2.8), (3, 2.9, 9.0), (4, 1.2, 1.2), (5, 50.0, 51.0), (6, 1.5, 1.6)]
-    segments = spark.createDataFrame([(1, *s) for s in spans] + [(2, 0, 0.0, 1.0)], "recording_id long, seg_idx long, start_s double, end_s double")
-    told = signal.segment_features(blocks, segments, SMALL)
-    out = {(r.recording_id, r.seg_idx): r for r in told.collect()}
-    assert len(out) == 8 and {k for k, r in out.items() if r.failed} == {(1, 2), (1, 4), (1, 5), (2, 0)}
-    for i, start, end in spans:
-        part = x[int(start * 256) : int(end * 256)]
-        if out[1, i].failed:
-            continue
-        padded = np.concatenate((np.zeros(128), part, np.zeros(256)))
-        rms = np.array([np.sqrt((padded[k * 64 : k * 64 + 256] ** 2).mean()) for k in range(1 + len(part) // 64)])
-        cut = [np.pad(part[k : k + 64], (0, 64 - len(part[k : k + 64]))) for k in range(0, len(part), 64)]
-        magnitude = [np.abs(np.fft.rfft(c * (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(64) / 64)))) for c in cut]
-        hertz = np.fft.rfftfreq(64, 1 / 256)
-        strongest = [f for m in magnitude if 80 < (f := hertz[m.argmax()]) < 400]
-        assert out[1, i].rms_db == pytest.approx(20 * np.log10(np.sqrt((part**2).mean()) + 1e-10), abs=0.0006)
-        assert out[1, i].amplitude_max == pytest.approx(np.abs(part).max(), abs=0.0006)
-        assert out[1, i].silence_ratio == pytest.approx((rms < np.percentile(rms, 20)).mean(), abs=0.0006)
-        assert out[1, i].volume_peaks == pytest.approx(list(rms[:: max(1, len(rms) // 10)][:10]), abs=0.0006)
-        assert out[1, i].spectral_centroid == pytest.approx(np.mean([(m * hertz).sum() / m.sum() for m in magnitude]), abs=0.0006)
-        assert out[1, i].pitch_mean == pytest.approx(np.median(strongest) if strongest else 150.0)
-    batch = {(r.recording_id, r.seg_idx): r.rms_db for r in signal.batch_features(segments, told).collect()}
-    assert batch == {k: r.rms_db for k, r in out.items()} and batch[1, 0] != batch[1, 1]
-    attached = {(r.recording_id, r.seg_idx): r.volume_db for r in signal.attach_features(segments, signal.api_shape(told)).collect()}
-    assert attached == batch
-
-
-def test_onset_peaks_keep_their_distance(spark):
-    rows = [(1, i, 5.0 if i in (5, 12, 30) else 0.0) for i in range(40)]
-    out = signal.onset_peaks(spark.createDataFrame(rows, "recording_id long, frame_idx long, strength double")).first()
-    assert out.peaks == [5, 30]
-    assert signal.speaking_rate(spark.createDataFrame([(1, [5, 30], 40)], "recording_id long, peaks array<long>, n_frames long"), framing=SMALL).first().speaking_rate == 2.0
-
-
 def test_json_in_and_out(spark, tmp_path, sf_dir):
     (tmp_path / "segments.json").write_text('{"recording_id": 1, "seg_idx": 0, "start": 1.5, "end_time": 2.0, "text": "é", "words": [{"word": "é", "start_time": 1.5}]}\n{"recording_id": 1, "seg_idx": 1, "start": null, "start_time": 2.5}\n')
     rows = json_files.read_segments(spark, str(tmp_path / "segments.json")).orderBy("seg_idx").collect()

@@ -1,16 +1,13 @@
-"""Acoustic features from sample blocks.
+"""Loudness from sample blocks.
 
-Blocks are rows (recording_id, block_idx, x_raw, gain) of a fixed number of samples; sample i is x_raw[i] * gain. A block is
-one hop. Long recordings stay cut into blocks: sums go block by block, frames are moving sums of blocks.
+Blocks are rows (recording_id, block_idx, x_raw, gain) of a fixed number of samples; sample i is x_raw[i] * gain. For frames a
+block is one hop; spectral.py has what frames of any blocks and their transforms tell. Long recordings stay cut into blocks: sums go block by block, frames are moving sums of blocks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -19,22 +16,24 @@ from voxtable.functions.numbers import decibel, rounded
 
 @dataclass(frozen=True)
 class Framing:
-    """Samples of a block (one hop), samples a second, blocks of a frame, and blocks that a transform takes (1: each block for itself)."""
+    """Samples of a hop and a second, hops of a frame, samples of a stored block; and for spectra mel filters, limits of pitches, frames of a task."""
 
     hop: int = 512
     rate: int = 16_000
     frame_hops: int = 4
-    spectrum_hops: int = 4
+    block: int = 512
+    mels: int = 128
+    lowest: float = 150.0
+    highest: float = 4000.0
+    chunk: int = 2048
 
     @property
     def frame(self) -> int:
         return self.hop * self.frame_hops
 
 
-#: Frames of 2,048 samples every 512, at 16 kHz.
+#: Frames of 2,048 samples every 512, at 16 kHz; 128 mel filters, and pitches from 150 to 4,000 Hz.
 SPEECH = Framing()
-#: Pitches outside are not voices; without any the pitch is DEFAULT_PITCH.
-PITCH_LOW, PITCH_HIGH, DEFAULT_PITCH = 80.0, 400.0, 150.0
 
 
 def by_frame() -> WindowSpec:
@@ -99,7 +98,7 @@ def touched(segments: DataFrame, blocks: DataFrame, framing: Framing = SPEECH) -
 
     A segment is spread over the blocks it touches, which join by number; only first and last blocks are cut.
     """
-    hop, rate = framing.hop, framing.rate
+    hop, rate = framing.block, framing.rate
     size = blocks.groupBy("recording_id").agg((F.sum(F.size("x_raw"))).alias("_size"))
     span = segments.join(size.hint("merge"), "recording_id").select("recording_id", "seg_idx", F.greatest(F.lit(0), F.floor(F.col("start_s") * rate)).alias("a"), F.least("_size", F.floor(F.col("end_s") * rate)).alias("b")).where("b > a")
     span = span.withColumn("block_idx", F.explode(F.sequence(F.floor(F.col("a") / hop), F.floor((F.col("b") - 1) / hop))))
@@ -109,21 +108,6 @@ def touched(segments: DataFrame, blocks: DataFrame, framing: Framing = SPEECH) -
     return met.select("recording_id", "seg_idx", (F.col("block_idx") * hop + begin - F.col("a")).alias("at"), F.slice("x_raw", begin + 1, end - begin).alias("x"), (end - begin).alias("n"), "gain")
 
 
-def slices(segments: DataFrame, blocks: DataFrame, framing: Framing = SPEECH) -> DataFrame:
-    """The samples of each segment cut into blocks that are counted from its own start, the last one as short as it is.
-
-    recording_id is the struct (recording_id, seg_idx), so a segment takes the place of a recording in what works on blocks.
-    """
-    hop = framing.hop
-    first, room = F.floor(F.col("at") / hop), (hop - F.col("at") % hop).cast("int")
-    x = F.transform("x", lambda v: v * F.col("gain"))
-    part = lambda block, at, x: F.struct(block.alias("block_idx"), at.alias("at"), x.alias("x"))
-    parts = F.array(part(first, F.col("at"), F.slice(x, F.lit(1), room)), part(first + 1, F.col("at") + room, F.slice(x, room + 1, F.lit(hop))))
-    told = touched(segments, blocks, framing).select(F.struct("recording_id", "seg_idx").alias("recording_id"), F.explode(parts).alias("p")).where("size(p.x) > 0")
-    whole = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("p.at", "p.x"))), lambda p: p["x"]))
-    return told.groupBy("recording_id", F.col("p.block_idx").alias("block_idx")).agg(whole.alias("x_raw")).withColumn("gain", F.lit(1.0))
-
-
 def interval_rms(segments: DataFrame, blocks: DataFrame, floor: float = 1e-8, missing: float = -30.0, framing: Framing = SPEECH) -> DataFrame:
     """RMS and dB of each segment's samples; missing dB where none exist."""
     part = touched(segments, blocks, framing).select("recording_id", "seg_idx", (square_sum("x") * F.col("gain") * F.col("gain")).alias("e"), "n")
@@ -147,138 +131,6 @@ def trim_silence(frames: DataFrame, below_db: float = 10.0, framing: Framing = S
     return ends.select("recording_id", "first_frame", "last_frame", (F.col("first_frame") * framing.hop).alias("start_sample"), ((F.col("last_frame") + 1) * framing.hop).alias("end_sample"))
 
 
-def framed(blocks: DataFrame, framing: Framing) -> DataFrame:
-    """(recording_id, block_idx, x): what each transform takes, centred and zero-padded as frames are; blocks count from 0."""
-    scaled = F.transform("x_raw", lambda v: v.cast("double") * F.coalesce("gain", F.lit(0.0)))
-    rows = blocks.select("recording_id", "block_idx", scaled.alias("x"))
-    if framing.spectrum_hops == 1:
-        return rows
-    half = framing.spectrum_hops // 2
-    last = rows.groupBy("recording_id").agg(F.max(F.struct("block_idx", F.size("x").alias("n"))).alias("last"))
-    spine = last.where(F.col("last.n") >= framing.hop).select("recording_id", (F.col("last.block_idx") + 1).alias("block_idx"), F.array().cast("array<double>").alias("x"))
-    near = Window.partitionBy("recording_id").orderBy("block_idx").rowsBetween(-half, framing.spectrum_hops - half - 1)
-    told = rows.unionByName(spine).select("recording_id", "block_idx", F.flatten(F.collect_list("x").over(near)).alias("x"))
-    missing = (F.greatest(half - F.col("block_idx"), F.lit(0)) * framing.hop).cast("int")
-    told = told.withColumn("x", F.concat(F.array_repeat(F.lit(0.0), missing), "x"))
-    return told.withColumn("x", F.concat("x", F.array_repeat(F.lit(0.0), framing.hop * framing.spectrum_hops - F.size("x"))))
-
-
-def spectra(blocks: DataFrame, framing: Framing = SPEECH) -> DataFrame:
-    """Magnitudes of the Hann-windowed transform of each frame, with centroid and strongest frequency."""
-    rate = framing.rate
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [np.zeros(0) if v.values is None else v.values.to_numpy(zero_copy_only=False) for v in b["x"]]
-            hann = {n: 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n) for n in {len(x) for x in rows} if n}
-            told = [(np.abs(np.fft.rfft(x * hann[len(x)])), np.fft.rfftfreq(len(x), 1 / rate)) if len(x) else (np.zeros(1), np.zeros(1)) for x in rows]
-            centroid = [float((m * f).sum() / m.sum()) if m.sum() > 0 else 0.0 for m, f in told]
-            strongest = [float(f[m.argmax()]) for m, f in told]
-            magnitude = pa.array([m for m, _ in told], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([b["recording_id"], b["block_idx"], magnitude, pa.array(centroid, pa.float64()), pa.array(strongest, pa.float64())], ["recording_id", "block_idx", "magnitude", "centroid", "strongest"])
-
-    key = blocks.schema["recording_id"].dataType.simpleString()
-    return framed(blocks, framing).mapInArrow(run, f"recording_id {key}, block_idx long, magnitude array<double>, centroid double, strongest double")
-
-
-def spectral_centroid(blocks: DataFrame, framing: Framing = SPEECH) -> DataFrame:
-    return spectra(blocks, framing).groupBy("recording_id").agg(F.avg("centroid").alias("spectral_centroid"))
-
-
-def voiced() -> Column:
-    """The strongest frequency of a frame if it may be a voice's."""
-    return F.when((F.col("strongest") > PITCH_LOW) & (F.col("strongest") < PITCH_HIGH), F.col("strongest"))
-
-
-def pitch() -> Column:
-    return F.coalesce(F.median(voiced()), F.lit(DEFAULT_PITCH))
-
-
-def median_pitch(blocks: DataFrame, framing: Framing = SPEECH) -> DataFrame:
-    return spectra(blocks, framing).groupBy("recording_id").agg(pitch().alias("pitch_hz"), F.count(voiced()).alias("n_voiced"))
-
-
-def onset_envelope(blocks: DataFrame, framing: Framing = SPEECH) -> DataFrame:
-    """Mean rise of the log spectrum against the frame before."""
-    return rises(spectra(blocks, framing))
-
-
-def rises(spectrum: DataFrame) -> DataFrame:
-    power = spectrum.select("recording_id", F.col("block_idx").alias("frame_idx"), F.transform("magnitude", lambda m: F.log10(m * m + 1e-10)).alias("power"))
-    told = power.withColumn("before", F.lag("power").over(by_frame()))
-    rise = F.aggregate(F.zip_with("power", "before", lambda a, b: F.greatest(a - b, F.lit(0.0))), F.lit(0.0), lambda s, v: s + v) / F.size("power")
-    return told.select("recording_id", "frame_idx", F.coalesce(rise, F.lit(0.0)).alias("strength"))
-
-
-def onset_peaks(envelope: DataFrame, wait: int = 10, delta: float = 0.3) -> DataFrame:
-    """Frames that are the largest of 3 back and 3 ahead and exceed the mean of 3 back and 5 ahead by delta, at least wait apart."""
-    told = envelope.withColumns({"_top": F.max("strength").over(by_frame().rowsBetween(-3, 3)), "_mean": F.avg("strength").over(by_frame().rowsBetween(-3, 5))})
-    found = told.groupBy("recording_id").agg(F.array_sort(F.collect_list(F.when((F.col("strength") == F.col("_top")) & (F.col("strength") >= F.col("_mean") + delta), F.col("frame_idx")))).alias("found"), F.count("*").alias("n_frames"))
-    last = lambda kept: F.coalesce(F.try_element_at(kept, F.lit(-1)), F.lit(-(1 << 40)))
-    spaced = F.aggregate("found", F.array().cast("array<bigint>"), lambda kept, f: F.when(f - last(kept) > wait, F.array_append(kept, f)).otherwise(kept))
-    return found.select("recording_id", spaced.alias("peaks"), "n_frames")
-
-
-def speaking_rate(peaks: DataFrame, n_samples: Column | None = None, framing: Framing = SPEECH) -> DataFrame:
-    """Peaks a second, between 2 and 8; 4 without length. The frames are whole blocks where n_samples is not given."""
-    seconds = (F.col("n_frames") * framing.hop if n_samples is None else n_samples) / F.lit(float(framing.rate))
-    rate = F.when(seconds > 0, F.greatest(F.lit(2.0), F.least(F.lit(8.0), F.size("peaks") / seconds))).otherwise(4.0)
-    return peaks.select("recording_id", F.size("peaks").cast("long").alias("n_peaks"), rate.alias("speaking_rate"))
-
-
 def derived(db: Column, variance: Column) -> tuple[Column, Column]:
     """rms_energy from dB, and pitch_std from the variance."""
     return F.exp(db / 20) * 1e-5, F.when(variance > 0, F.sqrt(variance)).otherwise(0.0)
-
-
-#: The features of a segment that cannot be analysed.
-FAILED = {"rms_energy": 0.03, "rms_db": -25.0, "pitch_mean": 150.0, "pitch_variance": 100.0, "speaking_rate": 4.0, "amplitude_max": 0.5, "silence_ratio": 0.2, "spectral_centroid": 2000.0, "zcr": 0.05, "volume_category": "medium"}
-#: The features of a segment without any, in the shape of the interface.
-MISSING = {"volume_db": -20.0, "pitch_hz": 150.0, "spectral_centroid": 1500.0, "zero_crossing_rate": 0.1, "pitch_mean": 150.0, "pitch_std": 20.0}
-
-
-def segment_features(blocks: DataFrame, segments: DataFrame | None = None, framing: Framing = SPEECH) -> DataFrame:
-    """All features of each segment's samples, one row for each segment; without segments, of each whole recording.
-
-    Where a peak exceeds 1 or there are no samples, all are those of FAILED and failed is true; other segments of the recording are not touched by it.
-    """
-    given = blocks if segments is None else slices(segments, blocks, framing)
-    full = given.withColumn("x_raw", F.concat("x_raw", F.array_repeat(F.lit(0.0), framing.hop - F.size("x_raw"))))
-    frames, spectrum = frame_rms(given, framing), spectra(full, framing)
-    level = recording_rms(given).select("recording_id", decibel(F.col("rms"), 1e-10).alias("rms_db"), "n_samples")
-    peaks = onset_peaks(rises(spectrum)).hint("merge").join(level.select("recording_id", "n_samples"), "recording_id")
-    tones = spectrum.groupBy("recording_id").agg(F.avg("centroid").alias("spectral_centroid"), pitch().alias("pitch_mean"))
-    rate = speaking_rate(peaks, F.col("n_samples"), framing).select("recording_id", "speaking_rate")
-    told = level
-    for part in (peak_amplitude(given), silence_ratio(frames), tones, rate, volume_peaks(frames)):
-        told = told.join(part.hint("merge"), "recording_id", "left")
-    if segments is not None:
-        told = segments.select(F.struct("recording_id", "seg_idx").alias("recording_id")).join(told.hint("merge"), "recording_id", "left")
-    energy, _ = derived(F.col("rms_db"), F.lit(100.0))
-    told = told.withColumns({"rms_energy": energy, "pitch_variance": F.lit(100.0), "zcr": F.lit(0.05), "volume_category": volume_category(F.col("rms_db")), "failed": F.coalesce(F.col("amplitude_max") > 1, F.lit(True))})
-    numbers = [F.when(F.col("failed"), F.lit(v)).otherwise(F.col(k) if isinstance(v, str) else rounded(k, 3)).alias(k) for k, v in FAILED.items()]
-    keys = ["recording_id"] if segments is None else ["recording_id.recording_id", "recording_id.seg_idx"]
-    return told.select(*keys, *numbers, F.array(*map(F.lit, (12.0, -8.0, 4.0))).alias("mfcc"), F.when(F.col("failed"), F.array_repeat(F.lit(0.03), 5)).otherwise(F.col("volume_peaks")).alias("volume_peaks"), "failed")
-
-
-def keys_of(features: DataFrame) -> list[str]:
-    return [k for k in ("recording_id", "seg_idx") if k in features.columns]
-
-
-def batch_features(segments: DataFrame, features: DataFrame) -> DataFrame:
-    """The features of each segment, one row for each in whatever state; those of FAILED where there are none."""
-    told = segments.select("recording_id", "seg_idx").join(features.hint("merge"), keys_of(features), "left")
-    return told.select("recording_id", "seg_idx", *[F.coalesce(F.col(k), F.lit(v)).alias(k) for k, v in FAILED.items()], F.coalesce("failed", F.lit(True)).alias("failed"))
-
-
-def api_shape(features: DataFrame) -> DataFrame:
-    """Features under the names of the interface; 13 zeros where there are no coefficients."""
-    _, std = derived(F.col("rms_db"), F.col("pitch_variance"))
-    mfcc = F.when(F.size("mfcc") > 0, F.col("mfcc")).otherwise(F.array_repeat(F.lit(0.0), 13))
-    return features.select(*keys_of(features), F.col("rms_db").alias("volume_db"), F.col("pitch_mean").alias("pitch_hz"), "spectral_centroid", F.col("zcr").alias("zero_crossing_rate"), "pitch_mean", std.alias("pitch_std"), mfcc.alias("mfcc_mean"))
-
-
-def attach_features(segments: DataFrame, features: DataFrame) -> DataFrame:
-    """segments with the features of their own, or of their recording where features has no seg_idx; or MISSING."""
-    known = features.select(*keys_of(features), *[F.col(k).alias("_" + k) for k in MISSING])
-    return segments.join(known.hint("merge"), keys_of(features), "left").select(*segments.columns, *[F.coalesce(F.col("_" + k), F.lit(v)).alias(k) for k, v in MISSING.items()])

@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxtable.functions.numbers import decibel, rounded
-from voxtable.operators import document, quality, signal, speakers, timeline
+from voxtable.operators import document, features, quality, signal, speakers, spectral, timeline
+from voxtable.plans import audio_sql
+from voxtable.plans.audio_sql import AUDIO
 from voxtable.plans.standin import table, with_tables
 from voxtable.sources import media
 from voxtable.streaming import jobs
 
-#: The stand-in blocks: 64 samples at 256 Hz, each transformed for itself.
-SMALL = signal.Framing(hop=64, rate=256, spectrum_hops=1)
+#: The stand-in blocks whose loudness is told: 64 samples at 256 Hz.
+SMALL = signal.Framing(hop=64, rate=256, block=64)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -65,10 +67,6 @@ FRAMES = """en AS (SELECT recording_id, block_idx AS frame_idx, list_sum(list_tr
   UNION ALL SELECT recording_id, max(block_idx) + 1, 0.0 FROM f_block GROUP BY recording_id),
 frames AS (SELECT recording_id, frame_idx, sqrt(sum(e) OVER (PARTITION BY recording_id ORDER BY frame_idx ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) / 256) AS rms FROM en)"""
 LEVEL = """lv AS (SELECT recording_id, 20.0 * log10(sqrt(sum(list_sum(list_transform(x_raw, lambda v: CAST(v AS DOUBLE) * v)) * gain * gain) / sum(len(x_raw))) + 1e-10) AS db FROM f_block GROUP BY recording_id)"""
-SPECTRA = """sm AS (SELECT recording_id, block_idx, i - 1 AS i, CAST(x_raw[i] AS DOUBLE) * gain * (0.5 - 0.5 * cos(2 * pi() * (i - 1) / 64)) AS x FROM (SELECT *, unnest(range(1, 65)) AS i FROM f_block)),
-sp AS (SELECT recording_id, block_idx, k, sqrt(pow(sum(x * cos(2 * pi() * k * i / 64)), 2) + pow(sum(x * sin(2 * pi() * k * i / 64)), 2)) AS m
-  FROM sm, (SELECT unnest(range(0, 33)) AS k) GROUP BY recording_id, block_idx, k),
-bl AS (SELECT recording_id, block_idx, sum(m * k * 4.0) / sum(m) AS centroid, arg_max(k, m) * 4.0 AS strongest FROM sp GROUP BY recording_id, block_idx)"""
 JOIN_MERGE = """j AS (SELECT *, CASE WHEN row_number() OVER w > 1 AND coalesce(speaker IS NOT DISTINCT FROM lag(speaker) OVER w AND start_s - lag(end_s) OVER w < 0.5, false) THEN 0 ELSE 1 END AS new
   FROM {t} WINDOW w AS (PARTITION BY recording_id ORDER BY seg_idx)),
 isl AS (SELECT *, sum(new) OVER (PARTITION BY recording_id ORDER BY seg_idx) AS island FROM j),
@@ -345,51 +343,67 @@ def trim_silence(block):
     return signal.trim_silence(signal.frame_rms(block, SMALL), framing=SMALL)
 
 
-@query(f"WITH {SPECTRA} SELECT recording_id, {r('avg(centroid)', 4)} AS spectral_centroid FROM bl GROUP BY recording_id")
-def spectral_centroid(block):
-    return signal.spectral_centroid(block, SMALL).withColumn("spectral_centroid", rounded("spectral_centroid", 4))
+OF_RECORDINGS, FEATURES = audio_sql.measures(audio_sql.RECORDINGS), audio_sql.features(r)
 
 
-@query(f"WITH {SPECTRA} SELECT recording_id, coalesce(median(CASE WHEN strongest > 80 AND strongest < 400 THEN strongest END), 150.0) AS pitch_hz, count(CASE WHEN strongest > 80 AND strongest < 400 THEN 1 END) AS n_voiced FROM bl GROUP BY recording_id")
-def median_pitch(block):
-    return signal.median_pitch(block, SMALL)
+@query(f"{OF_RECORDINGS} SELECT recording_id, {r('centroid', 4)} AS spectral_centroid FROM me")
+def spectral_centroid(audio):
+    return spectral.spectral_centroid(audio, AUDIO).withColumn("spectral_centroid", rounded("spectral_centroid", 4))
 
 
-@query()
-def onset_peaks(block):
-    return signal.onset_peaks(signal.onset_envelope(block, SMALL)).select("recording_id", "n_frames", F.array_join(F.transform("peaks", lambda p: p.cast("string")), ",").alias("peaks"))
+@query(f"{OF_RECORDINGS} SELECT recording_id, {r('pitch', 4)} AS pitch_hz, n_voiced FROM me")
+def median_pitch(audio):
+    return spectral.median_pitch(audio, AUDIO).withColumn("pitch_hz", rounded("pitch_hz", 4))
 
 
-@query()
-def speaking_rate(block):
-    return signal.speaking_rate(signal.onset_peaks(signal.onset_envelope(block, SMALL)), framing=SMALL)
+@query(f"{OF_RECORDINGS} SELECT recording_id, t AS frame_idx, {r('strength', 4)} AS strength FROM env")
+def onset_envelope(audio):
+    return spectral.onset_envelope(audio, AUDIO).withColumn("strength", rounded("strength", 4))
 
 
-@query()
-def segment_features(seg, block):
-    return signal.segment_features(block, seg, SMALL)
+@query(f"{OF_RECORDINGS}, ot AS (SELECT recording_id, string_agg(t, ',' ORDER BY t) AS peaks FROM ons GROUP BY 1) SELECT recording_id, n_frames, coalesce(peaks, '') AS peaks FROM me LEFT JOIN ot USING (recording_id)")
+def onset_peaks(audio):
+    return spectral.onset_peaks(audio, AUDIO).select("recording_id", "n_frames", F.array_join(F.transform("peaks", lambda p: p.cast("string")), ",").alias("peaks"))
 
 
-@query()
-def batch_features(seg, block):
-    return signal.batch_features(seg, signal.segment_features(block, seg, SMALL))
+@query(f"{OF_RECORDINGS} SELECT recording_id, n_peaks, {r('rate', 6)} AS speaking_rate FROM me")
+def speaking_rate(audio):
+    told = spectral.speaking_rate(spectral.onset_peaks(audio, AUDIO), AUDIO)
+    return told.withColumn("speaking_rate", rounded("speaking_rate", 6))
 
 
-@query()
-def acoustic_api_shape(seg, block):
-    return signal.api_shape(signal.segment_features(block, seg, SMALL))
+@query(f"{FEATURES} SELECT *, CAST(12 AS DOUBLE) AS mfcc_1, CAST(-8 AS DOUBLE) AS mfcc_2, CAST(4 AS DOUBLE) AS mfcc_3 FROM feat")
+def segment_features(seg, audio):
+    """Lists as columns, one for each of their places."""
+    told = features.segment_features(audio, seg, AUDIO)
+    points = [F.get("volume_peaks", F.lit(i)).alias(f"peak_{i}") for i in range(spectral.POINTS)]
+    return told.select("*", *points, *[F.get("mfcc", F.lit(i)).alias(f"mfcc_{i + 1}") for i in range(3)]).drop("mfcc", "volume_peaks")
+
+
+@query(f"{FEATURES} SELECT recording_id, seg_idx, {', '.join(features.FAILED)}, failed FROM feat")
+def batch_features(seg, audio):
+    return features.batch_features(seg, features.segment_features(audio, seg, AUDIO))
+
+
+API = "rms_db AS volume_db, pitch_mean AS pitch_hz, spectral_centroid, zcr AS zero_crossing_rate, pitch_mean, CAST(10 AS DOUBLE) AS pitch_std"
+
+
+@query(f"{FEATURES} SELECT recording_id, seg_idx, {API}, CAST(12 AS DOUBLE) AS mfcc_1, CAST(-8 AS DOUBLE) AS mfcc_2, CAST(4 AS DOUBLE) AS mfcc_3 FROM feat")
+def acoustic_api_shape(seg, audio):
+    told = features.api_shape(features.segment_features(audio, seg, AUDIO))
+    return told.select("*", *[F.get("mfcc_mean", F.lit(i)).alias(f"mfcc_{i + 1}") for i in range(3)]).drop("mfcc_mean")
 
 
 @query(f"""WITH {LEVEL} SELECT s.recording_id, s.seg_idx, {r('coalesce(db, -20.0)', 3)} AS volume_db, CAST(150 AS DOUBLE) AS pitch_hz, CAST(1500 AS DOUBLE) AS spectral_centroid, CAST(0.1 AS DOUBLE) AS zero_crossing_rate, CAST(150 AS DOUBLE) AS pitch_mean, CAST(20 AS DOUBLE) AS pitch_std
 FROM f_seg s LEFT JOIN lv USING (recording_id)""")
 def acoustic_defaults(seg, block):
-    known = signal.recording_rms(block).select("recording_id", decibel(F.col("rms"), 1e-10).alias("volume_db"), *[F.lit(None).cast("double").alias(k) for k in signal.MISSING if k != "volume_db"])
-    return signal.attach_features(seg.select("recording_id", "seg_idx"), known).withColumn("volume_db", rounded("volume_db", 3))
+    known = signal.recording_rms(block).select("recording_id", decibel(F.col("rms"), 1e-10).alias("volume_db"), *[F.lit(None).cast("double").alias(k) for k in features.MISSING if k != "volume_db"])
+    return features.attach_features(seg.select("recording_id", "seg_idx"), known).withColumn("volume_db", rounded("volume_db", 3))
 
 
-@query()
-def attach_features(seg, block):
-    return signal.attach_features(seg, signal.api_shape(signal.segment_features(block, seg, SMALL)))
+@query(f"{FEATURES} SELECT s.*, {API} FROM f_seg s JOIN feat USING (recording_id, seg_idx)")
+def attach_features(seg, audio):
+    return features.attach_features(seg, features.api_shape(features.segment_features(audio, seg, AUDIO)))
 
 
 # --- quality
