@@ -29,7 +29,7 @@ def texts(seed=3, n=90):
         if i % 4 == 0:
             words = words[: r.randint(1, len(words))] * r.randint(1, 6)
         rows.append((i * 7, "\t\n ".join(words) if i % 9 == 0 else " ".join(words)))
-    odd = "It's <|endoftext|> Übung ΣΊΣΥΦΟΣ 12 can't STOP á x\x1cy   naïve-Test 日本語"
+    odd = "<|StartOfText|> It's <|endoftext|> Übung ΣΊΣΥΦΟΣ 12 can't STOP á x\x1cy   naïve-Test 日本語"
     rows += [(1000, None), (1001, ""), (1002, " \n\x0b"), (None, "lost one here"), (1003, odd), (1004, " ".join(word() for _ in range(9_000)))]
     rows += [(1005, "la " * 5_000), rows[5], rows[5], (None, "lost one here")]
     return [(*r, "s", "i", "x", "r") for r in rows]

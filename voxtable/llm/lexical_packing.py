@@ -18,7 +18,9 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -29,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxtable.llm.common import by_value, mixed, new_path, stage, texts, trimmed
+from voxtable.llm.token_files import LETTERS
 
 WINDOW, END_ID = 2048, 1
 #: Tokens of a shard, about.
@@ -36,10 +39,14 @@ SHARD = 1 << 18
 #: Constants of BM25: how soon a term's frequency saturates, and how much length counts.
 SATURATION, LENGTH = 1.2, 0.75
 #: Bytes that the words a task remembers may take, about, and what an entry takes besides its characters and ids.
-CACHE_BYTES, ENTRY_BYTES = 64 << 20, 200
+CACHE_BYTES, ENTRY_BYTES = 128 << 20, 200
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 #: Rows of the counts that are no terms.
 DOCUMENTS, TOKENS = -1, -2
+#: One piece of the pre-tokenizer for certain, letters of Latin scripts that stay one when they are lowered, and perhaps marks, another one.
+SIMPLE = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]+)([!\"#$%&()*+,./:;=?@\[\]_{}~-]*)")
+#: How special tokens begin.
+SPECIAL = b"<|"
 #: A tokenizer that drops white space, so that the words between it can be encoded each for itself.
 WORD_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -55,30 +62,45 @@ class Words(dict):
         super().__init__()
         self.library = Tokenizer.from_file(tokenizer)
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         told = json.loads(self.library.to_str())
         first, normal = (told["pre_tokenizer"] or {}).get("pretokenizers", [{}]), (told["normalizer"] or {}).get("normalizers")
         split = {"type": "Split", "pattern": {"Regex": WORD_PATTERN}, "behavior": "Removed", "invert": True}
         plain = told["model"]["type"] == "BPE" and not told["model"].get("dropout")
         self.by_word = plain and normal == WORD_NORMALIZER and first[0] == split and first[1].get("type") == "ByteLevel" and len(first) == 2
-        self.bytes = 0
+        self.model, self.pieces, self.bytes = self.library.model, {}, 0
 
     def library_ids(self, text: bytes) -> bytes:
         return np.array(self.library.encode(text.decode(), add_special_tokens=False).ids, self.dtype).tobytes()
 
+    def piece(self, piece: str) -> bytes:
+        """The ids of one piece of the pre-tokenizer, which the model may see alone."""
+        if (ids := self.pieces.get(piece)) is None:
+            spelt = piece if piece.isascii() else piece.encode().decode("latin-1").translate(LETTERS)
+            ids = self.pieces[piece] = array(self.code, [t.id for t in self.model.tokenize(spelt)]).tobytes()
+            self.bytes += len(piece) + len(ids) + ENTRY_BYTES
+        return ids
+
     def __missing__(self, word: bytes) -> bytes:
-        if word.isascii() and word.isalpha():  # one piece of the pre-tokenizer, which the model may see alone
-            ids = np.array([t.id for t in self.library.model.tokenize(word.decode().lower())], self.dtype).tobytes()
+        if told := SIMPLE.fullmatch(word.decode()):
+            letters, marks = told.groups()
+            ids = self.piece(letters.lower()) + (self.piece(marks) if marks else b"")
         else:
             ids = self.library_ids(word)
         self.bytes += len(word) + len(ids) + ENTRY_BYTES
         if self.bytes > CACHE_BYTES:
             self.clear()
+            self.pieces.clear()
             self.bytes = 0
         self[word] = ids
         return ids
 
     def ids(self, text: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, text.split())) if self.by_word else self.library_ids(text)
+        if not self.by_word:
+            return self.library_ids(text)
+        if SPECIAL not in text:  # a special token is one in its own letters only
+            text = text.lower()
+        return b"".join(map(self.__getitem__, text.split()))
 
 
 def tokens(documents: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
