@@ -16,6 +16,7 @@ read, so their names do not matter.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -26,12 +27,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxtable.llm.common import by_value, mixed, new_path, stage, texts, trimmed
-from voxtable.llm.token_files import LETTERS
+from voxtable.llm.common import by_value, mixed, new_path, stage, trimmed
+from voxtable.llm.token_files import LETTERS, slices
 
 WINDOW, END_ID = 2048, 1
 #: Tokens of a shard, about.
@@ -43,23 +45,24 @@ CACHE_BYTES, ENTRY_BYTES = 128 << 20, 200
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 #: Rows of the counts that are no terms.
 DOCUMENTS, TOKENS = -1, -2
-#: One piece of the pre-tokenizer for certain, letters of Latin scripts that stay one when they are lowered, and perhaps marks, another one.
-SIMPLE = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]+)([!\"#$%&()*+,./:;=?@\[\]_{}~-]*)")
-#: How special tokens begin.
-SPECIAL = b"<|"
+#: One piece of the pre-tokenizer for certain: letters of Latin scripts that stay one when they are lowered.
+SIMPLE = re.compile(r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]+")
+#: A mark behind a letter in lower case: another piece begins.
+MARK = r"([a-z\x{e0}-\x{f6}\x{f8}-\x{ff}])([!\"#$%&()*+,./:;=?@\[\]_{}~-])"
+#: How special tokens begin, and what stands for the end id.
+SPECIAL, END = "<|", "\1"
 #: A tokenizer that drops white space, so that the words between it can be encoded each for itself.
 WORD_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
-class Words(dict):
-    """The ids of words, as bytes, each encoded when it is first met. Forgets all when they take too much."""
+class Encoder:
+    """Encodes texts; the words and marks of a slice are cut by Arrow, and each distinct one is looked up, or encoded when it is first met."""
 
-    def __init__(self, tokenizer: str) -> None:
+    def __init__(self, tokenizer: str, end_id: int) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.library = Tokenizer.from_file(tokenizer)
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
@@ -68,39 +71,55 @@ class Words(dict):
         split = {"type": "Split", "pattern": {"Regex": WORD_PATTERN}, "behavior": "Removed", "invert": True}
         plain = told["model"]["type"] == "BPE" and not told["model"].get("dropout")
         self.by_word = plain and normal == WORD_NORMALIZER and first[0] == split and first[1].get("type") == "ByteLevel" and len(first) == 2
-        self.model, self.pieces, self.bytes = self.library.model, {}, 0
-
-    def library_ids(self, text: bytes) -> bytes:
-        return np.array(self.library.encode(text.decode(), add_special_tokens=False).ids, self.dtype).tobytes()
-
-    def piece(self, piece: str) -> bytes:
-        """The ids of one piece of the pre-tokenizer, which the model may see alone."""
-        if (ids := self.pieces.get(piece)) is None:
-            spelt = piece if piece.isascii() else piece.encode().decode("latin-1").translate(LETTERS)
-            ids = self.pieces[piece] = array(self.code, [t.id for t in self.model.tokenize(spelt)]).tobytes()
-            self.bytes += len(piece) + len(ids) + ENTRY_BYTES
-        return ids
-
-    def __missing__(self, word: bytes) -> bytes:
-        if told := SIMPLE.fullmatch(word.decode()):
-            letters, marks = told.groups()
-            ids = self.piece(letters.lower()) + (self.piece(marks) if marks else b"")
-        else:
-            ids = self.library_ids(word)
-        self.bytes += len(word) + len(ids) + ENTRY_BYTES
-        if self.bytes > CACHE_BYTES:
-            self.clear()
-            self.pieces.clear()
-            self.bytes = 0
-        self[word] = ids
-        return ids
+        self.model, self.end = self.library.model, array(self.code, [end_id]).tobytes()
+        self.forget()
+
+    def forget(self) -> None:
+        self.known, self.bytes = {"": b"", END: self.end}, 0
 
-    def ids(self, text: bytes) -> bytes:
-        if not self.by_word:
-            return self.library_ids(text)
-        if SPECIAL not in text:  # a special token is one in its own letters only
-            text = text.lower()
-        return b"".join(map(self.__getitem__, text.split()))
+    def library_ids(self, text: str) -> bytes:
+        return array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def learn(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words."""
+        if self.bytes > CACHE_BYTES:
+            self.forget()
+        out = list(map(self.known.get, words))
+        for k, ids in enumerate(out):
+            if ids is not None:
+                continue
+            word = words[k]
+            if SIMPLE.fullmatch(word):  # one piece of the pre-tokenizer, which the model may see alone
+                spelt = word if word.isascii() else word.lower().encode().decode("latin-1").translate(LETTERS)
+                ids = array(self.code, [t.id for t in self.model.tokenize(spelt)]).tobytes()
+            else:
+                ids = self.library_ids(word)
+            out[k] = self.known[word] = ids
+            self.bytes += len(word) + len(ids) + ENTRY_BYTES
+        return out
+
+    def encode(self, texts: pa.Array) -> pa.Array:
+        """The ids of each text as bytes, the end id behind them."""
+        odd = pc.or_(pc.match_substring(texts, SPECIAL), pc.match_substring(texts, END))
+        odd = np.flatnonzero(odd.to_numpy(zero_copy_only=False)) if self.by_word else np.arange(len(texts))
+        if len(odd) == len(texts):
+            return pa.array([self.library_ids(t) + self.end for t in texts.to_pylist()], pa.binary())
+        # white space between a letter and a mark, or around it, changes no piece
+        cut = pc.replace_substring_regex(pc.ascii_lower(texts), MARK, r"\1 \2")
+        parts = pc.ascii_split_whitespace(pc.binary_join_element_wise(cut, END, " "))
+        told = parts.flatten().dictionary_encode()
+        data = self.learn(told.dictionary.to_pylist())
+        offsets = np.concatenate(([0], np.cumsum(np.fromiter(map(len, data), np.int64, len(data)))))
+        lists = pa.ListArray.from_arrays(pa.array((offsets // self.dtype.itemsize).astype(np.int32)), pa.array(np.frombuffer(b"".join(data), self.dtype)))
+        ids = lists.take(told.indices).flatten().to_numpy()
+        count = np.concatenate(([0], np.cumsum(np.diff(offsets)[told.indices.to_numpy()])))[parts.offsets.to_numpy() - parts.offsets[0].as_py()]
+        out = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(count.astype(np.int32).tobytes()), pa.py_buffer(ids.tobytes())])
+        if not len(odd):
+            return out
+        told = out.to_pylist()
+        for k in odd.tolist():
+            told[k] = self.library_ids(texts[k].as_py()) + self.end
+        return pa.array(told, pa.binary())
 
 
 def tokens(documents: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
@@ -108,11 +127,14 @@ def tokens(documents: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFr
     new_path(documents.sparkSession, "packing")  # bounds what Python gets at once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(tokenizer)
-        end = np.array([end_id], words.dtype).tobytes()
-        for b in batches:
-            ids = [words.ids(t) + end for t in texts(b)]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(ids, pa.binary())], ["doc_id", "ids"])
+        encoder = Encoder(tokenizer, end_id)
+        gc.disable()  # what is remembered has no cycles, and to look for some takes a fifth of the time
+        try:
+            for b in batches:
+                for part in slices(b):
+                    yield pa.RecordBatch.from_arrays([part["doc_id"], encoder.encode(pc.fill_null(part["text"], ""))], ["doc_id", "ids"])
+        finally:
+            gc.enable()
 
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return stage(rows.mapInArrow(trimmed(run), "doc_id long, ids binary"), "packing-tokens")
