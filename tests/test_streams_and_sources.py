@@ -1,9 +1,5 @@
 """Streams against their batch twins; WAV decoding and file listing; signal edge cases."""
 
-import io
-import struct
-import wave
-
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -63,29 +59,9 @@ def test_session_utterances(spark, tmp_path):
     assert out.join(batch, out.columns, "left_anti").count() == 0 and out.count() == 4
 
 
-def wav(samples, rate=8000, channels=1, width=2):
-    out = io.BytesIO()
-    with wave.open(out, "wb") as w:
-        w.setnchannels(channels)
-        w.setsampwidth(width)
-        w.setframerate(rate)
-        w.writeframes(b"".join(struct.pack("<h", s) for s in samples) if width == 2 else bytes(samples))
-    return out.getvalue()
-
-
-def test_pcm_blocks(spark, tmp_path):
-    (tmp_path / "a.wav").write_bytes(wav(range(1100)))
-    (tmp_path / "b.wav").write_bytes(wav([100, 300, -200, 0], channels=2))
-    (tmp_path / "c.wav").write_bytes(b"nothing")
-    (tmp_path / "d.wav").write_bytes(wav([1, 2], width=1))
+def test_media_catalog_of_a_folder(spark, tmp_path):
+    (tmp_path / "a.wav").write_bytes(b"x")
     (tmp_path / "e.TXT").write_bytes(b"text")
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(str(tmp_path))
-    out = {}
-    for r in media.pcm_blocks(files).orderBy("path", "block_idx").collect():
-        out.setdefault(r.path[-5], []).append(r)
-    assert [len(r.x) for r in out["a"]] == [512, 512, 76] and out["a"][1].x[0] == pytest.approx(512 / 32768)
-    assert out["b"][0].x == pytest.approx([200 / 32768, -100 / 32768])
-    assert out["c"][0].error and out["d"][0].error == "not 16-bit"
     catalog = {r.path[-5]: (r.kind, r.problem) for r in media.list_media(spark, str(tmp_path)).collect()}
     assert catalog["a"] == ("audio", None) and catalog["e"] == ("unsupported", "unsupported")
 
@@ -111,6 +87,7 @@ def test_json_in_and_out(spark, tmp_path, sf_dir):
     assert sorted((r.line, r.reason) for r in json_files.rejected_log(spark, str(tmp_path / "log.json")).collect()) == [("not json", "not JSON"), ('{"event": "started"}', "no stage")]
     assert log.count() == 2 and jobs.stage_bottleneck(log).first().bottleneck_stage == "b"
     docs = document.analysis_document(*[table(spark, sf_dir, t) for t in ("f_seg", "f_words", "f_rec")])
-    json_files.write_documents(docs, str(tmp_path / "out"))
+    names = docs.select("recording_id", F.concat(F.lit("n"), F.col("recording_id").cast("string"), F.lit("_analysis.json")).alias("output_name"))
+    json_files.write_documents(docs, str(tmp_path / "out"), names)
     back = spark.read.json(str(tmp_path / "out"))
     assert back.count() == docs.count() and "word_segments" in back.columns

@@ -11,10 +11,12 @@ refined by a parabola through three bins. Differences are those of rounding only
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -255,3 +257,7 @@ def speaking_rate(found: DataFrame, framing: Framing = SPEECH) -> DataFrame:
     """The rate of each recording of onset_peaks()."""
     n = F.size("peaks").cast("long")
     return found.select("recording_id", n.alias("n_peaks"), rate_of(n, F.col("n_samples"), framing).alias("speaking_rate"))
+
+
+# executors get what is defined here by value, so they need not have the repository on their path
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

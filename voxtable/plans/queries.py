@@ -12,7 +12,8 @@ from voxtable.operators import document, features, quality, signal, speakers, sp
 from voxtable.plans import audio_sql
 from voxtable.plans.audio_sql import AUDIO
 from voxtable.plans.standin import table, with_tables
-from voxtable.sources import media
+from voxtable.sources import file_sink, files, media, wav
+from voxtable.sources.shared import new_folder
 from voxtable.streaming import jobs
 
 #: The stand-in blocks whose loudness is told: 64 samples at 256 Hz.
@@ -582,14 +583,51 @@ def language_config(lang):
     return media.language_config(lang)
 
 
-@query()
-def pcm_blocks(block):
-    """Blocks written as WAV bytes by Spark's own functions, then decoded."""
-    samples = F.transform("x_raw", lambda v: F.round(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), v)) * 32767).cast("int"))
-    words = F.array_join(F.transform(samples, lambda v: F.concat(F.lpad(F.hex(v.bitwiseAND(255)), 2, "0"), F.lpad(F.hex(F.shiftright(v, 8).bitwiseAND(255)), 2, "0"))), "")
-    header = "52494646A400000057415645666D742010000000010001000001000000020000020010006461746180000000"
-    files = block.select(F.concat_ws("/", F.col("recording_id").cast("string"), F.col("block_idx").cast("string")).alias("path"), F.unhex(F.concat(F.lit(header), words)).alias("content"))
-    return media.pcm_blocks(files, 64).select("path", "block_idx", F.size("x").alias("n"), "sample_rate", "error")
+#: Samples of f_audio as 16-bit numbers.
+PCM = "CAST(floor(CAST({v} AS DOUBLE) * 32768) AS BIGINT)"
+
+
+@query(f"""WITH s AS (SELECT recording_id, block_idx, list_transform(x_raw, lambda v: {PCM.format(v='v')} / CASE WHEN recording_id % 3 = 2 THEN 65536::DOUBLE ELSE 32768::DOUBLE END) AS x FROM f_audio)
+SELECT recording_id, block_idx, CAST(512 AS BIGINT) AS n, 512 AS sample_rate, x[1] AS first, x[512] AS last, list_sum(list_transform(range(1, 513), lambda i: x[i] * i)) AS weighted FROM s""")
+def pcm_blocks(audio):
+    """The recordings as WAV files of 16 bits, 24 bits or two channels, written one each and read by ranges of samples."""
+    spark = audio.sparkSession
+    folder = new_folder(spark, "wav")
+    file_sink.register(spark)
+    low = lambda n, size: F.concat(*[F.lpad(F.hex(F.shiftright(n, 8 * k).bitwiseAND(255)), 2, "0") for k in range(size)])
+    kind = F.col("recording_id") % 3
+    one = F.transform("x_raw", lambda v: low(F.floor(v.cast("double") * 32768), 2))
+    each = F.transform(one, lambda h: F.when(kind == 0, h).when(kind == 1, F.concat(F.lit("00"), h)).otherwise(F.concat(h, F.lit("0000"))))
+    parts = audio.groupBy("recording_id").agg(F.array_sort(F.collect_list(F.struct("block_idx", F.array_join(each, "").alias("h")))).alias("p"), F.count("*").alias("n"))
+    width, channels = F.when(kind == 1, 3).otherwise(2), F.when(kind == 2, 2).otherwise(1)
+    size = (F.col("n") * 512 * width * channels).cast("long")
+    fields = [(F.lit(16), 4), (F.lit(1), 2), (channels, 2), (F.lit(512), 4), (512 * width * channels, 4), (width * channels, 2), (width * 8, 2)]
+    text = lambda t: F.lit(t.encode().hex())
+    head = F.concat(text("RIFF"), low(size + 36, 4), text("WAVEfmt "), *[low(v.cast("long"), k) for v, k in fields], text("data"), low(size, 4))
+    content = F.unhex(F.concat(head, F.array_join(F.transform("p", lambda p: p["h"]), "")))
+    parts.select(F.concat(F.lit("rec/"), F.col("recording_id").cast("string"), F.lit(".wav")).alias("name"), content.alias("content")).write.format("one_file_each").option("path", folder).mode("append").save()
+    told = wav.read_wav(spark, folder)
+    weighted = F.aggregate(F.transform("x", lambda v, i: v.cast("double") * (i + 1)), F.lit(0.0), lambda s, v: s + v)
+    number = F.regexp_extract("path", r"(\d+)\.wav$", 1).cast("long").alias("recording_id")
+    ends = [F.element_at("x", k).cast("double").alias(n) for k, n in ((1, "first"), (-1, "last"))]
+    return told.select(number, "block_idx", F.size("x").cast("long").alias("n"), "sample_rate", *ends, weighted.alias("weighted"))
+
+
+@query("""WITH w AS (SELECT recording_id, count(*) AS n FROM f_words WHERE word_start IS NOT NULL AND word_end IS NOT NULL GROUP BY 1)
+SELECT CASE WHEN s.recording_id % 3 = 0 THEN 'request' || s.recording_id ELSE 'rec' || s.recording_id END || '_analysis.json' AS file_name, any_value(duration_s) AS duration, count(*) AS n_segments, coalesce(any_value(n), 0) AS n_words,
+  string_agg(coalesce(text, ''), ' ' ORDER BY seg_idx) AS text, count(DISTINCT coalesce(speaker, 'SPEAKER_00')) AS n_speakers
+FROM f_seg s LEFT JOIN f_rec USING (recording_id) LEFT JOIN w USING (recording_id) GROUP BY s.recording_id""")
+def document_files(seg, words, rec):
+    """The nested documents, one pretty file for each recording under its output name, read back from the files."""
+    spark = seg.sparkSession
+    folder = new_folder(spark, "documents")
+    built = document.analysis_document(seg, words, rec)
+    n = F.col("recording_id")
+    paths = rec.select("recording_id", F.concat(F.when(n % 3 == 0, "/in/tmp").otherwise("/in/rec"), n.cast("string"), F.lit(".mp4")).alias("path"), F.concat(F.lit("/in/request"), n.cast("string"), F.lit(".mp4")).alias("request"))
+    files.write_documents(built, folder, media.output_name(paths, "path", "request"), pretty=True)
+    read = files.read_documents(spark, folder, built.drop("recording_id").schema).select("file_name", "document.*")
+    sizes = [F.size(c).cast("long").alias(n) for c, n in (("segments", "n_segments"), ("word_segments", "n_words"), ("speakers", "n_speakers"))]
+    return read.select("file_name", "duration", *sizes, "text")
 
 
 # --- jobs

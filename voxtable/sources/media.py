@@ -1,13 +1,7 @@
-"""Sources and names: media catalog, source routing, file choice, WAV decoding, output names, language settings."""
+"""Sources and names: media catalog, source routing, file choice, output names, language settings."""
 
 from __future__ import annotations
 
-import io
-import wave
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,13 +9,12 @@ from pyspark.sql import functions as F
 AUDIO = (".wav", ".mp3", ".flac", ".aac", ".m4a")
 VIDEO = (".mp4", ".avi", ".mov", ".mkv", ".webm")
 PREFERRED = (".mp4", ".webm", ".mkv", ".m4a", ".mp3")
+#: The largest file, what marks a signed address, and how an address of a bucket is written.
 MAX_BYTES = 5 << 30
 SIGNATURES = ("AWSAccessKeyId", "X-Amz-Signature", "Signature")
 BUCKET_HOST = r"^https://([^.]+)\.s3\.[^.]+\.amazonaws\.com/([^?]+)"
 #: Language -> (model size, compute type, kind of optimisation).
 LANGUAGES = (("ko", "large-v2", "float16", "Korean-optimized"), ("en", "large-v2", "float16", "English-optimized"), ("ja", "medium", "float16", "Japanese-optimized"), ("zh", "large-v2", "float16", "Chinese-optimized"))
-#: Samples of a block.
-BLOCK = 512
 
 
 def suffix(path: Column | str) -> Column:
@@ -72,26 +65,3 @@ def language_config(requests: DataFrame, model_size: str = "base", compute_type:
     dim = requests.sparkSession.createDataFrame(LANGUAGES, "language string, _size string, _type string, _kind string")
     told = requests.join(F.broadcast(dim), "language", "left")  # four rows
     return told.select("doc_id", "language", F.coalesce("_size", F.lit(model_size)).alias("model_size"), F.when(F.col("on_gpu"), F.coalesce("_type", F.lit(compute_type))).otherwise("float32").alias("compute_type"), F.coalesce(F.concat("_kind", F.lit(" (targeted)")), F.lit("universal (auto-detect)")).alias("optimization"), F.when(F.col("language") != "auto", "targeted").otherwise("auto-detect").alias("mode"))
-
-
-def pcm_blocks(files: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Blocks of samples of mono or mixed-down 16-bit WAV files (path, content); error is set where a file cannot be read."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for path, data in zip(b["path"].to_pylist(), b["content"].to_pylist(), strict=True):
-                try:
-                    with wave.open(io.BytesIO(data or b"")) as w:
-                        if w.getsampwidth() != 2:
-                            raise ValueError("not 16-bit")
-                        channels, rate, at = w.getnchannels(), w.getframerate(), 0
-                        while raw := w.readframes(block * 256):
-                            x = np.frombuffer(raw, "<i2").astype(np.float32).reshape(-1, channels).mean(axis=1) / 32768
-                            parts = [x[i : i + block] for i in range(0, len(x), block)]
-                            n = len(parts)
-                            yield pa.RecordBatch.from_arrays([pa.array([path] * n, pa.string()), pa.array(range(at, at + n), pa.int64()), pa.array([p.tolist() for p in parts], pa.list_(pa.float32())), pa.array([rate] * n, pa.int32()), pa.nulls(n, pa.string())], ["path", "block_idx", "x", "sample_rate", "error"])
-                            at += n
-                except (wave.Error, EOFError, ValueError) as e:
-                    yield pa.RecordBatch.from_arrays([pa.array([path], pa.string()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.float32())), pa.nulls(1, pa.int32()), pa.array([str(e) or type(e).__name__], pa.string())], ["path", "block_idx", "x", "sample_rate", "error"])
-
-    return files.select("path", "content").mapInArrow(run, "path string, block_idx long, x array<float>, sample_rate int, error string")
