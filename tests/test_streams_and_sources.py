@@ -38,12 +38,6 @@ def test_latest_status(spark, events):
     assert batch.join(out, ["job_id", "event_id", "status", "progress", "updated_at", "elapsed_s", "n_events"], "left_anti").count() == 0
 
 
-def test_terminal_dedup(spark, events):
-    out = run(spark, jobs.stream_terminal_dedup(opened(spark, events), "3650 days"), "ended", "append")
-    batch = jobs.terminal_dedup(spark.read.parquet(events))
-    assert out.count() == batch.count() and batch.select("event_id").join(out, "event_id", "left_anti").count() == 0
-
-
 def test_minute_error_rate(spark, events):
     out = run(spark, jobs.minute_error_rate(opened(spark, events).withWatermark("ts", "3650 days")), "minutes", "complete")
     batch = jobs.minute_error_rate(spark.read.parquet(events))

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from voxtable.functions.numbers import decibel, rounded
 from voxtable.operators import document, features, quality, signal, speakers, spectral, timeline
@@ -14,7 +15,7 @@ from voxtable.plans.audio_sql import AUDIO
 from voxtable.plans.standin import table, with_tables
 from voxtable.sources import file_sink, files, media, wav
 from voxtable.sources.shared import new_folder
-from voxtable.streaming import jobs
+from voxtable.streaming import endings, jobs, sinks
 
 #: The stand-in blocks whose loudness is told: 64 samples at 256 Hz.
 SMALL = signal.Framing(hop=64, rate=256, block=64)
@@ -23,8 +24,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None) -> Callable:
-    """Registers a function of the stand-in tables that its parameters name, under its own name."""
+def query(sql: str | None = None, same_as: str | None = None) -> Callable:
+    """Registers a function of the stand-in tables that its parameters name, under its own name; same_as is another whose SQL holds for it."""
 
     def add(function: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
         tables = function.__code__.co_varnames[: function.__code__.co_argcount]
@@ -33,8 +34,8 @@ def query(sql: str | None = None) -> Callable:
             return function(*[table(spark, sf_dir, "f_" + t.rstrip("_")) for t in tables])
 
         QUERIES[function.__name__] = run
-        if sql:
-            SQL[function.__name__] = with_tables(sql)
+        if sql or same_as:
+            SQL[function.__name__] = with_tables(sql) if sql else SQL[same_as]
         return function
 
     return add
@@ -646,6 +647,48 @@ def terminal_dedup(progress):
     return jobs.terminal_dedup(progress).select("event_id", "job_id", "status", "acked")
 
 
+def arriving(rows: DataFrame, name: str, parts: int = 4, closing: DataFrame | None = None) -> tuple[str, DataFrame]:
+    """rows written in parts that follow each other in time, as a stream that takes a part at a time; closing comes last."""
+    spark, folder = rows.sparkSession, new_folder(rows.sparkSession, name)
+    ordered = rows.withColumn("ts", F.col("ts").cast("timestamp"))
+    for part in (ordered.repartitionByRange(parts, "ts"), *([closing] if closing is not None else [])):
+        part.select(ordered.columns).write.mode("append").parquet(f"{folder}/in")
+    return folder, sinks.opened(spark, f"{folder}/in", ordered.schema, files_a_trigger=1)
+
+
+@query(same_as="job_latest_status")
+def stream_job_status(progress):
+    """The latest status of each job from a finished stream of updates."""
+    folder, stream = arriving(progress, "job-status")
+    told = jobs.stream_latest_status(stream, "3650 days")
+    sinks.run(told, folder, "update")
+    return sinks.latest_of(progress.sparkSession, folder, told.schema, ["job_id"])
+
+
+@query(same_as="terminal_dedup")
+def stream_terminal_endings(progress):
+    """Acknowledged endings from a finished stream. A last event far ahead moves the watermark past all others; it is left out of the result."""
+    ahead = F.timestamp_seconds(F.lit(4_000_000_000)).alias("ts")
+    last = progress.select([ahead if c == "ts" else F.lit(-1).cast("long").alias(c) if c in ("event_id", "job_id") else F.col(c) for c in progress.columns]).limit(1)
+    folder, stream = arriving(progress, "endings", closing=last.withColumn("status", F.lit("processing")))
+    told = endings.stream_terminal_dedup(stream, "3650 days")
+    sinks.run(told, folder)
+    return sinks.rows_of(progress.sparkSession, folder, told.schema).where("event_id >= 0").select("event_id", "job_id", "status", "acked")
+
+
+@query(f"SELECT run_id, event_id, stage, event, {r('duration_seconds', 6)} AS duration_seconds FROM f_stage WHERE event_id % 10 <> 3")
+def log_ingest(stage):
+    """Stage events read from a log of JSON lines as a stream; one line in ten is no event."""
+    spark, folder = stage.sparkSession, new_folder(stage.sparkSession, "log")
+    line = F.to_json(F.struct("run_id", "event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("ts"), "stage", "event", "duration_seconds"))
+    kept = F.when(F.col("event_id") % 10 != 3, line).when(F.col("event_id") % 20 == 3, "starting up").otherwise('{"event": "started"}')
+    stage.select(kept.alias("value")).repartition(4).write.text(f"{folder}/in")
+    events = files.events_of(sinks.opened(spark, f"{folder}/in", StructType().add("value", "string"), "text", 1))
+    sinks.run(events, folder)
+    told = sinks.rows_of(spark, folder, events.schema)
+    return told.select("run_id", "event_id", "stage", "event", rounded("duration_seconds", 6).alias("duration_seconds"))
+
+
 @query("""WITH d AS (SELECT *, lag(progress) OVER w AS previous, max(progress) OVER (PARTITION BY job_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS highest FROM f_progress WINDOW w AS (PARTITION BY job_id ORDER BY ts, event_id))
 SELECT job_id, event_id, progress, previous, highest FROM d WHERE progress < previous""")
 def progress_regressions(progress):

@@ -17,21 +17,31 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
     return document.ingest_segments(spark.read.schema(document.SEGMENT).json(path))
 
 
-def log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """line, the fields of LOG, and reason: why a line is no stage event, null where it is one."""
-    lines = spark.read.text(path).select(F.col("value").alias("line"), F.from_json("value", f"{LOG}, broken string", {"columnNameOfCorruptRecord": "broken"}).alias("e"))
+def log_lines(lines: DataFrame) -> DataFrame:
+    """line, the fields of LOG, and reason: why a line (value string) is no stage event, null where it is one. Streams too."""
+    told = lines.select(F.col("value").alias("line"), F.from_json("value", f"{LOG}, broken string", {"columnNameOfCorruptRecord": "broken"}).alias("e"))
     why = F.when(F.col("e").isNull() | F.col("e.broken").isNotNull(), "not JSON").when(F.col("e.stage").isNull(), "no stage")
-    return lines.where(F.trim("line") != "").select("line", "e.*", why.alias("reason")).drop("broken")
+    return told.where(F.trim("line") != "").select("line", "e.*", why.alias("reason")).drop("broken")
+
+
+def events_of(lines: DataFrame) -> DataFrame:
+    """The stage events of log lines; rejected_of() has the other lines. Streams too."""
+    return log_lines(lines).where("reason is null").drop("line", "reason")
+
+
+def rejected_of(lines: DataFrame) -> DataFrame:
+    """Log lines that are no stage events, with the reason."""
+    return log_lines(lines).where("reason is not null").select("line", "reason")
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """Stage events from a log of JSON lines; rejected_log() has the other lines."""
-    return log_lines(spark, path).where("reason is null").drop("line", "reason")
+    """Stage events from a log of JSON lines."""
+    return events_of(spark.read.text(path))
 
 
 def rejected_log(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of a log that are no stage events, with the reason."""
-    return log_lines(spark, path).where("reason is not null").select("line", "reason")
+    """Lines of a log that are no stage events."""
+    return rejected_of(spark.read.text(path))
 
 
 def named(rows: DataFrame, name: str) -> DataFrame:

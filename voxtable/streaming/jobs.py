@@ -1,17 +1,13 @@
 """Job events: latest status, acknowledged endings, milestones, minute metrics, utterances, stage and transfer logs.
 
 Functions that take events work on a table; those named stream_ take a streaming DataFrame and use watermarks: what comes later
-than the watermark is dropped, and a job may repeat an ending once its state has gone.
+than the watermark is dropped. endings.py has the stream of acknowledged endings.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 ENDINGS = ("completed", "failed")
 LATE = "10 minutes"
@@ -40,29 +36,6 @@ def terminal_dedup(events: DataFrame) -> DataFrame:
     return told.where(~F.col("status").isin(*ENDINGS) | ~F.col("_done")).drop("_done")
 
 
-def stream_terminal_dedup(events: DataFrame, late: str = LATE) -> DataFrame:
-    """As terminal_dedup, in append mode: endings of a job and status up to the first that is acknowledged, with everything else as it is.
-
-    What is on record for a job is kept until the watermark has passed its last ending.
-    """
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        done = state.exists and state.get[0]
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        before = rows["acked"].fillna(False).astype(bool).cummax().shift(fill_value=False)
-        yield rows[~before & (not done)]
-        state.update((bool(done or rows["acked"].fillna(False).any()),))
-        state.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
-
-    marked = events.withWatermark("ts", late)
-    ends = marked.where(F.col("status").isin(*ENDINGS)).groupBy("job_id", "status")
-    kept = ends.applyInPandasWithState(run, events.schema, "done boolean", "append", GroupStateTimeout.EventTimeTimeout)
-    return kept.unionByName(marked.where(~F.col("status").isin(*ENDINGS)))
-
-
 def progress_regressions(events: DataFrame) -> DataFrame:
     """Events whose progress is below the one before in their job, and the job's highest so far."""
     w = Window.partitionBy("job_id").orderBy("ts", "event_id")
