@@ -47,7 +47,7 @@ def segment_projection(segments: DataFrame) -> DataFrame:
 def word_projection(words: DataFrame, measured: DataFrame | None = None) -> DataFrame:
     """Words with clamped duration and the fixed features; volume_db_measured has what the samples gave, if anything."""
     start, end = F.coalesce("word_start", F.lit(0.0)), F.coalesce("word_end", F.lit(0.0))
-    told = words if measured is None else words.join(measured.select("recording_id", "seg_idx", F.col("volume_db").alias("volume_db_measured")), ["recording_id", "seg_idx"], "left")
+    told = words if measured is None else words.join(measured.select("recording_id", "seg_idx", F.col("volume_db").alias("volume_db_measured")).hint("merge"), ["recording_id", "seg_idx"], "left")
     extra = [] if measured is None else ["volume_db_measured"]
     return told.select("recording_id", "seg_idx", F.coalesce("word", F.lit("")).alias("word"), start.alias("start_time"), end.alias("end_time"), F.greatest(end - start, F.lit(0.0)).alias("duration"), F.lit(WORD_VOLUME).alias("volume_db"), F.lit(WORD_PITCH).alias("pitch_hz"), F.lit(WORD_CENTROID).alias("spectral_centroid"), *extra)
 
@@ -76,11 +76,19 @@ def recording_metadata(recordings: DataFrame, segments: DataFrame, runs: DataFra
     return out.join(asked, "recording_id", "left")
 
 
+def merged_metadata(base: Column, extra: Column) -> Column:
+    """Two objects of open metadata (variants) as one, key by key; a key of both has the value of extra, even a null one. A missing object has no keys."""
+    none = F.lit(None).cast("map<string,variant>")
+    keyed = lambda v: F.coalesce(v.cast("map<string,variant>"), none, F.create_map().cast("map<string,variant>"))
+    own = F.map_filter(keyed(base), lambda k, _: ~F.map_contains_key(keyed(extra), k))
+    return F.to_variant_object(F.map_concat(own, keyed(extra)))
+
+
 def analysis_document(segments: DataFrame, words: DataFrame, recordings: DataFrame) -> DataFrame:
     """One nested document for each recording: segments in order with their words, flat words, speakers, text, duration."""
     word = F.struct(F.coalesce("word", F.lit("")).alias("word"), F.col("word_start").alias("start_time"), F.col("word_end").alias("end_time"), F.struct(F.lit(WORD_VOLUME).alias("volume_db"), F.lit(WORD_PITCH).alias("pitch_hz"), F.lit(WORD_CENTROID).alias("spectral_centroid")).alias("acoustic_features"))
     spoken = words.where("word_start is not null and word_end is not null").groupBy("recording_id", "seg_idx").agg(F.array_sort(F.collect_list(F.struct(F.col("word_start").alias("_at"), word.alias("word")))).alias("_w"))
-    told = segments.join(spoken, ["recording_id", "seg_idx"], "left")
+    told = segments.join(spoken.hint("merge"), ["recording_id", "seg_idx"], "left")
     who = F.coalesce("speaker", F.lit(UNKNOWN))
     segment = F.struct(F.col("start_s").alias("start_time"), F.col("end_s").alias("end_time"), F.struct(who.alias("speaker_id")).alias("speaker"), F.col("text"), F.coalesce(F.transform("_w", lambda x: x["word"]), F.array().cast("array<struct<word:string,start_time:double,end_time:double,acoustic_features:struct<volume_db:double,pitch_hz:double,spectral_centroid:double>>>")).alias("words"))
     rows = told.groupBy("recording_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seg_idx", segment.alias("s")))), lambda x: x["s"]).alias("segments"))
@@ -88,7 +96,7 @@ def analysis_document(segments: DataFrame, words: DataFrame, recordings: DataFra
     speakers = stats.groupBy("recording_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("speaker", "stats")))).alias("speakers"))
     flat = F.flatten(F.transform("segments", lambda s: F.transform(s["words"], lambda w: F.struct(w["word"].alias("word"), w["start_time"].alias("start_time"), w["end_time"].alias("end_time"), s["speaker"]["speaker_id"].alias("speaker_id"), F.lit(CONFIDENCE).alias("confidence")))))
     text = F.array_join(F.transform("segments", lambda s: F.coalesce(s["text"], F.lit(""))), " ")
-    return rows.join(speakers, "recording_id").join(recordings.select("recording_id", "duration_s"), "recording_id", "left").select("recording_id", "segments", flat.alias("word_segments"), "speakers", text.alias("text"), F.col("duration_s").alias("duration"))
+    return rows.join(speakers.hint("merge"), "recording_id").join(recordings.select("recording_id", "duration_s"), "recording_id", "left").select("recording_id", "segments", flat.alias("word_segments"), "speakers", text.alias("text"), F.col("duration_s").alias("duration"))
 
 
 def document_json(documents: DataFrame, pretty: bool = False) -> DataFrame:

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import re
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,17 +31,45 @@ RULES = {
 }
 
 
-def names_in(rule: str) -> set[str]:
-    """The columns that a rule reads."""
-    return {w.lower() for w in re.findall(r"[A-Za-z_]\w*", rule)} - {"and", "or", "not", "is", "null", "in", "between", "true", "false"}
-
-
-def constraint_quarantine(rows: DataFrame, rules: dict[str, str] | None = None) -> DataFrame:
-    """rows with reasons, the names of the broken rules in the order of the rules, and valid. Rules that read a missing column are left out."""
-    rules = RULES if rules is None else rules
-    known = {k: v for k, v in rules.items() if names_in(v) <= {c.lower() for c in rows.columns}}
-    broken = F.filter(F.array(*[F.when(F.expr(v), F.lit(k)) for k, v in known.items()]), lambda x: x.isNotNull())
-    return rows.withColumn("reasons", broken).withColumn("valid", F.size("reasons") == 0)
+def resolved(rows: DataFrame, rules: dict[str, str]) -> tuple[dict[str, str], list[str]]:
+    """The rules that the analyser resolves on these rows, and the names of those that read a column which is not there.
+
+    Functions and words in quotes are no columns. Any other fault of a rule is an error.
+    """
+    known, unchecked = {}, []
+    for name, rule in rules.items():
+        try:
+            rows.select(F.expr(rule).cast("boolean")).schema  # noqa: B018  analysed, not run
+            known[name] = rule
+        except AnalysisException as e:
+            if not (e.getCondition() or "").startswith(("UNRESOLVED_COLUMN", "FIELD_NOT_FOUND")):
+                raise
+            unchecked.append(name)
+    return known, unchecked
+
+
+def constraint_quarantine(rows: DataFrame, rules: dict[str, str] | None = None, strict: bool = False) -> DataFrame:
+    """rows with reasons, the names of the broken rules in the order of the rules, valid, and unchecked.
+
+    unchecked names the rules that read a column which rows do not have; with strict such a rule is an error. A rule that is null is not broken.
+    """
+    known, unchecked = resolved(rows, RULES if rules is None else rules)
+    if strict and unchecked:
+        raise ValueError(f"rules that read columns which are not there: {', '.join(unchecked)}")
+    none = F.array().cast("array<string>")
+    broken = F.filter(F.array(*[F.when(F.expr(v), F.lit(k)) for k, v in known.items()]), lambda x: x.isNotNull()) if known else none
+    missing = F.array(*map(F.lit, unchecked)) if unchecked else none
+    return rows.withColumn("reasons", broken).withColumns({"valid": F.size("reasons") == 0, "unchecked": missing})
+
+
+def write_quarantine(checked: DataFrame, path: str) -> DataFrame:
+    """Writes the rejected rows of constraint_quarantine() as a table by their first reason, and gives the others as they were.
+
+    What is there under a reason stays: rejected rows of later runs come beside it.
+    """
+    bad = checked.where(~F.col("valid")).withColumn("reason", F.col("reasons")[0])
+    bad.drop("valid").write.mode("append").partitionBy("reason").parquet(path)
+    return checked.where("valid").drop("reasons", "valid", "unchecked")
 
 
 def timeline_consistency(segments: DataFrame, recordings: DataFrame, slack: float = 1.0) -> DataFrame:

@@ -70,7 +70,7 @@ def energy_variation(frames: DataFrame) -> DataFrame:
 def silence_ratio(frames: DataFrame) -> DataFrame:
     """Part of the frames strictly below the 20th percentile."""
     limit = frames.groupBy("recording_id").agg(F.percentile("rms", F.lit(0.2)).alias("limit"))
-    return frames.join(limit, "recording_id").groupBy("recording_id").agg(F.avg(F.when(F.col("rms") < F.col("limit"), 1.0).otherwise(0.0)).alias("silence_ratio"))
+    return frames.join(limit.hint("merge"), "recording_id").groupBy("recording_id").agg(F.avg(F.when(F.col("rms") < F.col("limit"), 1.0).otherwise(0.0)).alias("silence_ratio"))
 
 
 def peak_amplitude(blocks: DataFrame) -> DataFrame:

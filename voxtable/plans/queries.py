@@ -117,7 +117,7 @@ def fill_gaps(seg, rec):
 def with_words(seg, words):
     """Segments with an array of their words that have both times, null where there are none."""
     own = words.where("word_start is not null and word_end is not null").groupBy("recording_id", "seg_idx").agg(F.array_sort(F.collect_list(F.struct(F.col("word_start").alias("start_time"), F.col("word_end").alias("end_time"), "word"))).alias("words"))
-    return seg.join(own, ["recording_id", "seg_idx"], "left")
+    return seg.join(own.hint("merge"), ["recording_id", "seg_idx"], "left")
 
 
 @query(f"""WITH {GAPS}, {TAKES}, g AS (SELECT recording_id, seg_idx, 0 AS pos, coalesce(prev_end, 0.0) AS x, start_s AS y FROM t WHERE tb
@@ -421,12 +421,34 @@ def timestamp_quality(seg):
     return quality.timestamp_quality(seg)
 
 
-@query("""SELECT s.recording_id, s.seg_idx, array_to_string(list_filter([CASE WHEN start_s - 2 < 0 THEN 'start_negative' END, CASE WHEN end_s - 1.5 <= start_s THEN 'end_not_after_start' END, CASE WHEN confidence * 1.25 < 0 OR confidence * 1.25 > 1 THEN 'confidence_range' END, CASE WHEN s.speaker IS NULL THEN 'no_speaker' END], lambda x: x IS NOT NULL), ',') AS reasons,
-  NOT (start_s - 2 < 0 OR end_s - 1.5 <= start_s OR confidence * 1.25 > 1 OR s.speaker IS NULL) AS valid FROM f_seg s JOIN f_label l USING (recording_id, seg_idx)""")
+CHECKED = """c AS (
+  SELECT s.recording_id, s.seg_idx, list_filter([CASE WHEN start_s - 2 < 0 THEN 'start_negative' END, CASE WHEN end_s - 1.5 <= start_s THEN 'end_not_after_start' END,
+    CASE WHEN confidence * 1.25 < 0 OR confidence * 1.25 > 1 THEN 'confidence_range' END, CASE WHEN s.speaker IS NULL THEN 'no_speaker' END,
+    CASE WHEN length(text) % 2 = 1 AND text <> 'speaker_s start' THEN 'odd_text' END], lambda x: x IS NOT NULL) AS reasons
+  FROM f_seg s JOIN f_label l USING (recording_id, seg_idx))"""
+
+
+def to_check(seg, label):
+    """Times are moved and confidence is scaled so that every rule meets rows that break it; one rule has a function and words in quotes."""
+    moved = {"end_s": F.col("end_s") - 3.5, "start_s": F.col("start_s") - 2, "confidence": F.col("confidence") * 1.25}
+    rows = seg.join(label.select("recording_id", "seg_idx", "confidence"), ["recording_id", "seg_idx"]).withColumns(moved)
+    return quality.constraint_quarantine(rows, quality.RULES | {"odd_text": "length(text) % 2 = 1 AND text <> 'speaker_s start'"})
+
+
+@query(f"WITH {CHECKED} SELECT recording_id, seg_idx, array_to_string(reasons, ',') AS reasons, len(reasons) = 0 AS valid, 'amplitude_range' AS unchecked FROM c")
 def constraint_quarantine(seg, label):
-    """Times are moved and confidence is scaled so that every rule meets rows that break it."""
-    rows = seg.join(label.select("recording_id", "seg_idx", "confidence"), ["recording_id", "seg_idx"]).withColumns({"end_s": F.col("end_s") - 3.5, "start_s": F.col("start_s") - 2, "confidence": F.col("confidence") * 1.25})
-    return quality.constraint_quarantine(rows).select("recording_id", "seg_idx", F.array_join("reasons", ",").alias("reasons"), "valid")
+    told = to_check(seg, label)
+    return told.select("recording_id", "seg_idx", F.array_join("reasons", ",").alias("reasons"), "valid", F.array_join("unchecked", ",").alias("unchecked"))
+
+
+@query(f"WITH {CHECKED} SELECT recording_id, seg_idx, coalesce(reasons[1], '') AS reason, CASE WHEN len(reasons) > 0 THEN len(reasons) END AS n_reasons FROM c")
+def quarantine_table(seg, label):
+    """The accepted rows, and the rejected ones read back from their table."""
+    folder = new_folder(seg.sparkSession, "quarantine")
+    accepted = quality.write_quarantine(to_check(seg, label), folder)
+    kept = accepted.select("recording_id", "seg_idx", F.lit("").alias("reason"), F.lit(None).cast("long").alias("n_reasons"))
+    bad = seg.sparkSession.read.parquet(folder).select("recording_id", "seg_idx", "reason", F.size("reasons").cast("long").alias("n_reasons"))
+    return kept.unionByName(bad)
 
 
 @query("SELECT r.recording_id, duration_s, last_end, coalesce(last_end <= duration_s + 1, true) AS consistent FROM f_rec r LEFT JOIN (SELECT recording_id, max(end_s) AS last_end FROM f_seg GROUP BY 1) USING (recording_id)")
@@ -525,6 +547,23 @@ def result_metadata(rec, seg, run, spoken):
     return quality.metadata_contract(document.recording_metadata(rec, seg, run, spoken))
 
 
+@query("""SELECT recording_id, duration_s, CASE WHEN recording_id % 3 = 1 THEN 'extra' ELSE 'base' END AS note, CASE WHEN recording_id % 3 <> 2 THEN 'auto' END AS mode,
+  CASE WHEN recording_id % 3 = 1 THEN processing_s END AS processing_s, CASE WHEN recording_id % 3 = 2 THEN 'b' END AS tag, CAST(CASE WHEN recording_id % 3 = 0 THEN 3 ELSE 4 END AS BIGINT) AS n_keys
+FROM f_rec JOIN f_run USING (recording_id, duration_s)""")
+def metadata_merge(rec, run):
+    """Open metadata of recordings with more of it laid over: a missing object, a key of both, a null value, a list."""
+    number = lambda c: F.col(c).cast("string")
+    told = rec.join(run.select("recording_id", "processing_s"), "recording_id")
+    base = F.concat(F.lit('{"note": "base", "mode": "auto", "duration_s": '), number("duration_s"), F.lit("}"))
+    kind = F.col("recording_id") % 3
+    extra = F.when(kind == 1, F.concat(F.lit('{"note": "extra", "processing_s": '), number("processing_s"), F.lit("}"))).when(kind == 2, '{"mode": null, "tags": ["a", "b"]}')
+    merged = told.select("recording_id", document.merged_metadata(F.parse_json(base), F.parse_json(extra)).alias("m"))
+    read = lambda path, kind, name: F.variant_get("m", path, kind).alias(name)
+    keys = F.size(F.map_keys(F.col("m").cast("map<string,variant>"))).cast("long").alias("n_keys")
+    values = [("$.duration_s", "double", "duration_s"), ("$.note", "string", "note"), ("$.mode", "string", "mode"), ("$.processing_s", "double", "processing_s"), ("$.tags[1]", "string", "tag")]
+    return merged.select("recording_id", *[read(*v) for v in values], keys)
+
+
 @query("""WITH w AS (
   SELECT recording_id, count(*) AS n, string_agg(word, ' ' ORDER BY seg_idx, word_start, word_end, word) AS spoken, sum(word_end - word_start) AS spoken_s
   FROM f_words WHERE word_start IS NOT NULL AND word_end IS NOT NULL GROUP BY 1)
@@ -533,10 +572,8 @@ SELECT s.recording_id, any_value(duration_s) AS duration, count(*) AS n_segments
   string_agg(coalesce(text, ''), ' ' ORDER BY seg_idx) AS text, sum(end_s - start_s) AS talk_s
 FROM f_seg s LEFT JOIN f_rec USING (recording_id) LEFT JOIN w USING (recording_id) GROUP BY s.recording_id""")
 def analysis_document(seg, words, rec):
-    """The nested documents, written as JSON and read back, then flattened for comparison: words and speakers in their order, and seconds of both."""
-    built = document.analysis_document(seg, words, rec)
-    kinds = built.drop("recording_id").schema
-    read = document.document_json(built).select("recording_id", F.from_json("json", kinds).alias("d")).select("recording_id", "d.*")
+    """The nested documents, flattened for comparison: words and speakers in their order, and seconds of both. document_files has them as JSON."""
+    read = document.analysis_document(seg, words, rec)
     talk = F.aggregate(F.map_values("speakers"), F.lit(0.0), lambda a, s: a + s["total_duration"])
     spoken = F.array_join(F.transform("word_segments", lambda w: w["word"]), " ")
     spoken_s = F.aggregate("word_segments", F.lit(0.0), lambda a, w: a + w["end_time"] - w["start_time"])

@@ -61,11 +61,12 @@ EACH_WORD = "unnest(range(len(words))) AS word_idx, unnest(words) AS word"
 EACH_WORD_SPARK = "posexplode(words) AS (word_idx, word)"
 F_WORDS = f"""
 WITH w0 AS (
-  SELECT recording_id, seg_idx, start_s, end_s, speaker, coalesce(text, '') AS text, split(coalesce(text, ''), ' ') AS words FROM f_seg),
-w1 AS (SELECT recording_id, seg_idx, start_s, end_s, speaker, text, {EACH_WORD} FROM w0),
+  SELECT recording_id, seg_idx, start_s, end_s, speaker, coalesce(text, '') AS text, split(coalesce(text, ''), ' ') AS words,
+         CAST(length(coalesce(text, '')) - length(replace(coalesce(text, ''), ' ', '')) + 1 AS DOUBLE) AS n_words FROM f_seg),
+w1 AS (SELECT recording_id, seg_idx, start_s, end_s, speaker, text, n_words, {EACH_WORD} FROM w0),
 w2 AS (
   SELECT recording_id, seg_idx, start_s, end_s, speaker, text, CAST(word_idx AS BIGINT) AS word_idx, word,
-         (end_s - start_s) * CAST(1024 AS DOUBLE) AS ticks, CAST(length(text) - length(replace(text, ' ', '')) + 1 AS DOUBLE) AS n_words
+         (end_s - start_s) * CAST(1024 AS DOUBLE) AS ticks, n_words
   FROM w1)
 SELECT recording_id, seg_idx, start_s, end_s, speaker, text, word_idx,
        CASE WHEN (recording_id + seg_idx + word_idx) % 3 = 0 THEN NULL
