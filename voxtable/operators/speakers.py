@@ -5,32 +5,64 @@ Turns are rows (recording_id, turn_idx, start_s, end_s, speaker).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxtable.operators import scan
+
 UNKNOWN = "SPEAKER_00"
-#: Seconds of a time bucket of the interval join.
+#: Seconds of the shortest stretch of the interval join.
 BUCKET = 30.0
 
 
-def buckets(rows: DataFrame, seconds: float) -> DataFrame:
-    last = F.greatest(F.floor(F.col("start_s") / seconds), F.floor(F.col("end_s") / seconds))
-    return rows.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("start_s") / seconds), last)))
+def cells(start: Column, end: Column, seconds: float) -> Column:
+    """Dyadic stretches of time (level, number) that cover [start, end] without overlap: two for each level at most.
+
+    A stretch of level k is 2^k buckets long. Those of a level are the odd ones at either end of what larger ones leave.
+    """
+    low, high = F.floor(start / seconds), F.greatest(F.floor(start / seconds), F.floor(end / seconds)) + 1
+
+    def of_level(k: Column) -> Column:
+        size = F.pow(F.lit(2.0), k)
+        a, b = F.ceil(low / size), F.floor(high / size)
+        left = F.pmod(a, F.lit(2)) == 1
+        right = (F.pmod(b, F.lit(2)) == 1) & (F.when(left, a + 1).otherwise(a) < b)
+        cell = lambda n: F.struct(k.alias("level"), n.cast("long").alias("number"))
+        return F.array_compact(F.array(F.when((a < b) & left, cell(a)), F.when((a < b) & right, cell(b - 1))))
+
+    levels = F.sequence(F.lit(0), F.length(F.bin(high - low)).cast("int"))
+    return F.flatten(F.transform(levels, of_level))
+
+
+def started_within(points: DataFrame, spans: DataFrame, seconds: float) -> DataFrame:
+    """Pairs of points (recording_id, at, p) and spans (recording_id, start_s, end_s, q) of which the point lies in a bucket that the span touches: p and q.
+
+    A span goes to the stretches that cover it, and a point to the one around it of each level that its recording's spans use, so each
+    pair meets once and a long span is few rows.
+    """
+    cut = spans.select("recording_id", "q", F.explode(cells(F.col("start_s"), F.col("end_s"), seconds)).alias("cell"))
+    used = cut.groupBy("recording_id").agg(F.collect_set("cell.level").alias("levels"))
+    level = points.join(used.hint("merge"), "recording_id").select("recording_id", "p", "at", F.explode("levels").alias("level"))
+    number = F.floor(F.floor(F.col("at") / seconds) / F.pow(F.lit(2.0), F.col("level"))).cast("long")
+    around = level.select("recording_id", "p", F.struct(F.col("level"), number.alias("number")).alias("cell"))
+    return around.join(cut.hint("merge"), ["recording_id", "cell"]).select("recording_id", "p", "q")
 
 
 def interval_overlap(segments: DataFrame, turns: DataFrame, seconds: float = BUCKET) -> DataFrame:
     """Each pair of a segment and a turn that overlap strictly, with overlap, ratio to the segment and confidence.
 
-    Both sides go to time buckets, so the join has an equality; a pair is kept in the bucket in which its overlap begins, so
-    none comes twice.
+    Of two that overlap one starts within the other: segments look for turns around their start, and turns for segments around theirs.
     """
-    left = buckets(segments.select("recording_id", "seg_idx", "start_s", "end_s"), seconds)
-    right = buckets(turns.select("recording_id", "turn_idx", "start_s", "end_s", "speaker"), seconds).select("recording_id", "_bucket", "turn_idx", F.col("start_s").alias("turn_start"), F.col("end_s").alias("turn_end"), F.col("speaker").alias("turn_speaker"))
-    met = left.join(right.hint("merge"), ["recording_id", "_bucket"]).where((F.col("turn_end") > F.col("start_s")) & (F.col("turn_start") < F.col("end_s")))
-    begin, length = F.greatest("start_s", "turn_start"), F.col("end_s") - F.col("start_s")
-    overlap = F.least("end_s", "turn_end") - begin
-    once = met.where(F.col("_bucket") == F.floor(begin / seconds))
-    return once.select("recording_id", "seg_idx", "turn_idx", "turn_start", "turn_speaker", overlap.alias("overlap_s"), F.when(length > 0, overlap / length).otherwise(0.0).alias("ratio"), F.least(F.lit(1.0), (F.col("turn_end") - F.col("turn_start")) / 2).alias("confidence"))
+    s = segments.select("recording_id", "start_s", "end_s", F.struct("seg_idx", "start_s", "end_s").alias("s"))
+    t = turns.select("recording_id", "start_s", "end_s", F.struct("turn_idx", "start_s", "end_s", "speaker").alias("t"))
+    point = lambda x, name: x.select("recording_id", F.col("start_s").alias("at"), F.col(name).alias("p"))
+    inner = started_within(point(s, "s"), t.withColumnRenamed("t", "q"), seconds).select("recording_id", F.col("p").alias("s"), F.col("q").alias("t")).where("s.start_s >= t.start_s")
+    outer = started_within(point(t, "t"), s.withColumnRenamed("s", "q"), seconds).select("recording_id", F.col("q").alias("s"), F.col("p").alias("t")).where("s.start_s < t.start_s")
+    met = inner.unionByName(outer).where("t.end_s > s.start_s and t.start_s < s.end_s")
+    overlap, length = F.least("s.end_s", "t.end_s") - F.greatest("s.start_s", "t.start_s"), F.col("s.end_s") - F.col("s.start_s")
+    sure = F.least(F.lit(1.0), (F.col("t.end_s") - F.col("t.start_s")) / 2).alias("confidence")
+    ratio = F.when(length > 0, overlap / length).otherwise(0.0).alias("ratio")
+    return met.select("recording_id", "s.seg_idx", "t.turn_idx", F.col("t.start_s").alias("turn_start"), F.col("t.speaker").alias("turn_speaker"), overlap.alias("overlap_s"), ratio, sure)
 
 
 def best_overlap(overlaps: DataFrame) -> DataFrame:
@@ -49,9 +81,8 @@ def nearest_turn(segments: DataFrame, turns: DataFrame) -> DataFrame:
     b = F.struct(middle.alias("mid"), (-F.col("start_s")).alias("back"), (-F.col("turn_idx")).alias("back_idx"), "start_s", "turn_idx", "speaker")
     points = segments.select("recording_id", "seg_idx", middle.alias("mid"), F.lit(None).cast("struct<mid:double,start:double,turn_idx:long,speaker:string>").alias("t"), F.lit(None).cast("struct<mid:double,back:double,back_idx:long,start_s:double,turn_idx:long,speaker:string>").alias("b"))
     points = points.unionByName(turns.select("recording_id", F.lit(None).cast("long").alias("seg_idx"), middle.alias("mid"), t.alias("t"), b.alias("b")))
-    # both frames grow from their start, the second along the reverse order, so each row is looked at once
-    up, down = (Window.partitionBy("recording_id").orderBy(o).rangeBetween(Window.unboundedPreceding, 0) for o in (F.asc("mid"), F.desc("mid")))
-    told = points.withColumns({"_b": F.max("b").over(up), "_f": F.min("t").over(down)}).where("seg_idx is not null")
+    told = scan.running_extremes(points, scan.by_time("mid"), "mid", "b", "t").where("seg_idx is not null")
+    told = told.withColumnsRenamed({"_largest": "_b", "_smallest": "_f"})
     back = F.when(F.col("_b").isNotNull(), F.struct(F.abs(F.col("mid") - F.col("_b.mid")).alias("dist"), F.col("_b.start_s").alias("start"), F.col("_b.turn_idx").alias("turn_idx"), F.col("_b.speaker").alias("speaker")))
     ahead = F.when(F.col("_f").isNotNull(), F.struct(F.abs(F.col("mid") - F.col("_f.mid")).alias("dist"), F.col("_f.start").alias("start"), F.col("_f.turn_idx").alias("turn_idx"), F.col("_f.speaker").alias("speaker")))
     best = F.least(back, ahead)

@@ -1,7 +1,7 @@
 """Segment timelines: duplicates, gaps, merging, gap filling, word timings, chunks.
 
-Segments are rows (recording_id, seg_idx, start_s, end_s, speaker, text), perhaps with words, an array of structs, and more. Rows of one recording are few, so windows run
-by recording. Strict thresholds, ties and "first wins" follow seg_idx.
+Segments are rows (recording_id, seg_idx, start_s, end_s, speaker, text), perhaps with words, an array of structs, and more. Neighbours and
+running sums go by chunks of a recording (scan.py). Strict thresholds, ties and "first wins" follow seg_idx.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxtable.functions.numbers import rounded, stripped
+from voxtable.operators import scan
 from voxtable.operators.signal import SPEECH, Framing, interval_rms
 
 #: Pauses of over so many seconds are gaps; shorter ones join segments.
@@ -34,7 +35,7 @@ def dedup_segments(segments: DataFrame) -> DataFrame:
 def with_gaps(segments: DataFrame, recordings: DataFrame) -> DataFrame:
     """Each segment with the gap before it and after it: before_start, before_end, after_start, after_end, null where there is none."""
     told = segments.join(recordings.select("recording_id", "duration_s"), "recording_id", "left")
-    told = told.withColumns({"_prev": F.lag("end_s").over(by_start()), "_next": F.lead("start_s").over(by_start())})
+    told = scan.neighbours(told, scan.by_time("start_s"), ["start_s", "seg_idx"], {"_prev": "end_s"}, {"_next": "start_s"})
     first, last = F.col("_prev").isNull(), F.col("_next").isNull()
     before = F.when(first, F.col("start_s") > PAUSE).otherwise(F.col("start_s") - F.col("_prev") > PAUSE)
     after = F.when(last, F.col("duration_s") - F.col("end_s") > PAUSE).otherwise(F.col("_next") - F.col("end_s") > PAUSE)
@@ -42,7 +43,7 @@ def with_gaps(segments: DataFrame, recordings: DataFrame) -> DataFrame:
         "before_start": F.when(before, F.coalesce("_prev", F.lit(0.0))), "before_end": F.when(before, F.col("start_s")),
         "after_start": F.when(after, F.col("end_s")), "after_end": F.when(after, F.coalesce("_next", "duration_s")),
         "is_first": first, "is_last": last,
-    }).drop("_prev", "_next")
+    }).drop("_prev", "_next", "_head")
 
 
 def detect_gaps(segments: DataFrame, recordings: DataFrame) -> DataFrame:
@@ -58,9 +59,10 @@ def merge_segments(segments: DataFrame) -> DataFrame:
 
     Words are strung together; other columns are the first row's.
     """
-    joins = F.col("speaker").eqNullSafe(F.lag("speaker").over(by_index())) & (F.col("start_s") - F.lag("end_s").over(by_index()) < PAUSE)
-    rows = segments.withColumn("_join", (F.row_number().over(by_index()) > 1) & F.coalesce(joins, F.lit(False)))
-    rows = rows.withColumn("island", F.sum(F.when(F.col("_join"), 0).otherwise(1)).over(by_index()))
+    rows = scan.neighbours(segments, scan.by_number("seg_idx"), ["seg_idx"], {"_speaker": "speaker", "_end": "end_s"})
+    joins = F.col("speaker").eqNullSafe(F.col("_speaker")) & (F.col("start_s") - F.col("_end") < PAUSE)
+    begins = F.when(~F.col("_head") & F.coalesce(joins, F.lit(False)), 0).otherwise(1)
+    rows = scan.running_sum(rows, scan.by_number("seg_idx"), ["seg_idx"], begins, "island")
     texts = F.transform(F.array_sort(F.collect_list(F.struct("seg_idx", "text"))), lambda x: stripped(x["text"]))
     merged = F.array_join(F.filter(texts, lambda t: t != ""), " ")
     more = [c for c in segments.columns if c not in ("recording_id", "seg_idx", "start_s", "end_s", "speaker", "text", "n_merged")]
