@@ -59,8 +59,12 @@ def test_neighbours_and_sums_are_those_of_plain_windows(spark):
     want = table.withColumns({"a": F.lag("v").over(w), "b": F.lead("n").over(w), "h": F.row_number().over(w) == 1})
     got = scan.neighbours(table, scan.by_time("t", 4.0), ["t", "n"], {"a": "v"}, {"b": "n"}, head="h")
     assert rows(got) == rows(want)
-    own = Window.partitionBy("recording_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    assert rows(scan.running_sum(table, scan.by_number("n", 5), ["n"], F.col("n") + 1, "s")) == rows(table.withColumn("s", F.sum(F.col("n") + 1).over(own)))
+    for alike in (F.col("t") - F.col("before") < 20, F.col("t") != F.col("before"), F.lit(True), F.lit(None).cast("boolean")):
+        told = table.withColumn("before", F.lag("t").over(o := Window.partitionBy("recording_id").orderBy("n")))
+        begins = F.when((F.row_number().over(o) == 1) | ~F.coalesce(alike, F.lit(False)), F.col("n"))
+        want = told.withColumn("b", begins).withColumn("s", F.last("b", ignorenulls=True).over(o.rowsBetween(Window.unboundedPreceding, 0))).drop("b", "before")
+        for many in (1, 3, 40, 1000):
+            assert rows(scan.islands(table, scan.by_number("n", many), "n", {"before": "t"}, alike, "s")) == rows(want)
 
 
 def test_a_long_recording_is_many_tasks(spark):

@@ -33,35 +33,40 @@ def told_to_chunks(rows: DataFrame, told: DataFrame) -> DataFrame:
 def neighbours(rows: DataFrame, chunk: Column, order: list[str], before: dict[str, str], after: dict[str, str] | None = None, head: str = "_head") -> DataFrame:
     """rows with columns of the row before (new name: column) and after in each recording, and whether a row is the first.
 
-    order is a column list that tells rows of a recording apart and ascends with the chunk.
+    order tells rows of a recording apart and ascends with the chunk. A chunk's first and last row find their neighbours among those of
+    all chunks, two rows for each; both parts read one shuffle.
     """
     after = after or {}
-    own = Window.partitionBy("recording_id", CHUNK).orderBy(*order)
-    key = F.struct(*order)
-    cut = rows.withColumn(CHUNK, chunk)
-    ends = cut.groupBy("recording_id", CHUNK).agg(
-        F.max_by(F.struct(*[F.col(c).alias(n) for n, c in before.items()]), key).alias("_l"),
-        F.min_by(F.struct(F.lit(1).alias("_"), *[F.col(c).alias(n) for n, c in after.items()]), key).alias("_f"),
-    )
-    along = Window.partitionBy("recording_id").orderBy(CHUNK)
-    carried = ends.select("recording_id", CHUNK, F.lag("_l").over(along).alias("_from_last"), F.lead("_f").over(along).alias("_from_next"))
+    own, along = (Window.partitionBy("recording_id", *c).orderBy(*order) for c in ([CHUNK], []))
     near = {n: F.lag(c).over(own) for n, c in before.items()} | {n: F.lead(c).over(own) for n, c in after.items()}
     edges = {"_first_here": F.row_number().over(own) == 1, "_last_here": F.lead(F.lit(1)).over(own).isNull()}
-    met = told_to_chunks(cut.withColumns(near | edges), carried)
-    whole = {n: F.when(F.col("_first_here"), F.col(f"_from_last.{n}")).otherwise(F.col(n)) for n in before}
-    whole |= {n: F.when(F.col("_last_here"), F.col(f"_from_next.{n}")).otherwise(F.col(n)) for n in after}
-    return met.withColumns(whole | {head: F.col("_first_here") & F.col("_from_last").isNull()}).drop("_first_here", "_last_here", "_from_last", "_from_next", CHUNK)
-
-
-def running_sum(rows: DataFrame, chunk: Column, order: list[str], value: Column, name: str) -> DataFrame:
-    """rows with the sum of value over all rows of the recording up to each."""
-    cut = rows.withColumns({CHUNK: chunk, "_value": value})
-    sums = cut.groupBy("recording_id", CHUNK).agg(F.sum("_value").alias("_sum"))
-    along = Window.partitionBy("recording_id").orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select("recording_id", CHUNK, F.coalesce(F.sum("_sum").over(along), F.lit(0)).alias("_base"))
-    own = Window.partitionBy("recording_id", CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    met = told_to_chunks(cut.withColumn("_own", F.sum("_value").over(own)), base)
-    return met.withColumn(name, F.col("_base") + F.col("_own")).drop("_base", "_own", "_value", CHUNK)
+    told = rows.withColumn(CHUNK, chunk).withColumns(near | edges)
+    inner = told.where(~F.col("_first_here") & ~F.col("_last_here")).withColumn(head, F.lit(False))
+    whole = {n: F.when(F.col("_first_here"), F.lag(c).over(along)).otherwise(F.col(n)) for n, c in before.items()}
+    whole |= {n: F.when(F.col("_last_here"), F.lead(c).over(along)).otherwise(F.col(n)) for n, c in after.items()}
+    edge = told.where(F.col("_first_here") | F.col("_last_here")).withColumns(whole | {head: F.row_number().over(along) == 1})
+    return inner.unionByName(edge).drop("_first_here", "_last_here", CHUNK)
+
+
+def islands(rows: DataFrame, chunk: Column, order: str, before: dict[str, str], joined: Column, name: str) -> DataFrame:
+    """rows with the order of the row at which their island begins: the last, up to each, that is not joined to the row before.
+
+    joined is a condition on the row and on columns of the row before (new name: column). Within a chunk all is known from its first
+    beginning on; what lies before it, and the chunk's last row, goes along the recording.
+    """
+    own, along = (Window.partitionBy("recording_id", *c).orderBy(order) for c in ([CHUNK], []))
+    near = {n: F.lag(c).over(own) for n, c in before.items()}
+    edges = {"_first_here": F.row_number().over(own) == 1, "_last_here": F.lead(F.lit(1)).over(own).isNull()}
+    apart = ~F.coalesce(joined, F.lit(False))
+    told = rows.withColumn(CHUNK, chunk).withColumns(near | edges)
+    told = told.withColumn("_begins", F.when(~F.col("_first_here") & apart, F.col(order)))
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
+    told = told.withColumn(name, F.last("_begins", ignorenulls=True).over(upto(own)))
+    open_ = F.col(name).isNull() | F.col("_last_here")
+    rest = told.where(open_).withColumns({n: F.when(F.col("_first_here"), F.lag(c).over(along)).otherwise(F.col(n)) for n, c in before.items()} | {"_one": F.row_number().over(along) == 1})
+    rest = rest.withColumn(name, F.when(F.col("_first_here") & (F.col("_one") | apart), F.col(order)).otherwise(F.col(name)))
+    rest = rest.withColumn(name, F.last(name, ignorenulls=True).over(upto(along))).drop("_one")
+    return told.where(~open_).unionByName(rest).drop("_first_here", "_last_here", "_begins", CHUNK, *before)
 
 
 def running_extremes(rows: DataFrame, chunk: Column, by: str, largest: str, smallest: str) -> DataFrame:

@@ -34,18 +34,18 @@ def cells(start: Column, end: Column, seconds: float) -> Column:
     return F.flatten(F.transform(levels, of_level))
 
 
-def started_within(points: DataFrame, spans: DataFrame, seconds: float) -> DataFrame:
-    """Pairs of points (recording_id, at, p) and spans (recording_id, start_s, end_s, q) of which the point lies in a bucket that the span touches: p and q.
+def started_within(spans: DataFrame, seconds: float) -> DataFrame:
+    """Pairs of spans (recording_id, side, x with start_s and end_s) of the two sides, p of which begins in a bucket that q touches.
 
-    A span goes to the stretches that cover it, and a point to the one around it of each level that its recording's spans use, so each
-    pair meets once and a long span is few rows.
+    A span goes to the stretches that cover it; its beginning goes to the one around it of each level that the other side of its recording
+    uses. So each pair meets once, and a long span is few rows. side is 0 or 1.
     """
-    cut = spans.select("recording_id", "q", F.explode(cells(F.col("start_s"), F.col("end_s"), seconds)).alias("cell"))
-    used = cut.groupBy("recording_id").agg(F.collect_set("cell.level").alias("levels"))
-    level = points.join(used.hint("merge"), "recording_id").select("recording_id", "p", "at", F.explode("levels").alias("level"))
-    number = F.floor(F.floor(F.col("at") / seconds) / F.pow(F.lit(2.0), F.col("level"))).cast("long")
-    around = level.select("recording_id", "p", F.struct(F.col("level"), number.alias("number")).alias("cell"))
-    return around.join(cut.hint("merge"), ["recording_id", "cell"]).select("recording_id", "p", "q")
+    cut = spans.select("recording_id", (1 - F.col("side")).alias("side"), F.col("x").alias("q"), F.explode(cells(F.col("x.start_s"), F.col("x.end_s"), seconds)).alias("cell"))
+    used = cut.groupBy("recording_id", "side").agg(F.collect_set("cell.level").alias("levels"))
+    level = spans.join(used.hint("merge"), ["recording_id", "side"]).select("recording_id", "side", F.col("x").alias("p"), F.explode("levels").alias("level"))
+    number = F.floor(F.floor(F.col("p.start_s") / seconds) / F.pow(F.lit(2.0), F.col("level"))).cast("long")
+    around = level.select("recording_id", "side", "p", F.struct(F.col("level"), number.alias("number")).alias("cell"))
+    return around.join(cut.hint("merge"), ["recording_id", "side", "cell"]).select("recording_id", "side", "p", "q")
 
 
 def interval_overlap(segments: DataFrame, turns: DataFrame, seconds: float = BUCKET) -> DataFrame:
@@ -53,16 +53,18 @@ def interval_overlap(segments: DataFrame, turns: DataFrame, seconds: float = BUC
 
     Of two that overlap one starts within the other: segments look for turns around their start, and turns for segments around theirs.
     """
-    s = segments.select("recording_id", "start_s", "end_s", F.struct("seg_idx", "start_s", "end_s").alias("s"))
-    t = turns.select("recording_id", "start_s", "end_s", F.struct("turn_idx", "start_s", "end_s", "speaker").alias("t"))
-    point = lambda x, name: x.select("recording_id", F.col("start_s").alias("at"), F.col(name).alias("p"))
-    inner = started_within(point(s, "s"), t.withColumnRenamed("t", "q"), seconds).select("recording_id", F.col("p").alias("s"), F.col("q").alias("t")).where("s.start_s >= t.start_s")
-    outer = started_within(point(t, "t"), s.withColumnRenamed("s", "q"), seconds).select("recording_id", F.col("q").alias("s"), F.col("p").alias("t")).where("s.start_s < t.start_s")
-    met = inner.unionByName(outer).where("t.end_s > s.start_s and t.start_s < s.end_s")
+    key = segments.schema["seg_idx"].dataType.simpleString()
+    none = F.lit(None)
+    s = segments.select("recording_id", F.lit(0).alias("side"), F.struct("start_s", "end_s", "seg_idx", none.cast("long").alias("turn_idx"), none.cast("string").alias("speaker")).alias("x"))
+    t = turns.select("recording_id", F.lit(1).alias("side"), F.struct("start_s", "end_s", none.cast(key).alias("seg_idx"), F.col("turn_idx").cast("long").alias("turn_idx"), "speaker").alias("x"))
+    met, seeks = started_within(s.unionByName(t), seconds), F.col("side") == 0
+    first = F.when(seeks, F.col("p.start_s") >= F.col("q.start_s")).otherwise(F.col("q.start_s") < F.col("p.start_s"))
+    told = met.where(first).select("recording_id", F.when(seeks, F.col("p")).otherwise(F.col("q")).alias("s"), F.when(seeks, F.col("q")).otherwise(F.col("p")).alias("t"))
+    told = told.where("t.end_s > s.start_s and t.start_s < s.end_s")
     overlap, length = F.least("s.end_s", "t.end_s") - F.greatest("s.start_s", "t.start_s"), F.col("s.end_s") - F.col("s.start_s")
     sure = F.least(F.lit(1.0), (F.col("t.end_s") - F.col("t.start_s")) / 2).alias("confidence")
     ratio = F.when(length > 0, overlap / length).otherwise(0.0).alias("ratio")
-    return met.select("recording_id", "s.seg_idx", "t.turn_idx", F.col("t.start_s").alias("turn_start"), F.col("t.speaker").alias("turn_speaker"), overlap.alias("overlap_s"), ratio, sure)
+    return told.select("recording_id", "s.seg_idx", "t.turn_idx", F.col("t.start_s").alias("turn_start"), F.col("t.speaker").alias("turn_speaker"), overlap.alias("overlap_s"), ratio, sure)
 
 
 def best_overlap(overlaps: DataFrame) -> DataFrame:

@@ -59,10 +59,8 @@ def merge_segments(segments: DataFrame) -> DataFrame:
 
     Words are strung together; other columns are the first row's.
     """
-    rows = scan.neighbours(segments, scan.by_number("seg_idx"), ["seg_idx"], {"_speaker": "speaker", "_end": "end_s"})
-    joins = F.col("speaker").eqNullSafe(F.col("_speaker")) & (F.col("start_s") - F.col("_end") < PAUSE)
-    begins = F.when(~F.col("_head") & F.coalesce(joins, F.lit(False)), 0).otherwise(1)
-    rows = scan.running_sum(rows, scan.by_number("seg_idx"), ["seg_idx"], begins, "island")
+    joined = F.col("speaker").eqNullSafe(F.col("_speaker")) & (F.col("start_s") - F.col("_end") < PAUSE)
+    rows = scan.islands(segments, scan.by_number("seg_idx"), "seg_idx", {"_speaker": "speaker", "_end": "end_s"}, joined, "island")
     texts = F.transform(F.array_sort(F.collect_list(F.struct("seg_idx", "text"))), lambda x: stripped(x["text"]))
     merged = F.array_join(F.filter(texts, lambda t: t != ""), " ")
     more = [c for c in segments.columns if c not in ("recording_id", "seg_idx", "start_s", "end_s", "speaker", "text", "n_merged")]
