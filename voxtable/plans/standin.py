@@ -88,11 +88,11 @@ FROM embeddings
 #: A block of each second of a recording and each of its samples, for DuckDB and for Spark: the other things in which the two texts differ.
 EACH_SECOND, EACH_SECOND_SPARK = "unnest(range(seconds)) AS block_idx", "explode(sequence(CAST(0 AS BIGINT), seconds - 1)) AS block_idx"
 EACH_SAMPLE, EACH_SAMPLE_SPARK = "list_transform(range(512), lambda i: ", "transform(sequence(CAST(0 AS BIGINT), CAST(511 AS BIGINT)), i -> "
-#: Samples of every recording at 512 Hz: bursts of 96 samples of a falling saw-tooth between 150 and 199 Hz, three in five, and a little
+#: Samples of every recording at 512 Hz (the hint has Spark make them in many tasks; to DuckDB it is a comment): bursts of 96 samples of a falling saw-tooth between 150 and 199 Hz, three in five, and a little
 #: noise. All are multiples of 1/65536, so sums of squares are exact. One recording in 17 is too loud to be analysed.
 F_AUDIO = f"""
 WITH a0 AS (SELECT recording_id, CAST(ceil(max(end_s)) AS BIGINT) AS seconds FROM f_seg GROUP BY recording_id),
-a1 AS (SELECT recording_id, {EACH_SECOND} FROM a0)
+a1 AS (SELECT /*+ REPARTITION(32) */ recording_id, {EACH_SECOND} FROM a0)
 SELECT recording_id, block_idx, {EACH_SAMPLE}CAST(
          CASE WHEN (CAST(floor((block_idx * 512 + i) / 96) AS BIGINT) * 7 + recording_id * 3) % 5 < 3 THEN
            (96 - (block_idx * 512 + i) % 96) * CAST(0.0078125 AS DOUBLE)
