@@ -31,11 +31,11 @@ from voxtable.llm.common import by_value, new_path, stage, trimmed
 
 END_ID = 0
 #: Bytes that the pieces a task remembers may take, about; the older half goes when they are more.
-CACHE_BYTES = 64 << 20
+CACHE_BYTES = 32 << 20
 #: What an entry takes besides its characters and ids, about.
 ENTRY_BYTES = 200
 #: Bytes of text that are encoded at once, about; a longer text goes alone.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 3 << 20
 #: Bytes of text that a task encodes, about.
 TASK_BYTES = 32 << 20
 #: Tasks that a small input goes to, of a megabyte at least.
@@ -62,6 +62,20 @@ def byte_letters() -> dict[int, int]:
 LETTERS = byte_letters()
 
 
+def kind_of(path: str) -> tuple[bool, bool]:
+    """Whether a tokenizer's texts may be cut into pieces, and whether its model may see a piece alone.
+
+    The whole vocabulary is read for it, so the driver does it once and tasks are told.
+    """
+    from tokenizers import Tokenizer
+
+    told = json.loads(Tokenizer.from_file(path).to_str())
+    first = told["pre_tokenizer"] or {}
+    plain = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": first.get("trim_offsets"), "use_regex": True}
+    by_piece = told["normalizer"] is None and told["model"]["type"] == "BPE" and first == plain
+    return by_piece, by_piece and not told["model"].get("dropout")
+
+
 class Encoder:
     """Encodes with the tokenizers library, which sees each distinct piece of text once in a while.
 
@@ -71,7 +85,7 @@ class Encoder:
     and so are all texts where the tokenizer is not a plain byte-level one.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, kind: tuple[bool, bool] | None = None) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -82,10 +96,7 @@ class Encoder:
         self.old: dict[str, bytes] = {}
         self.bytes = 0
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        told = json.loads(self.library.to_str())
-        first = told["pre_tokenizer"] or {}
-        self.by_piece = told["normalizer"] is None and told["model"]["type"] == "BPE" and first == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": first.get("trim_offsets"), "use_regex": True}
-        self.by_model = self.by_piece and not told["model"].get("dropout")
+        self.by_piece, self.by_model = kind_of(path) if kind is None else kind
 
     def learn(self, pieces: list[str]) -> list[bytes]:
         """The ids of each of distinct pieces, as bytes."""
@@ -177,7 +188,7 @@ def write_files(documents: DataFrame, tokenizer: str, folder: str) -> DataFrame:
         store, top = fs.FileSystem.from_uri(folder)
         store.create_dir(top)
         path = f"{top}/{task.partitionId():06d}-{task.taskAttemptId()}"
-        encoder = Encoder(tokenizer)
+        encoder = Encoder(tokenizer, kind)
         docs = ids = nulls = 0
         outs = {}
         for b in batches:
@@ -199,6 +210,7 @@ def write_files(documents: DataFrame, tokenizer: str, folder: str) -> DataFrame:
             "docs": pa.array(found, pa.int64()), "ids": one(ids, pa.int64()), "nulls": one(nulls, pa.int64()),
         })
 
+    kind = kind_of(tokenizer)
     ordered = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("tie"))
     size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ordered = ordered.repartitionByRange(max(size // TASK_BYTES, min(LEAST_TASKS, size >> 20), 1), "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
