@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from voxtable.functions.numbers import decibel, rounded
-from voxtable.operators import document, features, quality, signal, speakers, spectral, timeline
+from voxtable.operators import document, features, quality, signal, sketches, speakers, spectral, timeline
 from voxtable.plans import audio_sql
 from voxtable.plans.audio_sql import AUDIO
 from voxtable.plans.standin import table, with_tables
@@ -255,6 +255,26 @@ def unique_speakers(seg):
     return speakers.unique_speakers(seg)
 
 
+@query("""SELECT CAST(recording_id % 2 AS BIGINT) AS part, count(DISTINCT concat(CAST(recording_id AS VARCHAR(20)), '/', speaker)) AS exact_speakers, count(*) AS n_rows, true AS count_within, true AS rank_within
+FROM f_seg WHERE speaker IS NOT NULL GROUP BY 1""")
+def corpus_sketches(seg):
+    """Speakers of recordings, and the 20th percentile of durations, from sketches kept by day and merged; whether both lie within four standard errors of the exact ones."""
+    folder = new_folder(seg.sparkSession, "sketches")
+    length, who = F.col("end_s") - F.col("start_s"), F.concat_ws("/", F.col("recording_id").cast("string"), "speaker")
+    rows = seg.where("speaker is not null").select(F.pmod("recording_id", F.lit(2)).alias("part"), F.pmod("seg_idx", F.lit(3)).alias("d"), who.alias("who"), length.alias("length"))
+    of = lambda d: sketches.sketched(rows.where(F.col("d") == d), ["part"], {"speakers": F.col("who")}, {"lengths": F.col("length")})
+    for d in range(3):
+        sketches.write_day(of(d), folder, f"2024-05-0{d + 1}")
+    kept = sketches.merged(sketches.read_days(of(0), folder), ["part"], ["speakers"], ["lengths"])
+    told = kept.select("part", "n_rows", sketches.distinct_count("speakers").alias("speakers"), sketches.percentile("lengths", 0.2).alias("p20"))
+    exact = rows.groupBy("part").agg(F.countDistinct("who").alias("exact_speakers"))
+    ranks = rows.join(F.broadcast(told.select("part", "p20")), "part").groupBy("part").agg(F.avg((F.col("length") < F.col("p20")).cast("double")).alias("below"), F.avg((F.col("length") <= F.col("p20")).cast("double")).alias("upto"))  # two rows
+    met = told.join(exact.hint("merge"), "part").join(ranks.hint("merge"), "part")
+    near = F.abs(F.col("speakers") - F.col("exact_speakers")) <= 4 * sketches.COUNT_ERROR * F.col("exact_speakers") + 1
+    inside = (F.col("below") <= 0.2 + 4 * sketches.RANK_ERROR) & (F.col("upto") >= 0.2 - 4 * sketches.RANK_ERROR)
+    return met.select("part", "exact_speakers", "n_rows", near.alias("count_within"), inside.alias("rank_within"))
+
+
 @query("SELECT coalesce(speaker, 'SPEAKER_00') AS speaker, count(*) AS n_segments FROM f_seg GROUP BY 1")
 def speaker_histogram(seg):
     return speakers.speaker_histogram(seg)
