@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 from tests.compare import connect, rows_of_spark, rows_of_sql
 from voxtable.llm import lexical_packing as packing
 from voxtable.llm import periodic_runs as periodic
-from voxtable.llm import queries, vector_codes
+from voxtable.llm import queries, url_filters, vector_codes, warc
 
 DOCUMENTS = "doc_id long, text string, shard string, ids string, x string, row string"
 
@@ -293,3 +293,23 @@ def test_balls_own_points_and_hold_their_sums():
 @pytest.mark.parametrize("name", ["op13_anchor_tree_codes"])
 def test_queries_with_sql(spark, sf_dir, name):
     assert rows_of_spark(queries.queries()[name](spark, sf_dir)) == rows_of_sql(connect(sf_dir), queries.oracle_sql()[name])
+
+
+# --- cases of earlier operators
+
+
+def test_urls_of_any_length_and_repeated_rows(spark):
+    long_url = "http://a.org/" + "x" * 200_000 + "/login/" + "y" * 200_000
+    rows = [(1, long_url), (1, long_url), (2, None), (2, None), (3, "http://" + "sub." * 20_000 + "net/z?a=b#c"), (4, "")]
+    pages = spark.createDataFrame([(*r, "h", "r", "v") for r in rows], "page_id long, url string, host string, rule string, gram string")
+    got = url_filters.judge(pages, queries.HOST_RULES, queries.PATTERN_RULES).collect()
+    told = Counter((r["page_id"], len(r["host"]), len(r["path"]), r["rule"], r["verdict"]) for r in got)
+    assert told == {(1, 5, 400_008, None, "block"): 2, (2, 0, 0, None, "allow"): 2, (3, 80_003, 2, "net/", "block"): 1, (4, 0, 0, None, "allow"): 1}
+    assert url_filters.judge(pages.limit(0), queries.HOST_RULES, queries.PATTERN_RULES).count() == 0
+
+
+def test_archives_of_pages_with_clashing_columns(spark):
+    html = ["<a>", "<a>", None, "WARC/1.1\r\n" * 3, "z" * 300_000]
+    pages = spark.createDataFrame([(i, f"http://u/{i}", h, "k", "p", "o") for i, h in enumerate(html)], "page_id long, url string, html string, key string, path string, `offset` string")
+    got = {r["page_id"]: (r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.round_trip(pages, html=False).collect()}
+    assert got == {0: (3, "revisit", 1), 1: (3, "response", None), 2: (0, "response", None), 3: (30, "response", None), 4: (300_000, "response", None)}

@@ -6,7 +6,8 @@ never reach the filters); each distinct digest is screened by the filter of its
 digests exactly, and their texts are compared byte by byte. Of the texts only those that may be compared are shuffled.
 
 Texts are equal when identical after lower-casing A-Z; null counts as empty. Of equal texts the row with the largest
-doc_id stays; null ids are the smallest. Among repeated rows that tie, exactly one stays.
+doc_id stays; null ids are the smallest. Among repeated rows that tie, exactly one stays. Texts of any length are hashed and compared
+whole. An empty snapshot or batch gives the rows of the other. Other columns are not read, so their names do not matter.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ and emit only links that join components. Last, buckets that still hold several
 signature, for pairs that have no hub in common; what agrees is confirmed. Groups of any size are split into blocks, so there is no cap.
 
 Null and empty texts have no set and are linked with nothing. component_id is the smallest doc_id that is reachable; null ids
-count only where there is no other. Repeated rows are in one class. Texts of any length are hashed whole, in bounded pieces.
+count only where there is no other. Repeated rows are in one class. Texts of any length are hashed whole, in bounded pieces. An empty
+table gives no rows. near_duplicates() reads no other columns, and one_of_each() leaves them as they are, whatever their names.
 """
 
 from __future__ import annotations

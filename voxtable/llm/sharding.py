@@ -7,7 +7,8 @@ what the large groups left free in each shard, so only the totals of slices meet
 to the shard where the dot product of demand and residual capacity is highest.
 
 A null text has no bytes and is grouped with the empty text. Repeated rows and null ids are rows like others; the pieces of
-a split group and the numbering of slots go by row, not by id. An empty table gives an empty result.
+a split group and the numbering of slots go by row, not by id. Texts of any length are counted and hashed whole. An empty table
+gives an empty result. Other columns are not read, so their names do not matter.
 """
 
 from __future__ import annotations

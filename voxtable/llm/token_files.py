@@ -7,7 +7,8 @@ without an id first; how many these are is told with each file's name, so every
 in the whole sequence is the prefix sum of the files before it: a window over the list of files, one row for each.
 
 Null and empty texts have the end id only. Repeated documents are written each time; rows that tie by doc_id are in order of
-their text's hash. An empty table gives no files and no rows. Texts of any length are encoded whole.
+their text's hash. An empty table gives no files and no rows. Texts of any length are encoded whole. Other columns are not read, so their
+names do not matter.
 """
 
 from __future__ import annotations

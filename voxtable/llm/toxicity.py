@@ -10,7 +10,8 @@ a constant. They share a word that no text has, whose weight undoes the intercep
 weights, and a neutral mention does not read as an insult.
 
 A null or empty text scores by the intercept. Labels that are null are left out; a document with several labels counts once for
-each. Where the labels have only one class the score is their mean, and 0 where there is none.
+each. Where the labels have only one class the score is their mean, and 0 where there is none. Texts of any length are scored whole,
+repeated documents alike, and an empty table gives no rows. Other columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ fits, pattern rules (regular expressions) decide. A pattern rule is kept under t
 that every match of it must contain, by their counts over all urls; one without such a literal is kept under the rarest of each
 of its alternatives. The literals of a url fetch candidate rules, and only those run. Rules with an alternative without a literal run on every url.
 
-A null url, or one without "://", has an empty host and path and is judged as an empty text. Repeated rows are judged alike.
+A null url, or one without "://", has an empty host and path and is judged as an empty text. Repeated rows are judged alike. A url of any
+length is judged whole. An empty table gives no rows. Other columns are not read, so their names do not matter.
 Rules are read in blocks of bounded size, so a list of any length works.
 """
 

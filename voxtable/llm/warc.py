@@ -9,7 +9,8 @@ reaches it; pointer jumping (each round doubles the length of the jumps) finds t
 so a magic line inside a payload is rejected. Each chain has to end at the file's end.
 
 A null payload is empty. Rows that tie for the largest page_id are all responses, and so are rows without a page_id
-where no page with an id has the payload. An empty table gives no archive and no rows.
+where no page with an id has the payload. A payload of any length is one record. An empty table gives no archive and no rows. Of other
+columns only url is read, so their names do not matter.
 """
 
 from __future__ import annotations
