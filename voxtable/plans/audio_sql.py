@@ -34,7 +34,9 @@ mw AS (SELECT list_transform(range(1, 11), lambda j: list_transform(range(33), l
 
 #: Frames with loudness, magnitudes m, mel spectrum in dB, centroid and pitch.
 FRAMES = """
-fr AS (SELECT recording_id, seg_idx, t, x[t * 16 + 1:t * 16 + 64] AS f FROM (SELECT recording_id, seg_idx, x, unnest(range(n // 16 + 1)) AS t FROM pad)),
+fr AS (
+  SELECT recording_id, seg_idx, p // 16 - k AS t, list(v ORDER BY p) AS f
+  FROM (SELECT recording_id, seg_idx, n, unnest(x) AS v, unnest(range(len(x))) AS p FROM pad), (SELECT unnest(range(4)) AS k) WHERE p // 16 - k BETWEEN 0 AND n // 16 GROUP BY ALL),
 wi AS (SELECT recording_id, seg_idx, t, sqrt(list_sum(list_transform(f, lambda v: v * v)) / 64) AS rms, list_transform(range(1, 65), lambda i: f[i] * hann[i]) AS g FROM fr, tb),
 mg AS (SELECT recording_id, seg_idx, t, rms, list_transform(range(1, 34), lambda k: sqrt(pow(list_inner_product(g, co[k]), 2) + pow(list_inner_product(g, si[k]), 2))) AS m FROM wi, tb),
 ca AS (
@@ -45,7 +47,7 @@ cb AS (
   SELECT *, list_max(list_transform(list_filter(range(20, 34), lambda k: m[k] > m[k - 1] AND (k = 33 OR m[k] >= m[k + 1]) AND m[k] > least), lambda k:
     {'height': m[k] + CASE WHEN k = 33 THEN 0.0 ELSE (m[k + 1] - m[k - 1]) / 2 * shift[k] / 2 END, 'k': -k})) AS best
   FROM ca),
-sx AS (
+sx AS MATERIALIZED (
   SELECT recording_id, seg_idx, t, rms, coalesce(list_sum(list_transform(range(1, 34), lambda k: m[k] * (k - 1) * 8)) / nullif(list_sum(m), 0), 0) AS centroid,
     CASE WHEN best IS NOT NULL THEN (-best.k - 1 + shift[-best.k]) * 8 END AS pitch, list_transform(w, lambda v: 10 * log10(greatest(1e-10, list_inner_product(power, v)))) AS db
   FROM cb, mw)"""
@@ -58,7 +60,7 @@ env AS (SELECT recording_id, seg_idx, t, coalesce(lag(rise, 2) OVER (PARTITION B
 ar AS (
   SELECT *, max(strength) OVER (PARTITION BY recording_id, seg_idx ORDER BY t ROWS BETWEEN 3 PRECEDING AND 2 FOLLOWING) AS top,
     avg(strength) OVER (PARTITION BY recording_id, seg_idx ORDER BY t ROWS BETWEEN 3 PRECEDING AND 4 FOLLOWING) AS mean FROM env),
-cand AS (SELECT recording_id, seg_idx, t, min(t) OVER (PARTITION BY recording_id, seg_idx ORDER BY t RANGE BETWEEN 11 FOLLOWING AND UNBOUNDED FOLLOWING) AS after FROM ar WHERE strength = top AND strength >= mean + 0.3),
+cand AS MATERIALIZED (SELECT recording_id, seg_idx, t, min(t) OVER (PARTITION BY recording_id, seg_idx ORDER BY t RANGE BETWEEN 11 FOLLOWING AND UNBOUNDED FOLLOWING) AS after FROM ar WHERE strength = top AND strength >= mean + 0.3),
 ons AS (
   SELECT recording_id, seg_idx, min(t) AS t FROM cand GROUP BY recording_id, seg_idx
   UNION ALL SELECT c.recording_id, c.seg_idx, c.after FROM ons JOIN cand c USING (recording_id, seg_idx, t) WHERE c.after IS NOT NULL)"""
