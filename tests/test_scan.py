@@ -113,3 +113,13 @@ def test_stretches_cover_a_span_once(spark):
 def test_a_long_turn_is_few_rows(spark):
     (row,) = spark.createDataFrame([(3.0, 1e7)], "a double, b double").select(speakers.cells(F.col("a"), F.col("b"), 1.0).alias("c")).collect()
     assert len(row.c) < 60
+
+
+def test_neighbours_and_islands_are_no_unions(spark):
+    """A merge join by recording trusted the partitions of a union beneath it and failed at 0.1 GB ("Can't zip RDDs"), where the runtime had changed them."""
+    rows = segments_of(spark)
+    recordings = rows.groupBy("recording_id").agg(F.max("end_s").alias("duration_s"))
+    for told in (timeline.with_gaps(rows, recordings), timeline.merge_segments(rows)):
+        assert "Union" not in told._jdf.queryExecution().optimizedPlan().toString()
+        met = told.join(recordings.select("recording_id").hint("merge"), "recording_id")
+        assert met.count() == told.count() > 4
