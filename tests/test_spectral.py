@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxtable.operators import features, signal, spectral
+from voxtable.plans import standin
 
 SCHEMA = "recording_id long, block_idx long, x_raw array<double>, gain double"
 SMALL = signal.Framing(hop=16, rate=512, block=40, mels=10)
@@ -193,3 +194,36 @@ def test_a_long_recording_is_many_tasks(spark):
     frames = 1 + 600 * 16384 // 512
     assert [r.chunk for r in told] == list(range(-(-frames // 2048))) and sum(r.n for r in told) == frames
     assert [r["first"] for r in told] == [2048 * k for k in range(len(told))]
+
+
+def test_short_spans_share_calls(spark):
+    """A call of Python for each segment took over a ms each; spans of one, two and many chunks go through together and stay apart."""
+    framing = signal.Framing(hop=16, rate=512, block=64, mels=10, chunk=8)
+    r = np.random.default_rng(5)
+    sizes = {k: int(r.integers(1, 700)) for k in range(40)} | {40: 16 * 8, 41: 16 * 7, 42: 1}
+    x = {k: r.normal(size=n).astype(np.float32) for k, n in sizes.items()}
+    rows = [(k, i, v[at : at + 64].tolist(), 0.5) for k, v in x.items() for i, at in enumerate(range(0, len(v), 64))]
+    blocks = spark.createDataFrame(rows, "recording_id long, block_idx long, x_raw array<float>, gain double")
+    told = spectral.measured(spectral.of_recordings(blocks), blocks, framing)
+    assert "FlatMapGroups" not in told._jdf.queryExecution().optimizedPlan().toString()
+    out = {row.recording_id: row for row in told.collect()}
+    assert out.keys() == x.keys()
+    for k, v in x.items():
+        y, n = v.astype(float) * 0.5, 1 + len(v) // 16
+        padded = np.concatenate((np.zeros(32), y, np.zeros(64)))
+        frames = np.stack([padded[i * 16 : i * 16 + 64] for i in range(n)])
+        assert out[k].n_samples == len(v) and out[k].n_frames == n == len(out[k].envelope)
+        assert math.isclose(out[k].rms, np.sqrt((y * y).mean())) and out[k].amplitude_max == np.abs(y).max()
+        m = np.abs(np.fft.rfft(frames * (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(64) / 64))))
+        assert math.isclose(out[k].spectral_centroid, ((m @ (np.arange(33) * 8)) / m.sum(axis=1)).mean())
+        db = 10 * np.log10(np.maximum(1e-10, (m * m) @ spectral.mel_filters(framing).T))
+        rise = np.append(0.0, spectral.rises(db, db.max() - 80))
+        late = min(2, n)
+        assert np.allclose(out[k].envelope, np.concatenate((np.zeros(late), rise[: n - late])))
+
+
+def test_stand_in_samples_are_those_of_the_sql(spark):
+    rows = spark.sql("SELECT id AS recording_id, b AS block_idx FROM VALUES (0L), (5L), (-3L), (21L), (1033L), (NULL) AS t(id), (SELECT explode(sequence(0L, 11L)) AS b)")
+    text = standin.F_AUDIO[standin.F_AUDIO.index("SELECT recording_id, block_idx") :].replace(standin.EACH_SAMPLE, standin.EACH_SAMPLE_SPARK).replace("FROM a1", "FROM {a1}")
+    want = sorted(map(str, spark.sql(text, a1=rows).collect()))
+    assert sorted(map(str, rows.mapInArrow(standin.sounding, "recording_id long, block_idx long, x_raw array<float>, gain double").collect())) == want

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,6 +37,9 @@ SILENT = 0.2
 #: Points of a span's loudness.
 POINTS = 10
 
+#: Values of frames that are transformed together, where a chunk has fewer; and no values.
+VALUES, NONE = 1 << 20, np.zeros(0)
+
 CHUNKS = "recording_id {key}, seg_idx long, chunk long, first long, n long, energy double, peak double, rms array<double>, centroid double, pitch array<double>, top double, rise array<double>, mel array<double>"
 MEASURES = "recording_id {key}, seg_idx long, n_samples long, n_frames long, rms double, amplitude_max double, spectral_centroid double, pitch_hz double, n_voiced long, silence_ratio double, volume_peaks array<double>, envelope array<double>, onsets array<long>"
 
@@ -148,47 +152,91 @@ def pieces(spans: DataFrame, blocks: DataFrame, framing: Framing) -> DataFrame:
     return cut.withColumn("chunk", F.explode(F.sequence(F.least(first, last), last)))
 
 
+def starts_of(table: pa.Table, keys: tuple[str, ...]) -> np.ndarray:
+    """Where the groups of equal keys begin in a table in order of them, and its number of rows."""
+    n, new = table.num_rows, np.zeros(max(table.num_rows - 1, 0), bool)
+    for k in keys:
+        new |= pc.not_equal(table[k].slice(1), table[k].slice(0, n - 1)).to_numpy(zero_copy_only=False).astype(bool)
+    return np.concatenate(([0], np.flatnonzero(new) + 1, [n]))
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows in order of keys as tables of whole groups, with the groups' starts; a group that goes on in the next batch waits for it."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        table = pa.Table.from_batches([*held, b]).combine_chunks()
+        starts = starts_of(table, keys)
+        if len(starts) > 2:
+            yield table.slice(0, starts[-2]), starts[:-1]
+        held = table.slice(starts[-2]).to_batches()
+    if held:
+        table = pa.Table.from_batches(held).combine_chunks()
+        yield table, starts_of(table, keys)
+
+
+def lists_of(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a column of lists, and how many each has."""
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy().astype(np.int64)
+    return pc.list_flatten(column).to_numpy(), lengths
+
+
 def chunks(spans: DataFrame, blocks: DataFrame, framing: Framing = SPEECH) -> DataFrame:
     """One row for each chunk: its frames' loudness and pitch, and their mel spectra with that of the frame before.
 
-    Where the chunk is the whole span its rises are told at once, and no spectra are given.
+    Where the chunk is the whole span its rises are told at once, and no spectra are given. Pieces come in order, and the frames of
+    many short chunks, up to VALUES at a time, are transformed together.
     """
     hop, frame, half = framing.hop, framing.frame, framing.frame // 2
-    key = blocks.schema["recording_id"].dataType.simpleString()
-
-    def run(key: tuple, rows: pa.Table) -> pa.Table:
-        recording, segment, chunk = key
-        n = rows["n"][0].as_py()
-        frames = 1 + n // hop
-        first, last = chunk.as_py() * framing.chunk, min(frames, (chunk.as_py() + 1) * framing.chunk)
-        lead = int(first > 0)
-        low, high = (first - lead) * hop - half, (last - 1) * hop + half
-        x = np.zeros(high - low)
-        own_low, own_high = first * hop, n if last == frames else last * hop
-        for b in rows.to_batches():
-            values, cuts = b["x"].flatten().to_numpy(zero_copy_only=False), np.diff(b["x"].offsets.to_numpy()).cumsum()
-            for at, v, gain in zip(b["at"].to_pylist(), np.split(values, cuts[:-1]), b["gain"].fill_null(0).to_pylist(), strict=True):
-                begin, end = max(at, low), min(at + len(v), high)
-                if begin < end:
-                    x[begin - low : end - low] = v[begin - at : end - at].astype(float) * gain
-        own = x[own_low - low : own_high - low]
-        view = np.lib.stride_tricks.sliding_window_view(x, frame)[::hop]
-        hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(frame) / frame)
+    key, keys = blocks.schema["recording_id"].dataType.simpleString(), ("recording_id", "seg_idx", "chunk")
+
+    def told(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        heads = table.select([*keys, "n"]).take(pa.array(starts[:-1])).combine_chunks()
+        n, chunk = (heads[c].to_numpy() for c in ("n", "chunk"))
+        frames, first = 1 + n // hop, chunk * framing.chunk
+        last, lead = np.minimum(frames, first + framing.chunk), (first > 0).astype(np.int64)
+        low, many = (first - lead) * hop - half, last - first + lead
+        length = (many - 1) * hop + frame
+        begin, upto = np.cumsum(length) - length, np.cumsum(many)
+        values, sizes = lists_of(table["x"])
+        of, gain = np.repeat(np.arange(len(n)), np.diff(starts)), table["gain"].fill_null(0).to_numpy()
+        place = np.repeat((begin - low)[of] + table["at"].to_numpy() - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(values))
+        inside = (place >= np.repeat(begin[of], sizes)) & (place < np.repeat((begin + length)[of], sizes))
+        x = np.zeros(length.sum())
+        x[place[inside]] = (values.astype(float) * np.repeat(gain, sizes))[inside]
+        view = np.lib.stride_tricks.sliding_window_view(x, frame)[np.repeat(begin - (upto - many) * hop, many) + np.arange(many.sum()) * hop]
         magnitude = np.abs(np.fft.rfft(view * hann))
         mel = 10 * np.log10(np.maximum(LEAST_POWER, (magnitude * magnitude) @ filters.T))
-        mine, total = magnitude[lead:], magnitude[lead:].sum(axis=1)
-        center = np.divide(mine @ bins, total, out=np.zeros(len(total)), where=total > 0)
-        rms = np.sqrt((view[lead:] * view[lead:]).sum(axis=1) / frame)
-        row = {
-            "recording_id": recording, "seg_idx": segment, "chunk": chunk, "first": first, "n": n, "energy": float((own * own).sum()),
-            "peak": float(np.abs(own).max()) if len(own) else 0.0, "rms": rms, "centroid": float(center.sum()), "pitch": pitches(mine, framing), "top": float(mel[lead:].max()),
-            "rise": rises(mel, mel.max() - FLOOR_DB) if last - first == frames else [], "mel": [] if last - first == frames else mel.ravel(),
-        }
-        return pa.Table.from_arrays([pa.array([row[f.name].as_py() if isinstance(row[f.name], pa.Scalar) else row[f.name]], f.type) for f in kinds], schema=kinds)
-
-    filters, bins = mel_filters(framing), np.fft.rfftfreq(frame, 1 / framing.rate)
+        total = magnitude.sum(axis=1)
+        center = np.divide(magnitude @ bins, total, out=np.zeros(len(total)), where=total > 0)
+        rms, tone = np.sqrt((view * view).sum(axis=1) / frame), pitches(magnitude, framing)
+        out: dict[str, list] = {c: [] for c in ("energy", "peak", "rms", "centroid", "pitch", "top", "rise", "mel")}
+        for g in range(len(n)):
+            every, mine = slice(upto[g] - many[g], upto[g]), slice(upto[g] - many[g] + lead[g], upto[g])
+            own = x[begin[g] + first[g] * hop - low[g] : begin[g] + (n[g] if last[g] == frames[g] else last[g] * hop) - low[g]]
+            whole, spectra = last[g] - first[g] == frames[g], mel[every]
+            row = {
+                "energy": float((own * own).sum()), "peak": float(np.abs(own).max()) if len(own) else 0.0, "rms": rms[mine], "centroid": float(center[mine].sum()), "pitch": tone[mine],
+                "top": float(mel[mine].max()), "rise": rises(spectra, spectra.max() - FLOOR_DB) if whole else NONE, "mel": NONE if whole else spectra.ravel(),
+            }
+            for c, v in row.items():
+                out[c].append(v)
+        ready = {c: heads[c].combine_chunks() for c in (*keys, "n")} | {"first": pa.array(first)}
+        return pa.RecordBatch.from_arrays([ready[f.name].cast(f.type) if f.name in ready else pa.array(out[f.name], f.type) for f in kinds], schema=kinds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in whole_groups(batches, keys):
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(table["x"]), 0).to_numpy().astype(np.int64))[starts[1:] - 1] * framing.frame_hops
+            at = 0
+            while at < len(ends):
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + VALUES, "right")))
+                yield told(table.slice(starts[at], starts[to] - starts[at]), starts[at : to + 1] - starts[at])
+                at = to
+
+    filters, bins, hann = mel_filters(framing), np.fft.rfftfreq(frame, 1 / framing.rate), 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(frame) / frame)
     kinds = arrow_schema(blocks, CHUNKS.format(key=key))
-    return pieces(spans, blocks, framing).groupBy("recording_id", "seg_idx", "chunk").applyInArrow(run, CHUNKS.format(key=key))
+    return pieces(spans, blocks, framing).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, CHUNKS.format(key=key))
 
 
 def arrow_schema(table: DataFrame, ddl: str) -> pa.Schema:
@@ -199,33 +247,45 @@ def arrow_schema(table: DataFrame, ddl: str) -> pa.Schema:
 
 def measured(spans: DataFrame, blocks: DataFrame, framing: Framing = SPEECH) -> DataFrame:
     """All measures of each span with samples, one row for each. Chunks of a span are read one after another, never all mel spectra at once."""
-    key = blocks.schema["recording_id"].dataType.simpleString()
-    rows = chunks(spans, blocks, framing).withColumn("top", F.max("top").over(Window.partitionBy("recording_id", "seg_idx")))
+    key, keys = blocks.schema["recording_id"].dataType.simpleString(), ("recording_id", "seg_idx")
+    rows = chunks(spans, blocks, framing).repartition(*keys).withColumn("top", F.max("top").over(Window.partitionBy(*keys))).sortWithinPartitions(*keys, "chunk")
 
-    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, n, energy, peak, centroid = {}, 0, 0.0, 0.0, 0.0
-        for b in batches:
-            for k in range(b.num_rows):
-                one = {c: b[c][k] for c in b.schema.names}
-                first, n = one["first"].as_py(), one["n"].as_py()
-                mel = one["mel"].values.to_numpy().reshape(-1, framing.mels)  # empty where a chunk is the whole span
-                rise = rises(mel, one["top"].as_py() - FLOOR_DB) if len(mel) else one["rise"].values.to_numpy()
-                parts[first] = one["rms"].values.to_numpy(), one["pitch"].values.to_numpy(), rise if first else np.append(0.0, rise)
-                energy, centroid = energy + one["energy"].as_py(), centroid + one["centroid"].as_py()
-                peak = max(peak, one["peak"].as_py()) if one["peak"].as_py() == one["peak"].as_py() else float("nan")
-        rms, tone, rise = (np.concatenate([parts[k][i] for k in sorted(parts)]) for i in range(3))
+    def told(key: tuple, parts: list[tuple], n: int) -> dict:
+        energy, peak, centroid, rms, tone, rise = zip(*parts, strict=True)
+        rms, tone, rise = map(np.concatenate, (rms, tone, rise))
         late = min(framing.frame_hops // 2, len(rise))
         envelope = np.concatenate((np.zeros(late), rise[: len(rise) - late]))
         voice = tone[(tone > PITCH_LOW) & (tone < PITCH_HIGH)]
-        row = {
-            "recording_id": key[0].as_py(), "seg_idx": key[1].as_py(), "n_samples": n, "n_frames": len(rms), "rms": float(np.sqrt(energy / n)), "amplitude_max": peak,
-            "spectral_centroid": centroid / len(rms), "pitch_hz": float(np.median(voice)) if len(voice) else DEFAULT_PITCH, "n_voiced": len(voice),
+        return {
+            "recording_id": key[0], "seg_idx": key[1], "n_samples": n, "n_frames": len(rms), "rms": float(np.sqrt(sum(energy) / n)), "amplitude_max": float(np.max(peak)),
+            "spectral_centroid": sum(centroid) / len(rms), "pitch_hz": float(np.median(voice)) if len(voice) else DEFAULT_PITCH, "n_voiced": len(voice),
             "silence_ratio": silence_ratio_of(rms), "volume_peaks": points_of(rms), "envelope": envelope, "onsets": peaks(envelope),
         }
-        yield pa.RecordBatch.from_arrays([pa.array([row[f.name]], f.type) for f in kinds], schema=kinds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, n, parts = None, 0, []
+        for b in batches:
+            out = []
+            lists = {c: (flat, np.concatenate(([0], np.cumsum(sizes)))) for c in ("rms", "pitch", "rise", "mel") for flat, sizes in [lists_of(b[c])]}
+            plain = [b[c].to_pylist() for c in (*keys, "n", "first", "top", "energy", "peak", "centroid")]
+            for k, (recording, segment, size, first, top, energy, peak, centroid) in enumerate(zip(*plain, strict=True)):
+                if (recording, segment) != now:
+                    if parts:
+                        out.append(told(now, parts, n))
+                    now, n, parts = (recording, segment), size, []
+                rms, tone, rise, mel = (flat[at[k] : at[k + 1]] for flat, at in lists.values())
+                rise = rises(mel.reshape(-1, framing.mels), top - FLOOR_DB) if len(mel) else rise  # no spectra where a chunk is the whole span
+                parts.append((energy, peak, centroid, rms.copy(), tone.copy(), rise.copy() if first else np.append(0.0, rise)))
+            if out:
+                yield measures(out)
+        if parts:
+            yield measures([told(now, parts, n)])
+
+    def measures(rows: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in rows], f.type) for f in kinds], schema=kinds)
 
     kinds = arrow_schema(blocks, MEASURES.format(key=key))
-    return rows.groupBy("recording_id", "seg_idx").applyInArrow(run, MEASURES.format(key=key))
+    return rows.mapInArrow(run, MEASURES.format(key=key))
 
 
 def spectral_centroid(blocks: DataFrame, framing: Framing = SPEECH) -> DataFrame:
