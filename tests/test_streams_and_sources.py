@@ -85,3 +85,19 @@ def test_json_in_and_out(spark, tmp_path, sf_dir):
     json_files.write_documents(docs, str(tmp_path / "out"), names)
     back = spark.read.json(str(tmp_path / "out"))
     assert back.count() == docs.count() and "word_segments" in back.columns
+
+
+def test_wav_bytes_of_blocks():
+    """16 bits, 24 bits with an empty low byte, and 16 bits beside an empty channel, by the recording's number as SQL takes its remainder."""
+    import pyarrow as pa
+
+    from voxtable.plans.queries import wav_bytes, weighed
+
+    x = [0.0, 0.5, -0.25, -1 / 32768, 0.999]
+    want = [int(np.floor(v * 32768)).to_bytes(2, "little", signed=True) for v in x]
+    b = pa.RecordBatch.from_pydict({"recording_id": [3, 1, 5, -1], "block_idx": [0, 1, 2, 3], "x_raw": [x] * 4})
+    (out,) = wav_bytes(iter([b]))
+    assert out["data"].to_pylist() == [b"".join(want), b"".join(b"\0" + w for w in want), b"".join(w + b"\0\0" for w in want), b"".join(want)]
+    b = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([0, 0, None]), pa.array([[0.5, 0.25], [], None], pa.list_(pa.float32())), pa.array([512] * 3)], ["recording_id", "block_idx", "x", "sample_rate"])
+    (out,) = weighed(iter([b]))
+    assert [out[c].to_pylist() for c in ("n", "first", "last", "weighted")] == [[2, 0, None], [0.5, None, None], [0.25, None, None], [1.0, 0.0, None]]
