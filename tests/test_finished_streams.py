@@ -141,3 +141,36 @@ def test_progress_of_the_stream_by_minutes(spark, tmp_path):
     got = sinks.rows_of(spark, str(tmp_path / "out"), stream.schema).where(F.col("minute") < F.lit(NOON + datetime.timedelta(days=1)))
     want = jobs.minute_error_rate(spark.createDataFrame(rows, EVENTS))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_a_key_has_one_timer_for_its_earliest_ending():
+    """Each held ending had a timer of its own, and each timer read the whole list again."""
+    from types import SimpleNamespace
+
+    from pyspark.sql.types import BooleanType, LongType, StructField, StructType
+
+    from voxtable.streaming import endings
+
+    class Value:
+        kept = None
+        get = lambda self: self.kept
+        clear = lambda self: setattr(self, "kept", None)
+        update = lambda self, v: setattr(self, "kept", v)
+
+    class Held(list):
+        get, appendList = list.copy, list.extend
+        put = lambda self, rows: self.__setitem__(slice(None), rows)
+
+    timers = []
+    schema = StructType([StructField("event_id", LongType()), StructField(endings.TIME, LongType()), StructField("acked", BooleanType())])
+    one = endings.FirstAcknowledged(schema)
+    one.handle = SimpleNamespace(registerTimer=timers.append, getListState=lambda *_: Held(), getValueState=lambda *_: Value())
+    one.init(one.handle)
+    at = lambda millis: SimpleNamespace(getCurrentWatermarkInMs=lambda: millis)
+    for ids in ((5, 6, 7, 8), (4, 9), (10, 11)):
+        assert not list(one.handleInputRows(("j", "failed"), iter([(i, i * 1000, i == 9) for i in ids]), at(0)))
+    assert timers == [5, 4]
+    assert [r.event_id for r in one.handleExpiredTimer(("j", "failed"), at(6), None)] == [4, 5, 6]
+    assert timers == [5, 4, 7]
+    assert [r.event_id for r in one.handleExpiredTimer(("j", "failed"), at(20), None)] == [7, 8, 9]
+    assert timers == [5, 4, 7] and not one.held

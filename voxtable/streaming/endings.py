@@ -23,7 +23,7 @@ TIME = "_micros"
 
 
 class FirstAcknowledged(StatefulProcessor):
-    """Held endings of one job and status in a list, a timer at each time, and when the last acknowledged ending was.
+    """Held endings of one job and status in a list, one timer for the earliest, and when the last acknowledged ending was.
 
     With forget (milliseconds) an acknowledged ending rules out those of so long after it, and then goes; without, all later ones.
     """
@@ -36,25 +36,33 @@ class FirstAcknowledged(StatefulProcessor):
         self.handle = handle
         self.held = handle.getListState("held", self.schema)
         self.done = handle.getValueState("done", StructType([StructField("micros", LongType())]))
+        self.next = handle.getValueState("next", StructType([StructField("millis", LongType())]))
 
     def until(self) -> float:
         """Until when endings are ruled out."""
-        if not self.done.exists():
+        done = self.done.get()
+        if done is None:
             return -math.inf
-        return math.inf if self.forget is None else self.done.get()[0] + 1000 * self.forget
+        return math.inf if self.forget is None else done[0] + 1000 * self.forget
+
+    def wake(self, rows: list[tuple]) -> None:
+        """A timer at the earliest of held rows, where there is none before it. The others need none: they are looked at when it is due."""
+        millis, known = min(-(-r[self.at] // 1000) for r in rows), self.next.get()
+        if known is None or millis < known[0]:
+            self.handle.registerTimer(millis)
+            self.next.update((millis,))
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
         until = self.until()
         fresh = [r for r in map(tuple, rows) if r[self.at] > until]
         if fresh:
             self.held.appendList(fresh)
-        for millis in {-(-r[self.at] // 1000) for r in fresh}:
-            self.handle.registerTimer(millis)
+            self.wake(fresh)
         return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
         until, till = self.until(), timerValues.getCurrentWatermarkInMs() * 1000
-        rows = [tuple(r) for r in self.held.get()] if self.held.exists() else []
+        rows = [tuple(r) for r in self.held.get()]
         passed = sorted((r for r in rows if r[self.at] <= till), key=lambda r: (r[self.at], r[self.number] is not None, r[self.number]))
         for r in passed:
             if r[self.at] <= until:
@@ -66,8 +74,11 @@ class FirstAcknowledged(StatefulProcessor):
                 if self.forget is not None:
                     self.handle.registerTimer(until // 1000 + 1)
         left = [r for r in rows if r[self.at] > max(till, until)]
+        self.next.clear()
         if left:
-            self.held.put(left)
+            if len(left) < len(rows):
+                self.held.put(left)
+            self.wake(left)
         elif rows:
             self.held.clear()
         if until <= till and not left:
