@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxtable.llm.common import STEP, WordHashes, attach, by_value, mixed, possible, stage, trimmed, utf8
+from voxtable.llm.common import STEP, WordHashes, attach, by_value, mixed, possible, stage, staged_alone, trimmed, utf8
 from voxtable.llm.components import components
 
 SHINGLE = 5
@@ -120,6 +120,7 @@ def full_sets(nodes: DataFrame, documents: DataFrame) -> DataFrame:
                 part = b.slice(at, 500)
                 yield pa.RecordBatch.from_arrays([part["node"], pa.array([shingler.shingles(t).tobytes() for t in utf8(part["text"])], pa.binary())], ["node", "shingles"])
 
+    nodes = stage(nodes, "minhash-wanted")
     texts = possible(keyed(documents).select("key", F.col("doc_id").alias("id"), "text"), nodes, "key").where("_may")
     found = texts.join(nodes.hint("merge"), "key").where(F.col("id").eqNullSafe(F.col("doc_id"))).dropDuplicates(["key", "node"])
     return found.select("node", "text").mapInArrow(trimmed(run), "node long, shingles binary")
@@ -225,12 +226,9 @@ def across(members: DataFrame, near: DataFrame, labels: DataFrame, signatures: D
     return meet.groupBy("bucket", "one", "two").applyInArrow(run, "u long, v long").distinct()
 
 
-def judged(documents: DataFrame) -> DataFrame:
-    """doc_id, key, n_shingles, label and best of each row of documents (doc_id, text).
-
-    label names the component and best is the (without id, doc_id, key) of its first row, by doc_id, then key; both are null without words.
-    """
-    rows = stage(sketch(documents).withColumn("row", F.monotonically_increasing_id()), "minhash-rows")
+@staged_alone("minhash-final")
+def judged_classes(rows: DataFrame, documents: DataFrame) -> DataFrame:
+    """set_key, n, label and best of each class of rows, which are sketches of documents."""
     some = rows.where("set_key is not null")
     first = F.min(F.struct("row", "doc_id", "key")).alias("first")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "key")).alias("best")
@@ -263,8 +261,16 @@ def judged(documents: DataFrame) -> DataFrame:
     lowest = stage(named.groupBy("label").agg(F.min("best").alias("lowest"), F.count("*").alias("n")), "minhash-lowest")
     told = attach(named.select("node", "label"), lowest, "label", "n").select("node", "label", "lowest")
     final = classes.join(told.hint("merge"), "node", "left")
-    final = final.select("set_key", "n", F.coalesce("label", "node").alias("label"), F.coalesce("lowest", "best").alias("best"))
-    out = attach(some.select("doc_id", "key", "n_shingles", "set_key"), stage(final, "minhash-final"), "set_key", "n").drop("set_key")
+    return final.select("set_key", "n", F.coalesce("label", "node").alias("label"), F.coalesce("lowest", "best").alias("best"))
+
+
+def judged(documents: DataFrame) -> DataFrame:
+    """doc_id, key, n_shingles, label and best of each row of documents (doc_id, text).
+
+    label names the component and best is the (without id, doc_id, key) of its first row, by doc_id, then key; both are null without words.
+    """
+    rows = stage(sketch(documents).withColumn("row", F.monotonically_increasing_id()), "minhash-rows")
+    out = attach(rows.where("set_key is not null").select("doc_id", "key", "n_shingles", "set_key"), judged_classes(rows, documents), "set_key", "n").drop("set_key")
     return out.unionByName(rows.where("set_key is null").select("doc_id", "key", "n_shingles"), allowMissingColumns=True)
 
 
@@ -274,14 +280,20 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+@staged_alone("minhash-touched")
+def touched_rows(documents: DataFrame) -> DataFrame:
+    """key, id, stays and n of the documents that have near-duplicates or are repeated."""
+    told = judged(documents).where("label is not null").withColumn("stays", (F.col("key") == F.col("best.key")) & F.col("doc_id").eqNullSafe(F.col("best.doc_id")))
+    return told.groupBy("key", F.col("doc_id").alias("id")).agg(F.max("stays").alias("stays"), F.count("*").alias("n")).where("not stays or n > 1")
+
+
 def one_of_each(documents: DataFrame) -> DataFrame:
     """The documents without near-duplicates: the first row of each component (by doc_id, null last, then text) stays, once, with all its columns.
 
     Rows are told apart by id and text, so rows that share an id but not a text are judged each for itself; of wholly repeated ones any stays.
     Rows without words all stay. Only rows that may have to go are shuffled.
     """
-    told = judged(documents).where("label is not null").withColumn("stays", (F.col("key") == F.col("best.key")) & F.col("doc_id").eqNullSafe(F.col("best.doc_id")))
-    touched = stage(told.groupBy("key", F.col("doc_id").alias("id")).agg(F.max("stays").alias("stays"), F.count("*").alias("n")).where("not stays or n > 1"), "minhash-touched")
+    touched = touched_rows(documents)
     rows = documents.select(F.struct("*").alias("row"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("key"), F.col("doc_id").cast("long").alias("own"))
     marked = possible(rows, touched.select("key"), "key")
     near = marked.where("_may").join(touched.withColumnRenamed("key", "_key").hint("merge"), (F.col("key") == F.col("_key")) & F.col("own").eqNullSafe(F.col("id")), "left")

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxtable.llm.common import by_value, new_path, stage, trimmed
+from voxtable.llm.common import by_value, new_path, stage, trim, trimmed
 
 END_ID = 0
 #: Bytes that the pieces a task remembers may take, about; the older half goes when they are more.
@@ -212,6 +212,7 @@ def write_files(documents: DataFrame, tokenizer: str, folder: str) -> DataFrame:
         })
 
     kind = kind_of(tokenizer)
+    trim()  # of what the vocabulary took
     ordered = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("tie"))
     size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ordered = ordered.repartitionByRange(max(size // TASK_BYTES, min(LEAST_TASKS, size >> 20), 1), "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
