@@ -17,7 +17,6 @@ import json
 import os
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,10 +30,10 @@ from pyspark.sql import functions as F
 from voxtable.llm.common import by_value, new_path, stage, trim, trimmed
 
 END_ID = 0
-#: Bytes that the pieces a task remembers may take, about; the older half goes when they are more.
-CACHE_BYTES = 32 << 20
-#: What an entry takes besides its characters and ids, about.
-ENTRY_BYTES = 200
+#: Bytes that the pieces a task remembers may take with their ids; when they are more, only those of the last slice stay.
+CACHE_BYTES = 16 << 20
+#: Pieces that the library gets at once, as one text.
+JOINED = 1 << 14
 #: Bytes of text that are encoded at once, about; a longer text goes alone.
 SLICE_BYTES = 3 << 20
 #: Bytes of text that a task encodes, about.
@@ -49,8 +48,8 @@ ODD = r"^\s|\s\s|\s$|[\t\v\f\r\x00\x01\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200b}
 #: A comma or full stop before white space and behind something that is no letter or digit.
 ODD_MARK = r"(^|[^\pL\pN])[,.](\s|$)"
 LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-#: One token of the pre-tokenizer for certain: letters of Latin scripts, or digits, perhaps behind a space.
-SIMPLE = re.compile(r" ?(?:[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+|[0-9]+)")
+#: A piece without white space but for a space before it: behind a line end it is split just as by itself.
+JOINABLE = r"^ ?[^\s\x00-\x1f\x85\xa0\x{1680}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{180e}\x{feff}]+$"
 
 
 def byte_letters() -> dict[int, int]:
@@ -81,8 +80,8 @@ class Encoder:
     """Encodes with the tokenizers library, which sees each distinct piece of text once in a while.
 
     A byte-level pre-tokenizer always starts a token at a single space between two other characters, and around a single line
-    end, so a text may be cut there and the pieces' ids joined. Arrow cuts the texts of a slice, finds the distinct pieces
-    and lays their ids out; Python only looks up each distinct one. Texts in which a cut is not certain are encoded whole,
+    end, so a text may be cut there and the pieces' ids joined. Arrow cuts the texts of a slice, finds the distinct pieces,
+    looks them up among the known ones and lays their ids out. New pieces go to the library many at a time, as lines of one text. Texts in which a cut is not certain are encoded whole,
     and so are all texts where the tokenizer is not a plain byte-level one.
     """
 
@@ -92,50 +91,59 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        self.code = "H" if self.dtype.itemsize == 2 else "I"
-        self.new = self.given()
-        self.old: dict[str, bytes] = {}
-        self.bytes = 0
+        self.kind = pa.from_numpy_dtype(self.dtype)
+        self.signs, self.sign_ids = pa.array(["", "\1"]), pa.array([[], [END_ID]], pa.list_(self.kind))  # no text, and the sign for the end id
+        self.known, self.ids = self.signs, self.sign_ids
+        line = self.library.encode("\n", add_special_tokens=False).ids
+        self.line = line[0] if len(line) == 1 else None
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.by_piece, self.by_model = kind_of(path) if kind is None else kind
 
-    def learn(self, pieces: list[str]) -> list[bytes]:
-        """The ids of each of distinct pieces, as bytes."""
-        data = list(map(self.new.get, pieces))
-        missing = [i for i, x in enumerate(data) if x is None]
-        whole, took = [], 0
-        for i in missing:
-            p = pieces[i]
-            if (x := self.old.get(p)) is None:
-                if not (self.by_model and SIMPLE.fullmatch(p)):
-                    whole.append(i)
-                    continue
-                spelt = p.replace(" ", "\u0120") if p.isascii() else p.encode().decode("latin-1").translate(LETTERS)
-                x = array(self.code, [t.id for t in self.library.model.tokenize(spelt)]).tobytes()
-            data[i] = self.new[p] = x
-            took += len(p) + len(x)
-        for i, e in zip(whole, self.library.encode_batch_fast([pieces[i] for i in whole], add_special_tokens=False), strict=True):
-            data[i] = self.new[pieces[i]] = array(self.code, e.ids).tobytes()
-            took += len(pieces[i]) + len(data[i])
-        self.bytes += took + ENTRY_BYTES * len(missing)
-        if self.bytes > CACHE_BYTES // 2:
-            self.old, self.new, self.bytes = self.new, self.given(), 0
-        return data
-
-    def given(self) -> dict[str, bytes]:
-        """What is known from the start: no text, and the sign for the end id."""
-        return {"": b"", "\1": array(self.code, [END_ID]).tobytes()}
-
-    def laid_out(self, cut: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, of which \0 ends each piece and \1 stands for the end id, and where each text's ids stop."""
-        parts = pc.split_pattern(cut, "\0")
+    def learn(self, pieces: pa.Array) -> pa.Array:
+        """The ids of each of distinct pieces, as lists."""
+        at = pc.index_in(pieces, value_set=self.known)
+        new = pieces.filter(at.is_null())
+        self.known, self.ids = pa.concat_arrays([self.known, new]), pa.concat_arrays([self.ids, self.listed(new)])
+        at = at.fill_null(-1).to_numpy().copy()
+        at[at < 0] = np.arange(len(self.known) - len(new), len(self.known))
+        found = self.ids.take(pa.array(at))
+        if self.known.nbytes + self.ids.nbytes > CACHE_BYTES:
+            other = pc.invert(pc.is_in(pieces, value_set=self.signs))
+            self.known, self.ids = pa.concat_arrays([self.signs, pieces.filter(other)]), pa.concat_arrays([self.sign_ids, found.filter(other)])
+        return found
+
+    def listed(self, pieces: pa.Array) -> pa.Array:
+        """The same by the library, pieces that may be lines of one text first and the others by themselves."""
+        able = pc.match_substring_regex(pieces, JOINABLE).to_numpy(zero_copy_only=False)
+        if not self.by_model or self.line is None:
+            able[:] = False
+        data, sizes = [np.zeros(0, self.dtype)], [np.zeros(1, np.int64)]
+        joined, order = pieces.filter(pa.array(able)), np.argsort(~able, kind="stable")
+        for k in range(0, len(joined), JOINED):
+            few = joined.slice(k, JOINED).to_pylist()
+            ids = np.array(self.library.encode_batch_fast(["\n".join(["", *few])], add_special_tokens=False)[0].ids, self.dtype)
+            marks = np.flatnonzero(ids == self.line)
+            if len(marks) == len(few):
+                data.append(np.delete(ids, marks))
+                sizes.append(np.diff(marks, append=len(ids)) - 1)
+            else:
+                self.alone(few, data, sizes)
+        self.alone(pieces.filter(pa.array(~able)).to_pylist(), data, sizes)
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(sizes)).astype(np.int32)), pa.array(np.concatenate(data)))
+        return lists.take(pa.array(np.argsort(order, kind="stable")))
+
+    def alone(self, pieces: list[str], data: list[np.ndarray], sizes: list[np.ndarray]) -> None:
+        """Adds the ids of each piece to data and their number to sizes."""
+        ids = [e.ids for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
+        data += [np.array(x, self.dtype) for x in ids]
+        sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+
+    def laid_out(self, parts: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each given as its pieces, of which \1 stands for the end id, and where each text's ids stop."""
         told = parts.flatten().dictionary_encode()
-        data = self.learn(told.dictionary.to_pylist())
-        offsets = np.concatenate(([0], np.cumsum(np.fromiter(map(len, data), np.int64, len(data))))) // self.dtype.itemsize
-        offsets = offsets.astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(data), self.dtype)))
-        count = np.concatenate(([0], np.cumsum(np.diff(offsets)[told.indices.to_numpy()], dtype=np.int64)))
-        return lists.take(told.indices).flatten().to_numpy(), count[parts.offsets.to_numpy()[1:] - parts.offsets[0].as_py()]
+        lists = self.learn(told.dictionary).take(told.indices)
+        stops = lists.offsets.to_numpy()
+        return lists.flatten().to_numpy(), stops[parts.offsets.to_numpy() - parts.offsets[0].as_py()][1:].astype(np.int64)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, the end id behind each, and where each text's ids stop."""
@@ -148,23 +156,18 @@ class Encoder:
         marked = pc.replace_substring(pc.replace_substring(cut, ",\0", "\0,\0"), ".\0", "\0.\0")  # a mark between a letter or digit and a space is a token
         cut = pc.if_else(pc.match_substring_regex(texts, ODD_MARK), cut, marked)
         if not whole.any():
-            return self.laid_out(cut)
+            return self.laid_out(pc.split_pattern(cut, "\0"))
         told: list[np.ndarray] = [np.zeros(0, self.dtype)] * len(texts)
-        if not whole.all():
-            ids, stops = self.laid_out(cut.filter(pa.array(~whole)))
-            for i, x in zip(np.flatnonzero(~whole), np.split(ids, stops[:-1]), strict=True):
-                told[i] = x
-        end = array(self.code, [END_ID]).tobytes()
-        for i in np.flatnonzero(whole):
-            text = texts[int(i)].as_py()
-            if self.by_piece and not any(s in text for s in (*self.special, "\1")):
-                first, *rest = LONE_SPACE.split(text)
-                pieces = [first, *(" " + r for r in rest)]
-                distinct = list(dict.fromkeys(pieces))
-                known = dict(zip(distinct, self.learn(distinct), strict=True))
-                told[i] = np.frombuffer(b"".join(map(known.__getitem__, pieces)) + end, self.dtype)
-            else:
-                told[i] = np.array([*self.library.encode(text, add_special_tokens=False).ids, END_ID], self.dtype)
+        given = {int(i): texts[int(i)].as_py() for i in np.flatnonzero(whole)}
+        odd = [i for i, t in given.items() if self.by_piece and not any(s in t for s in (*self.special, "\1"))]
+        spaced = pa.array([[*LONE_SPACE.sub("\1 ", given[i]).split("\1"), "\1"] for i in odd], pa.list_(pa.string()))
+        for at, parts in ((np.flatnonzero(~whole), pc.split_pattern(cut.filter(pa.array(~whole)), "\0")), (odd, spaced)):
+            if len(at):
+                ids, stops = self.laid_out(parts)
+                for i, x in zip(at, np.split(ids, stops[:-1]), strict=True):
+                    told[i] = x
+        for i in given.keys() - set(odd):
+            told[i] = np.array([*self.library.encode(given[i], add_special_tokens=False).ids, END_ID], self.dtype)
         return np.concatenate(told), np.cumsum(list(map(len, told)), dtype=np.int64)
 
 
