@@ -1,4 +1,4 @@
-"""Token files: the library gets new pieces many at a time, and what is remembered turns over without changing an id."""
+"""Token files: the library gets new pieces many at a time, and what is remembered turns over without changing an id. Toxicity: the fit leaves out words that have no weight."""
 
 import random
 
@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from voxtable.llm import queries, token_files
+from voxtable.llm import queries, token_files, toxicity
 
 
 class Counted:
@@ -48,3 +48,23 @@ def test_ids_whatever_is_remembered(monkeypatch, most, joined):
         part = ["".join(r.choice(signs) if r.random() < 0.3 else r.choice("aeint ") for _ in range(r.randrange(60))) for _ in range(40)]
         ids, stops = encoder.encode(pa.array(part))
         assert [x.tolist() for x in np.split(ids, stops[:-1])] == [[*e.ids, 0] for e in library.encode_batch(part, add_special_tokens=False)]
+
+
+def test_fit_without_words_that_have_no_weight(spark, monkeypatch):
+    """Few of the words are in the fit, and its scores are those of a fit with all of them."""
+    r, rows = random.Random(5), []
+    spelt = lambda n: "".join("abcdefghij"[int(x)] for x in str(n))
+    for _ in range(600):
+        words = [f"common{spelt(r.randrange(40))}" for _ in range(8)] + [f"rare{spelt(r.randrange(900))}" for _ in range(8)]
+        toxic = r.random() < 0.3
+        words += [r.choice(("idiot", "scum", "trash"))] * (toxic or r.random() < 0.05)
+        rows.append((" ".join(words), float(toxic), 1.0))
+    train = spark.createDataFrame(rows, "text string, label double, weight double")
+    monkeypatch.setattr(toxicity, "PENALTY", 2e-3)
+    few = toxicity.fit(train)
+    monkeypatch.setattr(toxicity, "NEAR", 0.0)
+    every = toxicity.fit(train)
+    assert len(every.vocabulary.vocabulary) > 800 > 3 * len(few.vocabulary.vocabulary)
+    told = [[x.s for x in m.score(train, "text", "s").select("text", "s").orderBy("text").collect()] for m in (few, every)]
+    assert np.abs(np.subtract(*told)).max() < 0.02
+    assert few.weights()["idiot"] > 0

@@ -9,6 +9,10 @@ features are -1 for the old and +1 for the new name, once with either label: the
 a constant. They share a word that no text has, whose weight undoes the intercept for them. Names of groups thus get equal
 weights, and a neutral mention does not read as an insult.
 
+Most words have weight zero at the optimum. The fit takes names and those words that the labels pull from zero by half the penalty or
+more. Then the pull on all other words is summed; while one is over the penalty, such words are added and the fit is made again.
+So the model is that of all words, but the vectors that each round makes on the driver have only the words that matter.
+
 A null or empty text scores by the intercept. Labels that are null are left out; a document with several labels counts once for
 each. Where the labels have only one class the score is their mean, and 0 where there is none. Texts of any length are scored whole,
 repeated documents alike, and an empty table gives no rows. Other columns stay as they are, whatever their names.
@@ -40,6 +44,8 @@ FIT_TASKS = 4
 SWAP_WEIGHT, SWAP_PRIOR = 1.0, 1.0
 #: Weight of a text with a name put in against that of the text itself.
 NAMED_WEIGHT = 0.5
+#: Part of the penalty from which on a pull brings a word into the fit.
+NEAR = 0.5
 THRESHOLD = 0.5
 #: Names of groups in English, German, French and Spanish, by kind; names are swapped within a kind.
 IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
@@ -96,17 +102,24 @@ def with_names(tokens: DataFrame, kinds: Sequence[Sequence[str]]) -> DataFrame:
     return tokens.unionByName(put)
 
 
-def swap_rows(named: DataFrame, vocabulary: CountVectorizerModel, kinds: Sequence[Sequence[str]]) -> list[tuple]:
-    """(vector, label, weight) of the swaps of every ordered pair of names of a kind. named (label, weight, words): a swap weighs as much as the rows with its old name."""
+def swaps_of(named: DataFrame, kinds: Sequence[Sequence[str]]) -> list[tuple[str, str, float]]:
+    """(old, new, weight) of every ordered pair of names of a kind. named (label, weight, words): a swap weighs as much as the rows with its old name."""
     names = [t for kind in kinds for t in kind]
     met = named.select("weight", F.explode(F.array_intersect(WORDS, F.array(*map(F.lit, names)))).alias("w")).groupBy("w").agg(F.sum("weight").alias("n")).collect() if names else []
-    count, at = {r["w"]: r["n"] for r in met}, {w: i for i, w in enumerate(vocabulary.vocabulary)}
-    rows = []
-    for kind in kinds:
-        for old, new in permutations(kind, 2):
-            change = Vectors.sparse(len(at), {at[old]: -1.0, at[new]: 1.0, at[SWAP]: 1.0})
-            rows += [(change, label, SWAP_WEIGHT * (count.get(old, 0) + SWAP_PRIOR)) for label in (0.0, 1.0)]
-    return rows
+    count = {r["w"]: r["n"] for r in met}
+    return [(old, new, SWAP_WEIGHT * (count.get(old, 0) + SWAP_PRIOR)) for kind in kinds for old, new in permutations(kind, 2)]
+
+
+def swap_rows(swaps: Sequence[tuple[str, str, float]], vocabulary: CountVectorizerModel) -> list[tuple]:
+    """(vector, label, weight) of the swaps, each with either label."""
+    at = {w: i for i, w in enumerate(vocabulary.vocabulary)}
+    return [(Vectors.sparse(len(at), {at[old]: -1.0, at[new]: 1.0, at[SWAP]: 1.0}), label, weight) for old, new, weight in swaps for label in (0.0, 1.0)]
+
+
+def pulled(rows: DataFrame, least: float) -> dict[str, float]:
+    """How much the rows (words, label, weight, score) pull words from weight zero, where that is at least so much: the size of the loss's derivative."""
+    each = rows.select((F.col("weight") * (F.col("score") - F.col("label"))).alias("x"), F.explode(WORDS).alias("w"))
+    return {r["w"]: r["pull"] for r in each.groupBy("w").agg(F.abs(F.sum("x")).alias("pull")).where(F.col("pull") >= least).collect()}
 
 
 class Model:
@@ -136,18 +149,34 @@ def fit(train: DataFrame, kinds: Sequence[Sequence[str]] = IDENTITY_TERMS) -> Mo
         return Model(None, None, float(ends[0] or 0.0))
     tokens = stage(train.select("label", "weight", F.array_distinct(words_of("text")).alias(WORDS)), "tox-tokens")
     found = CountVectorizer(inputCol=WORDS, outputCol=VECTOR, minDF=MIN_DOCUMENTS, vocabSize=VOCABULARY, binary=True).fit(tokens).vocabulary
-    names = [t for kind in kinds for t in kind]
-    vocabulary = CountVectorizerModel.from_vocabulary([*dict.fromkeys([*found, *names]), SWAP], inputCol=WORDS, outputCol=VECTOR).setBinary(True)
-    named = with_names(tokens, kinds)
-    vectors = vocabulary.transform(named).select(VECTOR, "label", "weight")
-    if swaps := swap_rows(named, vocabulary, kinds):
+    names = list(dict.fromkeys(t for kind in kinds for t in kind))
+    named, model = with_names(tokens, kinds), None
+    swaps = swaps_of(named, kinds)
+    weight, toxic = named.agg(F.sum("weight"), F.sum(F.col("weight") * F.col("label"))).first()
+    penalty = PENALTY * (weight + sum(2 * n for *_, n in swaps))
+    scored, out, chosen = named.withColumn("score", F.lit(toxic / weight)), set(found) - set(names), set()
+    while True:
+        pull = pulled(scored, NEAR * penalty)
+        near = out & pull.keys()
+        if model and all(pull[w] <= penalty for w in near):
+            return model
+        out, chosen = out - near, chosen | near
+        vocabulary = CountVectorizerModel.from_vocabulary([*names, *(w for w in found if w in chosen), SWAP], inputCol=WORDS, outputCol=VECTOR).setBinary(True)
+        counted = vocabulary.transform(named)
+        model = Model(vocabulary, regression(counted, swap_rows(swaps, vocabulary)))
+        scored = model.regression.transform(counted).select(WORDS, "label", "weight", vector_to_array(PROBABILITY)[1].alias("score"))
+
+
+def regression(counted: DataFrame, swaps: list[tuple]) -> LogisticRegressionModel:
+    """Of rows (vector, label, weight) and those of the swaps."""
+    vectors = counted.select(VECTOR, "label", "weight")
+    if swaps:
         schema = T.StructType([T.StructField(VECTOR, VectorUDT()), T.StructField("label", T.DoubleType()), T.StructField("weight", T.DoubleType())])
-        vectors = vectors.unionByName(train.sparkSession.createDataFrame(swaps, schema))
-    regression = LogisticRegression(
+        vectors = vectors.unionByName(counted.sparkSession.createDataFrame(swaps, schema))
+    return LogisticRegression(
         featuresCol=VECTOR, labelCol="label", weightCol="weight", rawPredictionCol=RAW, probabilityCol=PROBABILITY, predictionCol=GUESS,
         standardization=False, regParam=PENALTY, elasticNetParam=1.0, maxIter=ROUNDS,
-    )
-    return Model(vocabulary, regression.fit(vectors.coalesce(FIT_TASKS)))
+    ).fit(vectors.coalesce(FIT_TASKS))
 
 
 def mention_rate(model: Model, documents: DataFrame, kinds: Sequence[Sequence[str]] = IDENTITY_TERMS) -> float:
