@@ -1,6 +1,7 @@
-"""Token files: the library gets new pieces many at a time, and what is remembered turns over without changing an id. Toxicity: the fit leaves out words that have no weight."""
+"""Token files: the library gets new pieces many at a time, and what is remembered turns over without changing an id. Toxicity: the fit leaves out words that have no weight. Packing: new words go to the library many at a time."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -8,6 +9,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
+from voxtable.llm import lexical_packing as packing
 from voxtable.llm import queries, token_files, toxicity
 
 
@@ -68,3 +70,67 @@ def test_fit_without_words_that_have_no_weight(spark, monkeypatch):
     told = [[x.s for x in m.score(train, "text", "s").select("text", "s").orderBy("text").collect()] for m in (few, every)]
     assert np.abs(np.subtract(*told)).max() < 0.02
     assert few.weights()["idiot"] > 0
+
+
+# --- packing
+
+
+class Calls:
+    """A part of the tokenizers library, and how often it was called."""
+
+    def __init__(self, part):
+        self.part, self.made = part, 0
+
+    def __getattr__(self, name):
+        found = getattr(self.part, name)
+
+        def call(*given, **named):
+            self.made += 1
+            return found(*given, **named)
+
+        return call if callable(found) else found
+
+
+def test_new_words_of_packed_texts_go_to_the_library_together():
+    encoder = packing.Encoder(public_tokenizers.path(queries.PACKED_TOKENIZER), 1)
+    parts = {k: Calls(v) for k, v in vars(encoder).items() if hasattr(v, "encode_batch") or hasattr(v, "tokenize")}
+    vars(encoder).update(parts)
+    spelt = lambda n: "".join("abcdéfghij"[int(x)] for x in str(n))
+    encoder.encode(pa.array([" ".join(f"w{spelt(n)}" if n % 5 else f"{n}-x" for n in range(20_000))]))
+    assert parts and sum(p.made for p in parts.values()) < 10
+
+
+@pytest.mark.parametrize(("most", "together"), [(0, 3), (3000, 7), (128 << 20, 1 << 14)])
+def test_ids_of_packed_texts_whatever_is_remembered(monkeypatch, most, together):
+    monkeypatch.setattr(packing, "CACHE_BYTES", most)
+    monkeypatch.setattr(packing, "TOGETHER", together)
+    library = Tokenizer.from_file(path := public_tokenizers.path(queries.PACKED_TOKENIZER))
+    encoder, r = packing.Encoder(path, 1), random.Random(6)
+    signs = "aZéÉÑßİıſΣςǅ日٣²12🙂'’.,-_<|>́ͅ \n\t\xa0​\x1c‍\1\0\x7f"
+    for _ in range(60):
+        part = ["".join(r.choice(signs) if r.random() < 0.3 else r.choice("aEintéÖ ") for _ in range(r.randrange(60))) for _ in range(40)]
+        part += ["it's We'LL <|endoftext|>", "</w> w</w>", "\1", " \1 \1", ""]
+        want = [np.array([*e.ids, 1], "<u2").tobytes() for e in library.encode_batch(part, add_special_tokens=False)]
+        assert encoder.encode(pa.array(part)).to_pylist() == want
+
+
+def test_words_whose_ends_no_token_shows():
+    """Without tokens known as last ones, the same words go through the library each by itself."""
+    encoder = packing.Encoder(public_tokenizers.path(queries.PACKED_TOKENIZER), 1)
+    part = pa.array(["some words and Ünlike ones", "", "more, of them"])
+    want = encoder.encode(part)
+    encoder.forget()
+    encoder.last[:] = False
+    assert encoder.encode(part).equals(want)
+
+
+@pytest.mark.parametrize(("dtype", "many"), [("<u2", 50), ("<u4", 50), ("<u2", 70_000)])
+def test_terms_are_counted_in_keys_of_any_width(dtype, many):
+    r = np.random.default_rng(8)
+    sizes = r.integers(1, 9, many)
+    ids = r.integers(0, 1 << 16, sizes.sum()).astype(dtype)
+    ids[::3] = 65_535
+    doc, term, n = packing.terms(ids, sizes)
+    want = Counter(zip(np.repeat(np.arange(many), sizes).tolist(), ids.tolist(), strict=True))
+    assert list(zip(doc.tolist(), term.tolist(), strict=True)) == sorted(want) and n.tolist() == [want[k] for k in sorted(want)]
+    assert [len(x) for x in packing.terms(ids[:0], sizes[:0])] == [0, 0, 0]

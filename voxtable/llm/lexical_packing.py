@@ -19,11 +19,10 @@ from __future__ import annotations
 import gc
 import json
 import os
-import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +31,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxtable.llm.common import by_value, mixed, new_path, stage, trimmed
-from voxtable.llm.token_files import LETTERS, slices
+from voxtable.llm.common import by_value, mixed, new_path, stage, trim, trimmed
+from voxtable.llm.token_files import slices
 
 WINDOW, END_ID = 2048, 1
 #: Tokens of a shard, about.
@@ -42,11 +41,15 @@ SHARD = 1 << 18
 SATURATION, LENGTH = 1.2, 0.75
 #: Bytes that the words a task remembers may take, about, and what an entry takes besides its characters and ids.
 CACHE_BYTES, ENTRY_BYTES = 128 << 20, 200
+#: New words that the library gets at once, as one text.
+TOGETHER = 1 << 14
+#: Bytes of text that are encoded at once, about; a longer text goes alone.
+SLICE_BYTES = 6 << 20
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 #: Rows of the counts that are no terms.
 DOCUMENTS, TOKENS = -1, -2
 #: One piece of the pre-tokenizer for certain: letters of Latin scripts that stay one when they are lowered.
-SIMPLE = re.compile(r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]+")
+SIMPLE = r"^[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{24f}]+$"
 #: A mark behind a letter in lower case: another piece begins.
 MARK = r"([a-z\x{e0}-\x{f6}\x{f8}-\x{ff}])([!\"#$%&()*+,./:;=?@\[\]_{}~-])"
 #: How special tokens begin, and what stands for the end id.
@@ -56,69 +59,99 @@ WORD_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+def cuts_words(tokenizer: str) -> bool:
+    """Whether the words of a text may be encoded each for itself.
+
+    The whole vocabulary is read for it, so the driver does it once and tasks are told.
+    """
+    from tokenizers import Tokenizer
+
+    told = json.loads(Tokenizer.from_file(tokenizer).to_str())
+    first, normal = (told["pre_tokenizer"] or {}).get("pretokenizers", [{}]), (told["normalizer"] or {}).get("normalizers")
+    split = {"type": "Split", "pattern": {"Regex": WORD_PATTERN}, "behavior": "Removed", "invert": True}
+    plain = told["model"]["type"] == "BPE" and not told["model"].get("dropout")
+    return plain and normal == WORD_NORMALIZER and first[0] == split and first[1].get("type") == "ByteLevel" and len(first) == 2
+
+
 class Encoder:
-    """Encodes texts; the words and marks of a slice are cut by Arrow, and each distinct one is looked up, or encoded when it is first met."""
+    """Encodes texts; the words and marks of a slice are cut by Arrow, and each distinct one is looked up, or encoded when it is first met.
+
+    A known word has a row in one array of ids. New words go to the library many at a time, and one take lays out the ids of a slice.
+    """
 
-    def __init__(self, tokenizer: str, end_id: int) -> None:
+    def __init__(self, tokenizer: str, end_id: int, by_word: bool | None = None) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.library = Tokenizer.from_file(tokenizer)
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        self.code = "H" if self.dtype.itemsize == 2 else "I"
-        told = json.loads(self.library.to_str())
-        first, normal = (told["pre_tokenizer"] or {}).get("pretokenizers", [{}]), (told["normalizer"] or {}).get("normalizers")
-        split = {"type": "Split", "pattern": {"Regex": WORD_PATTERN}, "behavior": "Removed", "invert": True}
-        plain = told["model"]["type"] == "BPE" and not told["model"].get("dropout")
-        self.by_word = plain and normal == WORD_NORMALIZER and first[0] == split and first[1].get("type") == "ByteLevel" and len(first) == 2
-        self.model, self.end = self.library.model, array(self.code, [end_id]).tobytes()
+        self.by_word, self.end_id = cuts_words(tokenizer) if by_word is None else by_word, end_id
+        # the same model for words that are one piece each, with only spaces between them
+        self.words = Tokenizer(self.library.model)
+        self.words.normalizer = normalizers.Lowercase()
+        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        suffix = getattr(self.library.model, "end_of_word_suffix", None)
+        self.last = np.array([bool(suffix) and (self.library.id_to_token(k) or "").endswith(suffix) for k in range(self.library.get_vocab_size())])
         self.forget()
 
     def forget(self) -> None:
-        self.known, self.bytes = {"": b"", END: self.end}, 0
+        self.known, self.bytes = {"": 0, END: 1}, 0
+        self.ids = pa.array([[], [self.end_id]], pa.list_(pa.from_numpy_dtype(self.dtype)))
 
     def library_ids(self, text: str) -> bytes:
-        return array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes()
+        return np.array([*self.library.encode(text, add_special_tokens=False).ids, self.end_id], self.dtype).tobytes()
 
-    def learn(self, words: list[str]) -> list[bytes]:
-        """The ids of distinct words."""
+    def learn(self, words: pa.Array) -> np.ndarray:
+        """The rows of distinct words in ids."""
         if self.bytes > CACHE_BYTES:
             self.forget()
-        out = list(map(self.known.get, words))
-        for k, ids in enumerate(out):
-            if ids is not None:
-                continue
-            word = words[k]
-            if SIMPLE.fullmatch(word):  # one piece of the pre-tokenizer, which the model may see alone
-                spelt = word if word.isascii() else word.lower().encode().decode("latin-1").translate(LETTERS)
-                ids = array(self.code, [t.id for t in self.model.tokenize(spelt)]).tobytes()
-            else:
-                ids = self.library_ids(word)
-            out[k] = self.known[word] = ids
-            self.bytes += len(word) + len(ids) + ENTRY_BYTES
-        return out
+        told = words.to_numpy(zero_copy_only=False)
+        rows = np.fromiter(map(self.known.get, told, repeat(-1)), np.int32, len(told))
+        new = np.flatnonzero(rows < 0)
+        found = words.take(pa.array(new))
+        simple = pc.ascii_is_alpha(found).to_numpy(zero_copy_only=False).copy()
+        simple[~simple] = pc.match_substring_regex(found.filter(pa.array(~simple)), SIMPLE).to_numpy(zero_copy_only=False)
+        for part, listed in ((new[simple], self.joined), (new[~simple], self.apart)):
+            for k in range(0, len(part), TOGETHER):
+                at, few = len(self.ids), told[part[k : k + TOGETHER]].tolist()
+                rows[part[k : k + TOGETHER]] = np.arange(at, at + len(few))
+                self.known.update(zip(few, range(at, at + len(few)), strict=True))
+                ids, sizes = listed(few)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(ids))
+                self.ids = pa.concat_arrays([self.ids, lists])
+                self.bytes += sum(map(len, few)) + ids.nbytes + ENTRY_BYTES * len(few)
+        return rows
+
+    def joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words that are one piece each, and how many each has: a word's last token shows its end."""
+        ids = np.array(self.words.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.dtype)
+        ends = np.flatnonzero(self.last[ids])
+        return (ids, np.diff(ends, prepend=-1)) if len(ends) == len(words) and ends[-1] == len(ids) - 1 else self.apart(words)
+
+    def apart(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of any words: each goes through the library by itself, in one call."""
+        told = self.library.encode(words, is_pretokenized=True, add_special_tokens=False)
+        return np.array(told.ids, self.dtype), np.bincount(np.array(told.word_ids, np.int64), minlength=len(words))
 
     def encode(self, texts: pa.Array) -> pa.Array:
         """The ids of each text as bytes, the end id behind them."""
         odd = pc.or_(pc.match_substring(texts, SPECIAL), pc.match_substring(texts, END))
         odd = np.flatnonzero(odd.to_numpy(zero_copy_only=False)) if self.by_word else np.arange(len(texts))
         if len(odd) == len(texts):
-            return pa.array([self.library_ids(t) + self.end for t in texts.to_pylist()], pa.binary())
+            return pa.array(map(self.library_ids, texts.to_pylist()), pa.binary())
         # white space between a letter and a mark, or around it, changes no piece
         cut = pc.replace_substring_regex(pc.ascii_lower(texts), MARK, r"\1 \2")
         parts = pc.ascii_split_whitespace(pc.binary_join_element_wise(cut, END, " "))
         told = parts.flatten().dictionary_encode()
-        data = self.learn(told.dictionary.to_pylist())
-        offsets = np.concatenate(([0], np.cumsum(np.fromiter(map(len, data), np.int64, len(data)))))
-        lists = pa.ListArray.from_arrays(pa.array((offsets // self.dtype.itemsize).astype(np.int32)), pa.array(np.frombuffer(b"".join(data), self.dtype)))
-        ids = lists.take(told.indices).flatten().to_numpy()
-        count = np.concatenate(([0], np.cumsum(np.diff(offsets)[told.indices.to_numpy()])))[parts.offsets.to_numpy() - parts.offsets[0].as_py()]
-        out = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(count.astype(np.int32).tobytes()), pa.py_buffer(ids.tobytes())])
+        rows = self.learn(told.dictionary)
+        lists = self.ids.take(pa.array(rows[told.indices.to_numpy()]))
+        stops = lists.offsets.to_numpy()[parts.offsets.to_numpy() - parts.offsets[0].as_py()] * self.dtype.itemsize
+        out = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(stops.astype(np.int32)), pa.py_buffer(lists.flatten().to_numpy())])
         if not len(odd):
             return out
         told = out.to_pylist()
         for k in odd.tolist():
-            told[k] = self.library_ids(texts[k].as_py()) + self.end
+            told[k] = self.library_ids(texts[k].as_py())
         return pa.array(told, pa.binary())
 
 
@@ -127,15 +160,17 @@ def tokens(documents: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFr
     new_path(documents.sparkSession, "packing")  # bounds what Python gets at once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer, end_id)
+        encoder = Encoder(tokenizer, end_id, by_word)
         gc.disable()  # what is remembered has no cycles, and to look for some takes a fifth of the time
         try:
             for b in batches:
-                for part in slices(b):
+                for part in slices(b, SLICE_BYTES):
                     yield pa.RecordBatch.from_arrays([part["doc_id"], encoder.encode(pc.fill_null(part["text"], ""))], ["doc_id", "ids"])
         finally:
             gc.enable()
 
+    by_word = cuts_words(tokenizer)
+    trim()  # of what the vocabulary took
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return stage(rows.mapInArrow(trimmed(run), "doc_id long, ids binary"), "packing-tokens")
 
@@ -150,9 +185,13 @@ def flat(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 def terms(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, term, frequency) of all documents, in order."""
-    pair = np.sort((np.repeat(np.arange(len(sizes)), sizes) << 32) | ids)
-    first = np.flatnonzero(np.diff(pair, prepend=-1))
-    return pair[first] >> 32, pair[first] & 0xFFFFFFFF, np.diff(first, append=len(pair))
+    bits, kind = (16, np.uint32) if ids.dtype.itemsize == 2 and len(sizes) <= 1 << 16 else (32, np.uint64)
+    pair = np.repeat(np.arange(len(sizes), dtype=kind) << kind(bits), sizes)
+    pair |= ids
+    pair.sort()
+    first = np.flatnonzero(np.concatenate((np.ones(min(len(pair), 1), bool), pair[1:] != pair[:-1])))
+    own = pair[first].astype(np.int64)
+    return own >> bits, own & (1 << bits) - 1, np.diff(first, append=len(pair))
 
 
 @dataclass(frozen=True)

@@ -171,12 +171,12 @@ class Encoder:
         return np.concatenate(told), np.cumsum(list(map(len, told)), dtype=np.int64)
 
 
-def slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """The batch in parts of about SLICE_BYTES of text."""
+def slices(b: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about so many bytes of text."""
     size = np.cumsum(pc.fill_null(pc.binary_length(b["text"]), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
     at = 0
     while at < b.num_rows:
-        stop = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE_BYTES, "right")))
+        stop = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right")))
         yield b.slice(at, stop - at)
         at = stop
 
