@@ -22,7 +22,8 @@ import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import repeat
+from itertools import chain, repeat
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxtable.llm.common import by_value, mixed, new_path, stage, trim, trimmed
-from voxtable.llm.token_files import slices
+from voxtable.llm.token_files import LETTERS, slices
 
 WINDOW, END_ID = 2048, 1
 #: Tokens of a shard, about.
@@ -41,7 +42,7 @@ SHARD = 1 << 18
 SATURATION, LENGTH = 1.2, 0.75
 #: Bytes that the words a task remembers may take, about, and what an entry takes besides its characters and ids.
 CACHE_BYTES, ENTRY_BYTES = 128 << 20, 200
-#: New words that the library gets at once, as one text.
+#: New words that the library gets at once.
 TOGETHER = 1 << 14
 #: Bytes of text that are encoded at once, about; a longer text goes alone.
 SLICE_BYTES = 6 << 20
@@ -52,8 +53,10 @@ DOCUMENTS, TOKENS = -1, -2
 SIMPLE = r"^[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{24f}]+$"
 #: A mark behind a letter in lower case: another piece begins.
 MARK = r"([a-z\x{e0}-\x{f6}\x{f8}-\x{ff}])([!\"#$%&()*+,./:;=?@\[\]_{}~-])"
-#: How special tokens begin, and what stands for the end id.
-SPECIAL, END = "<|", "\1"
+#: How the model spells bytes, with a line for each word.
+LINES = LETTERS | {ord("\n"): ord("\n")}
+#: How special tokens begin, as a pattern (which Arrow finds much faster than a substring), and what stands for the end id.
+SPECIAL, END = r"<\|", "\1"
 #: A tokenizer that drops white space, so that the words between it can be encoded each for itself.
 WORD_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -76,21 +79,18 @@ def cuts_words(tokenizer: str) -> bool:
 class Encoder:
     """Encodes texts; the words and marks of a slice are cut by Arrow, and each distinct one is looked up, or encoded when it is first met.
 
-    A known word has a row in one array of ids. New words go to the library many at a time, and one take lays out the ids of a slice.
+    A known word has a row in one array of ids. New words go to the library in lists, from which only ids are kept, and one take lays out the ids of a slice.
     """
 
     def __init__(self, tokenizer: str, end_id: int, by_word: bool | None = None) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(tokenizer)
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.by_word, self.end_id = cuts_words(tokenizer) if by_word is None else by_word, end_id
-        # the same model for words that are one piece each, with only spaces between them
-        self.words = Tokenizer(self.library.model)
-        self.words.normalizer = normalizers.Lowercase()
-        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        suffix = getattr(self.library.model, "end_of_word_suffix", None)
+        self.model = self.library.model
+        suffix = getattr(self.model, "end_of_word_suffix", None)
         self.last = np.array([bool(suffix) and (self.library.id_to_token(k) or "").endswith(suffix) for k in range(self.library.get_vocab_size())])
         self.forget()
 
@@ -109,9 +109,10 @@ class Encoder:
         rows = np.fromiter(map(self.known.get, told, repeat(-1)), np.int32, len(told))
         new = np.flatnonzero(rows < 0)
         found = words.take(pa.array(new))
-        simple = pc.ascii_is_alpha(found).to_numpy(zero_copy_only=False).copy()
-        simple[~simple] = pc.match_substring_regex(found.filter(pa.array(~simple)), SIMPLE).to_numpy(zero_copy_only=False)
-        for part, listed in ((new[simple], self.joined), (new[~simple], self.apart)):
+        plain = pc.ascii_is_alpha(found).to_numpy(zero_copy_only=False)
+        new, rest = new[plain], new[~plain]
+        simple = pc.match_substring_regex(found.filter(pa.array(~plain)), SIMPLE).to_numpy(zero_copy_only=False)
+        for part, listed in ((new, self.alone), (rest[simple], self.alone), (rest[~simple], self.apart)):
             for k in range(0, len(part), TOGETHER):
                 at, few = len(self.ids), told[part[k : k + TOGETHER]].tolist()
                 rows[part[k : k + TOGETHER]] = np.arange(at, at + len(few))
@@ -122,20 +123,23 @@ class Encoder:
                 self.bytes += sum(map(len, few)) + ids.nbytes + ENTRY_BYTES * len(few)
         return rows
 
-    def joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of words that are one piece each, and how many each has: a word's last token shows its end."""
-        ids = np.array(self.words.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.dtype)
+    def alone(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words that are one piece each, which the model may see alone, and how many each has: a word's last token shows its end."""
+        text = "\n".join(words)
+        spelt = text if text.isascii() else text.lower().encode().decode("latin-1").translate(LINES)
+        told = chain.from_iterable(map(self.model.tokenize, spelt.split("\n")))
+        ids = np.fromiter(map(attrgetter("id"), told), self.dtype)
         ends = np.flatnonzero(self.last[ids])
         return (ids, np.diff(ends, prepend=-1)) if len(ends) == len(words) and ends[-1] == len(ids) - 1 else self.apart(words)
 
     def apart(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The same of any words: each goes through the library by itself, in one call."""
+        """The same of any words, each by itself, by the whole tokenizer."""
         told = self.library.encode(words, is_pretokenized=True, add_special_tokens=False)
         return np.array(told.ids, self.dtype), np.bincount(np.array(told.word_ids, np.int64), minlength=len(words))
 
     def encode(self, texts: pa.Array) -> pa.Array:
         """The ids of each text as bytes, the end id behind them."""
-        odd = pc.or_(pc.match_substring(texts, SPECIAL), pc.match_substring(texts, END))
+        odd = pc.or_(pc.match_substring_regex(texts, SPECIAL), pc.match_substring_regex(texts, END))
         odd = np.flatnonzero(odd.to_numpy(zero_copy_only=False)) if self.by_word else np.arange(len(texts))
         if len(odd) == len(texts):
             return pa.array(map(self.library_ids, texts.to_pylist()), pa.binary())
