@@ -174,3 +174,83 @@ def test_a_key_has_one_timer_for_its_earliest_ending():
     assert timers == [5, 4, 7]
     assert [r.event_id for r in one.handleExpiredTimer(("j", "failed"), at(20), None)] == [7, 8, 9]
     assert timers == [5, 4, 7] and not one.held
+
+
+class Kept:
+    """A value state that counts its calls."""
+
+    def __init__(self):
+        self.kept, self.calls = None, 0
+
+    def get(self):
+        self.calls += 1
+        return self.kept
+
+    def update(self, value):
+        self.calls += 1
+        self.kept = value
+
+
+@pytest.mark.parametrize("forget", [None, 40])
+def test_a_group_of_jobs_costs_one_read_and_one_write(forget):
+    """The state was read and written for every job and trigger, several calls each. Four triggers that follow each other; forget is in milliseconds."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+    from pyspark.sql import Row
+
+    r = random.Random(9)
+    names = ["event_id", "job_id", "ts", "status", "acked"]
+    kinds = pa.schema([("event_id", pa.int64()), ("job_id", pa.int64()), ("ts", pa.timestamp("us")), ("status", pa.string()), ("acked", pa.bool_())])
+    rows = [(r.choice((None, i)), r.choice((None, *range(300))), r.randrange(200_000), r.choice(endings.ENDINGS), r.choice((True, False, None))) for i in range(5000)]
+    schema = StructType().add("event_id", "long").add("job_id", "long").add("ts", "timestamp").add("status", "string").add("acked", "boolean")
+    state, one, got = Kept(), endings.FirstOfJobs(schema, forget), []
+    one.init(SimpleNamespace(getValueState=lambda *_: state))
+    for k in range(4):
+        mine = pa.table([pa.array(c, t) for c, t in zip(zip(*(x for x in rows if x[2] // 50_000 == k), strict=True), kinds.types, strict=True)], kinds)
+        batches = mine.append_column(endings.GROUP, pa.array([0] * len(mine), pa.int64())).to_batches(500)
+        packs = [Row(rows=b) for pack in endings.packing(forget)(iter(batches)) for b in pack.column("rows").to_pylist()]
+        for out in one.handleInputRows((0,), iter(packs), None):
+            told = endings.as_table([out.rows])
+            got += zip(*(told[c].cast(pa.int64()).to_pylist() if c == "ts" else told[c].to_pylist() for c in names), strict=True)
+        assert state.calls <= 2 * (k + 1)
+    want, until = [], {}
+    for x in sorted(rows, key=lambda x: (x[2], x[0] is not None, x[0])):
+        if x[2] > until.get((x[1], x[3]), -1):
+            want.append(x)
+            if x[4]:
+                until[x[1], x[3]] = 10**9 if forget is None else x[2] + 1000 * forget
+    order = lambda x: tuple((v is not None, v) for v in x)
+    assert sorted(got, key=order) == sorted(want, key=order)
+
+
+def test_endings_of_many_jobs_in_few_groups(spark, tmp_path, monkeypatch):
+    """Equal rows, large numbers beside nulls and a time far ahead come through as they are; a pack of rows is a few hundred bytes."""
+    monkeypatch.setattr(endings, "PACK", 400)
+    rows = [(i, j, at, status, None if i % 3 else 2**53 + 1, acked, m) for i, j, at, status, _, acked, m in events_of(11, 300)]
+    rows += rows[::7]
+    far = (900, 7, datetime.datetime(9000, 1, 1), "failed", None, None, "x")
+    schema = spark.createDataFrame([], EVENTS).schema
+    for k in range(3):
+        write(spark, rows[k::3], f"{tmp_path}/in", k)
+    write(spark, [far], f"{tmp_path}/in", 3)
+    write(spark, [(-1, -1, datetime.datetime(9500, 1, 1), "processing", 0, None, None)], f"{tmp_path}/in", 4)
+    found = sinks.opened(spark, f"{tmp_path}/in/*", schema, files_a_trigger=1)
+    sinks.run(endings.stream_terminal_dedup(found, "2 hours", groups=3), str(tmp_path / "out"))
+    got = sinks.rows_of(spark, str(tmp_path / "out"), schema).where("event_id >= 0 and status is not null").collect()
+    want = jobs.terminal_dedup(spark.createDataFrame([*rows, far], EVENTS)).where("status is not null").collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def test_a_part_of_a_large_table_is_many_files_and_one_trigger(spark, tmp_path):
+    """A part was one file, so that one task wrote it and few read it, however many rows it had."""
+    from pathlib import Path
+
+    from voxtable.plans.queries import arriving
+
+    rows = spark.createDataFrame([x for x in events_of(12) if x[3]], EVENTS).repartition(3)
+    folder, stream = arriving(rows, "parts")
+    assert len(list(Path(folder.removeprefix("file://")).glob("in/*.parquet"))) == 12
+    sinks.run(stream, str(tmp_path / "out"))
+    told = sinks.with_batches(spark, str(tmp_path / "out"), rows.schema)
+    assert told.select(sinks.BATCH).distinct().count() == 4 and told.count() == rows.count()
