@@ -254,3 +254,17 @@ def test_a_part_of_a_large_table_is_many_files_and_one_trigger(spark, tmp_path):
     sinks.run(stream, str(tmp_path / "out"))
     told = sinks.with_batches(spark, str(tmp_path / "out"), rows.schema)
     assert told.select(sinks.BATCH).distinct().count() == 4 and told.count() == rows.count()
+
+
+def test_state_partitions_follow_the_cores(spark, tmp_path):
+    """A trigger had as many state partitions as the session's shuffles, each with its cost."""
+    spark.conf.set(sinks.SHUFFLES, "40")
+    try:
+        schema = spark.createDataFrame([], EVENTS).schema
+        write(spark, events_of(13, 20), f"{tmp_path}/in", 0)
+        sinks.run(endings.stream_terminal_dedup(sinks.opened(spark, f"{tmp_path}/in/*", schema), "2 hours"), str(tmp_path / "out"))
+        states = [[p for p in op.iterdir() if p.name.isdigit()] for op in (tmp_path / "out" / "checkpoint" / "state").iterdir() if op.name.isdigit()]
+        assert [len(s) for s in states] == [sinks.STATES * spark.sparkContext.defaultParallelism] * 2
+        assert spark.conf.get(sinks.SHUFFLES) == "40"
+    finally:
+        spark.conf.set(sinks.SHUFFLES, "4")

@@ -154,8 +154,8 @@ def packing(forget: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator
 
 def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        if batch.num_rows:
-            yield from as_table(batch.column("rows").to_pylist()).to_batches()
+        for pack in batch.column("rows"):
+            yield from as_table([pack.as_py()]).to_batches()
 
 
 class FirstOfJobs(StatefulProcessor):
